@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, reputation, sharding
+from . import mixing, near_dedup, reputation, sharding, substring_dedup
 
 QUERIES = {
     "op2_host_reputation": reputation.op2,
     "op5_sainte_lague_mix": mixing.op5,
     "op6_feistel_shards": sharding.op6,
+    "op8_minhash_near_dedup": near_dedup.op8,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLE_SQL = {
     "op2_host_reputation": reputation.OP2_SQL,
     "op5_sainte_lague_mix": mixing.OP5_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
