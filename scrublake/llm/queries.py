@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, reputation, sharding, substring_dedup
+from . import media, mixing, near_dedup, reputation, sharding, substring_dedup
 
 QUERIES = {
+    "op1_webp_media": media.op1,
     "op2_host_reputation": reputation.op2,
     "op5_sainte_lague_mix": mixing.op5,
     "op6_feistel_shards": sharding.op6,

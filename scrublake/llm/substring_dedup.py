@@ -350,9 +350,9 @@ OP10_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []::VARCHAR[]) w FROM documents),
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') s FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) i FROM d WHERE len(w) >= 13)),
 own AS (SELECT s, min(doc_id) lo FROM win GROUP BY s),
-gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) at FROM win JOIN own USING (s) WHERE doc_id > lo),
-g AS (SELECT r, list(at) a FROM gone GROUP BY r)
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 12)) k FROM win JOIN own USING (s) WHERE doc_id > lo),
+g AS (SELECT r, list(k) a FROM gone GROUP BY r)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(len(a), 0)::BIGINT n_removed,
-  sha256(coalesce(array_to_string([x for x, i in w if a IS NULL OR NOT list_contains(a, i)], ' '), '')) kept_sha256
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: a IS NULL OR NOT list_contains(a, i)), ' '), '')) kept_sha256
 FROM d LEFT JOIN g USING (r)
 """
