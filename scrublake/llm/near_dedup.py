@@ -1,11 +1,13 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, connected components.
 
-1. One pass over the texts gives each document's number of shingles, a key of its whole set, 288 minima (one byte of each is kept) and
-   48 band keys of six minima each. A pair at 0.8 shares no band with a chance of (1 - 0.8^6)^48, about 5e-7.
+1. One pass over the texts gives each document's number of shingles, a key of its whole set, a signature (a bit of each of 160 minima)
+   and 32 band keys of five minima each. A pair at 0.8 shares no band with a chance of (1 - 0.8^5)^32, about 3e-6.
 2. Documents of equal sets are one class, with the smallest doc_id as representative; only representatives go on.
 3. In each band bucket the smallest id is the pivot; every member is compared with it: first the signatures, then the full sets.
-   Members of a bucket that are then still in different components are compared pair by pair, so no candidate is dropped, while a
-   group of near copies costs one comparison for each member and not for each pair.
+   Buckets whose members are then in different components get further pivots while that pays; in the end the members of different
+   components are compared pair by pair, so no candidate is dropped, while a group of near copies costs a few comparisons
+   for each member and not one for each pair. Before that, shingles found in no other such document bound what a document
+   can share; members and pairs that can't reach the threshold by this exact bound need no comparison.
 4. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
@@ -21,15 +23,19 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
 
-BANDS, ROWS = 48, 6
+BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: A signature's share of equal minima may lie this far under the threshold: over five standard deviations.
-SLACK = 0.13
+#: Bits of the signatures of two documents at the threshold differ in (1 - s) / 2 of HASHES places; so many standard deviations more pass.
+SIGMAS = 5.5
+#: Documents of pairs to be confirmed are looked up by broadcast up to so many rows (16 bytes each), by a shuffle beyond.
+BROADCAST_ROWS = 1 << 19
+#: Further pivots of a bucket in a turn, and turns at most; then pairs are taken one by one.
+PIVOTS, TURNS = 4, 3
 _A = (splitmix(21, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (splitmix(22, HASHES) >> np.uint64(32)).astype(np.uint32)
 _M = splitmix(23, ROWS)
 _BAND = splitmix(24, BANDS)
-SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>, bands array<long>"
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,7 +75,8 @@ def _sketches(k: int):
                 if len(s):
                     m = minima(s)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    signatures.append(((m * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes())
+                    bits = np.packbits((m * np.uint32(2654435761)) >> np.uint32(31)).tobytes()
+                    signatures.append(np.frombuffer(bits.ljust(24, b"\0"), np.int64))
                     wide = (m.reshape(BANDS, ROWS).astype(np.uint64) * _M).sum(axis=1, dtype=np.uint64)
                     bands.append(mixed(wide + _BAND).view(np.int64))
                 else:
@@ -77,7 +84,7 @@ def _sketches(k: int):
                     signatures.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_key", "signature", "bands"],
             )
 
@@ -87,57 +94,95 @@ def _sketches(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sets = [s.tobytes() for _, s in shingle_sets(part.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "side")), pa.array(sets, pa.binary())], ["a", "b", "side", "shingles"])
 
     return run
 
 
-def _alike(percent: int):
+def _rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [s for _, s in shingle_sets(part.column("text"), k)]
+                row = np.repeat(np.arange(len(part)), [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(flat)], ["doc_id", "shingle"])
 
     return run
 
 
-def _likely(percent: int):
+def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Of the documents ``ids``: n shingles, and how many of them (most) another of these documents may have too."""
+    ids = materialize(ids, "ids")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    rows = docs.join(ids, "doc_id").mapInArrow(_rows(k), "doc_id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_alone"))
+    sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("most")), "bounds")
+
+
+def _alike(percent: int):
+    """Of rows sorted by pair, the pairs of which a set of side 0 and a set of side 1 reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, sides = None, ([], [])
+
+        def linked() -> bool:
+            for x in sides[0]:
+                for y in sides[1]:
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        return True
+            return False
+
+        def links(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            keep = (x == y).mean(axis=1) >= percent / 100 - SLACK
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            found = []
+            for a, b, side, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "side", "shingles")), strict=True):
+                if (a, b) != pair:
+                    if linked():
+                        found.append(pair)
+                    pair, sides = (a, b), ([], [])
+                sides[side].append(np.frombuffer(raw, np.uint64))
+            yield links(found)
+        yield links([pair] if linked() else [])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    sig = reps.select("doc_id", "signature")
-    pairs = (
-        pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
-        .join(sig.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_likely(percent), "a long, b long")
-    )
+def unlike(percent: int) -> Column:
+    """Whether the signatures sig_a and sig_b differ too much for the threshold."""
+    miss = (1 - percent / 100) / 2
+    most = int(HASHES * miss + SIGMAS * (HASHES * miss * (1 - miss)) ** 0.5)
+    return sum(F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(3)) > most
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; the sets are made again from the whole texts."""
     pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
-    sets = materialize(sets, "sets")
-    return materialize(
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_alike(percent), "a long, b long")
-        .distinct(),
-        "links",
-    )
+    routes = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    routes = routes.withColumn("doc_id", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+    if 2 * pairs.count() <= BROADCAST_ROWS:
+        routes = F.broadcast(routes)
+    sets = docs.join(routes, "doc_id").select("a", "b", "side", "text").mapInArrow(_sets(k), "a long, b long, side int, shingles binary")
+    sets = sets.repartition("a", "b").sortWithinPartitions("a", "b")
+    return materialize(sets.mapInArrow(_alike(percent), "a long, b long"), "links")
+
+
+def _likely(stars: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of pivot and doc_id, a < b, whose signatures are near."""
+    pairs = stars.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    pairs = pairs.join(signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
+    pairs = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a")
+    return pairs.where(~unlike(percent)).select("a", "b")
 
 
 def _smallest(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -168,6 +213,18 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _open(inside: DataFrame) -> DataFrame:
+    """Members of the buckets with several components."""
+    keys = inside.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+    return inside.join(keys, "key", "left_semi")
+
+
+def _possible(percent: int) -> Column:
+    """Whether sets of n and _n shingles can reach the threshold, sharing no more than the lesser of most and _most."""
+    shared = F.least("most", "_most", "n", "_n")
+    return F.coalesce(100 * shared >= percent * (F.col("n") + F.col("_n") - shared), F.lit(True))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept.
 
@@ -183,25 +240,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     alone = known.join(reps.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
     alone = materialize(alone.dropDuplicates(["set_key"]).select("doc_id", "signature", "bands"), "reps")
 
+    signatures = alone.select("doc_id", "signature")
     rows = alone.select("doc_id", F.explode("bands").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_other"), F.count(F.lit(1)).alias("n")).where("pivot < _other")
     buckets = materialize(rows.join(pivots.select("key", "pivot", "n"), "key"), "buckets")
-    stars = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(stars, alone, docs, shingle, percent)
-
-    found = materialize(components(links), "found")
-    inside = buckets.where("n > 2 and doc_id <> pivot").join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = inside.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    inside = materialize(inside.join(open_, "key", "left_semi"), "open")
-    one = inside.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_c"))
-    two = inside.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_d"))
-    rest = one.join(two, "key").where("a < b and _c <> _d").select("a", "b").distinct()
-    more = _confirmed(rest, alone, docs, shingle, percent)
+    links = _confirmed(_likely(buckets, signatures, percent), docs, shingle, percent)
+    several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")  # ids of several texts
+    inside, bounds = buckets.where("n > 2").select("key", "doc_id"), None
+    for turn in range(TURNS + 1):
+        found = materialize(components(links), "found")
+        inside = inside.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        inside = materialize(_open(inside), "open")
+        if turn == 0:
+            bounds = _bounds(inside.select("doc_id").distinct(), docs, shingle).join(several, "doc_id", "left_anti")
+            inside = inside.join(bounds, "doc_id", "left").where("n is null or 100 * most >= %d * n" % percent)
+            inside = materialize(_open(inside), "open")
+        sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        sizes = sizes.groupBy("key").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_own"))
+        n_rows, apart = sizes.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_n") - F.col("_own"))).first()
+        if turn == TURNS or (apart or 0) <= 2 * PIVOTS * (n_rows or 0):
+            break
+        picked = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "doc_id").alias("h"), "doc_id", "component", "n", "most")) for i in range(PIVOTS)]
+        more = inside.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("_p")).select("key", F.inline("_p"))
+        more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+        stars = inside.join(more, "key").where(F.col("component") != F.col("_c")).where(_possible(percent))
+        new = _confirmed(_likely(stars, signatures, percent), docs, shingle, percent)
+        links = materialize(links.union(new).distinct(), "links")
+        inside = inside.drop("component")
+
+    signed = inside.join(signatures, "doc_id")
+    one = signed.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_c"), F.col("signature").alias("sig_a"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    two = signed.select(F.col("key").alias("_key"), F.col("doc_id").alias("b"), "component", F.col("signature").alias("sig_b"), "n", "most")
+    apart = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component"))
+    rest = one.join(two, apart & _possible(percent) & ~unlike(percent)).select("a", "b").distinct()
+    links = links.union(_confirmed(rest, docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together
-    several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.union(more).union(ties))
+    final = components(links.union(ties))
     of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     of = of.join(final.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     of = of.select("doc_id", F.coalesce("component", "rep").alias("component"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, near_dedup, reputation, sharding, substring_dedup
+from . import media, mixing, near_dedup, reputation, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_webp_media": media.op1,
     "op2_host_reputation": reputation.op2,
     "op5_sainte_lague_mix": mixing.op5,
     "op6_feistel_shards": sharding.op6,
+    "op7_zstd_token_files": token_files.op7,
     "op8_minhash_near_dedup": near_dedup.op8,
     "op10_substring_dedup": substring_dedup.op10,
 }

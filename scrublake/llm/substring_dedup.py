@@ -6,10 +6,11 @@ maximal runs of windows of one anchor, and the corpus is sharded by anchor; a wi
 1. All segments are counted by anchor. Anchors of one document only are done. An anchor whose segments are all equal belongs to its smallest
    doc_id, and later documents lose the segment.
 2. For anchors with differing segments (ends of shared passages, edits, frequent phrases), the distinct segments with their smallest
-   doc_id are the reference shard. In the order of these ids, each segment is streamed through the suffix automaton of those before it;
-   where the matching statistic reaches W, the window is found in a smaller document. Then the segment extends the automaton.
-3. An anchor in more than HOT places would make a long shard. Its segments are cut further, into single windows, each a shard of its
-   own with one distinct segment.
+   doc_id are kept. Windows in segments of several documents, at their first place, are the shard's reference: spans of text that
+   others repeat.
+3. In the order of doc_ids, each distinct segment is streamed through the suffix automaton of the shard's spans from smaller documents; where
+   the matching statistic reaches W, the window goes. Then its own reference spans extend the automaton. A shard of many
+   segments is dealt over several tasks, each with all of its reference spans.
 
 Hashes of words have 64 bits. Counts are partial before any exchange, so copies of a passage don't meet in one task.
 """
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import WORD, load, materialize, mixed, runs_of, text_buffers, words_of
 
 M = 4
-HOT = 512
+#: Segments of a shard that one task streams.
+SPLIT = 2048
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -150,27 +152,43 @@ _PIECE = pa.schema([("shard", pa.int64()), ("content", pa.int64()), ("words", pa
 
 
 def _pieces(window: int):
-    """Of segments with a listed anchor: the shard, what tells the segment's words, these words, the document."""
+    """Of segments with a listed anchor: the anchor, what tells the segment's words, these words, the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, mixed_, hot = (batch.column(c).to_pylist() for c in ("doc_id", "mixed", "hot"))
-            for row, to, words, begins, (start, n, anchor, content, text) in _each(batch, window):
-                rows = []
+            ids, listed = (batch.column(c).to_pylist() for c in ("doc_id", "mixed"))
+            for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
+                rows = set()
                 cut = np.searchsorted(text, np.arange(to - row + 1))
                 for i in range(to - row):
                     a, b = cut[i], cut[i + 1]
                     own = anchor[a:b].view(np.int64)
-                    for j in a + np.flatnonzero(np.isin(own, np.array(mixed_[row + i] or [], np.int64))):
+                    for j in a + np.flatnonzero(np.isin(own, np.array(listed[row + i], np.int64))):
                         s, e = int(start[j]), int(start[j] + n[j]) + window - 1
-                        rows.append((int(own[j - a]), int(content[j : j + 1].view(np.int64)[0]), words[s:e].tobytes(), ids[row + i]))
-                    for j in a + np.flatnonzero(np.isin(own, np.array(hot[row + i] or [], np.int64))):
-                        s, e = int(start[j]), int(start[j] + n[j]) + window - 1
-                        for h in runs_of(words[s:e], window, seed=37).view(np.int64).tolist():
-                            rows.append((h, h, b"", ids[row + i]))
-                for at in range(0, len(rows), 20_000):
-                    part = list(zip(*set(rows[at : at + 20_000]), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _PIECE, strict=True)], schema=_PIECE)
+                        rows.add((int(own[j - a]), int(content[j : j + 1].view(np.int64)[0]), words[s:e].tobytes(), ids[row + i]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
+
+    return run
+
+
+def _windows(window: int):
+    """A row for each window of a distinct segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("words").to_pylist()
+            lengths = np.array([len(r) // 8 for r in raw], np.int64)
+            words = np.frombuffer(b"".join(raw), np.uint64)
+            begin = np.cumsum(lengths) - lengths
+            row = np.repeat(np.arange(len(raw)), lengths)
+            at = np.arange(len(words)) - begin[row]
+            ok = np.flatnonzero(at <= lengths[row] - window)
+            hashes = runs_of(words, window, seed=37)
+            take = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take) for c in ("shard", "content", "owner")), pa.array(at[ok].astype(np.int32)), _signed(hashes[ok])], ["shard", "content", "owner", "at", "hash"]
+            )
 
     return run
 
@@ -178,47 +196,49 @@ def _pieces(window: int):
 _FOUND = pa.schema([("shard", pa.int64()), ("content", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
 
-def _stream(shard: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, list[int]]]:
-    """Content and found windows of a shard's segments (content, smallest doc_id, words) in the order of ids."""
-    if len(shard) < 2:
-        yield from ((c, []) for c, _, _ in shard)
-        return
-    automaton, waiting, before = SuffixAutomaton(), [], None
-    for content, owner, raw in shard:
-        if owner != before:
-            for w in waiting:
-                automaton.add(w)
-            waiting, before = [], owner
-        symbols = np.frombuffer(raw, np.int64).tolist()
-        gone = [i - window + 1 for i, n in enumerate(automaton.matching(symbols)) if n >= window]
-        if len(gone) < len(symbols) - window + 1:
-            waiting.append(symbols)
-        yield content, gone
+def spans_of(places: list[int], window: int) -> Iterator[tuple[int, int]]:
+    """First and last word (exclusive) of maximal runs of consecutive windows."""
+    first = None
+    for i, p in enumerate(places):
+        if first is None:
+            first = p
+        if i + 1 == len(places) or places[i + 1] != p + 1:
+            yield first, p + window
+            first = None
 
 
-def _automata(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard = None, []
+class _Shard:
+    """The automaton of spans from smaller documents, for segments in the order of their documents."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.automaton, self.waiting, self.owner = window, SuffixAutomaton(), [], None
 
-        def flushed(out: list) -> None:
-            out.extend((key, c, gone) for c, gone in _stream(shard, window))
+    def stream(self, owner: int, raw: bytes, places: list[int] | None, own: bool) -> list[int]:
+        if owner != self.owner:
+            for span in self.waiting:
+                self.automaton.add(span)
+            self.waiting, self.owner = [], owner
+        symbols = np.frombuffer(raw, np.int64).tolist()
+        if places:
+            self.waiting += [symbols[a:b] for a, b in spans_of(places, self.window)]
+        if not own:
+            return []
+        return [i - self.window + 1 for i, n in enumerate(self.automaton.matching(symbols)) if n >= self.window]
 
-        def batch_of(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
+def _automata(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
         for batch in batches:
             out: list = []
-            for k, content, owner, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "content", "owner", "words")), strict=True):
-                if k != key:
-                    flushed(out)
-                    key, shard = k, []
-                shard.append((content, owner, words))
+            for k, salt, content, owner, words, places, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "content", "owner", "words", "places", "own")), strict=True):
+                if (k, salt) != key:
+                    key, shard = (k, salt), _Shard(window)
+                gone = shard.stream(owner, words, places, own)
+                if gone:
+                    out.append((k, content, gone))
             if out:
-                yield batch_of(out)
-        out = []
-        flushed(out)
-        if out:
-            yield batch_of(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return run
 
@@ -226,36 +246,32 @@ def _automata(window: int):
 _RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def _removed_words(words, begins, seg, rows, owned, found, hot, window) -> list[np.ndarray | None]:
+def _removed_words(begins, seg, rows, owned, found, window) -> list[np.ndarray | None]:
     """For each text a mask of the words to remove; None: none."""
     start, n, anchor, content, text = seg
     cut = np.searchsorted(text, np.arange(rows + 1))
     out: list[np.ndarray | None] = []
     for i in range(rows):
-        if not owned[i] and not found[i] and not hot[i]:
+        if not owned[i] and not found[i]:
             out.append(None)
             continue
-        a, b = cut[i], cut[i + 1]
+        a, b = int(cut[i]), int(cut[i + 1])
         base = int(begins[i])
         cover = np.zeros(int(begins[i + 1]) - base + 1, np.int32)
-        own = anchor[a:b].view(np.int64)
-        whole = np.flatnonzero(np.isin(own, np.array(owned[i] or [], np.int64)))
-        np.add.at(cover, start[a:b][whole] - base, 1)
-        np.add.at(cover, start[a:b][whole] + n[a:b][whole] + window - 1 - base, -1)
+        whole = set(owned[i] or [])
         some = {f["content"]: f["gone"] for f in found[i] or []}
-        if some or hot[i]:
-            gone_hot = set(hot[i] or [])
-            for j, c in zip(range(a, b), content[a:b].view(np.int64).tolist(), strict=True):
-                s = int(start[j])
-                at = some.get(c)
-                if at is not None:
-                    at = range(int(n[j])) if at == [-1] else at
-                elif gone_hot:
-                    h = runs_of(words[s : s + int(n[j]) + window - 1], window, seed=37).view(np.int64).tolist()
-                    at = [x for x, v in enumerate(h) if v in gone_hot]
-                for x in at or ():
-                    cover[s + x - base] += 1
-                    cover[s + x + window - base] -= 1
+        for j, k, c in zip(range(a, b), anchor[a:b].view(np.int64).tolist(), content[a:b].view(np.int64).tolist(), strict=True):
+            at = [-1] if k in whole else some.get(c)
+            if at is None:
+                continue
+            s = int(start[j]) - base
+            if at == [-1]:
+                cover[s] += 1
+                cover[s + int(n[j]) + window - 1] -= 1
+            else:
+                for x, y in spans_of(at, window):
+                    cover[s + x] += 1
+                    cover[s + y] -= 1
         out.append(np.cumsum(cover[:-1]) > 0)
     return out
 
@@ -263,11 +279,11 @@ def _removed_words(words, begins, seg, rows, owned, found, hot, window) -> list[
 def _cut(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owned, found, hot = (batch.column(c).to_pylist() for c in ("owned", "found", "hot_gone"))
+            owned, found = (batch.column(c).to_pylist() for c in ("owned", "found"))
             n_words, n_removed, shas, kept_texts = [], [], [], []
             column = batch.column("text")
-            for row, to, words, begins, seg in _each(batch, window):
-                masks = _removed_words(words, begins, seg, to - row, owned[row:to], found[row:to], hot[row:to], window)
+            for row, to, _, begins, seg in _each(batch, window):
+                masks = _removed_words(begins, seg, to - row, owned[row:to], found[row:to], window)
                 for i, mask in enumerate(masks):
                     text = (column[row + i].as_py() or "").encode()
                     w = text.split()
@@ -278,7 +294,7 @@ def _cut(window: int, texts: bool):
                     shas.append(hashlib.sha256(joined).hexdigest())
                     if texts:
                         kept_texts.append(column[row + i].as_py() if len(kept) == len(w) else _spliced(text, mask))
-            rest = [n for n in batch.schema.names if n not in ("owned", "found", "hot_gone") and (not texts or n != "text")]
+            rest = [n for n in batch.schema.names if n not in ("owned", "found") and (not texts or n != "text")]
             if not texts:
                 rest.remove("text")
             more = {"text": pa.array(kept_texts, pa.string())} if texts else {}
@@ -310,31 +326,33 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = own.mapInArrow(_anchors(window), "anchor long, content int, doc_id long")
-    shards = rows.groupBy("anchor").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"), F.count(F.lit(1)).alias("n")
-    )
-    kind = F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= HOT, 1).otherwise(2)
-    shards = shards.where("lo < hi").select("anchor", "lo", kind.alias("kind"))
-    listed = rows.select("anchor", "doc_id").join(shards, "anchor").where("kind > 0 or doc_id > lo")
-    of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("anchor")))
-    marks = materialize(listed.groupBy("doc_id").agg(of(0).alias("owned"), of(1).alias("mixed"), of(2).alias("hot")), "marks")
-
-    todo = marks.where((F.size("mixed") > 0) | (F.size("hot") > 0)).select("doc_id", "mixed", "hot")
+    shards = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
+    shards = shards.where("lo < hi").select("anchor", "lo", (F.col("c0") != F.col("c1")).alias("differ"))
+    listed = rows.select("anchor", "doc_id").join(shards, "anchor").where("differ or doc_id > lo")
+    of = lambda yes: F.collect_set(F.when(yes, F.col("anchor")))
+    marks = materialize(listed.groupBy("doc_id").agg(of(~F.col("differ")).alias("owned"), of(F.col("differ")).alias("mixed")), "marks")
+
+    todo = marks.where(F.size("mixed") > 0).select("doc_id", "mixed")
     pieces = materialize(own.join(todo, "doc_id").mapInArrow(_pieces(window), "shard long, content long, words binary, doc_id long"), "pieces")
-    distinct = pieces.groupBy("shard", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
-    single = distinct.where(F.length("words") == 0).where("owner < hi").select("shard", "content", "owner")
-    shared = distinct.where(F.length("words") > 0)
-    matched = shared.repartition("shard").sortWithinPartitions("shard", "owner", "content").select("shard", "content", "owner", "words")
-    matched = matched.mapInArrow(_automata(window), "shard long, content long, gone array<int>")
-    owners = materialize(shared.select("shard", "content", "owner").join(matched, ["shard", "content"]), "matched")
-    by = pieces.where(F.length("words") > 0).select("shard", "content", "doc_id").join(owners, ["shard", "content"])
+    distinct = materialize(pieces.groupBy("shard", "content").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words")), "distinct")
+    each = distinct.mapInArrow(_windows(window), "shard long, content long, owner long, at int, hash long")
+    repeated = each.groupBy("hash").agg(F.min(F.struct("owner", "shard", "content", "at")).alias("first"), F.max("owner").alias("hi")).where("first.owner < hi")
+    places = repeated.select("first.*").groupBy("shard", "content").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    places = materialize(places, "places")
+    salts = distinct.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT)).cast("int").alias("salts"))
+    salts = salts.join(places.select("shard").distinct(), "shard")
+    todo = distinct.join(salts, "shard").join(places, ["shard", "content"], "left").withColumn("_own", F.pmod("content", "salts").cast("int"))
+    every = F.when(F.col("places").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("_own"))
+    todo = todo.withColumn("salt", F.explode(every)).withColumn("own", F.col("salt") == F.col("_own"))
+    todo = todo.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "owner", "content").select("shard", "salt", "content", "owner", "words", "places", "own")
+    matched = todo.mapInArrow(_automata(window), "shard long, content long, gone array<int>")
+    owners = materialize(distinct.select("shard", "content", "owner").join(matched, ["shard", "content"], "left"), "owners")
+    by = pieces.select("shard", "content", F.col("doc_id")).join(owners, ["shard", "content"]).where("doc_id > owner or gone is not null")
     gone = F.when(F.col("doc_id") > F.col("owner"), F.array(F.lit(-1))).otherwise(F.col("gone"))
-    by = by.withColumn("gone", gone).where(F.size("gone") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("content", "gone")).alias("found"))
-    hot = pieces.where(F.length("words") == 0).select("shard", "doc_id").join(single, "shard").where("doc_id > owner")
-    hot = hot.groupBy("doc_id").agg(F.collect_set("shard").alias("hot_gone"))
-    verdict = marks.where(F.size("owned") > 0).select("doc_id", "owned").join(by, "doc_id", "full").join(hot, "doc_id", "full")
+    by = by.groupBy("doc_id").agg(F.collect_list(F.struct("content", gone.alias("gone"))).alias("found"))
+    verdict = marks.where(F.size("owned") > 0).select("doc_id", "owned").join(by, "doc_id", "full")
     verdict = materialize(verdict, "verdict")
-    names = [c for c in docs.columns if c not in ("owned", "found", "hot_gone", "n_words", "n_removed", "kept_sha256")]
+    names = [c for c in docs.columns if c not in ("owned", "found", "n_words", "n_removed", "kept_sha256")]
     joined = docs.select(*names).join(verdict, "doc_id", "left")
     kept = [c for c in names if c != "text"] + (["text"] if texts else [])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", " + _RESULT
