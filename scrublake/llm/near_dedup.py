@@ -33,6 +33,10 @@ BROADCAST_ROWS = 1 << 19
 PIVOTS, TURNS = 4, 3
 _A = (splitmix(21, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (splitmix(22, HASHES) >> np.uint64(32)).astype(np.uint32)
+#: Bits of the longer signatures of members of open buckets.
+LONG = 1024
+_LONG_A = (splitmix(25, LONG) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_LONG_B = (splitmix(26, LONG) >> np.uint64(32)).astype(np.uint32)
 _M = splitmix(23, ROWS)
 _BAND = splitmix(24, BANDS)
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>, bands array<long>"
@@ -56,16 +60,24 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row + i, np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """Least values of the hashes a * x + b."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        h = _A[:, None] * x[None, at : at + 1024]
-        h += _B[:, None]
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 18) // len(a))
+    for at in range(0, len(x), step):
+        h = a[:, None] * x[None, at : at + step]
+        h += b[:, None]
         np.minimum(best, h.min(axis=1), out=best)
     return best
 
 
+def signature(least: np.ndarray) -> np.ndarray:
+    """A bit of each minimum, in 64-bit words."""
+    bits = np.packbits((least * np.uint32(2654435761)) >> np.uint32(31)).tobytes()
+    return np.frombuffer(bits.ljust(-(-len(bits) // 8) * 8, b"\0"), np.int64)
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,8 +87,7 @@ def _sketches(k: int):
                 if len(s):
                     m = minima(s)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bits = np.packbits((m * np.uint32(2654435761)) >> np.uint32(31)).tobytes()
-                    signatures.append(np.frombuffer(bits.ljust(24, b"\0"), np.int64))
+                    signatures.append(signature(m))
                     wide = (m.reshape(BANDS, ROWS).astype(np.uint64) * _M).sum(axis=1, dtype=np.uint64)
                     bands.append(mixed(wide + _BAND).view(np.int64))
                 else:
@@ -115,16 +126,28 @@ def _rows(k: int):
     return run
 
 
-def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Of the documents ``ids``: n shingles, and how many of them (most) another of these documents may have too."""
+def _longer(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(minima(s, _LONG_A, _LONG_B)) for _, s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "signature"])
+
+    return run
+
+
+def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of the documents ``ids``: n shingles, and how many of them (most) another of these documents may have too; longer signatures."""
     ids = materialize(ids, "ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    rows = docs.join(ids, "doc_id").mapInArrow(_rows(k), "doc_id long, shingle long")
+    own = docs.join(ids, "doc_id")
+    longer = materialize(own.mapInArrow(_longer(k), "doc_id long, signature array<long>"), "longer")
+    rows = own.mapInArrow(_rows(k), "doc_id long, shingle long")
     alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_alone"))
     sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("most")), "bounds")
+    most = F.col("n") - F.coalesce("_alone", F.lit(0))
+    return materialize(sizes.join(alone, "doc_id", "left").select("doc_id", "n", most.alias("most")), "bounds"), longer
 
 
 def _alike(percent: int):
@@ -158,11 +181,11 @@ def _alike(percent: int):
     return run
 
 
-def unlike(percent: int) -> Column:
+def unlike(percent: int, bits: int) -> Column:
     """Whether the signatures sig_a and sig_b differ too much for the threshold."""
     miss = (1 - percent / 100) / 2
-    most = int(HASHES * miss + SIGMAS * (HASHES * miss * (1 - miss)) ** 0.5)
-    return sum(F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(3)) > most
+    most = int(bits * miss + SIGMAS * (bits * miss * (1 - miss)) ** 0.5)
+    return sum(F.bit_count(F.col("sig_a")[i].bitwiseXOR(F.col("sig_b")[i])) for i in range(-(-bits // 64))) > most
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -177,12 +200,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return materialize(sets.mapInArrow(_alike(percent), "a long, b long"), "links")
 
 
-def _likely(stars: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _likely(stars: DataFrame, signatures: DataFrame, percent: int, bits: int = HASHES) -> DataFrame:
     """Distinct pairs (a, b) of pivot and doc_id, a < b, whose signatures are near."""
     pairs = stars.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     pairs = pairs.join(signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
     pairs = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a")
-    return pairs.where(~unlike(percent)).select("a", "b")
+    return pairs.where(~unlike(percent, bits)).select("a", "b")
 
 
 def _smallest(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -246,14 +269,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = materialize(rows.join(pivots.select("key", "pivot", "n"), "key"), "buckets")
     links = _confirmed(_likely(buckets, signatures, percent), docs, shingle, percent)
     several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")  # ids of several texts
-    inside, bounds = buckets.where("n > 2").select("key", "doc_id"), None
+    inside = buckets.where("n > 2").select("key", "doc_id")
     for turn in range(TURNS + 1):
         found = materialize(components(links), "found")
         inside = inside.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         inside = materialize(_open(inside), "open")
         if turn == 0:
-            bounds = _bounds(inside.select("doc_id").distinct(), docs, shingle).join(several, "doc_id", "left_anti")
-            inside = inside.join(bounds, "doc_id", "left").where("n is null or 100 * most >= %d * n" % percent)
+            bounds, longer = _bounds(inside.select("doc_id").distinct(), docs, shingle)
+            inside = inside.join(bounds.join(several, "doc_id", "left_anti"), "doc_id", "left").where("n is null or 100 * most >= %d * n" % percent)
             inside = materialize(_open(inside), "open")
         sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("_n"))
         sizes = sizes.groupBy("key").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_own"))
@@ -264,15 +287,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         more = inside.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("_p")).select("key", F.inline("_p"))
         more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
         stars = inside.join(more, "key").where(F.col("component") != F.col("_c")).where(_possible(percent))
-        new = _confirmed(_likely(stars, signatures, percent), docs, shingle, percent)
+        new = _confirmed(_likely(stars, longer, percent, LONG), docs, shingle, percent)
         links = materialize(links.union(new).distinct(), "links")
         inside = inside.drop("component")
 
-    signed = inside.join(signatures, "doc_id")
-    one = signed.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_c"), F.col("signature").alias("sig_a"), F.col("n").alias("_n"), F.col("most").alias("_most"))
-    two = signed.select(F.col("key").alias("_key"), F.col("doc_id").alias("b"), "component", F.col("signature").alias("sig_b"), "n", "most")
+    signed = inside.join(longer, "doc_id").join(alone.select("doc_id", "bands"), "doc_id")
+    one = signed.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_c"), F.col("signature").alias("sig_a"), F.col("bands").alias("_bands"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    two = signed.select(F.col("key").alias("_key"), F.col("doc_id").alias("b"), "component", F.col("signature").alias("sig_b"), "bands", "n", "most")
     apart = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component"))
-    rest = one.join(two, apart & _possible(percent) & ~unlike(percent)).select("a", "b").distinct()
+    once = F.col("key") == F.array_min(F.array_intersect("bands", "_bands"))  # of the buckets that a pair shares, one compares it
+    rest = one.join(two, apart & _possible(percent) & ~unlike(percent, LONG) & once).select("a", "b").distinct()
     links = links.union(_confirmed(rest, docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together
