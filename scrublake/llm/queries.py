@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import media, mixing, near_dedup, reputation, sharding, substring_dedup, token_files
+from . import language_id, media, mixing, near_dedup, pieces, reputation, sharding, substring_dedup, token_files, topk
 
 QUERIES = {
     "op1_webp_media": media.op1,
     "op2_host_reputation": reputation.op2,
+    "op3_cover_tree_top_k": topk.op3,
+    "op4_sentencepiece_viterbi": pieces.op4,
     "op5_sainte_lague_mix": mixing.op5,
     "op6_feistel_shards": sharding.op6,
     "op7_zstd_token_files": token_files.op7,
     "op8_minhash_near_dedup": near_dedup.op8,
+    "op9_language_id": language_id.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLE_SQL = {
     "op2_host_reputation": reputation.OP2_SQL,
+    "op3_cover_tree_top_k": topk.OP3_SQL,
     "op5_sainte_lague_mix": mixing.OP5_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
