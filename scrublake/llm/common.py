@@ -38,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it."""
+def materialize(df: DataFrame, name: str = "t", parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it.
+
+    ``parts``: files at most, for tables known to be small.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scrublake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

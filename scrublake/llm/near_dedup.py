@@ -1,7 +1,7 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, connected components.
 
-1. One pass over the texts gives each document's number of shingles, a key of its whole set, a signature (a bit of each of 160 minima)
-   and 32 band keys of five minima each. A pair at 0.8 shares no band with a chance of (1 - 0.8^5)^32, about 3e-6.
+1. One pass over the texts gives each document's number of shingles, a key of its whole set, a signature (a bit of each of 240 minima)
+   and 40 band keys of six minima each. A pair at 0.8 shares no band with a chance of (1 - 0.8^6)^40, about 5e-6.
 2. Documents of equal sets are one class, with the smallest doc_id as representative; only representatives go on.
 3. In each band bucket the smallest id is the pivot; every member is compared with it: first the signatures, then the full sets.
    Buckets whose members are then in different components get further pivots while that pays; in the end the members of different
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 #: Bits of the signatures of two documents at the threshold differ in (1 - s) / 2 of HASHES places; so many standard deviations more pass.
 SIGMAS = 5.5
 #: Documents of pairs to be confirmed are looked up by broadcast up to so many rows (16 bytes each), by a shuffle beyond.
 BROADCAST_ROWS = 1 << 19
 #: Further pivots of a bucket in a turn, and turns at most; then pairs are taken one by one.
-PIVOTS, TURNS = 4, 3
+PIVOTS, TURNS = 8, 1
 _A = (splitmix(21, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (splitmix(22, HASHES) >> np.uint64(32)).astype(np.uint32)
 #: Bits of the longer signatures of members of open buckets.
@@ -191,9 +191,10 @@ def unlike(percent: int, bits: int) -> Column:
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; the sets are made again from the whole texts."""
     pairs = materialize(pairs, "pairs")
+    n = pairs.count()
     routes = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     routes = routes.withColumn("doc_id", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    if 2 * pairs.count() <= BROADCAST_ROWS:
+    if 2 * n <= BROADCAST_ROWS:
         routes = F.broadcast(routes)
     sets = docs.join(routes, "doc_id").select("a", "b", "side", "text").mapInArrow(_sets(k), "a long, b long, side int, shingles binary")
     sets = sets.repartition("a", "b").sortWithinPartitions("a", "b")
@@ -220,20 +221,24 @@ def components(links: DataFrame) -> DataFrame:
     itself to the smallest of them. Steps alternate, through the shared folder, until nothing changes.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    before = None
+    before, n = None, links.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_smallest(both, "u", "v"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
         low = _smallest(large, "u", "v")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", _parts(n))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()
             )
-        before = now
+        before, n = now, now[0]
+
+
+def _parts(rows: int) -> int:
+    """Files for a table of so many pairs."""
+    return max(4, -(-rows // 1_000_000))
 
 
 def _open(inside: DataFrame) -> DataFrame:
@@ -271,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")  # ids of several texts
     inside = buckets.where("n > 2").select("key", "doc_id")
     for turn in range(TURNS + 1):
-        found = materialize(components(links), "found")
+        found = components(links)
         inside = inside.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         inside = materialize(_open(inside), "open")
         if turn == 0:
@@ -288,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
         stars = inside.join(more, "key").where(F.col("component") != F.col("_c")).where(_possible(percent))
         new = _confirmed(_likely(stars, longer, percent, LONG), docs, shingle, percent)
-        links = materialize(links.union(new).distinct(), "links")
+        links = links.union(new)
         inside = inside.drop("component")
 
     signed = inside.join(longer, "doc_id").join(alone.select("doc_id", "bands"), "doc_id")
