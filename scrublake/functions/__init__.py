@@ -1 +1 @@
-
+"""Column functions: browser-style text handling, match offsets, geometry."""
