@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrublake.functions.boxes import box
@@ -106,8 +106,6 @@ def stretch(pixels: DataFrame, key: str) -> DataFrame:
 
     Counts of the 256 values are gathered, not pixels.
     """
-    from pyspark.sql import Window
-
     v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("luma")))
     counts = pixels.groupBy(key, F.floor(v).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy(key).orderBy("v"))

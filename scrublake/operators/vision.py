@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrublake.functions.boxes import axis_positions, box, iou
@@ -15,6 +15,13 @@ from scrublake.functions.text import half_up
 FACE = {"size": 128.0, "confidence": 0.5, "iou": 0.3, "most": 20, "merge_iou": 0.4, "tiles": 24, "candidates": 15, "least_px": 10.0}
 OBJECT = {"size": 640.0, "confidence": 0.25, "iou": 0.45, "unlabelled": 0.35}
 
+HINT = r"(?i)avatar|profile|user|author|thumb|photo|portrait|picture"
+# Classes of the object model that have a label.
+CLASS_LABELS = {
+    0: "person", 24: "ui_element", 26: "ui_element", 28: "ui_element", 56: "ui_element", 57: "ui_element", 62: "ui_element", 63: "ui_element",
+    64: "ui_element", 65: "ui_element", 66: "ui_element", 67: "ui_element", 73: "document", 74: "ui_element", 76: "card", 77: "ui_element",
+}
+
 
 def suppress(boxes: DataFrame, frame: str, kind: str, score: str, threshold: float, order: str = "box_no") -> DataFrame:
     """Greedy suppression by frame: boxes by falling score (ties in ``order``), dropped if a kept one of its kind overlaps by over
@@ -65,12 +72,12 @@ def valid_faces(raw: DataFrame, least: float = FACE["confidence"]) -> DataFrame:
 
 
 def face_candidates(elements: DataFrame, page: str = "page_id", most: int = int(FACE["candidates"])) -> DataFrame:
-    """Elements that may show a face: role img, a telling name, or 16 to 300 pixels; the first of each page."""
-    from pyspark.sql import Window
-
-    hint = F.concat_ws(" ", "id", "text", "selector").rlike("(?i)avatar|profile|user|face|photo")
+    """Elements that may show a face: images, a telling name, or 16 to 300 pixels; the first of each page."""
+    attr = lambda k: F.coalesce(F.col("attributes").getItem(k), F.lit(""))
+    hint = F.concat_ws(" ", F.coalesce("id", F.lit("")), F.coalesce("selector", F.lit("")), attr("class"), attr("alt"), attr("src")).rlike(HINT)
     side = lambda c: F.col(f"bbox.{c}").between(16, 300)
-    rows = elements.where((F.col("role") == "img") | hint | (side("width") & side("height")))
+    image = F.col("tag_name").isin("IMG", "PICTURE") | F.coalesce(F.col("role") == "img", F.lit(False))
+    rows = elements.where((image | hint | (side("width") & side("height"))) & (F.col("bbox.width") > 0) & (F.col("bbox.height") > 0))
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy("el_idx"))).where(F.col("_n") <= most).drop("_n")
 
 
