@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,8 +19,8 @@ from .common import load
 SAMPLE_DOCS = 2000
 KEPT = 12_000
 LONGEST = 4
-#: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+#: Words whose scores a worker remembers, from task to task.
+REMEMBERED = 600_000
 #: Evidence in a document counts as that of so many words at most, so that the score stays short of certainty.
 EVIDENCE = 12.0
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
@@ -54,6 +55,7 @@ class Model:
     """Log frequencies of words and n-grams, a row of scores for each, a column for each language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]) -> None:
+        self.uid = uuid.uuid4().hex
         self.languages = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(self.languages)}
         counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
@@ -112,6 +114,17 @@ class Scorer:
         return out
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """One scorer for all tasks of a worker."""
+    if model.uid not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.uid] = Scorer(model)
+    return _SCORERS[model.uid]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning. A null doc_id isn't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -137,12 +150,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE_DOCS, kept: int = KEPT) -> M
 
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        words = scorer(model.value)
         for batch in batches:
             texts = batch.column("text")
             found = []
             for at in range(0, len(batch), 256):
-                found += scorer.score([t or "" for t in texts[at : at + 256].to_pylist()])
+                found += words.score([t or "" for t in texts[at : at + 256].to_pylist()])
             rest = {c: batch.column(c) for c in batch.schema.names}
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 
 MARK = "▁"
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, from task to task.
+REMEMBERED = 800_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -188,9 +189,9 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.viterbi = SharedPrefixViterbi(self.v)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         find = self.v.word.findall
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -198,28 +199,33 @@ class Codec:
         for at in range(0, len(texts), 256):
             words = [find(self.v.marked(t)) for t in texts[at : at + 256]]
             new = sorted(set(chain.from_iterable(words)).difference(self.known))
-            self.known.update(zip(new, self.viterbi.encode_sorted(new), strict=True))
+            self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.viterbi.encode_sorted(new), strict=True))
             look = self.known.__getitem__
-            out += [array("i", chain.from_iterable(map(look, ws))) for ws in words]
+            out += [np.frombuffer(b"".join(map(look, ws)), np.int32) for ws in words]
         return out
 
     def decode(self, ids) -> str:
-        raw = self.v.raw
-        text = b"".join([raw[i] for i in ids])
+        text = b"".join(map(self.v.raw.__getitem__, ids))
         if self.v.prefix and text[:1] == b" ":
             text = text[1:]
         return text.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec for all tasks of a worker."""
+    return Codec(path)
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 ids = codec.encode([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cols = {c: part.column(c) for c in part.schema.names} | {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
                 yield pa.RecordBatch.from_pydict(cols)
 
@@ -235,9 +241,9 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
-            texts = [codec.decode(v.values.to_numpy()) if v.is_valid else None for v in batch.column("ids")]
+            texts = [codec.decode(v.values.to_pylist()) if v.is_valid else None for v in batch.column("ids")]
             cols = {c: batch.column(c) for c in batch.schema.names} | {"decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 

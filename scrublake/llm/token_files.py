@@ -11,9 +11,8 @@ import hashlib
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from .common import load, materialize
 SAMPLE_DOCS, DICTIONARY_BYTES = 512, 1 << 16
 #: A segment ends at so many documents or bytes of frames, whichever comes first.
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, from task to task.
+REMEMBERED = 1_000_000
 _HEAD = struct.Struct("<4sBB32sI")
 SEGMENT = "part int, place int, ids_before long, n_ids long, doc_ids array<long>, content binary"
 
@@ -52,9 +51,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        """Of each text the ids as bytes, ``width`` for each id."""
+        last = end.to_bytes(self.width, "little")
         words = [t.encode().split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -65,15 +67,18 @@ class WordEncoder:
             for k in range(0, len(new), 4096):
                 some = new[k : k + 4096]
                 found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-                self.known.update(zip(some, (tuple(e.ids) for e in found), strict=True))
+                self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found, strict=True))
             look = self.known.__getitem__
-            for ws in part:
-                ids = array("I", chain.from_iterable(map(look, ws)))
-                ids.append(end)
-                out.append(np.frombuffer(ids, np.uint32).astype("<u2" if self.width == 2 else "<u4"))
+            out += [b"".join(map(look, ws)) + last for ws in part]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def trained_dictionary(samples: list[bytes]) -> bytes:
     """A dictionary from serialized id arrays; where these are too few to train on, their own bytes."""
     try:
@@ -82,23 +87,29 @@ def trained_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
+LEVEL = 3
+
+
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    if not raw:
+        return None
+    dictionary = zstandard.ZstdCompressionDict(raw)
+    dictionary.precompute_compress(level=LEVEL)
+    return dictionary
 
 
 def _frames(path: str, end: int, dictionary: bytes | None):
     """doc_id, n_ids and the frame of each document; without a dictionary, the bare bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary)) if dictionary is not None else None
+        words = encoder(path)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)) if dictionary is not None else None
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                ids = encoder.encode([t or "" for t in part.column("text").to_pylist()], end)
-                raw = [x.tobytes() for x in ids]
+                raw = words.encode([t or "" for t in part.column("text").to_pylist()], end)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([press.compress(r) for r in raw] if press else raw, pa.binary())],
+                    [part.column("doc_id"), pa.array([len(r) // words.width for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw] if press else raw, pa.binary())],
                     ["doc_id", "n_ids", "frame"],
                 )
 
@@ -177,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = 1) -> tupl
     table = materialize(docs.sparkSession.createDataFrame([(hashlib.sha256(raw).hexdigest(), bytearray(raw))], "sha256 string, dictionary binary"), "dictionary")
     frames = materialize(docs.mapInArrow(_frames(path, end, raw), "doc_id long, n_ids long, frame binary"), "frames")
     placed = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_ids", "frame")
-    segments = placed.mapInArrow(_packed(WordEncoder(path).width, hashlib.sha256(raw).digest()), SEGMENT)
+    segments = placed.mapInArrow(_packed(encoder(path).width, hashlib.sha256(raw).digest()), SEGMENT)
     return materialize(segments, "tokens"), table
 
 
