@@ -26,10 +26,19 @@ def _beside(decisions: DataFrame) -> DataFrame:
     return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """Columns that a stage's own would replace get other names meanwhile."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in names})
+
+
+def _restored(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in docs.columns else F.col(c) for c in columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all documents with a language; those without letters, or too uncertain, go."""
-    told = language_id.identify(docs, language_id.train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = language_id.identify(_aside(docs, "lang_pred", "score"), language_id.train(docs))
+    return _restored(told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +49,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages that an earlier document has; documents with nothing left go."""
-    cut = substring_dedup.remove_repeats(docs, window=PASSAGE_WORDS)
+    cut = substring_dedup.remove_repeats(_aside(docs, "owned", "found", "n_words", "n_removed", "kept_sha256"), window=PASSAGE_WORDS)
     cut = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", chars)
-    return cut.select(*docs.columns)
+    return _restored(cut, docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,13 +75,14 @@ def block_quotas(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -
 
 
 def mixed_sources(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0, buckets: int | None = None) -> DataFrame:
-    """Add source_size, target, taken, copies to ``docs`` (doc_id, source, size; further columns stay).
+    """Add source_size, target, taken, copies to ``docs`` (doc_id, source, size; further columns stay, but for those of these names).
 
     ``taken``: the document's words in the mix, repeats counted, MAX_EPOCHS times its size at most. ``copies``: how often the mix
     begins the document, for mixes of whole documents. Documents without words take nothing and have as many copies as
     the place where they stand is passed. A source's documents are summed up in buckets of its ring first, then the
     buckets are, so that no source meets in one task. Null sources are a source; repeated rows count one by one.
     """
+    docs = docs.drop("source_size", "target", "taken", "copies")
     if buckets is None:
         buckets = min(1 << 16, max(256, docs.count() // 64))
     docs = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_key": seeded(F.col("doc_id"), seed)})

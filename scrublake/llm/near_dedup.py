@@ -6,8 +6,9 @@
 3. In each band bucket the smallest id is the pivot; every member is compared with it: first the signatures, then the full sets.
    Buckets whose members are then in different components get further pivots while that pays; in the end the members of different
    components are compared pair by pair, so no candidate is dropped, while a group of near copies costs a few comparisons
-   for each member and not one for each pair. Before that, shingles found in no other such document bound what a document
-   can share; members and pairs that can't reach the threshold by this exact bound need no comparison.
+   for each member and not one for each pair. Before that, counts of the shingles that other such documents have too, in 64 buckets
+   by hash, bound what two documents can share; members and pairs that can't reach the threshold by this exact bound need
+   no comparison.
 4. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
@@ -37,6 +38,8 @@ _B = (splitmix(22, HASHES) >> np.uint64(32)).astype(np.uint32)
 LONG = 1024
 _LONG_A = (splitmix(25, LONG) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _LONG_B = (splitmix(26, LONG) >> np.uint64(32)).astype(np.uint32)
+#: Buckets of shingles, for the bound of what two documents share.
+PARTS = 64
 _M = splitmix(23, ROWS)
 _BAND = splitmix(24, BANDS)
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature array<long>, bands array<long>"
@@ -72,6 +75,11 @@ def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.n
     return best
 
 
+def bands_of(least: np.ndarray) -> np.ndarray:
+    wide = (least.reshape(BANDS, ROWS).astype(np.uint64) * _M).sum(axis=1, dtype=np.uint64)
+    return mixed(wide + _BAND).view(np.int64)
+
+
 def signature(least: np.ndarray) -> np.ndarray:
     """A bit of each minimum, in 64-bit words."""
     bits = np.packbits((least * np.uint32(2654435761)) >> np.uint32(31)).tobytes()
@@ -88,8 +96,7 @@ def _sketches(k: int):
                     m = minima(s)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     signatures.append(signature(m))
-                    wide = (m.reshape(BANDS, ROWS).astype(np.uint64) * _M).sum(axis=1, dtype=np.uint64)
-                    bands.append(mixed(wide + _BAND).view(np.int64))
+                    bands.append(bands_of(m))
                 else:
                     keys.append(None)
                     signatures.append(None)
@@ -129,25 +136,30 @@ def _rows(k: int):
 def _longer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(minima(s, _LONG_A, _LONG_B)) for _, s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "signature"])
+            found = [(signature(minima(s, _LONG_A, _LONG_B)), bands_of(minima(s))) for _, s in shingle_sets(batch.column("text"), k)]
+            arrays = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "signature", "bands"])
 
     return run
 
 
 def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Of the documents ``ids``: n shingles, and how many of them (most) another of these documents may have too; longer signatures."""
+    """Of the documents ``ids``: n shingles, how many of them (most) another of these documents may have too, and these by bucket; and
+    longer signatures, with bands."""
     ids = materialize(ids, "ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     own = docs.join(ids, "doc_id")
-    longer = materialize(own.mapInArrow(_longer(k), "doc_id long, signature array<long>"), "longer")
+    longer = materialize(own.mapInArrow(_longer(k), "doc_id long, signature array<long>, bands array<long>"), "longer")
     rows = own.mapInArrow(_rows(k), "doc_id long, shingle long")
+    part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
     alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_alone"))
-    sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    most = F.col("n") - F.coalesce("_alone", F.lit(0))
-    return materialize(sizes.join(alone, "doc_id", "left").select("doc_id", "n", most.alias("most")), "bounds"), longer
+    signed = rows.select("doc_id", part, F.lit(1).alias("n"), F.lit(1).alias("most")).union(alone.select("doc_id", part, F.lit(0), F.lit(-1)))
+    counts = signed.groupBy("doc_id", "part").agg(F.sum("n").alias("n"), F.sum("most").alias("most"))
+    entries = F.map_from_entries(F.collect_list(F.struct("part", "most")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_e"), i), F.lit(0)).cast("int"))
+    bounds = counts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("most").alias("most"), entries.alias("_e"))
+    return materialize(bounds.select("doc_id", "n", "most", dense.alias("parts")), "bounds"), longer
 
 
 def _alike(percent: int):
@@ -247,10 +259,14 @@ def _open(inside: DataFrame) -> DataFrame:
     return inside.join(keys, "key", "left_semi")
 
 
-def _possible(percent: int) -> Column:
-    """Whether sets of n and _n shingles can reach the threshold, sharing no more than the lesser of most and _most."""
-    shared = F.least("most", "_most", "n", "_n")
-    return F.coalesce(100 * shared >= percent * (F.col("n") + F.col("_n") - shared), F.lit(True))
+def _possible(percent: int, parts: bool = True) -> Column:
+    """Whether sets of n and _n shingles can reach the threshold: in a bucket they share no more than the lesser of their counts there of
+    shingles that several documents have. Without counts they can."""
+    reach = lambda shared: 100 * shared >= percent * (F.col("n") + F.col("_n") - shared)
+    shared = F.least("most", "_most")
+    if parts:
+        shared = F.aggregate(F.zip_with("parts", "_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(reach(shared), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -288,20 +304,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         n_rows, apart = sizes.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_n") - F.col("_own"))).first()
         if turn == TURNS or (apart or 0) <= 2 * PIVOTS * (n_rows or 0):
             break
-        picked = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "doc_id").alias("h"), "doc_id", "component", "n", "most")) for i in range(PIVOTS)]
+        picked = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "doc_id").alias("h"), "doc_id", "component", "n", "most", "parts")) for i in range(PIVOTS)]
         more = inside.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("_p")).select("key", F.inline("_p"))
-        more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+        more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("parts").alias("_parts"))
         stars = inside.join(more, "key").where(F.col("component") != F.col("_c")).where(_possible(percent))
         new = _confirmed(_likely(stars, longer, percent, LONG), docs, shingle, percent)
         links = links.union(new)
         inside = inside.drop("component")
 
-    signed = inside.join(longer, "doc_id").join(alone.select("doc_id", "bands"), "doc_id")
-    one = signed.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_c"), F.col("signature").alias("sig_a"), F.col("bands").alias("_bands"), F.col("n").alias("_n"), F.col("most").alias("_most"))
-    two = signed.select(F.col("key").alias("_key"), F.col("doc_id").alias("b"), "component", F.col("signature").alias("sig_b"), "bands", "n", "most")
+    signed = inside.join(longer, "doc_id")
+    other = {"doc_id": "a", "component": "_c", "signature": "sig_a", "bands": "_bands", "n": "_n", "most": "_most", "parts": "_parts"}
+    one = signed.withColumnsRenamed(other)
+    two = signed.withColumnsRenamed({"key": "_key", "doc_id": "b", "signature": "sig_b"})
     apart = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component"))
     once = F.col("key") == F.array_min(F.array_intersect("bands", "_bands"))  # of the buckets that a pair shares, one compares it
-    rest = one.join(two, apart & _possible(percent) & ~unlike(percent, LONG) & once).select("a", "b").distinct()
+    rest = one.join(two, apart & _possible(percent, parts=False) & ~unlike(percent, LONG) & once & _possible(percent)).select("a", "b").distinct()
     links = links.union(_confirmed(rest, docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together

@@ -27,7 +27,9 @@ from .common import load
 
 MARK = "▁"
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
+#: Pairs of pieces that it remembers.
+REMEMBERED_PAIRS = 300_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -165,7 +167,7 @@ class SharedPrefixViterbi:
         found = self.may_follow.get(pair)
         if found is None:
             found = self.may_follow[pair] = self.merged(left + right) == [p for p in pair if p]
-            if len(self.may_follow) > 2_000_000:
+            if len(self.may_follow) > REMEMBERED_PAIRS:
                 self.may_follow.clear()
         return found
 
@@ -257,21 +259,26 @@ def decode_pieces(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.mapInArrow(_decoded(path or default_model()), f"{fields}, decoded string")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [v.values.to_numpy().astype("<u4") for v in batch.column("ids")]
-        texts = batch.column("decoded").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array([t == (s or "") for t, s in zip(texts, batch.column("text").to_pylist(), strict=True)]),
-            ],
-            ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "same"],
-        )
+def _digests(path: str):
+    """Decoding and digests in one go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(path)
+        for batch in batches:
+            rows = []
+            for v, t in zip(batch.column("ids"), batch.column("text"), strict=True):
+                ids, text = v.values.to_numpy(), t.as_py() or ""
+                decoded = codec.decode(ids.tolist())
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "same"])
+
+    return run
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded and decoded again: doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
     (UTF-8), and whether the decoded text is the text."""
-    both = decode_pieces(encode_pieces(load(spark, sf_dir, "documents").select("doc_id", "text")))
-    return both.mapInArrow(_digests, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean")
+    encoded = encode_pieces(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.mapInArrow(_digests(default_model()), "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean")

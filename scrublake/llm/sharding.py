@@ -37,15 +37,20 @@ def _f(half: Column, key: int) -> Column:
     return F.shiftrightunsigned((t % F.lit(1 << 31)) * F.lit(MULT) + F.lit(key), 16)
 
 
+def _left(key: int, a: int):
+    return lambda s: F.struct(((s["l"] + _f(s["r"], key)) % F.lit(a)).alias("l"), s["r"].alias("r"))
+
+
+def _right(key: int, b: int):
+    return lambda s: F.struct(s["l"].alias("l"), ((s["r"] + _f(s["l"], key)) % F.lit(b)).alias("r"))
+
+
 def _once(x: Column, n: int, seed: int) -> Column:
     """One pass over [0, a * b): halves take turns, each moved by a hash of the other."""
     a, b = halves(n)
     state = F.struct(((x - x % F.lit(b)) / F.lit(b)).cast("long").alias("l"), (x % F.lit(b)).alias("r"))
     for i, key in enumerate(round_keys(seed)):
-        if i % 2 == 0:
-            state = F.transform(F.array(state), lambda s, k=key: F.struct(((s["l"] + _f(s["r"], k)) % F.lit(a)).alias("l"), s["r"].alias("r")))[0]
-        else:
-            state = F.transform(F.array(state), lambda s, k=key: F.struct(s["l"].alias("l"), ((s["r"] + _f(s["l"], k)) % F.lit(b)).alias("r")))[0]
+        state = F.transform(F.array(state), _left(key, a) if i % 2 == 0 else _right(key, b))[0]
     return F.transform(F.array(state), lambda s: s["l"] * F.lit(b) + s["r"])[0]
 
 

@@ -83,7 +83,7 @@ def trained_dictionary(samples: list[bytes]) -> bytes:
     """A dictionary from serialized id arrays; where these are too few to train on, their own bytes."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
