@@ -68,8 +68,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_pieces, and whether decoding gives the text again."""
-    both = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text")))
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("same"))
+    out = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", "ids", "n_pieces", "same")
 
 
 STAGES = [

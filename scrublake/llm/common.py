@@ -80,6 +80,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# ---------------------------------------------------------------- what a worker keeps
+
+_KEPT: dict = {}
+
+
+def kept_by_worker(key, make):
+    """What ``make`` gives, kept from task to task; only one such thing at a time, so that memories of several operators don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 # ---------------------------------------------------------------- hashing of words, vectorised
 
 

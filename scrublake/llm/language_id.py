@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import kept_by_worker, load
 
 #: The model is fitted on about so many labelled documents of each language, those of the smallest hashes of doc_id; a bound that
 #: doesn't depend on the corpus. It keeps the most frequent words and n-grams of each length, for each language.
@@ -114,15 +114,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """One scorer for all tasks of a worker."""
-    if model.uid not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.uid] = Scorer(model)
-    return _SCORERS[model.uid]
+    return kept_by_worker(("language", model.uid), lambda: Scorer(model))
 
 
 def held_out(doc_id: Column) -> Column:

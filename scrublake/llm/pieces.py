@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,13 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load
+from .common import kept_by_worker, load
 
 MARK = "▁"
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Pairs of pieces that it remembers.
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 200_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -213,10 +212,9 @@ class Codec:
         return text.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def codec_of(path: str) -> Codec:
     """One codec for all tasks of a worker."""
-    return Codec(path)
+    return kept_by_worker(("pieces", path), lambda: Codec(path))
 
 
 def _encoded(path: str):
@@ -259,26 +257,39 @@ def decode_pieces(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.mapInArrow(_decoded(path or default_model()), f"{fields}, decoded string")
 
 
-def _digests(path: str):
-    """Decoding and digests in one go."""
+_CHECKED = ("n_pieces", "ids_crc32", "decoded_crc32", "same")
 
+
+def _round_trips(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            rows = []
-            for v, t in zip(batch.column("ids"), batch.column("text"), strict=True):
-                ids, text = v.values.to_numpy(), t.as_py() or ""
-                decoded = codec.decode(ids.tolist())
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "same"])
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                every = codec.encode(texts)
+                rows = []
+                for text, ids in zip(texts, every, strict=True):
+                    decoded = codec.decode(ids.tolist())
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == text))
+                cols = {c: part.column(c) for c in part.schema.names if c != "text"}
+                cols |= {n: pa.array(c, t) for n, c, t in zip(_CHECKED, list(zip(*rows, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)}
+                if with_ids:
+                    cols["ids"] = pa.array(every, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Encode and decode in one go: ``docs`` without text, with n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
+    (UTF-8), whether the decoded text is the text, and the ids. Columns of these names are replaced."""
+    docs = docs.drop(*_CHECKED, "ids")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    out = f"{fields}, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean" + ", ids array<int>" * with_ids
+    return docs.mapInArrow(_round_trips(path or default_model(), with_ids), out)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, encoded and decoded again: doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
-    (UTF-8), and whether the decoded text is the text."""
-    encoded = encode_pieces(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return encoded.mapInArrow(_digests(default_model()), "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean")
+    """All documents, encoded and decoded again."""
+    return round_trip(load(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)

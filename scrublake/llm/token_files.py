@@ -12,7 +12,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import kept_by_worker, load, materialize
 
 #: The dictionary is trained on so many documents, those of the smallest hashes of doc_id; a bound of its own, whatever the corpus.
 SAMPLE_DOCS, DICTIONARY_BYTES = 512, 1 << 16
@@ -73,10 +72,9 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker."""
-    return WordEncoder(path)
+    return kept_by_worker(("tokens", path), lambda: WordEncoder(path))
 
 
 def trained_dictionary(samples: list[bytes]) -> bytes:

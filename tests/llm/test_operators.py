@@ -145,7 +145,10 @@ def test_pieces_equal_the_library(docs, empty):
     for r in got:
         assert r.ids == sp.encode(r.text or "") and r.decoded == sp.decode(r.ids)
         assert r.decoded == (r.text or "").replace("▁", " ")
-    assert len(got) == docs.count() and pieces.encode_pieces(empty).count() == 0
+    assert len(got) == docs.count() and pieces.encode_pieces(empty).count() == 0 and pieces.round_trip(empty).count() == 0
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    both = Counter((r.doc_id, r.n_pieces, r.ids_crc32, r.decoded_crc32, r.same) for r in pieces.round_trip(docs).collect())
+    assert both == Counter((r.doc_id, len(r.ids), crc(r.ids), zlib.crc32(r.decoded.encode()), r.decoded == (r.text or "")) for r in got)
 
 
 def test_unigram_is_the_best_sum():
