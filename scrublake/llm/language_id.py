@@ -20,7 +20,7 @@ SAMPLE_DOCS = 2000
 KEPT = 12_000
 LONGEST = 4
 #: Words whose scores a worker remembers, from task to task.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Evidence in a document counts as that of so many words at most, so that the score stays short of certainty.
 EVIDENCE = 12.0
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
@@ -51,8 +51,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "gram", "count"])
 
 
+def centred(scores: np.ndarray) -> np.ndarray:
+    return scores - scores.mean()
+
+
 class Model:
-    """Log frequencies of words and n-grams, a row of scores for each, a column for each language."""
+    """Log frequencies of words and n-grams, less their mean over languages: a row for each, a column for each language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]) -> None:
         self.uid = uuid.uuid4().hex
@@ -65,20 +69,20 @@ class Model:
         for table in counts:
             total = sum(table.values(), np.zeros(len(at)))
             floor = np.log(0.5 / (total + 1))
-            self.tables.append({g: (np.maximum(np.log(np.maximum(c, 0.5)) - np.log(total + 1), floor)).astype(np.float64) for g, c in table.items()})
+            self.tables.append({g: centred(np.maximum(np.log(np.maximum(c, 0.5)) - np.log(total + 1), floor)) for g, c in table.items()})
 
     def word(self, w: str) -> np.ndarray:
         """Scores of a word: its own if known, else of its longest n-grams, and of shorter ones inside those that are unseen too."""
         known = self.tables[0].get(w)
         if known is not None:
-            return known - known.mean()
-        total, parts = np.zeros(len(self.languages)), 0
+            return known
+        total, parts, tables = np.zeros(len(self.languages)), 0, self.tables
         todo = [(g, LONGEST) for g in grams(w, LONGEST)] or [(f" {w} ", len(w) + 2)]
         while todo:
             g, n = todo.pop()
-            found = self.tables[n].get(g) if n <= LONGEST else None
+            found = tables[n].get(g) if n <= LONGEST else None
             if found is not None:
-                total += found - found.mean()
+                total += found
                 parts += 1
             elif n > 1:
                 todo += [(g[:-1], n - 1), (g[1:], n - 1)]
