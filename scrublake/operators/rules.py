@@ -48,18 +48,19 @@ class Rule:
     check: str | None = None  # a validator in scan.py
     unseen: str | None = None  # "value": no accepted detection has this text; "look": nor one that looks like it
     raised: float | None = None  # confidence in the context of an identity document
+    needs: str | None = None  # a quick pattern that every match holds
 
 
 STRICT = (
-    Rule("R1", "EMAIL", EMAIL, 0.97, covered=False, check="domain"),
-    Rule("R2", "NATIONAL_ID", SSN, 0.95, covered=False),
-    Rule("R3", "CREDIT_CARD", CARD, 0.96, covered=False, check="luhn"),
-    Rule("R4", "CREDIT_CARD", CARD_GROUPED, 0.95, check="luhn"),
-    Rule("R5", "NATIONAL_ID", ID12, 0.62, check="id", raised=0.94),
-    Rule("R6", "PHONE", PHONE, 0.90, check="phone"),
-    Rule("R7a", "PHONE", PHONE_344, 0.88),
-    Rule("R7b", "PHONE", PHONE_55, 0.88),
-    Rule("R8", "ACCOUNT_NUM", ACCOUNT, 0.85, check="account", unseen="value"),
+    Rule("R1", "EMAIL", EMAIL, 0.97, covered=False, check="domain", needs="@"),
+    Rule("R2", "NATIONAL_ID", SSN, 0.95, covered=False, needs="[0-9]-[0-9]{2}-[0-9]{4}"),
+    Rule("R3", "CREDIT_CARD", CARD, 0.96, covered=False, check="luhn", needs="[0-9]{13}"),
+    Rule("R4", "CREDIT_CARD", CARD_GROUPED, 0.95, check="luhn", needs="(?:[0-9][ -]?){12}[0-9]"),
+    Rule("R5", "NATIONAL_ID", ID12, 0.62, check="id", raised=0.94, needs=rf"[0-9]{{4}}{WS}?[0-9]{{4}}{WS}?[0-9]{{4}}"),
+    Rule("R6", "PHONE", PHONE, 0.90, check="phone", needs=rf"[0-9]{{3}}\)?{SEP}?[0-9]{{3}}{SEP}?[0-9]{{4}}"),
+    Rule("R7a", "PHONE", PHONE_344, 0.88, needs=rf"[0-9]{{3}}{SEP}[0-9]{{4}}{SEP}[0-9]{{4}}"),
+    Rule("R7b", "PHONE", PHONE_55, 0.88, needs=rf"[0-9]{{5}}{SEP}[0-9]{{5}}"),
+    Rule("R8", "ACCOUNT_NUM", ACCOUNT, 0.85, check="account", unseen="value", needs="[0-9]{9}"),
 )
 LENIENT = (
     Rule("R9", "CREDIT_CARD", LOOSE_CARD, 0.72, check="luhn", unseen="look"),

@@ -18,15 +18,26 @@ SUMMARY_WORDS = ("summar", "brief", "overview")
 AUDIT_WORDS = ("audit", "secur", "privacy", "check")
 
 
-def _numbered(text: Column, pattern: str, label: str, before: Column, spared: tuple[str, ...] = ()) -> tuple[Column, Column]:
-    """The text with matches replaced by numbered labels, counting on from ``before``; and the matches replaced."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
+# What every match of a step holds; looked for first, as most texts hold none.
+CHEAP = {"EMAIL": "@", "PHONE": "[0-9]{3}", "SECRET": "(?i)key|secret|token|bearer|auth", "IP": r"[0-9]\.[0-9]"}
+
+
+def _found(df: DataFrame, name: str, label: str, pattern: str, group: int = 0) -> DataFrame:
+    """The matches in _t as a column of their own, so that they are looked for once."""
+    none = F.array().cast("array<string>")
+    return df.withColumn(name, F.when(F.col("_t").rlike(CHEAP[label]), F.regexp_extract_all("_t", F.lit(pattern), F.lit(group))).otherwise(none))
+
+
+def _numbered(df: DataFrame, name: str, label: str, pattern: str, before: Column, spared: tuple[str, ...] = ()) -> DataFrame:
+    """Matches become numbered labels, counting on from ``before``; ``name`` has the matches that did."""
+    df = _found(df, name, label, pattern)
     keep = lambda v: ~v.isin(list(spared)) if spared else F.lit(True)
-    number = lambda i: before + F.size(F.filter(F.slice(found, F.lit(1), i + 1), keep))
-    put = F.transform(found, lambda v, i: F.when(keep(v), F.concat(F.lit(f"[REDACTED_{label}_"), number(i).cast("string"), F.lit("]"))).otherwise(v))
-    out = F.concat(parts[0], F.array_join(F.zip_with(put, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
-    return out, F.filter(found, keep)
+    number = lambda i: before + F.size(F.filter(F.slice(F.col(name), F.lit(1), i + 1), keep))
+    put = F.transform(name, lambda v, i: F.when(keep(v), F.concat(F.lit(f"[REDACTED_{label}_"), number(i).cast("string"), F.lit("]"))).otherwise(v))
+    gaps = F.split("_t", pattern, -1)
+    out = F.array_join(F.flatten(F.zip_with(gaps, put, lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
+    df = df.withColumn("_t", F.when(F.size(name) > 0, out).otherwise(F.col("_t")))
+    return df.withColumn(name, F.filter(name, keep)) if spared else df
 
 
 def sanitize(df: DataFrame, text: str = "text") -> DataFrame:
@@ -37,19 +48,16 @@ def sanitize(df: DataFrame, text: str = "text") -> DataFrame:
     """
     names = ["_0", "_1", "_2", "_3"]
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    out, mails = _numbered(F.col("_t"), EMAIL, "EMAIL", F.lit(0))
-    df = df.withColumns({"_t": out, "_0": mails})
-    out, phones = _numbered(F.col("_t"), PHONE, "PHONE", F.size("_0"))
-    df = df.withColumns({"_t": out, "_1": phones})
-    secrets = F.regexp_extract_all("_t", F.lit(SECRET), F.lit(2))
-    df = df.withColumns({"_t": F.regexp_replace("_t", SECRET, "$1[REDACTED_SECRET_KEY]$3"), "_2": secrets})
-    out, ips = _numbered(F.col("_t"), IP, "IP", F.size("_0") + F.size("_1") + F.size("_2"), LOCAL)
-    df = df.withColumns({"sanitized": out, "_3": ips})
+    df = _numbered(df, "_0", "EMAIL", EMAIL, F.lit(0))
+    df = _numbered(df, "_1", "PHONE", PHONE, F.size("_0"))
+    df = _found(df, "_2", "SECRET", SECRET, 2)
+    df = df.withColumn("_t", F.when(F.size("_2") > 0, F.regexp_replace("_t", SECRET, "$1[REDACTED_SECRET_KEY]$3")).otherwise(F.col("_t")))
+    df = _numbered(df, "_3", "IP", IP, F.size("_0") + F.size("_1") + F.size("_2"), LOCAL)
     every = F.concat(
         F.transform("_0", lambda v: F.concat(F.lit("Email ("), F.element_at(F.split(v, "@"), 2), F.lit(")"))), F.transform("_1", lambda v: F.lit("Phone Number")),
         F.transform("_2", lambda v: F.lit("Secret / API Key")), F.transform("_3", lambda v: F.lit("IP Address")),
     )
-    return df.withColumns({"all_entities": every, "entities": F.array_distinct(every), "masked_count": sum(F.size(n) for n in names)}).drop("_t", *names)
+    return df.withColumns({"sanitized": F.col("_t"), "all_entities": every, "entities": F.array_distinct(every), "masked_count": sum(F.size(n) for n in names)}).drop("_t", *names)
 
 
 def summary(title: Column) -> Column:

@@ -37,6 +37,8 @@ def _valid(rule: R.Rule, text: Column, m: Column) -> Column:
 
 def _candidates(rule: R.Rule, text: Column) -> Column:
     found = matches(text, rule.pattern)
+    if rule.needs:
+        found = F.when(text.rlike(rule.needs), found).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
     if rule.check:
         found = F.filter(found, lambda m: _valid(rule, text, m))
 

@@ -74,6 +74,11 @@ PREFILTER = {
 
 
 def prefilter(text: Column) -> Column:
+    """Names of the patterns that the text holds; all of these hold an at sign or three digits together."""
+    return F.when(~F.contains(text, F.lit("@")) & ~text.rlike("[0-9]{3}"), F.array().cast("array<string>")).otherwise(_named(text))
+
+
+def _named(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in PREFILTER.items())))
 
 
@@ -83,7 +88,8 @@ _PRE = ", ".join(f"CASE WHEN regexp_matches(text, {O.pattern(p)}) THEN '{n}' END
 @query(f"SELECT doc_id, array_to_string(list_filter([{_PRE}], lambda x: x IS NOT NULL), ',') patterns FROM ({_DOCS}) WHERE len(list_filter([{_PRE}], lambda x: x IS NOT NULL)) > 0")
 def static_prefilter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.sql(X.texts_sql(X.TEXTS)).select(F.col("doc_id").cast("long"), "text"))
-    return docs.select("doc_id", F.array_join(prefilter(F.col("text")), ",").alias("patterns")).where("patterns <> ''")
+    may = F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]{3}")
+    return docs.where(may).select("doc_id", F.array_join(_named(F.col("text")), ",").alias("patterns")).where("patterns <> ''")
 
 
 @query("SELECT doc_id, md5(translate(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), 'oilzsbgau', '111258940')) fingerprint FROM documents WHERE text IS NOT NULL")
