@@ -12,6 +12,7 @@ exactly one piece ending at a place may follow the encoding of what is before it
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,14 +20,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import kept_by_worker, load
 
 MARK = "▁"
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pairs of pieces that it remembers.
 REMEMBERED_PAIRS = 200_000
 UNIGRAM, BPE = 1, 2
@@ -86,11 +86,14 @@ class Vocabulary:
         self.unknown = sp.unk_id()
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
         raw = {i: sp.id_to_piece(i).replace(MARK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.bytes.items()}
-        self.raw = [raw.get(i, b" \xe2\x81\x87 " if i == self.unknown else b"") for i in ids]
+        spelt = [raw.get(i, b" \xe2\x81\x87 " if i == self.unknown else b"") for i in ids]
+        self.raw = np.frombuffer(b"".join(spelt), np.uint8)
+        self.raw_size = np.array([len(x) for x in spelt], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
-        cut = f"[{regex.escape(alone)}]|" if alone else ""
-        self.word = regex.compile(f"{cut}{MARK}*[^{MARK}{regex.escape(alone)}]+|{MARK}+")
+        cut = f"[{re.escape(alone)}]|" if alone else ""
+        self.word = re.compile(f"{cut}{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over a word's end")
 
@@ -117,16 +120,14 @@ class SharedPrefixViterbi:
         self.may_follow: dict[tuple[str, str], bool] = {}
 
     def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
-        step = self._bpe_step if self.v.kind == BPE else self._unigram_step
-        before, state, back, out = "", [0.0], [0], []
-        last: list[str] = [""]
+        step = self._bpe_steps if self.v.kind == BPE else self._unigram_steps
+        before, state, back, last, out = "", [0.0], [0], [""], []
         for w in words:
             k, top = 0, min(len(before), len(w))
             while k < top and before[k] == w[k]:
                 k += 1
             del state[k + 1 :], back[k + 1 :], last[k + 1 :]
-            for i in range(k + 1, len(w) + 1):
-                step(w, i, state, back, last)
+            step(w, k + 1, state, back, last)
             ids: list[tuple[int, ...]] = []
             i = len(w)
             while i:
@@ -136,39 +137,40 @@ class SharedPrefixViterbi:
             before = w
         return out
 
-    def _unigram_step(self, w: str, i: int, state: list, back: list, last: list) -> None:
-        best, at = None, i - 1
-        for j in range(max(0, i - self.v.longest), i):
-            s = self.v.scores.get(w[j:i])
-            if s is None:
-                if j < i - 1:
-                    continue
-                s = self.v.unknown_score
-            if best is None or state[j] + s > best:
-                best, at = state[j] + s, j
-        state.append(best)
-        back.append(at)
-        last.append("")
-
-    def _bpe_step(self, w: str, i: int, state: list, back: list, last: list) -> None:
-        scores = self.v.scores
-        for j in range(max(0, i - self.v.longest), i):
-            piece = w[j:i]
-            if (piece in scores or j == i - 1) and self._follows(last[j], piece):
-                state.append(0.0)
-                back.append(j)
-                last.append(piece)
-                return
-        raise ValueError("no encoding")
-
-    def _follows(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        found = self.may_follow.get(pair)
-        if found is None:
-            found = self.may_follow[pair] = self.merged(left + right) == [p for p in pair if p]
-            if len(self.may_follow) > REMEMBERED_PAIRS:
-                self.may_follow.clear()
-        return found
+    def _unigram_steps(self, w: str, start: int, state: list, back: list, last: list) -> None:
+        """Best sums of the prefixes from ``start`` characters on."""
+        for i in range(start, len(w) + 1):
+            best, at = None, i - 1
+            for j in range(max(0, i - self.v.longest), i):
+                s = self.v.scores.get(w[j:i])
+                if s is None:
+                    if j < i - 1:
+                        continue
+                    s = self.v.unknown_score
+                if best is None or state[j] + s > best:
+                    best, at = state[j] + s, j
+            state.append(best)
+            back.append(at)
+
+    def _bpe_steps(self, w: str, start: int, state: list, back: list, last: list) -> None:
+        """Last pieces of the prefixes from ``start`` characters on."""
+        known, follows, longest = self.v.ids, self.may_follow, self.v.longest
+        for i in range(start, len(w) + 1):
+            for j in range(i - longest if i > longest else 0, i):
+                piece = w[j:i]
+                if piece in known or j == i - 1:
+                    left = last[j]
+                    yes = follows.get((left, piece))
+                    if yes is None:
+                        if len(follows) > REMEMBERED_PAIRS:
+                            follows.clear()
+                        yes = follows[left, piece] = self.merged(left + piece) == ([left, piece] if left else [piece])
+                    if yes:
+                        back.append(j)
+                        last.append(piece)
+                        break
+            else:
+                raise ValueError("no encoding")
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored neighbours merge first, the left ones of equals."""
@@ -191,22 +193,47 @@ class Codec:
         self.v = Vocabulary(path)
         self.viterbi = SharedPrefixViterbi(self.v)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.plain = self.v.identity and self.v.prefix
+
+    def _cut(self, text: str) -> list[str]:
+        """Parts that are encoded by themselves: words, each with a mark to come in front; with runs of spaces, marked words as they are."""
+        if self.plain and "  " not in text and text[:1] != " " and text[-1:] != " ":
+            return text.split(" ") if text else []
+        return [self.WHOLE + w for w in self.v.word.findall(self.v.marked(text))]
+
+    #: In front of parts that are marked already; no text holds it, as it is no character.
+    WHOLE = "\ud800"
+
+    def _marked(self, part: str) -> list[str]:
+        return [part[1:]] if part[0] == self.WHOLE else self.v.word.findall(MARK + part)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        find = self.v.word.findall
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         out = []
         for at in range(0, len(texts), 256):
-            words = [find(self.v.marked(t)) for t in texts[at : at + 256]]
-            new = sorted(set(chain.from_iterable(words)).difference(self.known))
-            self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.viterbi.encode_sorted(new), strict=True))
+            parts = [self._cut(t) for t in texts[at : at + 256]]
+            if len(self.known) > REMEMBERED:  # what is still in use moves on to the next memory
+                self.before, self.known = self.known, {}
+            new = set(chain.from_iterable(parts)).difference(self.known)
+            if self.before:
+                again = new.intersection(self.before)
+                self.known.update((w, self.before[w]) for w in again)
+                new -= again
+            if new:
+                words = {p: self._marked(p) for p in new}
+                distinct = sorted(set(chain.from_iterable(words.values())))
+                ids = dict(zip(distinct, (array("i", x).tobytes() for x in self.viterbi.encode_sorted(distinct)), strict=True))
+                self.known.update((p, ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))) for p, ws in words.items())
             look = self.known.__getitem__
-            out += [np.frombuffer(b"".join(map(look, ws)), np.int32) for ws in words]
+            out += [np.frombuffer(b"".join(map(look, ps)), np.int32) for ps in parts]
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.v.raw.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        size = self.v.raw_size[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.v.raw_start[ids] - end + size, size)
+        text = self.v.raw[at + np.arange(len(at))].tobytes()
         if self.v.prefix and text[:1] == b" ":
             text = text[1:]
         return text.decode("utf-8", "replace")
@@ -243,7 +270,7 @@ def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in batches:
-            texts = [codec.decode(v.values.to_pylist()) if v.is_valid else None for v in batch.column("ids")]
+            texts = [codec.decode(v.values.to_numpy()) if v.is_valid else None for v in batch.column("ids")]
             cols = {c: batch.column(c) for c in batch.schema.names} | {"decoded": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
@@ -270,7 +297,7 @@ def _round_trips(path: str, with_ids: bool):
                 every = codec.encode(texts)
                 rows = []
                 for text, ids in zip(texts, every, strict=True):
-                    decoded = codec.decode(ids.tolist())
+                    decoded = codec.decode(ids)
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == text))
                 cols = {c: part.column(c) for c in part.schema.names if c != "text"}
                 cols |= {n: pa.array(c, t) for n, c, t in zip(_CHECKED, list(zip(*rows, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)}
