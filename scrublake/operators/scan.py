@@ -88,7 +88,8 @@ def scan_text(df: DataFrame, text: str = "text", base: Column | None = None, len
     t = F.col(text)
     own = [c for c in df.columns if c != text]
     found = df.where(may_match(t, lenient)).select(*own, t.alias("_text"), detections_in(t, lenient).alias("_found"))
-    rows = found.select(*own, "_text", F.posexplode("_found").alias("det_no", "_d"))
+    # outer, as the filter that Spark infers for a plain explode would run the rules twice more
+    rows = found.select(*own, "_text", F.posexplode_outer("_found").alias("det_no", "_d")).where("det_no is not null")
     name = F.concat_ws("-", *([base] if base is not None else []), F.lower("_d.type"), F.col("det_no").cast("string"))
     return rows.select(
         *own, "det_no", name.alias("id"), F.col("_d.type").alias("type"), F.col("_d.value").alias("value"), F.col("_d.start").alias("start"), F.col("_d.end").alias("end"),
