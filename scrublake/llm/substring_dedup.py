@@ -12,7 +12,7 @@ maximal runs of windows of one anchor, and the corpus is sharded by anchor; a wi
    the matching statistic reaches W, the window goes. Then its own reference spans extend the automaton. A shard of many
    segments is dealt over several tasks, each with all of its reference spans.
 
-Hashes of words have 64 bits. Counts are partial before any exchange, so copies of a passage don't meet in one task.
+Hashes of words have 64 bits, of which segments carry 32: windows are told apart by 13 of these. Counts are partial before any exchange, so copies of a passage don't meet in one task.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def _pieces(window: int):
                     own = anchor[a:b].view(np.int64)
                     for j in a + np.flatnonzero(np.isin(own, np.array(listed[row + i], np.int64))):
                         s, e = int(start[j]), int(start[j] + n[j]) + window - 1
-                        rows.add((int(own[j - a]), int(content[j : j + 1].view(np.int64)[0]), words[s:e].tobytes(), ids[row + i]))
+                        rows.add((int(own[j - a]), int(content[j : j + 1].view(np.int64)[0]), words[s:e].astype(np.uint32).tobytes(), ids[row + i]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
@@ -178,8 +178,8 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("words").to_pylist()
-            lengths = np.array([len(r) // 8 for r in raw], np.int64)
-            words = np.frombuffer(b"".join(raw), np.uint64)
+            lengths = np.array([len(r) // 4 for r in raw], np.int64)
+            words = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
             begin = np.cumsum(lengths) - lengths
             row = np.repeat(np.arange(len(raw)), lengths)
             at = np.arange(len(words)) - begin[row]
@@ -218,7 +218,7 @@ class _Shard:
             for span in self.waiting:
                 self.automaton.add(span)
             self.waiting, self.owner = [], owner
-        symbols = np.frombuffer(raw, np.int64).tolist()
+        symbols = np.frombuffer(raw, np.uint32).tolist()
         if places:
             self.waiting += [symbols[a:b] for a, b in spans_of(places, self.window)]
         if not own:
