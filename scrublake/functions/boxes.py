@@ -82,3 +82,25 @@ def read_scale(asked: Column, width: Column, height: Column, edge: float = 2800.
     """The scale at which an image is read: the one asked for, or such that its longer side fits, between 0.5 and 4."""
     fit = F.lit(edge) / F.greatest(width, height)
     return clamped(F.coalesce(asked, fit), 0.5, F.lit(4.0))
+
+
+def percent_of(b: Column, width: Column, height: Column) -> Column:
+    """A box in hundredths of a viewport."""
+    return box(b["left"] / width * 100, b["top"] / height * 100, b["width"] / width * 100, b["height"] / height * 100)
+
+
+def scaled(b: Column, sx: Column, sy: Column, dx: Column | None = None, dy: Column | None = None) -> Column:
+    """An image's box in the viewport's pixels: corner and size are scaled and rounded one by one, the corner after moving it."""
+    zero = F.lit(0.0)
+    left, top = half_up(b["left"] * sx + (dx if dx is not None else zero)), half_up(b["top"] * sy + (dy if dy is not None else zero))
+    return box(left, top, half_up(b["width"] * sx), half_up(b["height"] * sy))
+
+
+def at_least(b: Column, side: float) -> Column:
+    """Whether a box is ``side`` pixels wide and high."""
+    return (b["width"] >= side) & (b["height"] >= side)
+
+
+def viewport(width: Column, height: Column, ratio: Column) -> Column:
+    """A viewport's size and pixel ratio, with fallbacks for what isn't known."""
+    return F.struct(F.coalesce(width, F.lit(1280.0)).alias("width"), F.coalesce(height, F.lit(800.0)).alias("height"), F.coalesce(F.nullif(ratio, F.lit(0.0)), F.lit(1.0)).alias("device_pixel_ratio"))

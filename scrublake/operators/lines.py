@@ -115,3 +115,14 @@ def stretch(pixels: DataFrame, key: str) -> DataFrame:
     scale = 255.0 / F.greatest(F.col("high") - F.col("low"), F.lit(1))
     out = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v") - F.col("low")) * scale))
     return c.join(cut, key).select(key, "low", "high", "v", out.alias("stretched"), "n")
+
+
+def search_words(words: DataFrame, wanted: str) -> DataFrame:
+    """Words that hold ``wanted``, case and outer blanks aside; a blank wish takes all."""
+    wanted = wanted.strip().lower()
+    return words.where(F.contains(F.lower("text"), F.lit(wanted))) if wanted else words
+
+
+def mean_confidence(crops: DataFrame, *by: str) -> DataFrame:
+    """The mean of the confidences of crops that were read, 0 if none was; and how many were."""
+    return crops.groupBy(*by).agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"), F.count("confidence").alias("n_crops"))

@@ -90,3 +90,31 @@ def run_model(frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] |
                 yield model(batch)
 
     return frames.mapInPandas(run, schema)
+
+
+def face_regions(frames: DataFrame, elements: DataFrame, tile: float = 384.0, overlap: float = 0.25) -> DataFrame:
+    """Where faces are looked for, in this order: likely elements, tiles, the whole frame: frame_id, pass_no, region_no, bbox.
+
+    ``elements`` have frame_id and what ``face_candidates`` looks at.
+    """
+    crops = face_candidates(elements, "frame_id").select("frame_id", F.lit(0).alias("pass_no"), F.col("el_idx").alias("region_no"), F.col("bbox").cast("struct<left:double,top:double,width:double,height:double>").alias("bbox"))
+    grid = tiles(frames, tile, overlap).select("frame_id", F.lit(1).alias("pass_no"), F.col("tile_no").alias("region_no"), "bbox")
+    whole = frames.select("frame_id", F.lit(2).alias("pass_no"), F.lit(0).alias("region_no"), box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")).alias("bbox"))
+    return crops.unionByName(grid).unionByName(whole).where((F.col("bbox.width") > 0) & (F.col("bbox.height") > 0))
+
+
+def counts_by_label(detections: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """Faces and other objects of each frame."""
+    return detections.groupBy(frame).agg(F.count_if(F.col("label") == "face").alias("n_faces"), F.count_if(F.col("label") != "face").alias("n_objects"))
+
+
+def tensors(images: DataFrame) -> DataFrame:
+    """Square images (frame_id, size, rgba: bytes) as planes of red, green and blue in [0, 1]: frame_id, tensor."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(np.frombuffer(b, np.uint8).reshape(n * n, 4)[:, :3].T / np.float32(255)).astype(np.float32).ravel() for b, n in zip(batch["rgba"], batch["size"], strict=True)]
+            yield pd.DataFrame({"frame_id": batch["frame_id"], "tensor": made})
+
+    return images.select("frame_id", "size", "rgba").mapInPandas(run, "frame_id long, tensor array<float>")

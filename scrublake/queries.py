@@ -542,3 +542,68 @@ def changelog(spark, sf_dir):
 @query("SELECT count(*)::BIGINT n_files, sum(strlen(coalesce(text, '')))::BIGINT total_bytes FROM documents")
 def total_bytes(spark, sf_dir):
     return _files(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes"))
+
+
+# ---------------------------------------------------------------- more of boxes, words and tabs
+
+
+@query(
+    f"WITH x AS ({_BOXES}) SELECT frame_id, box_no, l / 800 * 100 \"left\", t / 600 * 100 top, w / 800 * 100 width, h / 600 * 100 height FROM x WHERE w >= 80 AND h >= 16"
+)
+def percent_boxes(spark, sf_dir):
+    b = _boxes(spark, sf_dir).where(G.at_least(F.col("bbox"), 16.0) & (F.col("bbox.width") >= 80))
+    return b.select("frame_id", "box_no", G.percent_of(F.col("bbox"), F.lit(800.0), F.lit(600.0)).alias("v")).select("frame_id", "box_no", "v.*")
+
+
+@query(
+    f"WITH x AS ({_BOXES}) SELECT frame_id, box_no, floor(l * 0.37::DOUBLE + 3.5 + 0.5) \"left\", floor(t * 0.41::DOUBLE - 2.25 + 0.5) top, floor(w * 0.37::DOUBLE + 0.5) width, floor(h * 0.41::DOUBLE + 0.5) height FROM x"
+)
+def scaled_boxes(spark, sf_dir):
+    v = G.scaled(F.col("bbox"), F.lit(0.37), F.lit(0.41), F.lit(3.5), F.lit(-2.25))
+    return _boxes(spark, sf_dir).select("frame_id", "box_no", v.alias("v")).select("frame_id", "box_no", "v.*")
+
+
+@query("SELECT l_orderkey, coalesce(avg(l_quantity) FILTER (l_quantity > 20), 0.0::DOUBLE) mean_confidence, count(*) FILTER (l_quantity > 20)::BIGINT n_crops FROM lineitem GROUP BY l_orderkey")
+def crop_confidence(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 20, F.col("l_quantity")).alias("confidence"))
+    return lines.mean_confidence(c, "l_orderkey")
+
+
+@query(
+    f"WITH w AS (SELECT conv_id * 1000 + turn frame_id, unnest(range(0, len({_WORDS}))) token_no, unnest({_WORDS}) text FROM conversations WHERE text IS NOT NULL) SELECT frame_id, token_no, text FROM w WHERE contains(lower(text), 'th')"
+)
+def word_search(spark, sf_dir):
+    return lines.search_words(_grid(spark, sf_dir), " Th ").select("frame_id", "token_no", "text")
+
+
+@query("SELECT frame_id, count(*) FILTER (kind = 'A')::BIGINT n_faces, count(*) FILTER (kind <> 'A')::BIGINT n_objects FROM (" + _BOXES + ") GROUP BY frame_id")
+def label_counts(spark, sf_dir):
+    b = _boxes(spark, sf_dir).withColumn("label", F.when(F.col("kind") == "A", "face").otherwise("card"))
+    return vision.counts_by_label(b)
+
+
+@query("SELECT page_id tab_id, url, coalesce(CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END, 'tab ' || page_id) title, CASE WHEN page_id % 2 = 0 THEN page_id % 5 END n FROM pages")
+def tab_overlay(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    name = lambda x: F.concat(F.lit(x), F.col("page_id").cast("string"))
+    tabs = p.select(F.col("page_id").alias("tab_id"), "url", name("tab ").alias("title"))
+    said = p.where("page_id % 2 = 0").select(F.col("page_id").alias("tab_id"), name("page ").alias("title"), (F.col("page_id") % 5).alias("n"))
+    return pages.overlaid(tabs, said)
+
+
+@query(
+    f"WITH f AS ({_FILES}) SELECT '| `' || rel || '` | ' || CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(size / 1048576.0 * 100 + 0.5) / 100) END"
+    " || ' | ' || substr(sha256, 1, 16) || ' | ' || CASE WHEN bin THEN 'binary' WHEN size < 122880 THEN 'embedded' ELSE 'generated' END || ' |' AS \"value\" FROM f"
+)
+def inventory_markdown(spark, sf_dir):
+    return inventory.markdown(inventory.inventory(_files(spark, sf_dir)))
+
+
+@query(
+    "SELECT p.page_id, count(*) FILTER (true)::BIGINT total_scanned FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(a|input|button|select|textarea|img)[ >]')) FROM pages) p GROUP BY p.page_id"
+)
+def scan_totals(spark, sf_dir):
+    """Elements alone, as the pages' static nodes and words are none here."""
+    e = pages.elements(table(spark, sf_dir, "pages"))
+    none = spark.createDataFrame([], "page_id long, node_idx int"), spark.createDataFrame([], "frame_id long, token_no long")
+    return detect.totals(e, *none).select("page_id", "total_scanned")

@@ -74,3 +74,9 @@ def inventory(files: DataFrame) -> DataFrame:
 def capped(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def markdown(rows: DataFrame) -> DataFrame:
+    """A line of text for each inventory row, in the order of paths, as one column that ``write.text`` takes."""
+    cells = F.concat_ws(" | ", F.concat(F.lit("`"), "rel", F.lit("`")), "size_text", "digest", "kind")
+    return rows.orderBy("rel").select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"))

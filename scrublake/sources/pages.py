@@ -285,3 +285,12 @@ def context(pages: DataFrame) -> DataFrame:
         F.slice(F.filter("headings", lambda h: h != ""), 1, 5).alias("headings"), F.substring(collapse(F.col("content")), 1, 800).alias("simplified_content"),
     )
     return pages.select("page_id", "url").join(c, "page_id", "left")
+
+
+def overlaid(fallback: DataFrame, content: DataFrame, key: str = "tab_id") -> DataFrame:
+    """Tab rows with what the page itself says, where it says something."""
+    c = content.select(key, *(F.col(x).alias(f"_c_{x}") for x in content.columns if x != key))
+    joined = fallback.join(c, key, "left")
+    rest = [x for x in fallback.columns if x != key]
+    more = [x for x in content.columns if x not in fallback.columns]
+    return joined.select(key, *(F.coalesce(f"_c_{x}", x).alias(x) if x in content.columns else F.col(x) for x in rest), *(F.col(f"_c_{x}").alias(x) for x in more))

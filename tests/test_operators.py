@@ -145,3 +145,17 @@ def test_models(spark):
     assert got == {1: (1, "card"), 3: (0, "person"), 4: (2, "ui_element")}
     assert vision.run_model(anchors, None, "anchor_no int").count() == 0
     assert vision.run_model(anchors, lambda b: b[["anchor_no"]], "anchor_no int").count() == 4
+
+
+def test_regions_and_tensors(spark):
+    frames = spark.createDataFrame([(1, 500.0, 300.0)], "frame_id long, width double, height double")
+    e = spark.createDataFrame(
+        [(1, i, f"e{i}", "img" if i % 2 else "div", None, "", {"alt": "x"}, (0.0, 0.0, 400.0 if i == 3 else 40.0, 400.0 if i == 3 else 40.0)) for i in range(40)],
+        "frame_id long, el_idx int, id string, tag_name string, role string, selector string, attributes map<string,string>, bbox struct<left:double,top:double,width:double,height:double>",
+    )
+    got = vision.face_regions(frames, e).collect()
+    assert [sum(1 for r in got if r.pass_no == k) for k in range(3)] == [15, 2, 1] and 3 not in [r.region_no for r in got if r.pass_no == 0]
+    t = vision.tensors(spark.createDataFrame([(1, 2, bytearray(range(16)))], "frame_id long, size int, rgba binary")).first()
+    assert [round(x * 255) for x in t.tensor] == [0, 4, 8, 12, 1, 5, 9, 13, 2, 6, 10, 14]
+    v = spark.range(1).select(G.viewport(F.lit(None).cast("double"), F.lit(5.0), F.lit(0.0)).alias("v")).first().v
+    assert tuple(v) == (1280.0, 5.0, 1.0)
