@@ -93,6 +93,11 @@ def kept_by_worker(key, make):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what other operators have kept in this worker."""
+    _KEPT.clear()
+
+
 # ---------------------------------------------------------------- hashing of words, vectorised
 
 

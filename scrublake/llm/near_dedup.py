@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
+from .common import forget, load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -88,6 +88,7 @@ def signature(least: np.ndarray) -> np.ndarray:
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, keys, signatures, bands = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), k):
@@ -337,3 +338,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with shingles of four words."""
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=4)
+
+
+#: Every pair that shares a shingle is counted here.
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END g FROM d),
+u AS (SELECT doc_id, len(g) n, unnest(g) g FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.doc_id a, b.doc_id b, a.n na, b.n nb, count(*) c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(doc_id, root) AS (SELECT DISTINCT doc_id, doc_id FROM d UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.doc_id AND t.root < e.b),
+c AS (SELECT doc_id, min(root) component_id FROM t GROUP BY doc_id)
+SELECT s.doc_id, len(g)::BIGINT n_shingles, component_id, coalesce(component_id = s.doc_id, true) kept FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""

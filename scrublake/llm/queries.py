@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op2_host_reputation": reputation.OP2_SQL,
     "op3_cover_tree_top_k": topk.OP3_SQL,
     "op5_sainte_lague_mix": mixing.OP5_SQL,
+    "op8_minhash_near_dedup": near_dedup.OP8_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

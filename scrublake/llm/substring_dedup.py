@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, load, materialize, mixed, runs_of, text_buffers, words_of
+from .common import WORD, forget, load, materialize, mixed, runs_of, text_buffers, words_of
 
 M = 4
 #: Segments of a shard that one task streams.
@@ -138,6 +138,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for row, _, _, _, (_, _, anchor, content, text) in _each(batch, window):
