@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that the vectorised word code looks at in one go.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -202,7 +202,7 @@ def runs_of(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
     return mixed(out)
 
 
-def text_buffers(column: pa.Array, most: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_buffers(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into pieces of about ``most`` bytes: first row, row after the last, bytes, offsets. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -182,12 +182,14 @@ def _alike(percent: int):
 
         for batch in batches:
             found = []
-            for a, b, side, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "side", "shingles")), strict=True):
-                if (a, b) != pair:
-                    if linked():
-                        found.append(pair)
-                    pair, sides = (a, b), ([], [])
-                sides[side].append(np.frombuffer(raw, np.uint64))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                for a, b, side, raw in zip(*(part.column(c).to_pylist() for c in ("a", "b", "side", "shingles")), strict=True):
+                    if (a, b) != pair:
+                        if linked():
+                            found.append(pair)
+                        pair, sides = (a, b), ([], [])
+                    sides[side].append(np.frombuffer(raw, np.uint64))
             yield links(found)
         yield links([pair] if linked() else [])
 

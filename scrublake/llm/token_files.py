@@ -29,7 +29,7 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 512, 1 << 16
 #: A segment ends at so many documents or bytes of frames, whichever comes first.
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 _HEAD = struct.Struct("<4sBB32sI")
 SEGMENT = "part int, place int, ids_before long, n_ids long, doc_ids array<long>, content binary"
 
@@ -54,7 +54,6 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Of each text the ids as bytes, ``width`` for each id."""
@@ -63,31 +62,17 @@ class WordEncoder:
         out = []
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
-            if len(self.known) > REMEMBERED:  # what is still in use moves on to the next memory
-                self.before, self.known = self.known, {}
-            self._learn(set(chain.from_iterable(part)).difference(self.known))
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new = list(set(chain.from_iterable(part)).difference(self.known))
+            for k in range(0, len(new), 4096):
+                some = new[k : k + 4096]
+                found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
+                self.known.update(zip(some, (array(self.code, e.ids).tobytes() for e in found), strict=True))
             look = self.known.__getitem__
             out += [b"".join(map(look, ws)) + last for ws in part]
         return out
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Ids of words: a plain ASCII word is spelt in lower case, and a stop or comma behind one is a word by itself."""
-        if self.before:
-            again = new.intersection(self.before)
-            self.known.update((w, self.before[w]) for w in again)
-            new -= again
-        cores = {}
-        for w in new:
-            low = w.lower() if w.isascii() else w
-            cores[w] = (low[:-1], low[-1:]) if low[-1:] in (b".", b",") and low[:-1].isalpha() else (low, b"")
-        ask = list({c for pair in cores.values() for c in pair if c}.difference(self.known))
-        for k in range(0, len(ask), 4096):
-            some = ask[k : k + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(some, found, strict=True))
-        self.known[b""] = b""
-        self.known.update((w, self.known[c] + self.known[p]) for w, (c, p) in cores.items())
-
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker."""
