@@ -26,9 +26,9 @@ from .common import kept_by_worker, load
 
 MARK = "▁"
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Pairs of pieces that it remembers.
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
 
 
