@@ -18,7 +18,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 #: A host is blocked if the share of bad pages exceeds MAX_BAD with the confidence of Z standard deviations.
-MAX_BAD, Z = 0.2, 1.0
+MAX_BAD, Z = 0.3, 1.645
 #: Rows of a host are dealt over so many parts in the join that brings the verdicts back.
 SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
