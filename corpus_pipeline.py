@@ -18,6 +18,8 @@ LEAST_SCORE = 0.5
 PASSAGE_WORDS = 50
 #: Decisions on up to so many documents are joined by broadcast (some 50 bytes each), others by a shuffle.
 BROADCAST_ROWS = 1 << 19
+#: Words that the last stage remembers in a worker; fewer than by default, as the executors' heaps are full by then.
+REMEMBERED = 120_000
 
 
 def _beside(decisions: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_pieces, and whether decoding gives the text again."""
-    out = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    out = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), remembered=REMEMBERED)
     return out.select("doc_id", "lang", "source", "ids", "n_pieces", "same")
 
 

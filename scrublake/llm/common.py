@@ -5,6 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes; bytes from 0x80 on never se
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,14 +89,16 @@ _KEPT: dict = {}
 def kept_by_worker(key, make):
     """What ``make`` gives, kept from task to task; only one such thing at a time, so that memories of several operators don't add up."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget() -> None:
-    """Drop what other operators have kept in this worker."""
+    """Drop what other operators have kept in this worker, and give memory back."""
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- hashing of words, vectorised

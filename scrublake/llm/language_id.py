@@ -20,7 +20,7 @@ SAMPLE_DOCS = 2000
 KEPT = 12_000
 LONGEST = 4
 #: Words whose scores a worker remembers, from task to task.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Evidence in a document counts as that of so many words at most, so that the score stays short of certainty.
 EVIDENCE = 12.0
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")

@@ -25,10 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import kept_by_worker, load
 
 MARK = "▁"
-#: Words whose ids a worker remembers, from task to task.
+#: Words whose ids a worker remembers in each of two memories, from task to task, and as many pairs of pieces; by default.
 REMEMBERED = 400_000
-#: Pairs of pieces that it remembers.
-REMEMBERED_PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -115,8 +113,8 @@ class Vocabulary:
 class SharedPrefixViterbi:
     """Encodes sorted words, keeping the forward states of common prefixes."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
+        self.v, self.remembered = vocabulary, remembered
         self.may_follow: dict[tuple[str, str], bool] = {}
 
     def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -162,7 +160,7 @@ class SharedPrefixViterbi:
                     left = last[j]
                     yes = follows.get((left, piece))
                     if yes is None:
-                        if len(follows) > REMEMBERED_PAIRS:
+                        if len(follows) > self.remembered:
                             follows.clear()
                         yes = follows[left, piece] = self.merged(left + piece) == ([left, piece] if left else [piece])
                     if yes:
@@ -189,9 +187,9 @@ class SharedPrefixViterbi:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, path: str) -> None:
-        self.v = Vocabulary(path)
-        self.viterbi = SharedPrefixViterbi(self.v)
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.v, self.remembered = Vocabulary(path), remembered
+        self.viterbi = SharedPrefixViterbi(self.v, remembered)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.plain = self.v.identity and self.v.prefix
@@ -212,7 +210,7 @@ class Codec:
         out = []
         for at in range(0, len(texts), 256):
             parts = [self._cut(t) for t in texts[at : at + 256]]
-            if len(self.known) > REMEMBERED:  # what is still in use moves on to the next memory
+            if len(self.known) > self.remembered:  # what is still in use moves on to the next memory
                 self.before, self.known = self.known, {}
             new = set(chain.from_iterable(parts)).difference(self.known)
             if self.before:
@@ -239,9 +237,9 @@ class Codec:
         return text.decode("utf-8", "replace")
 
 
-def codec_of(path: str) -> Codec:
+def codec_of(path: str, remembered: int = REMEMBERED) -> Codec:
     """One codec for all tasks of a worker."""
-    return kept_by_worker(("pieces", path), lambda: Codec(path))
+    return kept_by_worker(("pieces", path, remembered), lambda: Codec(path, remembered))
 
 
 def _encoded(path: str):
@@ -287,12 +285,12 @@ def decode_pieces(df: DataFrame, path: str | None = None) -> DataFrame:
 _CHECKED = ("n_pieces", "ids_crc32", "decoded_crc32", "same")
 
 
-def _round_trips(path: str, with_ids: bool):
+def _round_trips(path: str, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = codec_of(path, remembered)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 every = codec.encode(texts)
                 rows = []
@@ -308,13 +306,13 @@ def _round_trips(path: str, with_ids: bool):
     return run
 
 
-def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Encode and decode in one go: ``docs`` without text, with n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
     (UTF-8), whether the decoded text is the text, and the ids. Columns of these names are replaced."""
     docs = docs.drop(*_CHECKED, "ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     out = f"{fields}, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(_round_trips(path or default_model(), with_ids), out)
+    return docs.mapInArrow(_round_trips(path or default_model(), with_ids, remembered), out)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
