@@ -87,15 +87,13 @@ def trained_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-LEVEL = 3
+LEVEL = 1
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     if not raw:
         return None
-    dictionary = zstandard.ZstdCompressionDict(raw)
-    dictionary.precompute_compress(level=LEVEL)
-    return dictionary
+    return zstandard.ZstdCompressionDict(raw)
 
 
 def _frames(path: str, end: int, dictionary: bytes | None):
@@ -103,7 +101,12 @@ def _frames(path: str, end: int, dictionary: bytes | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)) if dictionary is not None else None
+        press = None
+        if dictionary is not None:
+            shared = _dictionary(dictionary)
+            if shared is not None:
+                shared.precompute_compress(level=LEVEL)  # once, not for each document
+            press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
