@@ -150,12 +150,11 @@ def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = scorer(model.value)
         for batch in batches:
-            texts = batch.column("text")
-            found = []
             for at in range(0, len(batch), 256):
-                found += words.score([t or "" for t in texts[at : at + 256].to_pylist()])
-            rest = {c: batch.column(c) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
+                part = batch.slice(at, 256)
+                found = words.score([t or "" for t in part.column("text").to_pylist()])
+                rest = {c: part.column(c) for c in part.schema.names}
+                yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
 
     return run
 

@@ -132,6 +132,13 @@ def _each(batch: pa.RecordBatch, window: int):
         yield row, to, words, begins, segments(words, begins, window)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of one is small."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            yield batch.slice(at, 256)
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
@@ -156,7 +163,7 @@ def _pieces(window: int):
     """Of segments with a listed anchor: the anchor, what tells the segment's words, these words, the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             ids, listed = (batch.column(c).to_pylist() for c in ("doc_id", "mixed"))
             for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
                 rows = set()
@@ -279,7 +286,8 @@ def _removed_words(begins, seg, rows, owned, found, window) -> list[np.ndarray |
 
 def _cut(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in _small(batches):
             owned, found = (batch.column(c).to_pylist() for c in ("owned", "found"))
             n_words, n_removed, shas, kept_texts = [], [], [], []
             column = batch.column("text")
