@@ -13,7 +13,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +54,16 @@ class WordEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Of each text the ids as bytes, ``width`` for each id."""
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Of each text, in UTF-8, the ids as bytes, ``width`` for each id."""
         last = end.to_bytes(self.width, "little")
-        words = [t.encode().split() for t in texts]
+        words = [t.split() for t in texts]
         out = []
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list(set(chain.from_iterable(part)).difference(self.known))
+            new = list(set().union(*part).difference(self.known))
             for k in range(0, len(new), 4096):
                 some = new[k : k + 4096]
                 found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
@@ -110,7 +109,7 @@ def _frames(path: str, end: int, dictionary: bytes | None):
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                raw = words.encode([t or "" for t in part.column("text").to_pylist()], end)
+                raw = words.encode([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], end)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(r) // words.width for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw] if press else raw, pa.binary())],
                     ["doc_id", "n_ids", "frame"],

@@ -261,7 +261,7 @@ def test_token_files(docs, empty):
         list(token_files.documents_of(s.content, raw + b"x"))
     assert token_files.read_tokens(*token_files.write_tokens(empty)).count() == 0
     for x in ["a\x0bb", "It's  don't\t<|endoftext|> x<|startoftext|>y", "é \u0301x", "\xa0a\u2003b\x85c", "ΑΣ Σ", "", "x\x1cy", "İ"]:
-        assert np.frombuffer(token_files.encoder(token_files.default_tokenizer()).encode([x], 1)[0], "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert np.frombuffer(token_files.encoder(token_files.default_tokenizer()).encode([x.encode()], 1)[0], "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
 
 
 # ---------------------------------------------------------------- 8
