@@ -152,7 +152,7 @@ def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFra
         ids = F.broadcast(ids)
     own = docs.join(ids, "doc_id")
     longer = materialize(own.mapInArrow(_longer(k), "doc_id long, signature array<long>, bands array<long>"), "longer")
-    rows = own.mapInArrow(_rows(k), "doc_id long, shingle long")
+    rows = own.mapInArrow(_rows(k), "doc_id long, shingle long").distinct()  # a repeated row must not count twice
     part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
     alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     signed = rows.select("doc_id", part, F.lit(1).alias("n"), F.lit(1).alias("most")).union(alone.select("doc_id", part, F.lit(0), F.lit(-1)))

@@ -321,6 +321,23 @@ def test_near_duplicates_around_the_threshold(spark):
     assert {x.doc_id: x.component_id for x in got} == expected and len(set(expected.values())) > 3
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Ids around the threshold of a group, half of which have a second row of the same words."""
+    import random
+
+    r = random.Random(11)
+    out = []
+    for i in range(80):
+        w = [f"w{j}" for j in range(60)]
+        for j in r.sample(range(60), r.choice([1, 1, 2, 2, 3])):
+            w[j] = f"e{i // 2}x{j}"
+        out.append((i * 3 + 1, " ".join(w)))
+    out += [(i, t.upper().replace(" ", "  ")) for i, t in out[1::2]] + [(i, t) for i, t in out[3::8]]
+    expected = brute_components(out, 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(out, "doc_id long, text string"), shingle=4).collect()
+    assert {x.doc_id: x.component_id for x in got} == expected and len(set(expected.values())) > 3 and len(got) == len(out)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 5), (200, 201), (203, 201), (9, 9)]
     got = dict(rows(near_dedup.components(spark.createDataFrame(links, "a long, b long"))))
