@@ -196,7 +196,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Rows with a null id or vector take no part; a query's own id is no candidate; equal scores go to the smaller id; fewer candidates
     give fewer rows; repeated rows count once. Shorter vectors count as if they ended in zeros.
     """
-    vectors, queries = (d.select("vec_id", "v").where("vec_id is not null and v is not null") for d in (vectors, queries))
+    # before rows are counted and dealt: equal rows would meet in one block, however many
+    vectors, queries = (d.select("vec_id", "v").where("vec_id is not null and v is not null").distinct() for d in (vectors, queries))
     n_refs, n_queries = (max(1, -(-d.count() // size)) for d, size in ((vectors, BLOCK), (queries, QUERY_BLOCK)))
     dealt = lambda d, name, n: d.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")).groupBy(name)
     refs = dealt(vectors, "rb", n_refs).applyInArrow(_built("rb"), "rb int, rb_tree binary")

@@ -117,6 +117,26 @@ def test_top_k(spark, sf):
     assert sorted(rows(topk.op3(spark, sf))) == sorted(expected)
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Equal rows count once, and before the blocks are dealt: no block outgrows BLOCK."""
+    built, most = topk._built, topk.BLOCK
+
+    def bounded(column):
+        make = built(column)
+
+        def build(table):
+            assert len(table) <= most
+            return make(table)
+
+        return build
+
+    few = spark.range(60).select(F.col("id").alias("vec_id"), F.array("id", F.lit(40) - F.col("id")).alias("v"))
+    many = few.union(spark.range(3 * most).select(F.lit(7).cast("long"), F.array(F.lit(7).cast("long"), F.lit(33).cast("long"))))
+    expected = sorted(rows(topk.top_k(few, few.where("vec_id % 7 = 0"), 5)))
+    monkeypatch.setattr(topk, "_built", bounded)
+    assert sorted(rows(topk.top_k(many, many.where("vec_id % 7 = 0"), 5))) == expected and len(expected) == 45
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(6, 4)) * 500
