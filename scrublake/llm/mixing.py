@@ -5,7 +5,7 @@
 2. Quotas: a shard ends where the blocks of all shards so far end; each of these ends is apportioned by highest quotients
    target / (2 j + 1). Such seats only grow with the number of seats, so differences are the shards' quotas.
 3. Selection: a source's documents stand in a seeded order in a ring of words, cut into blocks; the source gives its quota of
-   consecutive blocks from a seeded block on, going round as often as need be.
+   consecutive blocks from a seeded block on, going round as often as need be. Each shard has its own consecutive part of this run.
 """
 
 from __future__ import annotations
@@ -75,25 +75,27 @@ def block_quotas(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -
 
 
 def mixed_sources(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 0, buckets: int | None = None) -> DataFrame:
-    """Add source_size, target, taken, copies to ``docs`` (doc_id, source, size; further columns stay, but for those of these names).
+    """Add source_size, target, taken, taken_by_shard, copies to ``docs`` (doc_id, source, size; further columns stay, but for those of these names).
 
-    ``taken``: the document's words in the mix, repeats counted, MAX_EPOCHS times its size at most. ``copies``: how often the mix
+    ``taken``: the document's words in the mix, repeats counted, MAX_EPOCHS times its size at most; ``taken_by_shard``: an array of
+    those in each shard. ``copies``: how often the mix
     begins the document, for mixes of whole documents. Documents without words take nothing and have as many copies as
     the place where they stand is passed. A source's documents are summed up in buckets of its ring first, then the
     buckets are, so that no source meets in one task. Null sources are a source; repeated rows count one by one.
     """
-    docs = docs.drop("source_size", "target", "taken", "copies")
+    docs = docs.drop("source_size", "target", "taken", "taken_by_shard", "copies")
     if buckets is None:
         buckets = min(1 << 16, max(256, docs.count() // 64))
     docs = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_key": seeded(F.col("doc_id"), seed)})
     docs = docs.withColumn("_bucket", F.floor(F.col("_key") * F.lit(buckets) / F.lit(float(_PRIME))).cast("int"))
     key = ["_src", "_none", "_bucket"]
     targets = source_targets(docs)
-    run = block_quotas(targets, block, shards).groupBy("source_no").agg((F.sum("quota") * F.lit(block)).alias("_run"))
+    run = block_quotas(targets, block, shards).groupBy("source_no")
+    run = run.agg((F.sum("quota") * F.lit(block)).alias("_run"), F.transform(F.array_sort(F.collect_list(F.struct("shard", "seats"))), lambda x: x["seats"] * block).alias("_ends"))
     z = F.col("source_size")
     plan = targets.join(run, "source_no").select(
         F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_none"), "source_size", "target",
-        F.least(F.col("_run"), z * MAX_EPOCHS).alias("_run"),
+        F.least(F.col("_run"), z * MAX_EPOCHS).alias("_run"), F.transform("_ends", lambda x: F.least(x, z * MAX_EPOCHS)).alias("_ends"),
         (F.pmod(seeded(F.col("source_no"), seed + 1), F.greatest(F.floor(z / F.lit(block)), F.lit(1))) * F.lit(block)).alias("_start"),
     )
     sums = docs.groupBy(*key).agg(F.sum("size").alias("_sum"))
@@ -106,10 +108,14 @@ def mixed_sources(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, see
     end = F.col("_start") + F.col("_run") - full * z
     part = lambda a, b: F.greatest(F.least(hi, b) - F.greatest(lo, a), F.lit(0))
     begins = ((lo >= F.col("_start")) & (lo < end)) | (lo < end - z)
+    # the document's words among the first x of the ring and its repeats
+    upto = lambda x: F.when(z > 0, F.floor(x / z) * F.col("size") + F.greatest(F.least(x % z, hi) - lo, F.lit(0))).otherwise(0)
+    shard = lambda x, i: upto(F.col("_start") + x) - upto(F.col("_start") + F.when(i > 0, F.get("_ends", i - 1)).otherwise(0))
     return docs.withColumns({
+        "taken_by_shard": F.transform("_ends", lambda x, i: shard(x, i).cast("long")),
         "taken": (full * F.col("size") + part(F.col("_start"), end) + part(F.lit(0), end - z)).cast("long"),
         "copies": (full + begins.cast("long")).cast("int"),
-    }).drop(*key, "_key", "_in", "_off", "_run", "_start")
+    }).drop(*key, "_key", "_in", "_off", "_run", "_ends", "_start")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,19 @@ def test_mix(spark, docs, empty):
     assert mixing.mixed_sources(empty.select("doc_id", "source", F.lit(0).cast("long").alias("size"))).count() == 0
 
 
+def test_shards_take_their_quotas(spark):
+    """Each shard takes its quota of each source, from consecutive words of the run."""
+    d = spark.createDataFrame([(i, "abc"[i % 3] if i % 7 else None, i % 9) for i in range(300)], "doc_id long, source string, size long")
+    got = mixing.mixed_sources(d, block=4, shards=3, seed=3).collect()
+    targets = mixing.source_targets(d)
+    quotas = mixing.block_quotas(targets, 4, 3).join(targets.select("source_no", "source", "source_size"), "source_no").collect()
+    assert all(sum(r.taken_by_shard) == r.taken and len(r.taken_by_shard) == 3 for r in got)
+    for q in quotas:
+        most = 3 * q.source_size
+        words = sum(r.taken_by_shard[q.shard] for r in got if r.source == q.source)
+        assert words == min(4 * q.seats, most) - min(4 * (q.seats - q.quota), most) > 0
+
+
 def test_quotas_are_highest_quotients(spark):
     t = [700.0, 300.5, 120.25, 9.0, 0.0, 300.5]
     q = mixing.block_quotas(spark.createDataFrame(list(enumerate(t)), "source_no int, target double"), block=10, shards=3).collect()
