@@ -84,6 +84,40 @@ def word_count(text: Column) -> Column:
 # ---------------------------------------------------------------- what a worker keeps
 
 _KEPT: dict = {}
+#: Longer words are not remembered.
+LONG_WORD = 64
+
+
+class Memory:
+    """Values of words, bounded in bytes: when the young generation is full, it becomes the old one, and what the old one had and wasn't
+    asked for is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.young, self.old = most // 2, 0, {}, {}
+
+    def look(self, words: list, make) -> list:
+        """The words' values; ``make`` gives those of a list of words that aren't known. Words must be distinct."""
+        out = list(map(self.young.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
+            return out
+        old, new = self.old, []
+        for i in missing:
+            v = out[i] = old.get(words[i])
+            if v is None:
+                new.append(i)
+        for i, v in zip(new, make([words[i] for i in new]) if new else (), strict=True):
+            out[i] = v
+        for i in missing:
+            self._keep(words[i], out[i])
+        return out
+
+    def _keep(self, word, value) -> None:
+        if len(word) <= LONG_WORD:
+            self.young[word] = value
+            self.held += 220 + len(word) + len(value)  # two objects and their place in a dict
+            if self.held > self.most:
+                self.young, self.old, self.held = {}, self.young, 0
 
 
 def kept_by_worker(key, make):

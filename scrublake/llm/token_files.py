@@ -11,26 +11,35 @@ import hashlib
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, load, materialize
+from .common import Memory, kept_by_worker, load, materialize
 
-#: The dictionary is trained on so many documents, those of the smallest hashes of doc_id; a bound of its own, whatever the corpus.
-SAMPLE_DOCS, DICTIONARY_BYTES = 512, 1 << 16
+#: The dictionary is trained on so many documents, those of the smallest hashes of doc_id, and on so many bytes of ids of each; bounds of
+#: their own, whatever the corpus.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 1 << 15, 1 << 16
+LEVEL = 3
 #: A segment ends at so many documents or bytes of frames, whichever comes first.
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
-#: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 1_500_000
+#: Bytes of memory for words that a worker remembers from task to task.
+REMEMBERED = 192 << 20
+#: Text bytes encoded in one go; a longer text is encoded by itself.
+PIECE = 8 << 20
 _HEAD = struct.Struct("<4sBB32sI")
 SEGMENT = "part int, place int, ids_before long, n_ids long, doc_ids array<long>, content binary"
+#: Words of plain letters (of Latin 1) may have ASCII signs behind: a token run of their own.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_PROBES = ("hello big world", " two  spaces ", "Line one.\nline\ttwo\r\n", "don't stop, it's '90s", "\u00c9t\u00e9 stra\u00dfe \u4f60\u597d \u3042", "x1 22 3.5% (a+b)", "a \u0301b c\u0301")
 
 
 def default_tokenizer() -> str:
@@ -40,9 +49,11 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts, encoded word by word: this tokenizer's rules never look over white space.
+    """Ids of whole texts, of which each distinct word goes through the tokenizers library once while it is remembered.
 
-    Each distinct word goes through the tokenizers library once while it is remembered.
+    That needs a tokenizer whose rules don't look over white space, which is tried on probe texts first; with another one whole texts go
+    through the library. Of words of plain letters with signs behind, the letters in lower case and the signs are encoded
+    by themselves, if the tokenizer cuts there and has no case.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,69 +62,157 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"
-        self.known: dict[bytes, bytes] = {}
+        self.dtype = np.dtype(f"<u{self.width}")
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = all(one(p) == [i for w in p.encode().split() for i in one(w.decode())] for p in _PROBES)
+        self.by_letters = self.by_word and all(one(a + b) == one(a.lower()) + one(b) for a in ("Hello", "\u00c9T\u00c9", "we") for b in (".", "'", "!?", ",\"", "&&&", "'-"))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Memory(REMEMBERED)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, each with ``end`` behind, and where each text's begin (and the last one's end)."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            ids = [np.array([*e.ids, end], self.dtype) for e in found]
+            return np.concatenate(ids or [np.zeros(0, self.dtype)]), np.append(0, np.cumsum([len(x) for x in ids], dtype=np.int64))
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        cut = words.offsets.to_numpy()
+        flat = words.values.slice(cut[0], cut[-1] - cut[0]).dictionary_encode()
+        size, spelt = self._spelt(flat.dictionary)
+        index, cut, begin = flat.indices.to_numpy(), cut - cut[0], np.cumsum(size) - size
+        counts = size[index]
+        upto = np.append(0, np.cumsum(counts))
+        bounds = upto[cut] + np.arange(len(cut))  # with an end for each text before
+        out = np.full(int(bounds[-1]), end, self.dtype)
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] - 1] = False
+        out[inside] = spelt[_ranges(begin[index], counts)]
+        return out, bounds
+
+    def _spelt(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words, and the ids one after another."""
+        if not self.by_letters:
+            return self._looked_up(words)
+        heads = pc.ascii_rtrim(words, characters=_SIGNS)
+        plain = pc.match_substring_regex(heads, _PLAIN)
+        parts = (pc.if_else(plain, pc.ascii_lower(heads), words), pc.if_else(plain, pc.utf8_ltrim(words, characters=_LETTERS), ""))
+        sizes, starts, spelt, base = [], [], [], 0
+        for part in parts:
+            coded = part.dictionary_encode()
+            size, ids = self._looked_up(coded.dictionary)
+            index = coded.indices.to_numpy()
+            sizes.append(size[index])
+            starts.append((np.cumsum(size) - size)[index] + base)
+            spelt.append(ids)
+            base += len(ids)
+        size = np.stack(sizes, axis=1)
+        return size.sum(axis=1), np.concatenate(spelt)[_ranges(np.stack(starts, axis=1).ravel(), size.ravel())]
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known.look(_bytes_of(words), self._encoded)
+        return np.fromiter(map(len, known), np.int64, len(known)) // self.width, np.frombuffer(b"".join(known), self.dtype)
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        if not self.by_letters:
+            return self._library(words)
+        plain = pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), _PLAIN).to_pylist()
+        some = iter(self._runs([w for w, p in zip(words, plain, strict=True) if p]))
+        others = iter(self._library([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(some if p else others) for p in plain]
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 4096):
+            found = self.tokenizer.encode_batch([w.decode() for w in words[at : at + 4096]], add_special_tokens=False)
+            out += [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return out
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """Of each text, in UTF-8, the ids as bytes, ``width`` for each id."""
-        last = end.to_bytes(self.width, "little")
-        words = [t.split() for t in texts]
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs of letters, many in one text: each ends at a piece that ends a word."""
         out = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set().union(*part).difference(self.known))
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-                self.known.update(zip(some, (array(self.code, e.ids).tobytes() for e in found), strict=True))
-            look = self.known.__getitem__
-            out += [b"".join(map(look, ws)) + last for ws in part]
+        for at in range(0, len(runs), 256):
+            part = runs[at : at + 256]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                out += self._library(part)
+                continue
+            raw, stops = ids.tobytes(), (stops * self.width).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
         return out
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1 and so on, ``size`` of each, one range after another."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def _bytes_of(strings: pa.Array) -> list[bytes]:
+    """Like to_pylist, without an object for each scalar; no nulls."""
+    strings = strings.cast(pa.large_string())
+    if not len(strings):
+        return []
+    at = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    raw = memoryview(strings.buffers()[2] or b"")[at[0] : at[-1]].tobytes()
+    at = (at - at[0]).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker."""
     return kept_by_worker(("tokens", path), lambda: WordEncoder(path))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int):
+    """For pieces of batches: the piece, its ids and where each text's begin."""
+    words = encoder(path)
+    for batch in batches:
+        sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + PIECE, "right")) - 1)
+            part = batch.slice(at, to - at)
+            yield part, *words.encode(part.column("text"), end)
+            at = to
+
+
 def trained_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary from serialized id arrays; where these are too few to train on, their own bytes."""
+    """A dictionary from serialized id arrays. Too few to train on (some dozens of documents) make a dictionary of plain content, which is
+    as valid in the format: their own last bytes."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[:DICTIONARY_BYTES]
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-LEVEL = 1
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    """Of no bytes (an empty table): none."""
+    return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    if not raw:
-        return None
-    return zstandard.ZstdCompressionDict(raw)
+def _samples(path: str, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, bounds in _encoded(batches, path, end):
+            raw = [ids[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "ids"])
+
+    return run
 
 
-def _frames(path: str, end: int, dictionary: bytes | None):
-    """doc_id, n_ids and the frame of each document; without a dictionary, the bare bytes."""
+def _frames(path: str, end: int, dictionary: bytes):
+    """doc_id, n_ids and the frame of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
-        press = None
-        if dictionary is not None:
-            shared = _dictionary(dictionary)
-            if shared is not None:
-                shared.precompute_compress(level=LEVEL)  # once, not for each document
-            press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                raw = words.encode([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], end)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(r) // words.width for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw] if press else raw, pa.binary())],
-                    ["doc_id", "n_ids", "frame"],
-                )
+        shared = _dictionary(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=LEVEL)  # once, not for each document
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
+        for part, ids, bounds in _encoded(batches, path, end):
+            frames = [press.compress(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(frames, pa.binary())], ["doc_id", "n_ids", "frame"])
 
     return run
 
@@ -180,13 +279,17 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int = 1) -> tupl
     """Encode ``docs`` (doc_id, text) and write segments in ascending doc_id order (nulls first) and the dictionary, to the shared
     folder; returns both tables.
 
-    A null or empty text has the end id alone. Rows that repeat an id stand side by side. Other columns are not written.
+    A null or empty text has the end id alone. Rows that repeat an id stand side by side. Other columns are not written. A huge word is
+    encoded like others, but not remembered. The dictionary comes from a bounded sample that depends on the rows alone;
+    tables too small to train one on get plain content, empty ones none.
     """
     path = path or default_tokenizer()
     docs = docs.select("doc_id", "text")
-    chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    sample = docs.where(F.col("doc_id").isin(chosen)).limit(2 * SAMPLE_DOCS).mapInArrow(_frames(path, end, None), "doc_id long, n_ids long, frame binary")
-    raw = trained_dictionary([bytes(r.frame) for r in sample.orderBy("doc_id", "frame").collect()])
+    key = F.xxhash64("text").alias("_text")
+    chosen = docs.where("doc_id is not null").select("doc_id", key).orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(SAMPLE_DOCS).distinct()
+    sample = docs.withColumn("_text", key).join(F.broadcast(chosen), ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])  # SAMPLE_DOCS rows
+    sample = sample.select("doc_id", "text").mapInArrow(_samples(path, end), "doc_id long, ids binary")
+    raw = trained_dictionary([bytes(r.ids) for r in sample.orderBy("doc_id", "ids").collect()])  # SAMPLE_DOCS * SAMPLE_BYTES at most
     table = materialize(docs.sparkSession.createDataFrame([(hashlib.sha256(raw).hexdigest(), bytearray(raw))], "sha256 string, dictionary binary"), "dictionary")
     frames = materialize(docs.mapInArrow(_frames(path, end, raw), "doc_id long, n_ids long, frame binary"), "frames")
     placed = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_ids", "frame")

@@ -6,11 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scrublake.llm import common, language_id, media, mixing, near_dedup, pieces, reputation, sharding, substring_dedup, token_files, topk, webp
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -293,8 +296,52 @@ def test_token_files(docs, empty):
     with pytest.raises(ValueError):
         list(token_files.documents_of(s.content, raw + b"x"))
     assert token_files.read_tokens(*token_files.write_tokens(empty)).count() == 0
-    for x in ["a\x0bb", "It's  don't\t<|endoftext|> x<|startoftext|>y", "é \u0301x", "\xa0a\u2003b\x85c", "ΑΣ Σ", "", "x\x1cy", "İ"]:
-        assert np.frombuffer(token_files.encoder(token_files.default_tokenizer()).encode([x.encode()], 1)[0], "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+
+
+TRICKY = [
+    "a\x0bb", "It's  don't\t<|endoftext|> x<|startoftext|>y", "é \u0301x", "\xa0a\u2003b\x85c", "ΑΣ Σ", "", "x\x1cy", "İ", "ÉTÉ!! Haus.&&& h\u0331 H\u0331. dogs' ''s x'' naïve'", "w" * 3000 + " " + "Z." * 900,
+    "a×b ÷ ªº µm, Ünï. Ø", "it's? we'LL. 12,5% (so) ... end",
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_encoded_as_the_library_does(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t, mine = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    texts = [*TRICKY, None, prose(5, 3000)]
+    assert mine.by_word == mine.by_letters == (name == "word_bpe_49k.json")
+    for part in (texts, texts[::-1], texts[:1], []):
+        ids, at = mine.encode(pa.array(part, pa.string()), 1)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in part]
+    assert all(len(w) <= 64 for w in mine.known.young)
+
+
+def test_memory_is_bounded():
+    m = common.Memory(100_000)
+    for i in range(0, 50_000, 100):
+        words = [b"w%d" % j for j in range(i, i + 100)] + [b"always", b"x" * 65]
+        assert m.look(words, lambda ws: [w * 2 for w in ws]) == [w * 2 for w in words]
+        assert b"always" in m.young | m.old and len(m.young) + len(m.old) < 600 and b"x" * 65 not in m.young
+
+
+def test_token_files_of_many_documents(spark):
+    import zstandard
+
+    rows_ = [(i, prose(i, 40)) for i in range(700)]
+    segments, dictionary = token_files.write_tokens(spark.createDataFrame(rows_, "doc_id long, text string"))
+    again = token_files.write_tokens(spark.createDataFrame(rows_[::-1], "doc_id long, text string").repartition(5))[1]
+    raw = bytes(dictionary.first().dictionary)
+    assert raw == bytes(again.first().dictionary) and raw[:4] == b"\x37\xa4\x30\xec"  # trained: the format's magic number
+    s = segments.orderBy("part", "place").first()
+    n = len(s.doc_ids)
+    offsets = np.frombuffer(s.content, "<u8", n + 1, 42)  # by hand, as another reader would
+    frame = s.content[42 + 8 * (n + 1) :][offsets[3] : offsets[4]]
+    plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)).decompress(frame)
+    assert plain == token_files.document_at(s.content, 3, raw).tobytes()
+    assert len(segments.select("content").first()[0]) < 0.8 * sum(len(x) * 2 for x in token_files.documents_of(s.content, raw))
 
 
 # ---------------------------------------------------------------- 8
