@@ -77,6 +77,24 @@ def with_row_number(df: DataFrame, *order: str, name: str = "row_no") -> tuple[D
     return numbered.drop("_at", "_part", "_before"), int(total)
 
 
+#: A key is hot from so many rows on, and from this share of all rows.
+HOT_ROWS, HOT_SHARE = 1024, 4096
+
+
+def join_skewed(big: DataFrame, small: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a written table with a row for each key and in ``n`` the number of big's rows of it (n isn't
+    returned). Rows of hot keys are dealt over as many parts as it takes; the few hot keys, HOT_SHARE at most, are broadcast.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    part = max(HOT_ROWS, -(-int(total) // HOT_SHARE))
+    small = small.withColumn("_salts", F.ceil(F.col(n) / part).cast("int")).drop(n)
+    hot = F.broadcast(small.where("_salts > 1").select(*keys, F.col("_salts").alias("_over")))
+    salt = F.when(F.col("_over").isNotNull(), F.pmod(F.xxhash64(*big.columns), "_over")).otherwise(0).cast("int")
+    big = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_over")
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest("_salts", F.lit(1)) - 1))).drop("_salts")
+    return big.join(small, [*keys, "_salt"]).drop("_salt")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

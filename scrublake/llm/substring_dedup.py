@@ -1,18 +1,19 @@
-"""Substring dedup: suffix automata over reference segments, matching statistics, removal of spans above a length.
-
-Two windows of W words are equal only if their anchors are: the smallest hash of the M-word runs inside. So texts are cut into segments,
-maximal runs of windows of one anchor, and the corpus is sharded by anchor; a window never meets another shard's.
-
-1. All segments are counted by anchor. Anchors of one document only are done. An anchor whose segments are all equal belongs to its smallest
-   doc_id, and later documents lose the segment.
-2. For anchors with differing segments (ends of shared passages, edits, frequent phrases), the distinct segments with their smallest
-   doc_id are kept. Windows in segments of several documents, at their first place, are the shard's reference: spans of text that
-   others repeat.
-3. In the order of doc_ids, each distinct segment is streamed through the suffix automaton of the shard's spans from smaller documents; where
-   the matching statistic reaches W, the window goes. Then its own reference spans extend the automaton. A shard of many
-   segments is dealt over several tasks, each with all of its reference spans.
-
-Hashes of words have 64 bits, of which segments carry 32: windows are told apart by 13 of these. Counts are partial before any exchange, so copies of a passage don't meet in one task.
+"""Substring dedup: suffix automata over reference shards, matching statistics, removal of spans above a length.
+
+Streaming every document past the automata of all shards would be quadratic. Two windows of W words are equal only if their anchors are:
+the smallest hash of the M-word runs inside. So texts are cut into segments, maximal runs of windows of one anchor, and the
+reference is sharded by anchor; a segment is streamed past the automaton of its own anchor's shard only.
+
+1. Anchors that only one document has can't repeat; all segments of other anchors are looked at, each distinct one once, with the number and
+   the smallest of the documents that hold it.
+2. Each shard's distinct segments make one suffix automaton, of which each state knows the smallest document that holds its words. A shard
+   holds SHARD_WORDS words or so; where an anchor has more, its segments are dealt over several shards, and its documents
+   are streamed past all of these, dealt over several tasks.
+3. Where the matching statistic of a segment reaches W, the state of the last W words tells the smallest holder of this window; in
+   documents with a greater doc_id the window's words go.
+
+Words are 64-bit hashes, and windows are equal if all 13 of these are. Counts are partial before any exchange and joins deal hot keys
+over several tasks, so copies of a passage don't meet in one.
 """
 
 from __future__ import annotations
@@ -26,59 +27,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, load, materialize, mixed, runs_of, text_buffers, words_of
+from .common import WORD, forget, join_skewed, load, materialize, mixed, runs_of, text_buffers, words_of
 
 M = 4
-#: Segments of a shard that one task streams.
-SPLIT = 2048
+#: Words of an automaton, about; one of words that are all different has twice as many states at most, of some 300 bytes.
+SHARD_WORDS = 1 << 16
+#: Words that one task streams past an automaton made from as many as SHARD_WORDS, so that making it doesn't outweigh its use.
+STREAM_WORDS = 1 << 18
+#: Shards over these bounds are told by broadcast up to so many (20 bytes each), by a shuffle beyond.
+BROADCAST_ROWS = 1 << 18
+NOBODY = (1 << 63) - 1
 _Q = 0xD6E8FEB86659FD93
 
 
 class SuffixAutomaton:
-    """Suffix automaton over hashable symbols, extended one symbol at a time; several sequences may be added."""
+    """Suffix automaton over hashable symbols, extended one symbol at a time; several sequences may be added, each with its holder."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.last = 0
-
-    def begin(self) -> None:
-        self.last = 0
+        self.holder = [NOBODY]
 
     def _clone(self, p: int, q: int, symbol) -> int:
         c = len(self.next)
         self.next.append(dict(self.next[q]))
         self.length.append(self.length[p] + 1)
         self.link.append(self.link[q])
+        self.holder.append(NOBODY)  # what is below it in the tree of links tells
         self.link[q] = c
         while p >= 0 and self.next[p].get(symbol) == q:
             self.next[p][symbol] = c
             p = self.link[p]
         return c
 
-    def extend(self, symbol) -> None:
-        p = self.last
+    def _extend(self, p: int, symbol) -> int:
         q = self.next[p].get(symbol)
         if q is not None:  # there already, from another sequence
-            self.last = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, symbol)
-            return
+            return q if self.length[q] == self.length[p] + 1 else self._clone(p, q, symbol)
         cur = len(self.next)
         self.next.append({})
         self.length.append(self.length[p] + 1)
         self.link.append(0)
+        self.holder.append(NOBODY)
         while p >= 0 and symbol not in self.next[p]:
             self.next[p][symbol] = cur
             p = self.link[p]
         if p >= 0:
             q = self.next[p][symbol]
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, symbol)
-        self.last = cur
+        return cur
 
-    def add(self, symbols) -> None:
-        self.begin()
+    def add(self, symbols, holder: int = 0) -> None:
+        at, holders = 0, self.holder
         for s in symbols:
-            self.extend(s)
+            at = self._extend(at, s)
+            if holder < holders[at]:
+                holders[at] = holder
+
+    def finish(self) -> None:
+        """Each state's smallest holder, once all is added: of its own places and of those of the states that link to it."""
+        holders, link = self.holder, self.link
+        for v in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
+            if holders[v] < holders[link[v]]:
+                holders[link[v]] = holders[v]
 
     def matching(self, symbols) -> list[int]:
         """For each place, the length of the longest run of symbols ending there that occurs in what was added."""
@@ -93,6 +105,24 @@ class SuffixAutomaton:
             out.append(n)
         return out
 
+    def holders_of(self, symbols, window: int) -> list[int]:
+        """For each window of symbols, the smallest holder of one equal to it; NOBODY: none. The matching statistic is cut at ``window``."""
+        out, v, n = [], 0, 0
+        nexts, link, length, holders = self.next, self.link, self.length, self.holder
+        for s in symbols:
+            while v and s not in nexts[v]:
+                v = link[v]
+                n = length[v]
+            if s in nexts[v]:
+                v = nexts[v][s]
+                n += 1
+            if n >= window:
+                while length[link[v]] >= window:
+                    v = link[v]
+                n = window
+            out.append(holders[v] if n == window else NOBODY)
+        return out[window - 1 :]
+
 
 def _least(g: np.ndarray, w: int) -> np.ndarray:
     """Least of every w consecutive entries."""
@@ -148,15 +178,13 @@ def _anchors(window: int):
         forget()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for row, _, _, _, (_, _, anchor, content, text) in _each(batch, window):
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), pa.array((content & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(ids[row + text])], ["anchor", "content", "doc_id"]
-                )
+            for row, _, _, _, (_, _, anchor, _, text) in _each(batch, window):
+                yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(ids[row + text])], ["anchor", "doc_id"])
 
     return run
 
 
-_PIECE = pa.schema([("shard", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64())])
+_PIECE = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64())])
 
 
 def _pieces(window: int):
@@ -164,135 +192,135 @@ def _pieces(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            ids, listed = (batch.column(c).to_pylist() for c in ("doc_id", "mixed"))
+            ids, listed = (batch.column(c).to_pylist() for c in ("doc_id", "listed"))
             for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
                 rows = set()
                 cut = np.searchsorted(text, np.arange(to - row + 1))
                 for i in range(to - row):
                     a, b = cut[i], cut[i + 1]
                     own = anchor[a:b].view(np.int64)
-                    for j in a + np.flatnonzero(np.isin(own, np.array(listed[row + i], np.int64))):
-                        s, e = int(start[j]), int(start[j] + n[j]) + window - 1
-                        rows.add((int(own[j - a]), int(content[j : j + 1].view(np.int64)[0]), words[s:e].astype(np.uint32).tobytes(), ids[row + i]))
+                    at = a + np.flatnonzero(np.isin(own, np.array(listed[row + i], np.int64)))
+                    ends = start[at] + n[at] + window - 1
+                    for k, c, s, e in zip(own[at - a].tolist(), content[at].view(np.int64).tolist(), start[at].tolist(), ends.tolist(), strict=True):
+                        rows.add((k, c, words[s:e].tobytes(), ids[row + i]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
     return run
 
 
-def _windows(window: int):
-    """A row for each window of a distinct segment."""
+_HELD = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("holders", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("words").to_pylist()
-            lengths = np.array([len(r) // 4 for r in raw], np.int64)
-            words = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
-            begin = np.cumsum(lengths) - lengths
-            row = np.repeat(np.arange(len(raw)), lengths)
-            at = np.arange(len(words)) - begin[row]
-            ok = np.flatnonzero(at <= lengths[row] - window)
-            hashes = runs_of(words, window, seed=37)
-            take = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("shard", "content", "owner")), pa.array(at[ok].astype(np.int32)), _signed(hashes[ok])], ["shard", "content", "owner", "at", "hash"]
-            )
 
-    return run
-
-
-_FOUND = pa.schema([("shard", pa.int64()), ("content", pa.int64()), ("gone", pa.list_(pa.int32()))])
+def _streamed(window: int):
+    """Of rows sorted by shard and task, references first: the smallest holder of each window of the segments that are asked about."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, automaton, waiting, out = None, None, [], []
 
-def spans_of(places: list[int], window: int) -> Iterator[tuple[int, int]]:
-    """First and last word (exclusive) of maximal runs of consecutive windows."""
-    first = None
-    for i, p in enumerate(places):
-        if first is None:
-            first = p
-        if i + 1 == len(places) or places[i + 1] != p + 1:
-            yield first, p + window
-            first = None
-
-
-class _Shard:
-    """The automaton of spans from smaller documents, for segments in the order of their documents."""
-
-    def __init__(self, window: int) -> None:
-        self.window, self.automaton, self.waiting, self.owner = window, SuffixAutomaton(), [], None
+        def answer(k: int, c: int, words: list[int]) -> None:
+            out.append((k, c, automaton.holders_of(words, window)))
 
-    def stream(self, owner: int, raw: bytes, places: list[int] | None, own: bool) -> list[int]:
-        if owner != self.owner:
-            for span in self.waiting:
-                self.automaton.add(span)
-            self.waiting, self.owner = [], owner
-        symbols = np.frombuffer(raw, np.uint32).tolist()
-        if places:
-            self.waiting += [symbols[a:b] for a, b in spans_of(places, self.window)]
-        if not own:
-            return []
-        return [i - self.window + 1 for i, n in enumerate(self.automaton.matching(symbols)) if n >= self.window]
+        def found() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, _HELD, strict=True)], schema=_HELD)
+            out.clear()
+            return batch
 
+        def settle() -> None:
+            """All references are there: those that are asked about themselves have waited (SHARD_WORDS at most)."""
+            automaton.finish()
+            for w in waiting:
+                answer(*w)
+            waiting.clear()
 
-def _automata(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard = None, None
         for batch in batches:
-            out: list = []
-            for k, salt, content, owner, words, places, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "content", "owner", "words", "places", "own")), strict=True):
-                if (k, salt) != key:
-                    key, shard = (k, salt), _Shard(window)
-                gone = shard.stream(owner, words, places, own)
-                if gone:
-                    out.append((k, content, gone))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
+            columns = (batch.column(c).to_pylist() for c in ("shard", "sub", "salt", "anchor", "content", "holder", "words", "refers", "asks"))
+            for shard, sub, salt, k, c, holder, raw, refers, asks in zip(*columns, strict=True):
+                if (shard, sub, salt) != key:
+                    if automaton is not None:
+                        settle()
+                    key, automaton, done = (shard, sub, salt), SuffixAutomaton(), False
+                words = np.frombuffer(raw, np.uint64).tolist()
+                if refers:
+                    automaton.add(words, holder)
+                    if asks:
+                        waiting.append((k, c, words))
+                else:
+                    if not done:
+                        settle()
+                        done = True
+                    answer(k, c, words)
+                if len(out) >= 4096:
+                    yield found()
+        if automaton is not None:
+            settle()
+            yield found()
 
     return run
 
 
+def _dealt(distinct: DataFrame) -> DataFrame:
+    """Distinct segments as rows of automata and tasks: shard, sub, salt, and whether the row refers, asks, or both."""
+    size = F.octet_length("words") / 8
+    total = distinct.agg(F.sum(size)).first()[0] or 0
+    shards = max(1, -(-int(total) * 2 // SHARD_WORDS))  # half full, so that most stay below the bound
+    rows = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    over = rows.groupBy("shard").agg(F.sum(size).alias("_w")).where(F.col("_w") > SHARD_WORDS)
+    over = materialize(over.select("shard", F.ceil(F.col("_w") / SHARD_WORDS).cast("int").alias("_subs"), F.ceil(F.col("_w") / STREAM_WORDS).cast("int").alias("_salts")), "over")
+    rows = rows.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "shard", "left")
+    rows = rows.withColumns({"_subs": F.coalesce("_subs", F.lit(1)), "_salts": F.coalesce("_salts", F.lit(1))})
+    rows = rows.withColumns({"_sub": F.pmod("content", "_subs").cast("int"), "_salt": F.pmod(F.xxhash64("content"), "_salts").cast("int")})
+    place = lambda sub, salt: F.struct(sub.alias("sub"), salt.alias("salt"), (sub == F.col("_sub")).alias("refers"), (salt == F.col("_salt")).alias("asks"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    refers = F.transform(upto("_salts"), lambda s: place(F.col("_sub"), s))
+    asks = F.transform(F.filter(upto("_subs"), lambda j: j != F.col("_sub")), lambda j: place(j, F.col("_salt")))
+    return rows.select("shard", "anchor", "content", "holder", "words", F.inline(F.concat(refers, asks)))
+
+
 _RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def _removed_words(begins, seg, rows, owned, found, window) -> list[np.ndarray | None]:
+def _removed_words(begins, seg, rows, found, window) -> list[np.ndarray | None]:
     """For each text a mask of the words to remove; None: none."""
-    start, n, anchor, content, text = seg
+    start, _, _, content, text = seg
     cut = np.searchsorted(text, np.arange(rows + 1))
     out: list[np.ndarray | None] = []
     for i in range(rows):
-        if not owned[i] and not found[i]:
+        if not found[i]:
             out.append(None)
             continue
         a, b = int(cut[i]), int(cut[i + 1])
         base = int(begins[i])
         cover = np.zeros(int(begins[i + 1]) - base + 1, np.int32)
-        whole = set(owned[i] or [])
-        some = {f["content"]: f["gone"] for f in found[i] or []}
-        for j, k, c in zip(range(a, b), anchor[a:b].view(np.int64).tolist(), content[a:b].view(np.int64).tolist(), strict=True):
-            at = [-1] if k in whole else some.get(c)
-            if at is None:
-                continue
-            s = int(start[j]) - base
-            if at == [-1]:
-                cover[s] += 1
-                cover[s + int(n[j]) + window - 1] -= 1
-            else:
-                for x, y in spans_of(at, window):
-                    cover[s + x] += 1
-                    cover[s + y] -= 1
+        gone = {f["content"]: f["gone"] for f in found[i]}
+        for s, c in zip(start[a:b].tolist(), content[a:b].view(np.int64).tolist(), strict=True):
+            for x, y in spans_of(gone.get(c, ()), window):
+                cover[s - base + x] += 1
+                cover[s - base + y] -= 1
         out.append(np.cumsum(cover[:-1]) > 0)
     return out
 
 
-def _cut(window: int, texts: bool):
+def spans_of(places: list[int], window: int) -> Iterator[tuple[int, int]]:
+    """First and last word (exclusive) of maximal runs of consecutive windows."""
+    first = None
+    for i, p in enumerate(places):
+        if first is None:
+            first = p
+        if i + 1 == len(places) or places[i + 1] != p + 1:
+            yield first, p + window
+            first = None
+
+
+def _cut(window: int, texts: bool, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in _small(batches):
-            owned, found = (batch.column(c).to_pylist() for c in ("owned", "found"))
+            found = batch.column(name).to_pylist()
             n_words, n_removed, shas, kept_texts = [], [], [], []
             column = batch.column("text")
             for row, to, _, begins, seg in _each(batch, window):
-                masks = _removed_words(begins, seg, to - row, owned[row:to], found[row:to], window)
+                masks = _removed_words(begins, seg, to - row, found[row:to], window)
                 for i, mask in enumerate(masks):
                     text = (column[row + i].as_py() or "").encode()
                     w = text.split()
@@ -303,7 +331,7 @@ def _cut(window: int, texts: bool):
                     shas.append(hashlib.sha256(joined).hexdigest())
                     if texts:
                         kept_texts.append(column[row + i].as_py() if len(kept) == len(w) else _spliced(text, mask))
-            rest = [n for n in batch.schema.names if n not in ("owned", "found") and (not texts or n != "text")]
+            rest = [n for n in batch.schema.names if n != name and (not texts or n != "text")]
             if not texts:
                 rest.remove("text")
             more = {"text": pa.array(kept_texts, pa.string())} if texts else {}
@@ -331,41 +359,40 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows are judged on
     the input. Null and empty texts have no words, and nothing to remove. Rows with a null doc_id are neither cut nor
-    references; rows that repeat an id don't count as smaller than each other. Other columns stay as they are.
+    references; rows that repeat an id don't count as smaller than each other. Columns named like the three new ones are replaced, all
+    others stay as they are.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = own.mapInArrow(_anchors(window), "anchor long, content int, doc_id long")
-    shards = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    shards = shards.where("lo < hi").select("anchor", "lo", (F.col("c0") != F.col("c1")).alias("differ"))
-    listed = rows.select("anchor", "doc_id").join(shards, "anchor").where("differ or doc_id > lo")
-    of = lambda yes: F.collect_set(F.when(yes, F.col("anchor")))
-    marks = materialize(listed.groupBy("doc_id").agg(of(~F.col("differ")).alias("owned"), of(F.col("differ")).alias("mixed")), "marks")
-
-    todo = marks.where(F.size("mixed") > 0).select("doc_id", "mixed")
-    pieces = materialize(own.join(todo, "doc_id").mapInArrow(_pieces(window), "shard long, content long, words binary, doc_id long"), "pieces")
-    distinct = materialize(pieces.groupBy("shard", "content").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words")), "distinct")
-    each = distinct.mapInArrow(_windows(window), "shard long, content long, owner long, at int, hash long")
-    repeated = each.groupBy("hash").agg(F.min(F.struct("owner", "shard", "content", "at")).alias("first"), F.max("owner").alias("hi")).where("first.owner < hi")
-    places = repeated.select("first.*").groupBy("shard", "content").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    places = materialize(places, "places")
-    salts = distinct.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPLIT)).cast("int").alias("salts"))
-    salts = salts.join(places.select("shard").distinct(), "shard")
-    todo = distinct.join(salts, "shard").join(places, ["shard", "content"], "left").withColumn("_own", F.pmod("content", "salts").cast("int"))
-    every = F.when(F.col("places").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("_own"))
-    todo = todo.withColumn("salt", F.explode(every)).withColumn("own", F.col("salt") == F.col("_own"))
-    todo = todo.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "owner", "content").select("shard", "salt", "content", "owner", "words", "places", "own")
-    matched = todo.mapInArrow(_automata(window), "shard long, content long, gone array<int>")
-    owners = materialize(distinct.select("shard", "content", "owner").join(matched, ["shard", "content"], "left"), "owners")
-    by = pieces.select("shard", "content", F.col("doc_id")).join(owners, ["shard", "content"]).where("doc_id > owner or gone is not null")
-    gone = F.when(F.col("doc_id") > F.col("owner"), F.array(F.lit(-1))).otherwise(F.col("gone"))
-    by = by.groupBy("doc_id").agg(F.collect_list(F.struct("content", gone.alias("gone"))).alias("found"))
-    verdict = marks.where(F.size("owned") > 0).select("doc_id", "owned").join(by, "doc_id", "full")
-    verdict = materialize(verdict, "verdict")
-    names = [c for c in docs.columns if c not in ("owned", "found", "n_words", "n_removed", "kept_sha256")]
-    joined = docs.select(*names).join(verdict, "doc_id", "left")
+    rows = materialize(own.mapInArrow(_anchors(window), "anchor long, doc_id long"), "anchors")
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi")
+    shared = materialize(shared.select("anchor", "_n"), "shared")
+    marks = materialize(join_skewed(rows, shared, ["anchor"], "_n").groupBy("doc_id").agg(F.collect_set("anchor").alias("listed")), "marks")
+
+    pieces = materialize(own.join(marks, "doc_id").mapInArrow(_pieces(window), "anchor long, content long, words binary, doc_id long"), "pieces")
+    distinct = pieces.groupBy("anchor", "content").agg(F.min("doc_id").alias("holder"), F.first("words").alias("words"), F.count(F.lit(1)).alias("_n"))
+    distinct = materialize(distinct, "distinct")
+    todo = _dealt(distinct.drop("_n")).repartition("shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", F.col("refers").desc(), "anchor", "content")
+    held = materialize(todo.mapInArrow(_streamed(window), "anchor long, content long, holders array<long>"), "held")
+    # several shards of an anchor: the smallest holder of each window in all of them
+    several = held.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("_c"), F.first("holders").alias("holders"))
+    split = several.where("_c > 1").select("anchor", "content").join(held, ["anchor", "content"])
+    split = split.select("anchor", "content", F.posexplode("holders").alias("_at", "_h")).groupBy("anchor", "content", "_at").agg(F.min("_h").alias("_h"))
+    split = split.groupBy("anchor", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"]).alias("holders"))
+    held = several.where("_c = 1").select("anchor", "content", "holders").unionByName(split)
+    held = held.join(distinct.select("anchor", "content", "holder", "_n"), ["anchor", "content"])
+    held = materialize(held.where((F.col("_n") > 1) | F.exists("holders", lambda h: h < F.col("holder"))).drop("holder"), "holders")
+
+    by = join_skewed(pieces.select("anchor", "content", "doc_id"), held, ["anchor", "content"], "_n")
+    by = by.withColumn("gone", F.filter(F.sequence(F.lit(0), F.size("holders") - 1), lambda i: F.get("holders", i) < F.col("doc_id"))).where(F.size("gone") > 0)
+    name = next(n for n in (f"_found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    by = materialize(by.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("content", "gone")).alias(name)), "verdict")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
+    # null ids don't meet in one task
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    joined = docs.select(*names).join(by, (key == F.col("_id")) & F.col("doc_id").isNotNull(), "left").select(*names, name)
     kept = [c for c in names if c != "text"] + (["text"] if texts else [])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", " + _RESULT
-    return joined.mapInArrow(_cut(window, texts), schema)
+    return joined.mapInArrow(_cut(window, texts, name), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,6 +463,7 @@ def brute_removed(pairs, window):
 
 
 def test_substring_dedup(docs, empty):
+    docs = docs.withColumn("found", F.lit("own")).withColumn("owned", F.lit(1)).withColumn("_found0", F.lit(2))
     got = substring_dedup.remove_repeats(docs)
     assert set(docs.columns) - {"n_words"} <= set(got.columns)
     assert Counter(rows(got.select("doc_id", "n_words", "n_removed", "kept_sha256"))) == Counter(brute_removed(texts(docs), 13))
@@ -471,11 +472,13 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("split", [3, 2048])
-def test_substring_dedup_of_overlapping_passages(spark, monkeypatch, split):
+@pytest.mark.parametrize("words", [64, 1 << 16])
+def test_substring_dedup_of_overlapping_passages(spark, monkeypatch, words):
     import random
 
-    monkeypatch.setattr(substring_dedup, "SPLIT", split)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words)  # with few words, all shards are split
+    monkeypatch.setattr(substring_dedup, "STREAM_WORDS", 2 * words)
+    monkeypatch.setattr(common, "HOT_ROWS", words // 8)
     r = random.Random(7)
     source = [f"v{r.randrange(30)}" for _ in range(120)]
     out = []
@@ -492,9 +495,20 @@ def test_suffix_automaton():
     r = random.Random(1)
     a, b = [[r.randrange(3) for _ in range(60)] for _ in range(2)]
     m = substring_dedup.SuffixAutomaton()
-    m.add(a)
-    m.add(b)
+    m.add(a, 7)
+    m.add(b, 5)
+    m.finish()
     q = [r.randrange(3) for _ in range(80)]
     has = lambda s: any(s == x[i : i + len(s)] for x in (a, b) for i in range(len(x)))
     for i, n in enumerate(m.matching(q)):
         assert has(q[i - n + 1 : i + 1]) and not (n <= i and has(q[i - n : i + 1]))
+    windows = lambda x: {tuple(x[i : i + 4]) for i in range(len(x) - 3)}
+    want = [5 if tuple(q[i : i + 4]) in windows(b) else 7 if tuple(q[i : i + 4]) in windows(a) else substring_dedup.NOBODY for i in range(len(q) - 3)]
+    assert m.holders_of(q, 4) == want and len(set(want)) > 1
+
+
+def test_skewed_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    big = spark.createDataFrame([(i % 3 if i < 40 else 0, i) for i in range(400)] + [(None, 1), (9, 9)], "k int, x int")
+    small = spark.createDataFrame([(0, 374, "a"), (1, 13, "b"), (2, 13, None), (7, 0, "d")], "k int, n int, y string")
+    assert Counter(rows(common.join_skewed(big, small, ["k"], "n"))) == Counter(rows(big.join(small.drop("n"), "k")))
