@@ -4,12 +4,12 @@ Streaming every document past the automata of all shards would be quadratic. Two
 the smallest hash of the M-word runs inside. So texts are cut into segments, maximal runs of windows of one anchor, and the
 reference is sharded by anchor; a segment is streamed past the automaton of its own anchor's shard only.
 
-1. Anchors that only one document has can't repeat; all segments of other anchors are looked at, each distinct one once, with the number and
-   the smallest of the documents that hold it.
-2. Each shard's distinct segments make one suffix automaton, of which each state knows the smallest document that holds its words. A shard
-   holds SHARD_WORDS words or so; where an anchor has more, its segments are dealt over several shards, and its documents
-   are streamed past all of these, dealt over several tasks.
-3. Where the matching statistic of a segment reaches W, the state of the last W words tells the smallest holder of this window; in
+1. Anchors that only one document has can't repeat; of the other anchors' segments, each distinct one (by 64-bit hashes of its words)
+   is looked at once, in the smallest document that holds it. Segments next to each other there make one span.
+2. Anchors are dealt into shards by the smallest document that has them, so that what copies share stays together. A shard's spans make
+   one suffix automaton, of which each state knows the smallest document that holds its words. A shard holds SHARD_WORDS
+   words or so; one with more is dealt over several automata, and its spans are streamed past all of these, in several tasks.
+3. Where the matching statistic of a span reaches W, the state of the last W words tells the smallest holder of this window; in
    documents with a greater doc_id the window's words go.
 
 Words are 64-bit hashes, and windows are equal if all 13 of these are. Counts are partial before any exchange and joins deal hot keys
@@ -37,6 +37,7 @@ STREAM_WORDS = 1 << 18
 #: Shards over these bounds are told by broadcast up to so many (20 bytes each), by a shuffle beyond.
 BROADCAST_ROWS = 1 << 18
 NOBODY = (1 << 63) - 1
+ALL = [-1]
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -184,42 +185,95 @@ def _anchors(window: int):
     return run
 
 
-_PIECE = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64())])
+_PIECE = "head long, content long, windows int, doc_id long"
 
 
 def _pieces(window: int):
-    """Of segments with a listed anchor: the anchor, what tells the segment's words, these words, the document."""
+    """Segments with a shared anchor: the anchor's smallest document, what tells the segment's words, its windows, its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            ids, listed = (batch.column(c).to_pylist() for c in ("doc_id", "listed"))
-            for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
-                rows = set()
+            ids = batch.column("doc_id").to_pylist()
+            for row, to, _, _, (_, n, anchor, content, text) in _each(batch, window):
                 cut = np.searchsorted(text, np.arange(to - row + 1))
+                parts = []
                 for i in range(to - row):
                     a, b = cut[i], cut[i + 1]
-                    own = anchor[a:b].view(np.int64)
-                    at = a + np.flatnonzero(np.isin(own, np.array(listed[row + i], np.int64)))
-                    ends = start[at] + n[at] + window - 1
-                    for k, c, s, e in zip(own[at - a].tolist(), content[at].view(np.int64).tolist(), start[at].tolist(), ends.tolist(), strict=True):
-                        rows.add((k, c, words[s:e].tobytes(), ids[row + i]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
+                    shared, heads = (batch.column(c)[row + i].values.to_numpy() for c in ("anchors", "heads"))
+                    order = np.argsort(shared)
+                    place = np.minimum(np.searchsorted(shared, anchor[a:b].view(np.int64), sorter=order), len(shared) - 1)
+                    ok = np.flatnonzero(shared[order[place]] == anchor[a:b].view(np.int64))
+                    _, first = np.unique(content[a:b][ok], return_index=True)
+                    ok = ok[first]
+                    parts.append((heads[order[place[ok]]], content[a:b][ok].view(np.int64), n[a:b][ok].astype(np.int32), np.full(len(ok), ids[row + i], np.int64)))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["head", "content", "windows", "doc_id"])
 
     return run
 
 
-_HELD = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("holders", pa.list_(pa.int64()))])
+_SPAN = pa.schema([
+    ("shard", pa.int64()), ("sub", pa.int32()), ("salt", pa.int32()), ("refers", pa.bool_()), ("asks", pa.bool_()), ("split", pa.bool_()), ("holder", pa.int64()), ("words", pa.binary()),
+    ("contents", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+])
+SPAN = "shard long, sub int, salt int, refers boolean, asks boolean, split boolean, holder long, words binary, contents array<long>, windows array<long>, counts array<long>"
+
+
+def _spans(window: int):
+    """The distinct segments of their smallest holders, as spans of one shard, with the automata and tasks that they go to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            ids, todo = (batch.column(c).to_pylist() for c in ("doc_id", "todo"))
+            for row, to, words, _, (start, n, _, content, text) in _each(batch, window):
+                out: list[tuple] = []
+                cut = np.searchsorted(text, np.arange(to - row + 1))
+                for i in range(to - row):
+                    want = {t["content"]: t for t in todo[row + i]}
+                    a, b = cut[i], cut[i + 1]
+                    span: list[tuple[int, int, dict]] = []
+                    for s, k, c in zip(start[a:b].tolist(), n[a:b].tolist(), content[a:b].view(np.int64).tolist(), strict=True):
+                        t = want.pop(c, None)
+                        if span and (t is None or s != span[-1][0] + span[-1][1] or t["shard"] != span[0][2]["shard"]):
+                            _placed(span, words, window, ids[row + i], out)
+                            span = []
+                        if t is not None:
+                            span.append((s, k, t))
+                    if span:
+                        _placed(span, words, window, ids[row + i], out)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SPAN, strict=True)], schema=_SPAN)
+
+    return run
+
+
+def _placed(span: list[tuple[int, int, dict]], words: np.ndarray, window: int, holder: int, out: list[tuple]) -> None:
+    """Rows of a span: in its own automaton, once for each of its tasks, and as a question to the shard's other automata."""
+    shard, subs, salts = (span[0][2][c] for c in ("shard", "subs", "salts"))
+    raw = words[span[0][0] : span[-1][0] + span[-1][1] + window - 1].tobytes()
+    own, salt = span[0][2]["content"] % subs, (span[0][2]["content"] >> 20) % salts
+    rest = (subs > 1, holder, raw, [t["content"] for _, _, t in span], [k for _, k, _ in span], [t["n"] for _, _, t in span])
+    out += [(shard, own, s, True, s == salt, *rest) for s in range(salts)]
+    out += [(shard, j, salt, False, True, *rest) for j in range(subs) if j != own]
+
+
+_HELD = pa.schema([("content", pa.int64()), ("n", pa.int64()), ("holders", pa.list_(pa.int64()))])
 
 
 def _streamed(window: int):
-    """Of rows sorted by shard and task, references first: the smallest holder of each window of the segments that are asked about."""
+    """Of rows sorted by automaton and task, references first: the smallest holder of each window of the segments that are asked about;
+    one for all, where they are equal. Left out: segments of which one document only holds any window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, automaton, waiting, out = None, None, [], []
+        key, automaton, waiting, out = None, SuffixAutomaton(), [], []
 
-        def answer(k: int, c: int, words: list[int]) -> None:
-            out.append((k, c, automaton.holders_of(words, window)))
+        def answer(split: bool, holder: int, words: list[int], contents: list[int], windows: list[int], counts: list[int]) -> None:
+            found, at = automaton.holders_of(words, window), 0
+            for c, k, n in zip(contents, windows, counts, strict=True):
+                some = found[at : at + k]
+                at += k
+                if split or n > 1 or min(some) < holder:
+                    out.append((c, n, some if split or min(some) != max(some) else some[:1]))
 
         def found() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, _HELD, strict=True)], schema=_HELD)
@@ -227,54 +281,50 @@ def _streamed(window: int):
             return batch
 
         def settle() -> None:
-            """All references are there: those that are asked about themselves have waited (SHARD_WORDS at most)."""
+            """All references are there; those that are asked about themselves have waited (about SHARD_WORDS at most)."""
             automaton.finish()
             for w in waiting:
                 answer(*w)
             waiting.clear()
 
+        names = ("shard", "sub", "salt", "refers", "asks", "split", "holder", "words", "contents", "windows", "counts")
+        open_ = False
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("shard", "sub", "salt", "anchor", "content", "holder", "words", "refers", "asks"))
-            for shard, sub, salt, k, c, holder, raw, refers, asks in zip(*columns, strict=True):
+            for shard, sub, salt, refers, asks, split, holder, raw, *segs in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (shard, sub, salt) != key:
-                    if automaton is not None:
+                    if open_:
                         settle()
-                    key, automaton, done = (shard, sub, salt), SuffixAutomaton(), False
+                    key, automaton, open_ = (shard, sub, salt), SuffixAutomaton(), True
                 words = np.frombuffer(raw, np.uint64).tolist()
                 if refers:
                     automaton.add(words, holder)
                     if asks:
-                        waiting.append((k, c, words))
+                        waiting.append((split, holder, words, *segs))
                 else:
-                    if not done:
+                    if open_:
                         settle()
-                        done = True
-                    answer(k, c, words)
+                        open_ = False
+                    answer(split, holder, words, *segs)
                 if len(out) >= 4096:
                     yield found()
-        if automaton is not None:
+        if open_:
             settle()
-            yield found()
+        yield found()
 
     return run
 
 
-def _dealt(distinct: DataFrame) -> DataFrame:
-    """Distinct segments as rows of automata and tasks: shard, sub, salt, and whether the row refers, asks, or both."""
-    size = F.octet_length("words") / 8
-    total = distinct.agg(F.sum(size)).first()[0] or 0
-    shards = max(1, -(-int(total) * 2 // SHARD_WORDS))  # half full, so that most stay below the bound
-    rows = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    over = rows.groupBy("shard").agg(F.sum(size).alias("_w")).where(F.col("_w") > SHARD_WORDS)
-    over = materialize(over.select("shard", F.ceil(F.col("_w") / SHARD_WORDS).cast("int").alias("_subs"), F.ceil(F.col("_w") / STREAM_WORDS).cast("int").alias("_salts")), "over")
+def _dealt(distinct: DataFrame, window: int) -> DataFrame:
+    """Distinct segments by their holder, with shard and numbers of automata and of tasks of it: doc_id and todo."""
+    words = F.col("windows") + window - 1
+    total = distinct.agg(F.sum(words)).first()[0] or 0  # overlaps count, so shards are less full than that
+    shards = max(1, -(-int(total) // SHARD_WORDS))
+    rows = distinct.withColumn("shard", F.pmod(F.xxhash64("head"), F.lit(shards)))
+    over = rows.groupBy("shard").agg(F.sum(words).alias("_w")).where(F.col("_w") > 2 * SHARD_WORDS)
+    over = materialize(over.select("shard", F.ceil(F.col("_w") / SHARD_WORDS).cast("int").alias("subs"), F.ceil(F.col("_w") / STREAM_WORDS).cast("int").alias("salts")), "over")
     rows = rows.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "shard", "left")
-    rows = rows.withColumns({"_subs": F.coalesce("_subs", F.lit(1)), "_salts": F.coalesce("_salts", F.lit(1))})
-    rows = rows.withColumns({"_sub": F.pmod("content", "_subs").cast("int"), "_salt": F.pmod(F.xxhash64("content"), "_salts").cast("int")})
-    place = lambda sub, salt: F.struct(sub.alias("sub"), salt.alias("salt"), (sub == F.col("_sub")).alias("refers"), (salt == F.col("_salt")).alias("asks"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    refers = F.transform(upto("_salts"), lambda s: place(F.col("_sub"), s))
-    asks = F.transform(F.filter(upto("_subs"), lambda j: j != F.col("_sub")), lambda j: place(j, F.col("_salt")))
-    return rows.select("shard", "anchor", "content", "holder", "words", F.inline(F.concat(refers, asks)))
+    todo = F.struct("content", "shard", F.coalesce("subs", F.lit(1)).alias("subs"), F.coalesce("salts", F.lit(1)).alias("salts"), "n")
+    return rows.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(todo).alias("todo"))
 
 
 _RESULT = "n_words long, n_removed long, kept_sha256 string"
@@ -282,7 +332,7 @@ _RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 def _removed_words(begins, seg, rows, found, window) -> list[np.ndarray | None]:
     """For each text a mask of the words to remove; None: none."""
-    start, _, _, content, text = seg
+    start, n, _, content, text = seg
     cut = np.searchsorted(text, np.arange(rows + 1))
     out: list[np.ndarray | None] = []
     for i in range(rows):
@@ -293,8 +343,9 @@ def _removed_words(begins, seg, rows, found, window) -> list[np.ndarray | None]:
         base = int(begins[i])
         cover = np.zeros(int(begins[i + 1]) - base + 1, np.int32)
         gone = {f["content"]: f["gone"] for f in found[i]}
-        for s, c in zip(start[a:b].tolist(), content[a:b].view(np.int64).tolist(), strict=True):
-            for x, y in spans_of(gone.get(c, ()), window):
+        for s, k, c in zip(start[a:b].tolist(), n[a:b].tolist(), content[a:b].view(np.int64).tolist(), strict=True):
+            at = gone.get(c, ())
+            for x, y in [(0, k + window - 1)] if at == ALL else spans_of(at, window):
                 cover[s - base + x] += 1
                 cover[s - base + y] -= 1
         out.append(np.cumsum(cover[:-1]) > 0)
@@ -363,27 +414,27 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     others stay as they are.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = materialize(own.mapInArrow(_anchors(window), "anchor long, doc_id long"), "anchors")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi")
-    shared = materialize(shared.select("anchor", "_n"), "shared")
-    marks = materialize(join_skewed(rows, shared, ["anchor"], "_n").groupBy("doc_id").agg(F.collect_set("anchor").alias("listed")), "marks")
-
-    pieces = materialize(own.join(marks, "doc_id").mapInArrow(_pieces(window), "anchor long, content long, words binary, doc_id long"), "pieces")
-    distinct = pieces.groupBy("anchor", "content").agg(F.min("doc_id").alias("holder"), F.first("words").alias("words"), F.count(F.lit(1)).alias("_n"))
-    distinct = materialize(distinct, "distinct")
-    todo = _dealt(distinct.drop("_n")).repartition("shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", F.col("refers").desc(), "anchor", "content")
-    held = materialize(todo.mapInArrow(_streamed(window), "anchor long, content long, holders array<long>"), "held")
-    # several shards of an anchor: the smallest holder of each window in all of them
-    several = held.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("_c"), F.first("holders").alias("holders"))
-    split = several.where("_c > 1").select("anchor", "content").join(held, ["anchor", "content"])
-    split = split.select("anchor", "content", F.posexplode("holders").alias("_at", "_h")).groupBy("anchor", "content", "_at").agg(F.min("_h").alias("_h"))
-    split = split.groupBy("anchor", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"]).alias("holders"))
-    held = several.where("_c = 1").select("anchor", "content", "holders").unionByName(split)
-    held = held.join(distinct.select("anchor", "content", "holder", "_n"), ["anchor", "content"])
-    held = materialize(held.where((F.col("_n") > 1) | F.exists("holders", lambda h: h < F.col("holder"))).drop("holder"), "holders")
-
-    by = join_skewed(pieces.select("anchor", "content", "doc_id"), held, ["anchor", "content"], "_n")
-    by = by.withColumn("gone", F.filter(F.sequence(F.lit(0), F.size("holders") - 1), lambda i: F.get("holders", i) < F.col("doc_id"))).where(F.size("gone") > 0)
+    rows = own.mapInArrow(_anchors(window), "anchor long, doc_id long")
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("head < _hi")
+    shared = materialize(shared.select("anchor", "head", "_n"), "shared")
+    marks = join_skewed(rows, shared, ["anchor"], "_n").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "head")).alias("_s"))
+    marks = materialize(marks.select("doc_id", F.col("_s.anchor").alias("anchors"), F.col("_s.head").alias("heads")), "marks")
+
+    pieces = materialize(own.join(marks, "doc_id").mapInArrow(_pieces(window), _PIECE), "pieces")
+    distinct = pieces.groupBy("content").agg(F.min("doc_id").alias("holder"), F.min("head").alias("head"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
+    todo = _dealt(materialize(distinct, "distinct"), window)
+    spans = own.join(materialize(todo, "todo"), "doc_id").mapInArrow(_spans(window), SPAN)
+    spans = spans.repartition("shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", F.col("refers").desc())
+    held = spans.mapInArrow(_streamed(window), "content long, n long, holders array<long>")
+    # several automata of a shard: the smallest holder of each window in all of them; rows that repeat an id say the same again
+    held = held.groupBy("content").agg(F.max("n").alias("n"), F.collect_set("holders").alias("_h"))
+    least = F.aggregate("_h", F.col("_h")[0], lambda a, x: F.zip_with(a, x, lambda y, z: F.least(y, z)))
+    held = materialize(held.select("content", "n", F.when(F.size("_h") > 1, least).otherwise(F.col("_h")[0]).alias("holders")), "held")
+
+    by = join_skewed(pieces.select("content", "doc_id"), held, ["content"], "n")
+    some = F.filter(F.sequence(F.lit(0), F.size("holders") - 1), lambda i: F.get("holders", i) < F.col("doc_id"))
+    whole = F.when(F.col("holders")[0] < F.col("doc_id"), F.array(F.lit(ALL[0])))
+    by = by.withColumn("gone", F.when(F.size("holders") == 1, whole).otherwise(some)).where(F.size("gone") > 0)
     name = next(n for n in (f"_found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     by = materialize(by.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("content", "gone")).alias(name)), "verdict")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
