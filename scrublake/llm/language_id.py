@@ -9,18 +9,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept_by_worker, load
 
 #: The model is fitted on about so many labelled documents of each language, those of the smallest hashes of doc_id; a bound that
-#: doesn't depend on the corpus. It keeps the most frequent words and n-grams of each length, for each language.
-SAMPLE_DOCS = 2000
-KEPT = 12_000
+#: doesn't depend on the corpus. It keeps all their words and n-grams.
+SAMPLE_DOCS = 400
 LONGEST = 4
-#: Words whose scores a worker remembers, from task to task.
-REMEMBERED = 120_000
+#: Bytes of memory for words whose scores a worker remembers, from task to task.
+REMEMBERED = 48 << 20
 #: Evidence in a document counts as that of so many words at most, so that the score stays short of certainty.
 EVIDENCE = 12.0
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
@@ -51,10 +50,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "gram", "count"])
 
 
-def centred(scores: np.ndarray) -> np.ndarray:
-    return scores - scores.mean()
-
-
 class Model:
     """Log frequencies of words and n-grams, less their mean over languages: a row for each, a column for each language."""
 
@@ -62,27 +57,30 @@ class Model:
         self.uid = uuid.uuid4().hex
         self.languages = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(self.languages)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, n, gram, _ in rows:
+            self.tables[n].setdefault(gram, len(self.tables[n]))
+        counts = [np.zeros((len(t), len(at))) for t in self.tables]
         for lang, n, gram, count in rows:
-            counts[n].setdefault(gram, np.zeros(len(at)))[at[lang]] = count
-        self.tables: list[dict[str, np.ndarray]] = []
-        for table in counts:
-            total = sum(table.values(), np.zeros(len(at)))
-            floor = np.log(0.5 / (total + 1))
-            self.tables.append({g: centred(np.maximum(np.log(np.maximum(c, 0.5)) - np.log(total + 1), floor)) for g, c in table.items()})
+            counts[n][self.tables[n][gram], at[lang]] = count
+        self.scores = []
+        for c in counts:
+            total = c.sum(axis=0)
+            logs = np.log(np.maximum(c, 0.5)) - np.log(total + 1)
+            self.scores.append(logs - logs.mean(axis=1, keepdims=True) if len(at) else logs)
 
     def word(self, w: str) -> np.ndarray:
         """Scores of a word: its own if known, else of its longest n-grams, and of shorter ones inside those that are unseen too."""
         known = self.tables[0].get(w)
         if known is not None:
-            return known
+            return self.scores[0][known]
         total, parts, tables = np.zeros(len(self.languages)), 0, self.tables
         todo = [(g, LONGEST) for g in grams(w, LONGEST)] or [(f" {w} ", len(w) + 2)]
         while todo:
             g, n = todo.pop()
             found = tables[n].get(g) if n <= LONGEST else None
             if found is not None:
-                total += found
+                total += self.scores[n][found]
                 parts += 1
             elif n > 1:
                 todo += [(g[:-1], n - 1), (g[1:], n - 1)]
@@ -93,15 +91,16 @@ class Scorer:
     """Scores texts; remembers the scores of words."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.held = model, {}, 0
         self.table = np.zeros((1024, len(model.languages)))
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         words = [words_in(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         for w in set(chain.from_iterable(words)).difference(self.known):
             n = self.known[w] = len(self.known)
+            self.held += 160 + 2 * len(w) + 8 * self.table.shape[1]
             if n == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[n] = self.model.word(w)
@@ -128,7 +127,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE_DOCS, kept: int = KEPT) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """Fit on ``labelled`` (doc_id, text, lang); rows of a null text or lang are left out.
 
     Languages are counted first; then a threshold on the hash of doc_id takes about ``sample`` documents of each. An empty table gives
@@ -141,9 +140,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE_DOCS, kept: int = KEPT) -> M
     for lang, n in sorted(sizes.items()):
         take = take | ((F.col("lang") == lang) & (hashed < (1 << 30) * min(1.0, sample / n)))
     counts = own.where(take).mapInArrow(_counted, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.col("count").desc(), "gram"))
-    rows = counts.withColumn("_rank", rank).where(F.col("_rank") <= kept).drop("_rank").collect()  # kept * (LONGEST + 1) a language at most
-    return Model([(r["lang"], r["n"], r["gram"], r["count"]) for r in rows])
+    # what about ``sample`` documents of each language hold
+    return Model([(r["lang"], r["n"], r["gram"], r["count"]) for r in counts.orderBy("n", "gram", "lang").collect()])
 
 
 def _predicted(model):
@@ -167,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by KEPT
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample
     return docs.mapInArrow(_predicted(shared), f"{fields}, lang_pred string, score double")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kept_by_worker, load
+from .common import LONG_WORD, kept_by_worker, load
 
 MARK = "▁"
 #: Words whose ids a worker remembers in each of two memories, from task to task, and as many pairs of pieces; by default.
@@ -224,6 +224,9 @@ class Codec:
                 self.known.update((p, ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))) for p, ws in words.items())
             look = self.known.__getitem__
             out += [np.frombuffer(b"".join(map(look, ps)), np.int32) for ps in parts]
+            for p in new:
+                if len(p) > LONG_WORD:  # memories are bounded by numbers of short words
+                    del self.known[p]
         return out
 
     def decode(self, ids) -> str:
