@@ -1,9 +1,15 @@
 """Exact top-k search: dual-tree cover-tree search by inner product.
 
-Rows are dealt into blocks of bounded size by hash. Each block gets a cover tree, once for the rows as candidates and once for the queries
-among them. Pairs of a query block and a candidate block meet in one row of a join; a pair of nodes is passed over if even
-the best inner product that their centres and covering radii allow is below the worst k-th score in the query node.
-Each query's best k of each candidate block are then ranked together.
+1. The top of a cover tree, pivots far from each other taken from a bounded sample, cuts the space into cells, for rows and queries alike; a
+   cell with more rows than a block holds is dealt over several. Each block gets a cover tree, those of queries with small
+   leaves, as queries are few.
+2. Each query block is searched in the blocks of its own cell first, which gives most queries a good k-th score.
+3. From there on a query block goes only to those blocks in which one of its queries could find something better than its worst k-th score,
+   by the block's centre and radius, and takes its scores along. Inside, a pair of nodes is passed over if even the best
+   inner product that centres and covering radii allow is below the worst k-th score in the query node.
+
+Query blocks travel to the blocks of rows, each of which is shuffled once. Vectors without structure leave nothing to prune: then all
+scores are computed, as in any exact search.
 """
 
 from __future__ import annotations
@@ -16,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize
 
-BLOCK, QUERY_BLOCK, LEAF = 2048, 1024, 32
+BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 2048, 256, 32, 4
+#: The pivots, MOST_PIVOTS at most, are taken from so many rows (those of the smallest hashes); every row is then in a cell.
+SAMPLE, MOST_PIVOTS = 2048, 256
+#: Blocks that a query block is held against in one go.
+CHUNK = 1024
 EVERY = 50
 NONE = -(1 << 62)
 
@@ -27,10 +37,12 @@ class CoverTree:
     """Nodes over points in an order in which each node's points are consecutive.
 
     A node covers its points by a centre, one of them, and a radius. Its children are balls of half the radius around points that are
-    further than that from each other's centres; balls of up to LEAF points stay loose in the node, in front of the children.
+    further than that from each other's centres; balls of up to ``leaf`` points that lie close together are leaves, and those of fewer than
+    ``loose`` points stay loose in the node, in front of the children.
     """
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, loose: int = LEAF // 4) -> None:
+        self.leaf, self.loose = leaf, loose
         n = len(points)
         x = points.astype(np.float64)
         norms = np.einsum("ij,ij->i", x, x)
@@ -47,7 +59,7 @@ class CoverTree:
         radius, start, me = float(away.max()), len(self.order), len(self.nodes)
         self.nodes.append((centre, radius, start, 0, 0, []))
         balls, rest = [], idx
-        if len(idx) > LEAF and radius > 0:
+        if len(idx) > self.leaf and radius > 0:
             c = centre
             while len(rest):
                 near = self._away[c, rest] <= radius / 2
@@ -55,12 +67,12 @@ class CoverTree:
                 rest = rest[~near]
                 if len(rest):
                     c = int(rest[0])
-        loose = [b for _, b in balls if len(b) <= LEAF] if balls else [idx]
+        loose = [b for _, b in balls if len(b) < self.loose] if balls else [idx]
         for b in loose:
             self.order += b.tolist()
         middle, children = len(self.order), []
         for c, b in balls:
-            if len(b) > LEAF:
+            if len(b) >= self.loose:
                 children.append(self._build(b, c))
         self.nodes[me] = (centre, radius, start, middle, len(self.order), children)
         return me
@@ -69,8 +81,8 @@ class CoverTree:
 class Block:
     """Vectors with their tree; all in the tree's order."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        tree = CoverTree(vectors)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, loose: int = LEAF // 4) -> None:
+        tree = CoverTree(vectors, leaf, loose)
         place = np.empty(len(ids), np.int64)
         order = np.array(tree.order, np.int64)
         place[order] = np.arange(len(order))
@@ -86,15 +98,23 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class DualSearch:
-    """The k best candidates of every query of a block pair; equal scores go to the smaller id, a query's own id is left out."""
+    """The k best candidates of every query of a block pair; equal scores go to the smaller id, a query's own id is left out.
 
-    def __init__(self, queries: Block, refs: Block, k: int) -> None:
-        self.q, self.r, self.k = queries, refs, k
+    ``floor``: scores that k candidates elsewhere reach; worse ones are of no use. ``computed``: how many scores were.
+    """
+
+    def __init__(self, queries: Block, refs: Block, k: int, floor: np.ndarray | None = None) -> None:
+        self.q, self.r, self.k, self.computed = queries, refs, k, 0
         self.scores = np.full((len(queries.ids), k), NONE, np.int64)
         self.found = np.full((len(queries.ids), k), np.iinfo(np.int64).max, np.int64)
+        self.floor = np.full(len(queries.ids), NONE, np.int64) if floor is None else floor
         if len(queries.ids) and len(refs.ids):
             self._visit(0, 0)
 
+    def _worst(self, start: int, end: int) -> int:
+        """What a candidate must reach to be of use to one of these queries."""
+        return np.maximum(self.scores[start:end, -1], self.floor[start:end]).min()
+
     def _bound(self, qc: np.ndarray, qr: float, qn: float, places: np.ndarray, radii) -> np.ndarray:
         """What inner products between two balls can reach, with room for rounding."""
         mid = self.r.vectors[places].astype(np.float64) @ qc.astype(np.float64)
@@ -105,10 +125,14 @@ class DualSearch:
     def _visit(self, a: int, b: int) -> None:
         c, radius, start, middle, end, kids = self.q.nodes[a]
         rc, rr, *_ = self.r.nodes[b]
-        if self._bound(self.q.vectors[c], radius, self.q.norms[c], np.array([rc]), rr)[0] < self.scores[start:end, -1].min():
+        if self._bound(self.q.vectors[c], radius, self.q.norms[c], np.array([rc]), rr)[0] < self._worst(start, end):
             return
-        if middle > start:
-            self._group(start, middle, self.q.vectors[c], radius, self.q.norms[c], b)
+        if middle > start:  # each loose query by itself where there are few: its own radius is 0
+            if kids:
+                for i in range(start, middle):
+                    self._group(i, i + 1, self.q.vectors[i], 0.0, self.q.norms[i], b)
+            else:
+                self._group(start, middle, self.q.vectors[c], radius, self.q.norms[c], b)
         for kid in kids:
             self._visit(kid, b)
 
@@ -117,22 +141,23 @@ class DualSearch:
         _, _, r0, r1, _, kids = self.r.nodes[b]
         if r1 > r0:
             places = np.arange(r0, r1)
-            places = places[self._bound(c, radius, norm, places, 0.0) >= self.scores[start:end, -1].min()]
+            places = places[self._bound(c, radius, norm, places, 0.0) >= self._worst(start, end)]
             if len(places):
                 self._merge(start, end, places)
         if kids:
             nodes = [self.r.nodes[x] for x in kids]
             bounds = self._bound(c, radius, norm, np.array([x[0] for x in nodes]), np.array([x[1] for x in nodes]))
             for i in np.argsort(-bounds):
-                if bounds[i] < self.scores[start:end, -1].min():
+                if bounds[i] < self._worst(start, end):
                     break
                 self._group(start, end, c, radius, norm, kids[i])
 
     def _merge(self, start: int, end: int, places: np.ndarray) -> None:
         places = places[np.argsort(self.r.ids[places], kind="stable")]
         ids, s = self.r.ids[places], inner(self.q.vectors[start:end], self.r.vectors[places])
+        self.computed += s.size
         s[self.q.ids[start:end, None] == ids[None, :]] = NONE
-        rows = np.flatnonzero(s.max(axis=1) >= self.scores[start:end, -1])
+        rows = np.flatnonzero(s.max(axis=1) >= np.maximum(self.scores[start:end, -1], self.floor[start:end]))
         for at in range(0, len(rows), 256):
             part = rows[at : at + 256]
             t = s[part]
@@ -152,37 +177,126 @@ class DualSearch:
             self.found[start + part] = np.take_along_axis(found, order, axis=1)
 
 
-def _built(column: str):
+def _matrix(rows: list[list[int]], wide: int) -> np.ndarray:
+    """Shorter vectors end in zeros."""
+    return np.array([r + [0] * (wide - len(r)) for r in rows], np.int64).reshape(len(rows), wide)
+
+
+def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
+    """Rows of ``sample`` far from each other, each the farthest from those before: the top of a cover tree."""
+    x = sample.astype(np.float64)
+    away, chosen = np.full(len(x), np.inf), []
+    while len(chosen) < min(most, len(x)) and (not chosen or away.max() > 0):
+        chosen.append(0 if not chosen else int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _celled(pivots: np.ndarray):
+    """Adds the nearest pivot of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (pivots**2).sum(axis=1) / 2
+        for batch in batches:
+            cells = []
+            for at in range(0, len(batch), 2048):
+                rows = batch.column("v")[at : at + 2048].to_pylist()
+                x = _matrix([r[: pivots.shape[1]] for r in rows], pivots.shape[1]).astype(np.float64)
+                cells.append((half - x @ pivots.T).argmin(axis=1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int32))], ["vec_id", "v", "cell"])
+
+    return run
+
+
+def _built(leaf: int, loose: int):
+    """A block's tree; its centre, radius and number of rows."""
+
     def build(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
         rows = table.column("v").to_pylist()
-        wide = max(map(len, rows))
-        vectors = np.array([r + [0] * (wide - len(r)) for r in rows], np.int64).reshape(len(rows), wide)
-        if len(vectors) and np.abs(vectors).max(initial=0) < 1 << 31:
+        vectors = _matrix(rows, max(map(len, rows)))
+        mean = vectors.mean(axis=0)
+        centre = int(((vectors - mean) ** 2).sum(axis=1).argmin())  # the tree's root is centred
+        order = np.append(centre, np.delete(np.arange(len(rows)), centre))
+        ids, vectors = table.column("vec_id").to_numpy()[order], vectors[order]
+        radius = float(np.sqrt(((vectors - vectors[0]).astype(np.float64) ** 2).sum(axis=1)).max())
+        root = vectors[0].tolist()
+        if np.abs(vectors).max(initial=0) < 1 << 31:
             vectors = vectors.astype(np.int32)
-        raw = pickle.dumps(Block(ids, vectors), protocol=5)
-        return pa.table({column: pa.array([table.column(column)[0].as_py()], pa.int32()), f"{column}_tree": pa.array([raw], pa.binary())})
+        raw = pickle.dumps(Block(ids, vectors, leaf, loose), protocol=5)
+        return pa.table({
+            "block": table.column("block")[:1], "cell": table.column("cell")[:1], "centre": pa.array([root], pa.list_(pa.int64())), "radius": pa.array([radius]), "tree": pa.array([raw], pa.binary())
+        })
 
     return build
 
 
+BUILT = "block long, cell int, centre array<long>, radius double, tree binary"
+
+
+def _blocks(rows: DataFrame, size: int, leaf: int, loose: int, name: str) -> DataFrame:
+    """Trees of blocks of about ``size`` rows: a cell's rows are dealt by hash over as many as it needs."""
+    cells = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_parts"))
+    rows = rows.join(F.broadcast(cells), "cell")  # a row for each pivot
+    part = F.pmod(F.xxhash64("vec_id", "v"), "_parts")
+    dealt = rows.select("vec_id", "v", "cell", (F.col("cell") + F.lit(MOST_PIVOTS) * part).cast("long").alias("block"))
+    return materialize(dealt.groupBy("block").applyInArrow(_built(leaf, loose), BUILT), name)
+
+
 def _searched(k: int):
+    """Of rows sorted by block, its own tree first: the k best of each query block that comes along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, refs = None, None
         for batch in batches:
-            for q, r in zip(batch.column("qb_tree"), batch.column("rb_tree"), strict=True):
-                queries, refs = pickle.loads(q.as_py()), pickle.loads(r.as_py())
-                wide = max(queries.vectors.shape[1], refs.vectors.shape[1])
-                for b in (queries, refs):
-                    b.vectors = np.pad(b.vectors, ((0, 0), (0, wide - b.vectors.shape[1]))).astype(np.int64)
-                found = DualSearch(queries, refs, k)
+            for i in range(len(batch)):
+                b, q = batch.column("block")[i].as_py(), batch.column("asked")[i].as_py()
+                raw = pickle.loads(batch.column("tree")[i].as_py())
+                if q is None:
+                    block, refs = b, raw
+                    continue
+                if b != block:
+                    raise ValueError("a query block without rows to search")
+                floor = batch.column("floor")[i]
+                wide = max(raw.vectors.shape[1], refs.vectors.shape[1])
+                for x in (raw, refs):
+                    x.vectors = np.pad(x.vectors, ((0, 0), (0, wide - x.vectors.shape[1]))).astype(np.int64)
+                found = DualSearch(raw, refs, k, floor.values.to_numpy() if floor.is_valid else None)
                 ok = found.scores.ravel() > NONE
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[ok]) for x in (np.repeat(queries.ids, k), found.found.ravel(), found.scores.ravel())], ["query_id", "vec_id", "score"]
+                    [pa.array(np.full(int(ok.sum()), q)), *(pa.array(x[ok]) for x in (np.repeat(raw.ids, k), found.found.ravel(), found.scores.ravel()))], ["asked", "query_id", "vec_id", "score"]
                 )
 
     return run
 
 
+def _search(blocks: DataFrame, routes: DataFrame, k: int, name: str) -> DataFrame:
+    """Query blocks (block, asked, tree, floor) meet the trees of the blocks they go to."""
+    trees = blocks.select("block", F.lit(None).cast("long").alias("asked"), "tree", F.lit(None).cast("array<long>").alias("floor"))
+    both = trees.join(routes.select("block").distinct(), "block", "left_semi").unionByName(routes)
+    both = both.repartition("block").sortWithinPartitions("block", F.col("asked").asc_nulls_first())
+    return materialize(both.mapInArrow(_searched(k), "asked long, query_id long, vec_id long, score long"), name)
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a query block and a chunk of blocks (of other cells): those where one of the queries could find what it needs."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            queries, floors = pickle.loads(row["tree"].as_py()), dict(zip(row["ids"].as_py() or [], row["scores"].as_py() or [], strict=True))
+            floor = np.array([floors.get(q, NONE) for q in queries.ids.tolist()], np.int64)
+            centres = row["centres"].as_py()
+            wide = max(queries.vectors.shape[1], max(map(len, centres)))
+            x = np.pad(queries.vectors, ((0, 0), (0, wide - queries.vectors.shape[1]))).astype(np.float64)
+            mid = x @ _matrix(centres, wide).astype(np.float64).T
+            reach = queries.norms[:, None] * row["radii"].values.to_numpy()[None, :]
+            useful = mid + reach + 1e-9 * (np.abs(mid) + reach) + 1e-6 >= floor[:, None]
+            to = np.flatnonzero(useful.any(axis=0) & (row["cells"].values.to_numpy() != row["cell"].as_py()))
+            if len(to):
+                tree = pa.array([row["tree"].as_py()], pa.binary()).take(pa.array(np.zeros(len(to), np.int64)))
+                floors_ = pa.array([floor], pa.list_(pa.int64())).take(pa.array(np.zeros(len(to), np.int64)))
+                yield pa.RecordBatch.from_arrays([row["blocks"].values.take(pa.array(to)), pa.array(np.full(len(to), row["asked"].as_py())), tree, floors_], ["block", "asked", "tree", "floor"])
+
+
 def whole(embedding: Column) -> Column:
     """floor(256 x) of each component, as a double; null if the vector or one of its components is null or not finite."""
     good = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -197,15 +311,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     give fewer rows; repeated rows count once. Shorter vectors count as if they ended in zeros.
     """
     # before rows are counted and dealt: equal rows would meet in one block, however many
-    vectors, queries = (d.select("vec_id", "v").where("vec_id is not null and v is not null").distinct() for d in (vectors, queries))
-    n_refs, n_queries = (max(1, -(-d.count() // size)) for d, size in ((vectors, BLOCK), (queries, QUERY_BLOCK)))
-    dealt = lambda d, name, n: d.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")).groupBy(name)
-    refs = dealt(vectors, "rb", n_refs).applyInArrow(_built("rb"), "rb int, rb_tree binary")
-    asked = dealt(queries, "qb", n_queries).applyInArrow(_built("qb"), "qb int, qb_tree binary")
-    refs = refs.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    asked = asked.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_refs - 1))))
-    found = refs.join(asked, ["qb", "rb"]).select("qb_tree", "rb_tree").mapInArrow(_searched(k), "query_id long, vec_id long, score long").distinct()
+    vectors, queries = (materialize(d.select("vec_id", "v").where("vec_id is not null and v is not null").distinct(), "vectors") for d in (vectors, queries))
+    n = vectors.count()
+    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("v").limit(SAMPLE).collect()]
+    pivots = pivots_of(_matrix(sample, max(map(len, sample), default=0)), max(1, min(MOST_PIVOTS, -(-n // BLOCK))))
+    if not len(pivots):
+        pivots = np.zeros((1, 0))
+    vectors, queries = (d.mapInArrow(_celled(pivots), "vec_id long, v array<long>, cell int") for d in (vectors, queries))
+    blocks = _blocks(vectors, BLOCK, LEAF, LEAF // 4, "blocks")
+    asked = _blocks(queries, QUERY_BLOCK, QUERY_LEAF, 2, "asked").select(F.col("block").alias("asked"), "cell", "tree")
+
+    none = F.lit(None).cast("array<long>").alias("floor")
+    first = _search(blocks, asked.join(blocks.select("block", "cell"), "cell").select("block", "asked", "tree", none), k, "own")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    kth = first.select("query_id", "vec_id", "score").distinct().withColumn("_r", rank).where(F.col("_r") == k).select("query_id", "score")
+    kth = first.select("asked", "query_id").distinct().join(kth, "query_id").groupBy("asked").agg(F.collect_list(F.struct("query_id", "score")).alias("_f"))
+    kth = kth.select("asked", F.col("_f.query_id").alias("ids"), F.col("_f.score").alias("scores"))
+    # the blocks' centres and radii in chunks, and each query block beside each chunk
+    chunk = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-n // (BLOCK * CHUNK))))).alias("chunk")
+    chunks = blocks.select(chunk, F.struct("block", "cell", "centre", "radius").alias("_b")).groupBy("chunk").agg(F.collect_list("_b").alias("_b"))
+    chunks = chunks.select("chunk", *(F.col(f"_b.{c}").alias(a) for c, a in (("block", "blocks"), ("cell", "cells"), ("centre", "centres"), ("radius", "radii"))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // (BLOCK * CHUNK))) - 1).cast("long")))
+    pairs = asked.join(kth, "asked", "left").withColumn("chunk", every).join(chunks, "chunk")
+    routes = pairs.mapInArrow(_routed, "block long, asked long, tree binary, floor array<long>")
+    found = first.unionByName(_search(blocks, materialize(routes, "routes"), k, "others")).select("query_id", "vec_id", "score").distinct()
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -124,8 +124,8 @@ def test_top_k_of_repeated_rows(spark, monkeypatch):
     """Equal rows count once, and before the blocks are dealt: no block outgrows BLOCK."""
     built, most = topk._built, topk.BLOCK
 
-    def bounded(column):
-        make = built(column)
+    def bounded(leaf, loose):
+        make = built(leaf, loose)
 
         def build(table):
             assert len(table) <= most
@@ -150,13 +150,53 @@ def test_cover_tree_covers_and_prunes():
         away = np.linalg.norm(block.vectors[start:end] - block.vectors[c], axis=1)
         assert away.max() <= radius + 1e-6
     assert sorted(block.ids.tolist()) == list(range(360)) and len(block.nodes) > 6
-    found = topk.DualSearch(topk.Block(np.arange(0, 360, 7), x[::7]), block, 3)
+    found = topk.DualSearch(topk.Block(np.arange(0, 360, 7), x[::7], topk.QUERY_LEAF, 2), block, 3)
     for q, s, f in zip(found.q.ids, found.scores, found.found, strict=True):
         best = sorted((-int(x[q] @ x[c]), c) for c in range(360) if c != q)[:3]
         assert [(-a, b) for a, b in zip(s.tolist(), f.tolist(), strict=True)] == best
+    assert found.computed < 360 * len(found.q.ids) / 2
     assert topk.inner(np.array([[1 << 40]]), np.array([[1 << 20]]))[0, 0] == 1 << 60
 
 
+def clustered(n, groups, width, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, width)) * 300
+    return np.floor(centres[rng.integers(groups, size=n)] + rng.normal(size=(n, width)) * 6).astype(np.int64)
+
+
+def test_few_queries_prune_most_scores():
+    """One row in 50 as queries, 40 clusters: under a fifth of the scores are computed, in a first block and less in a second."""
+    x = clustered(4000, 40, 16, 3)
+    ids = np.arange(4000)
+    queries = topk.Block(ids[::50], x[::50], topk.QUERY_LEAF, 2)
+    first = topk.DualSearch(queries, topk.Block(ids[:2000], x[:2000]), 5)
+    assert first.computed < 80 * 2000 / 5
+    second = topk.DualSearch(queries, topk.Block(ids[2000:], x[2000:]), 5, first.scores[:, -1].copy())
+    assert second.computed < 80 * 2000 / 5
+    both = np.sort(np.concatenate([first.scores, second.scores], axis=1), axis=1)[:, :-6:-1]
+    scores = x[queries.ids] @ x.T
+    scores[np.arange(80), queries.ids] = topk.NONE
+    assert (np.sort(scores, axis=1)[:, :-6:-1] == both).all()
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Many cells, split cells, a common vector; clashing columns and long vectors."""
+    for name, value in (("BLOCK", 60), ("QUERY_BLOCK", 5), ("CHUNK", 3), ("MOST_PIVOTS", 8)):
+        monkeypatch.setattr(topk, name, value)
+    x = clustered(900, 12, 70, 4)
+    x[::7] = x[3]
+    data = [(i, v.tolist(), i, "own") for i, v in enumerate(x)] + [(900, [], 1, "own"), (950, None, 1, None), (None, [1], 1, None)]
+    d = spark.createDataFrame(data, "vec_id long, v array<long>, block int, rank string")
+    got = sorted(rows(topk.top_k(d, d.where("vec_id % 50 = 0"), 5)))
+    want = []
+    every = [(i, v) for i, v, *_ in data if i is not None and v is not None]
+    for q, v in every:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for c, w in every if c != q)[:5]
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -442,6 +482,60 @@ def test_language_id(spark, docs, empty):
     assert model.languages[int(unseen.argmax())] == "de" and model.word("the").argmax() == 1
 
 
+def plain_language(learned, text):
+    """The same model, spelt out for one text."""
+    import math
+
+    words = lambda t: [w for w in language_id.words_in(t or "")]
+    langs = sorted({x for x, _ in learned})
+    counts = [defaultdict(Counter) for _ in range(5)]
+    for lang, t in learned:
+        for w in words(t):
+            counts[0][w][lang] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    if (g := f" {w} "[i : i + n]) != " ":
+                        counts[n][g][lang] += 1
+    totals = [{x: sum(c[x] for c in table.values()) for x in langs} for table in counts]
+
+    def of(n, g):
+        logs = [math.log(max(counts[n][g][x], 0.5)) - math.log(totals[n][x] + 1) for x in langs]
+        return [v - sum(logs) / len(logs) for v in logs]
+
+    def backed_off(g, n):
+        if g in counts[n]:
+            return [of(n, g)]
+        return [] if n == 1 else backed_off(g[:-1], n - 1) + backed_off(g[1:], n - 1)
+
+    def score(w):
+        if w in counts[0]:
+            return of(0, w)
+        m = f" {w} "
+        parts = [p for i in range(len(m) - 3) for p in backed_off(m[i : i + 4], 4)] if len(m) >= 4 else backed_off(m, len(m))
+        return [sum(p[i] for p in parts) / max(1, len(parts)) for i in range(len(langs))]
+
+    ws = words(text)
+    if not ws:
+        return "und", 0.0
+    sums = [sum(x) * min(len(ws), 12) / len(ws) for x in zip(*map(score, ws))]
+    best = max(range(len(langs)), key=lambda i: sums[i])
+    return langs[best], 1 / sum(math.exp(v - sums[best]) for v in sums)
+
+
+def test_language_id_equals_a_plain_model(spark, sf, docs):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(r.lang, r.text) for r in docs.collect() if r.lang is not None and r.text is not None and not (r.doc_id is not None and held(r.doc_id))]
+    want = Counter()
+    known = {}
+    for i, t in texts(docs):
+        known[t] = known.get(t) or plain_language(learned, t)
+        want[i, i is not None and held(i), known[t][0], round(known[t][1], 6)] += 1
+    got = rows(language_id.op9(spark, sf))
+    assert Counter((i, h, lang, round(x, 6)) for i, h, lang, x in got) == want
+    clash = docs.withColumns({"lang_pred": F.lit("own"), "held_out": F.lit("own"), "n": F.lit(1)})
+    assert language_id.identify(clash, language_id.train(clash)).columns == [*docs.columns, "held_out", "n", "lang_pred", "score"] or "score" in docs.columns
+
+
 # ---------------------------------------------------------------- 10
 
 
