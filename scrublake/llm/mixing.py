@@ -119,9 +119,10 @@ def mixed_sources(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, see
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; size is the number of words."""
+    """All documents; size is the number of words. taken_0 and so on: of the words taken, those that each shard takes."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mixed_sources(materialize(docs, "sizes"), seed=5).select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixed_sources(materialize(docs, "sizes"), seed=5)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", *(F.get("taken_by_shard", F.lit(i)).alias(f"taken_{i}") for i in range(SHARDS)))
 
 
 def _sql_seeded(x: str, seed: int) -> str:
@@ -130,6 +131,12 @@ def _sql_seeded(x: str, seed: int) -> str:
     return f"((({t}) % 2147483648) * {_MULT}::BIGINT + {seed}) % {_PRIME}"
 
 
+_ENDS = ", ".join(f"count(*) FILTER (r <= (SELECT seats FROM n) * {i} // {SHARDS}) e{i}" for i in range(SHARDS + 1))
+_RUNS = ", ".join(f"least(coalesce(e{i}, 0) * {BLOCK}, {MAX_EPOCHS} * s.z) run{i}" for i in range(SHARDS + 1))
+#: Words of a document among the first start + run of its source's ring.
+_UPTO_SQL = ", ".join(
+    f"(CASE WHEN z > 0 THEN (start + run{i}) // z * size + greatest(least((start + run{i}) % z, lo + size) - lo, 0) ELSE 0 END)::BIGINT u{i}" for i in range(SHARDS + 1)
+)
 #: The seats are dealt one by one here, from all quotients.
 OP5_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT size FROM documents),
@@ -144,13 +151,11 @@ round(i, no, w, cap, t) AS (
 t AS (SELECT no, cap // 3 z, t FROM round WHERE i = (SELECT count(*) FROM s) + 1),
 n AS (SELECT ceil(sum(t) / {BLOCK})::BIGINT seats FROM t),
 q AS (SELECT no, t / (2 * j + 1) q FROM t, (SELECT unnest(generate_series(0, (SELECT seats FROM n))) j)),
-won AS (SELECT no, count(*) seats FROM (SELECT no FROM q ORDER BY q DESC, no LIMIT (SELECT seats FROM n)) GROUP BY no),
-p AS (SELECT s.source, t.no, s.z, t.t, least(coalesce(seats, 0) * {BLOCK}, 3 * s.z) run, ({_sql_seeded("t.no", 6)}) % greatest(s.z // {BLOCK}, 1) * {BLOCK} start
-  FROM t JOIN s USING (no) LEFT JOIN won USING (no)),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_sql_seeded("doc_id", 5)}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT lo FROM d)
-SELECT doc_id, size, z source_size, t "target",
-  (CASE WHEN z > 0 THEN run // z ELSE 0 END * size
-   + greatest(least(lo + size, start + run % greatest(z, 1)) - greatest(lo, start), 0)
-   + greatest(least(lo + size, start + run % greatest(z, 1) - z) - lo, 0))::BIGINT taken
-FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
+ranked AS (SELECT no, row_number() OVER (ORDER BY q DESC, no) r FROM q),
+ends AS (SELECT no, {_ENDS} FROM ranked GROUP BY no),
+p AS (SELECT s.source, t.no, s.z, t.t, ({_sql_seeded("t.no", 6)}) % greatest(s.z // {BLOCK}, 1) * {BLOCK} start, {_RUNS}
+  FROM t JOIN s USING (no) LEFT JOIN ends USING (no)),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_sql_seeded("doc_id", 5)}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT lo FROM d),
+u AS (SELECT doc_id, size, z, t, {_UPTO_SQL} FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, z source_size, t "target", u{SHARDS} - u0 taken, {", ".join(f"u{i + 1} - u{i} taken_{i}" for i in range(SHARDS))} FROM u
 """

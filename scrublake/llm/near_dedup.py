@@ -3,12 +3,13 @@
 1. One pass over the texts gives each document's number of shingles, a key of its whole set, a signature (a bit of each of 240 minima)
    and 40 band keys of six minima each. A pair at 0.8 shares no band with a chance of (1 - 0.8^6)^40, about 5e-6.
 2. Documents of equal sets are one class, with the smallest doc_id as representative; only representatives go on.
-3. In each band bucket the smallest id is the pivot; every member is compared with it: first the signatures, then the full sets.
-   Buckets whose members are then in different components get further pivots while that pays; in the end the members of different
-   components are compared pair by pair, so no candidate is dropped, while a group of near copies costs a few comparisons
-   for each member and not one for each pair. Before that, counts of the shingles that other such documents have too, in 64 buckets
-   by hash, bound what two documents can share; members and pairs that can't reach the threshold by this exact bound need
-   no comparison.
+3. In each band bucket the smallest id is the pivot; every member is compared with it: first the signatures, then the full sets. Members
+   of a large bucket are dealt over several tasks, and the pivot's set goes to each once for PARTNERS members.
+   Buckets whose members are then in different components get further pivots while that pays. Before that, counts of the shingles that other
+   such documents have too, in 64 buckets by hash, bound what two documents can share; pairs that can't reach the threshold
+   by this exact bound need no comparison. Documents that are still in buckets of several components are compared if they share
+   one of their rarest shingles (a prefix filter, which is exact), so a group of near copies costs a few comparisons for
+   each member and not one for each pair.
 4. Components come from alternating large-star and small-star steps, each written to the shared folder.
 """
 
@@ -19,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
+from .common import forget, join_skewed, load, materialize, mixed, runs_of, splitmix, text_buffers, words_of
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
-#: Bits of the signatures of two documents at the threshold differ in (1 - s) / 2 of HASHES places; so many standard deviations more pass.
-SIGMAS = 5.5
+#: Bits of the signatures of two documents at the threshold differ in (1 - s) / 2 of HASHES places; so many standard deviations more pass:
+#: of a pair at the threshold, less than 1 in 10^10 is lost by that, far less than by the bands.
+SIGMAS = 7.0
+#: A pivot's set is sent along once for so many of the sets that it is compared with.
+PARTNERS = 256
 #: Documents of pairs to be confirmed are looked up by broadcast up to so many rows (16 bytes each), by a shuffle beyond.
 BROADCAST_ROWS = 1 << 19
 #: Further pivots of a bucket in a turn, and turns at most; then pairs are taken one by one.
@@ -116,7 +120,7 @@ def _sets(k: int):
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 sets = [s.tobytes() for _, s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "side")), pa.array(sets, pa.binary())], ["a", "b", "side", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "part", "b")), pa.array(sets, pa.binary())], ["a", "part", "b", "shingles"])
 
     return run
 
@@ -164,34 +168,27 @@ def _bounds(ids: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFra
 
 
 def _alike(percent: int):
-    """Of rows sorted by pair, the pairs of which a set of side 0 and a set of side 1 reach the threshold."""
+    """Of rows sorted by a, part and b (null: the sets of a itself, first), the pairs of which two sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, sides = None, ([], [])
-
-        def linked() -> bool:
-            for x in sides[0]:
-                for y in sides[1]:
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        return True
-            return False
-
-        def links(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
+        key, own = None, []
         for batch in batches:
             found = []
             for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                for a, b, side, raw in zip(*(part.column(c).to_pylist() for c in ("a", "b", "side", "shingles")), strict=True):
-                    if (a, b) != pair:
-                        if linked():
-                            found.append(pair)
-                        pair, sides = (a, b), ([], [])
-                    sides[side].append(np.frombuffer(raw, np.uint64))
-            yield links(found)
-        yield links([pair] if linked() else [])
+                some = batch.slice(at, 256)
+                for a, part, b, raw in zip(*(some.column(c).to_pylist() for c in ("a", "part", "b", "shingles")), strict=True):
+                    y = np.frombuffer(raw, np.uint64)
+                    if (a, part) != key:
+                        key, own = (a, part), []
+                    if b is None:
+                        own.append(y)
+                        continue
+                    for x in own:
+                        both = len(x) + len(y) - len(np.union1d(x, y))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            found.append((a, b))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -204,24 +201,26 @@ def unlike(percent: int, bits: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the sets are made again from the whole texts."""
+    """The pairs (a, b) whose full sets reach the threshold; the sets are made again from the whole texts, that of a once for PARTNERS
+    or so of its pairs."""
     pairs = materialize(pairs, "pairs")
-    n = pairs.count()
-    routes = pairs.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    routes = routes.withColumn("doc_id", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    if 2 * n <= BROADCAST_ROWS:
+    counts = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_n")), "counts")
+    dealt = join_skewed(pairs, counts, ["a"], "_n").select("a", F.pmod(F.xxhash64("b"), "_parts").cast("int").alias("part"), "b")
+    first = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    routes = dealt.withColumn("doc_id", F.col("b")).unionByName(first.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")))
+    routes = materialize(routes, "routes")
+    if routes.count() <= BROADCAST_ROWS:
         routes = F.broadcast(routes)
-    sets = docs.join(routes, "doc_id").select("a", "b", "side", "text").mapInArrow(_sets(k), "a long, b long, side int, shingles binary")
-    sets = sets.repartition("a", "b").sortWithinPartitions("a", "b")
-    return materialize(sets.mapInArrow(_alike(percent), "a long, b long"), "links")
+    sets = docs.join(routes, "doc_id").select("a", "part", "b", "text").mapInArrow(_sets(k), "a long, part int, b long, shingles binary")
+    sets = sets.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(sets.mapInArrow(_alike(percent), "a long, b long").distinct(), "links")
 
 
-def _likely(stars: DataFrame, signatures: DataFrame, percent: int, bits: int = HASHES) -> DataFrame:
-    """Distinct pairs (a, b) of pivot and doc_id, a < b, whose signatures are near."""
-    pairs = stars.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    pairs = pairs.join(signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
-    pairs = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a")
-    return pairs.where(~unlike(percent, bits)).select("a", "b")
+def _likely(stars: DataFrame, centres: DataFrame, percent: int, bits: int = HASHES) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a member and its bucket's pivot, whose signatures are near. ``stars``: key, doc_id, signature;
+    ``centres``: key, pivot, sig_a, and n, the number of members."""
+    pairs = join_skewed(stars, centres, ["key"], "n").withColumnRenamed("signature", "sig_b").where((F.col("doc_id") != F.col("pivot")) & ~unlike(percent, bits))
+    return pairs.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
 
 
 def _smallest(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -272,6 +271,29 @@ def _possible(percent: int, parts: bool = True) -> Column:
     return F.coalesce(reach(shared), F.lit(True))
 
 
+def _prefixes(left: DataFrame, several: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of documents ``left`` (doc_id, component), the rarest shingles: doc_id, component, n, shingle.
+
+    Two sets of n and m shingles that reach the threshold share ``percent`` hundredths of n; of the shingles in one order for all, here by
+    the number of documents that have them, the n - that + 1 first of each must then have one in common.
+    Shingles that no other prefix has are left out. Ids of ``several`` texts keep all their shingles, and no n.
+    """
+    if left.count() <= BROADCAST_ROWS:
+        left = F.broadcast(left)
+    rows = materialize(docs.join(left.select("doc_id").distinct(), "doc_id").mapInArrow(_rows(k), "doc_id long, shingle long").distinct(), "shingles")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = materialize(common.withColumn("_df", F.col("n")), "common")
+    sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = join_skewed(rows, common, ["shingle"], "n")
+    # shingles of one document only come first in the order: so many of the prefix are used up by them
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_df", "shingle"))
+    some = shared.withColumns({"_i": order, "_s": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))}).join(sizes, "doc_id").join(several.withColumn("_all", F.lit(True)), "doc_id", "left")
+    most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.col("_s"))
+    some = some.where((F.col("_i") <= most) | F.col("_all")).select("doc_id", F.when(F.col("_all"), None).otherwise(F.col("n")).alias("n"), "shingle")
+    twice = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("shingle")
+    return some.join(twice, "shingle", "left_semi").join(left, "doc_id").select("doc_id", "component", "n", "shingle")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept.
 
@@ -290,8 +312,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signatures = alone.select("doc_id", "signature")
     rows = alone.select("doc_id", F.explode("bands").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_other"), F.count(F.lit(1)).alias("n")).where("pivot < _other")
-    buckets = materialize(rows.join(pivots.select("key", "pivot", "n"), "key"), "buckets")
-    links = _confirmed(_likely(buckets, signatures, percent), docs, shingle, percent)
+    pivots = materialize(pivots.select("key", "pivot", "n"), "pivots")
+    buckets = materialize(join_skewed(rows, pivots.withColumn("_n", F.col("n")), ["key"], "_n"), "buckets")
+    stars = materialize(buckets.join(signatures, "doc_id").select("key", "doc_id", "pivot", "signature", "n"), "stars")
+    centres = materialize(stars.where("doc_id = pivot").select("key", "pivot", F.col("signature").alias("sig_a"), "n"), "centres")
+    links = _confirmed(_likely(stars.select("key", "doc_id", "signature"), centres, percent), docs, shingle, percent)
     several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")  # ids of several texts
     inside = buckets.where("n > 2").select("key", "doc_id")
     for turn in range(TURNS + 1):
@@ -307,22 +332,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         n_rows, apart = sizes.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_n") - F.col("_own"))).first()
         if turn == TURNS or (apart or 0) <= 2 * PIVOTS * (n_rows or 0):
             break
-        picked = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "doc_id").alias("h"), "doc_id", "component", "n", "most", "parts")) for i in range(PIVOTS)]
-        more = inside.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("_p")).select("key", F.inline("_p"))
-        more = more.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("parts").alias("_parts"))
-        stars = inside.join(more, "key").where(F.col("component") != F.col("_c")).where(_possible(percent))
-        new = _confirmed(_likely(stars, longer, percent, LONG), docs, shingle, percent)
+        signed = materialize(inside.join(longer.select("doc_id", "signature"), "doc_id"), "signed")
+        theirs = {"doc_id": "pivot", "component": "_c", "n": "_n", "most": "_most", "parts": "_parts", "signature": "sig_a"}
+        picked = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "doc_id").alias("h"), *(F.col(c).alias(x) for c, x in theirs.items()))) for i in range(PIVOTS)]
+        more = materialize(signed.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("_p"), F.count(F.lit(1)).alias("_rows")), "more")
+        stars = join_skewed(signed, more, ["key"], "_rows").select("doc_id", "component", "n", "most", "parts", F.col("signature").alias("sig_b"), F.inline("_p"))
+        stars = stars.where((F.col("component") != F.col("_c")) & _possible(percent) & ~unlike(percent, LONG))
+        new = _confirmed(stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct(), docs, shingle, percent)
         links = links.union(new)
         inside = inside.drop("component")
 
-    signed = inside.join(longer, "doc_id")
-    other = {"doc_id": "a", "component": "_c", "signature": "sig_a", "bands": "_bands", "n": "_n", "most": "_most", "parts": "_parts"}
-    one = signed.withColumnsRenamed(other)
-    two = signed.withColumnsRenamed({"key": "_key", "doc_id": "b", "signature": "sig_b"})
-    apart = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component"))
-    once = F.col("key") == F.array_min(F.array_intersect("bands", "_bands"))  # of the buckets that a pair shares, one compares it
-    rest = one.join(two, apart & _possible(percent, parts=False) & ~unlike(percent, LONG) & once & _possible(percent)).select("a", "b").distinct()
-    links = links.union(_confirmed(rest, docs, shingle, percent))
+    # what is left: documents that share one of their rarest shingles, without which two sets can't reach the threshold
+    left = materialize(inside.select("doc_id", "component").distinct(), "left")
+    rest = materialize(_prefixes(left, several, docs, shingle, percent), "prefixes")
+    one = rest.withColumnsRenamed({"doc_id": "a", "component": "_c", "n": "_n"})
+    two = rest.withColumnRenamed("doc_id", "b")
+    sizes = (F.col("n") * 100 >= F.col("_n") * percent) & (F.col("_n") * 100 >= F.col("n") * percent)
+    apart = (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component")) & F.coalesce(sizes, F.lit(True))
+    rest = one.join(two, "shingle").where(apart).select("a", "b").distinct()
+    rest = rest.join(longer.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a").join(longer.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
+    links = links.union(_confirmed(rest.where(~unlike(percent, LONG)).select("a", "b").distinct(), docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together
     ties = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
