@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scrublake.operators.fields import field_detections, text_pool
 from scrublake.operators.lines import group_lines, span_box
-from scrublake.operators.merge import BOX, masked, merge_sources
+from scrublake.operators.merge import BOX, merge_sources
 from scrublake.operators.scan import scan_text
 
 COLUMNS = ("page_id", "_stage", "_row", "_no", "id", "type", "text", "bbox", "source", "sources", "selector", "confidence", "context")
@@ -65,18 +65,19 @@ def payload(pages: DataFrame, elements: DataFrame, detections: DataFrame) -> Dat
     return pages.join(gathered(elements, "el_idx", "elements"), "page_id", "left").join(gathered(detections, "det_no", "detections"), "page_id", "left")
 
 
-def overlay(detections: DataFrame, most: int = 300, layers: dict[str, bool] | None = None) -> DataFrame:
-    """Boxes to draw: sides in order, cut at 0, at least a pixel each way; labels masked; ``most`` of each layer (source)."""
-    from scrublake.sources.inventory import capped
-
+def overlay(detections: DataFrame, layers: dict[str, bool] | None = None) -> DataFrame:
+    """Boxes to draw for all detections: cut at 0, at least a pixel each way; the label has type, sources and six characters of the value."""
     off = [k for k, on in (layers or {}).items() if not on]
     b = F.col("bbox")
-    right, bottom = b["left"] + b["width"], b["top"] + b["height"]
-    left, top = F.greatest(F.lit(0.0), F.least(b["left"], right)), F.greatest(F.lit(0.0), F.least(b["top"], bottom))
-    width, height = F.greatest(left, F.greatest(b["left"], right)) - left, F.greatest(top, F.greatest(b["top"], bottom)) - top
-    rows = detections.select("page_id", "det_no", F.col("source").alias("layer"), "type", masked(F.col("text")).alias("label"), left.alias("left"), top.alias("top"), width.alias("width"), height.alias("height"))
-    finite = (F.abs("left") < float("inf")) & (F.abs("top") < float("inf")) & ~F.isnan("left") & ~F.isnan("top")
-    rows = rows.where(finite & (F.col("width") >= 1) & (F.col("height") >= 1))
-    if off:
-        rows = rows.where(~F.col("layer").isin(*off))
-    return capped(rows.withColumn("_page_layer", F.concat_ws("|", F.col("page_id").cast("string"), "layer")), "_page_layer", [F.col("det_no")], most).drop("_page_layer")
+    at = lambda k, least: F.greatest(F.lit(least), b[k]).alias(k)
+    sources = F.array_join(F.coalesce("sources", F.array("source")), "+")
+    label = F.concat("type", F.lit(" · "), sources, F.lit(" · "), F.substring("text", 1, 6), F.lit("…"))
+    rows = detections.where(~F.col("source").isin(*off)) if off else detections
+    return rows.select("page_id", "det_no", F.col("source").alias("layer"), "type", label.alias("label"), at("left", 0.0), at("top", 0.0), at("width", 1.0), at("height", 1.0))
+
+
+def word_overlay(words: DataFrame, most: int = 300) -> DataFrame:
+    """The first ``most`` recognised words of each frame, by token_no, with 22 characters each as label."""
+    from scrublake.sources.inventory import capped
+
+    return capped(words.withColumn("label", F.substring("text", 1, 22)), "frame_id", [F.col("token_no")], most)

@@ -29,6 +29,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 SCOPES = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}, "dt": {"dl"}, "dd": {"dl"}}
+#: What stands on lines of its own in visible text, and what is a cell.
+BLOCKS = CLOSES_P | {"body", "html", "li", "dt", "dd", "tr", "caption", "figure", "figcaption", "option", "legend", "details", "summary"}
+CELLS = {"td", "th"}
 _SPACE = re.compile("[\t\n\x0b\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+")
 
 
@@ -37,13 +40,13 @@ def squeezed(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "place", "tag")
+    __slots__ = ("attrs", "children", "parent", "place", "places", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.place = 1
+        self.place, self.places = 1, {}
         if parent is not None:
-            self.place += sum(1 for c in parent.children if isinstance(c, Node) and c.tag == tag)
+            self.place = parent.places[tag] = parent.places.get(tag, 0) + 1
             parent.children.append(self)
 
     def walk(self) -> Iterator[Node]:
@@ -60,20 +63,25 @@ class Node:
             n = n.parent
 
     def text(self, shown: bool = False, skip: tuple[str, ...] = ()) -> str:
-        """All text inside; ``shown``: as a reader sees it, without scripts, styles and hidden parts."""
+        """All text inside; ``shown``: as a reader sees it, without scripts, styles and hidden parts, with breaks around blocks and cells."""
         out, stack = [], [self]
         while stack:
             n = stack.pop()
             if isinstance(n, str):
                 out.append(n)
             elif n.tag not in skip and not (shown and (n.tag in ("script", "style", "template", "noscript") or hides(n))):
+                around = "" if not shown or n is self else "\n" if n.tag in BLOCKS or n.tag == "br" else "\t" if n.tag in CELLS else ""
+                if around:
+                    out.append(around)
+                    stack.append(around)
                 stack += reversed(n.children)
         return "".join(out)
 
 
-def hides(n: Node) -> bool:
+def hides(n: Node, clear: bool = False) -> bool:
+    """Whether a node's own style hides what is inside; ``clear``: or makes itself transparent."""
     style = n.attrs.get("style", "").lower().replace(" ", "")
-    return "hidden" in n.attrs or bool(re.search(r"display:none|visibility:(hidden|collapse)|opacity:0(?![.\d])", style))
+    return "hidden" in n.attrs or bool(re.search(r"display:none|visibility:(hidden|collapse)", style)) or (clear and bool(re.search(r"opacity:0(?![.\d])", style)))
 
 
 class Tree(HTMLParser):
@@ -121,6 +129,29 @@ class Page:
         self.by_id: dict[str, list[Node]] = {}
         for n in self.nodes:
             self.by_id.setdefault(n.attrs.get("id", ""), []).append(n)
+        self.labels: dict[str, Node] = {}
+        #: How many nodes of a tag and name are below each node that has some.
+        self.named: dict[tuple[int, str, str], int] = {}
+        for n in self.nodes:
+            if n.tag == "label" and n.attrs.get("for"):
+                self.labels.setdefault(n.attrs["for"], n)
+            if name := n.attrs.get("name"):
+                for x in n.up():
+                    if x.parent is not None:
+                        key = (id(x.parent), n.tag, name)
+                        self.named[key] = self.named.get(key, 0) + 1
+
+        self.before: dict[int, Node] = {}
+        for p in [self.root, *self.nodes]:
+            kids = [c for c in p.children if isinstance(c, Node)]
+            self.before.update((id(b), a) for a, b in zip(kids, kids[1:], strict=False))
+        self._said: dict[int, str] = {}
+
+    def parent_text(self, n: Node) -> str:
+        """Text of a node without its controls; once for all fields in it."""
+        if id(n) not in self._said:
+            self._said[id(n)] = squeezed(n.text(skip=CONTROLS[:4]))
+        return self._said[id(n)]
 
     def first(self, ident: str) -> Node | None:
         return next(iter(self.by_id.get(ident, ())), None) if ident else None
@@ -135,7 +166,7 @@ class Page:
                 path.append(f"#{ident}")
                 break
             name, parent = n.attrs.get("name"), n.parent
-            if name is not None and parent is not None and sum(1 for c in parent.walk() if c is not parent and c.tag == n.tag and c.attrs.get("name") == name) == 1:
+            if name and parent is not None and self.named.get((id(parent), n.tag, name)) == 1:
                 path.append(f'{n.tag}[name="{name}"]')
             else:
                 path.append(f"{n.tag}:nth-of-type({n.place})")
@@ -149,7 +180,7 @@ class Page:
         """What names a field: label for, label around, aria label, labelling element, the sibling before, the parent's text."""
         ident = n.attrs.get("id", "").strip()
         if ident:
-            found = next((x for x in self.nodes if x.tag == "label" and x.attrs.get("for") == ident), None)
+            found = self.labels.get(ident)
             if found is not None and (text := squeezed(found.text())):
                 return text
         around = next((x for x in n.up() if x.tag == "label"), None)
@@ -161,11 +192,10 @@ class Page:
         if by is not None and (text := squeezed(by.text())):
             return text
         if n.parent is not None:
-            siblings = [c for c in n.parent.children if isinstance(c, Node)]
-            i = siblings.index(n)
-            if i and siblings[i - 1].tag not in CONTROLS[:5] and 0 < len(text := squeezed(siblings[i - 1].text())) <= 80:
+            before = self.before.get(id(n))
+            if before is not None and before.tag not in CONTROLS[:5] and 0 < len(text := squeezed(before.text())) <= 80:
                 return text
-            if 0 < len(text := squeezed(n.parent.text(skip=CONTROLS[:4]))) <= 80:
+            if 0 < len(text := self.parent_text(n.parent)) <= 80:
                 return text
         return None
 
@@ -195,7 +225,9 @@ def _interactive(n: Node) -> bool:
 def _reason(n: Node, overlays: tuple[str, ...]) -> str | None:
     if any(x.attrs.get("id") in overlays for x in n.up()):
         return "EXTENSION_OVERLAY"
-    return "CSS_HIDDEN" if any(hides(x) for x in n.up()) else None
+    if n.tag == "input" and n.attrs.get("type", "").lower() == "hidden":
+        return "ZERO_DIMENSIONS"
+    return "CSS_HIDDEN" if hides(n, clear=True) or any(hides(x) for x in n.up()) else None
 
 
 def _attributes(n: Node) -> dict[str, str]:

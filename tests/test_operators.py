@@ -1,6 +1,7 @@
 """Merging, sanitising, boxes, lines, pages, inventories, streaming."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def test_merge(spark):
     s = merge.summarize(merge.merge_sources(_fixture_detections(spark))).first()
     assert tuple(s) == (6, 4, 2, 4, 2)
     assert merge.view(merge.merge_sources(_fixture_detections(spark)), "ocr_only").count() == 2
-    assert {r.label for r in detect.overlay(merge.merge_sources(_fixture_detections(spark))).collect()} >= {"john.d…", "Ann Le…"}
+    labels = [r.label for r in detect.overlay(merge.merge_sources(_fixture_detections(spark))).collect()]
+    assert all(any(x.endswith(f" · {v}…") for x in labels) for v in ("john.d", "Ann Le"))
 
 
 def py_iou(a, b):
@@ -118,6 +120,28 @@ def test_pages(spark):
 MASKED = "••••••••"
 
 
+def test_visible_text_and_long_pages(spark):
+    html = "<p>Phone<br>2125551234</p><div>Call<p>212-555-1234</p>now</div><table><tr><td>a@b.org</td><td>x</td></tr></table><input type=hidden value=q><div style='opacity:0'><input value=seen></div>"
+    d = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    # the table cell and the two blocks: values keep their bounds
+    assert {r.text for r in pages.static_nodes(d, prefilter).collect()} == {"Phone 2125551234", "Call 212-555-1234 now", "212-555-1234", "a@b.org"}
+    assert [(r.reason, r.selector) for r in pages.candidates(d).orderBy("el_idx").collect()][0][0] == "ZERO_DIMENSIONS" and pages.elements(d).count() == 1
+    began = time.process_time()
+    page = pages.Page("".join(f"<input name=n{i} id=''>" for i in range(10_000)))
+    inputs = [n for n in page.nodes if n.tag == "input"]
+    assert [page.selector(n) for n in inputs[:2]] == ['input[name="n0"]', 'input[name="n1"]'] and all(page.label(n) is None for n in inputs)
+    assert time.process_time() - began < 10
+
+
+def test_overlay_keeps_all_detections(spark):
+    box = F.struct(F.lit(-5.0).alias("left"), F.lit(2.0).alias("top"), F.lit(0.0).alias("width"), F.lit(9.0).alias("height"))
+    many = spark.range(400).select(F.lit(1).alias("page_id"), F.col("id").alias("det_no"), F.lit("EMAIL").alias("type"), F.lit("someone@x.org").alias("text"), box.alias("bbox"), F.lit("DOM").alias("source"), F.array(F.lit("DOM"), F.lit("OCR")).alias("sources"))
+    got = detect.overlay(many).collect()
+    assert len(got) == 400 and {(r.label, r.left, r.top, r.width, r.height) for r in got} == {("EMAIL · DOM+OCR · someon…", 0.0, 2.0, 1.0, 9.0)}
+    words = many.select(F.col("page_id").alias("frame_id"), F.col("det_no").alias("token_no"), "text", "bbox")
+    assert detect.word_overlay(words).count() == 300 and detect.overlay(many, {"DOM": False}).count() == 0
+
+
 def test_inventory(spark, tmp_path):
     for name, data in {"a.txt": b"x", "d/b.PNG": b"yy", ".git/c": b"z", "d/e.md": b"````"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
