@@ -61,8 +61,8 @@ def summarize(detections: DataFrame, *by: str) -> DataFrame:
 
 
 def view(detections: DataFrame, which: str) -> DataFrame:
-    """Detections that an inspector shows: ocr, ocr_only, dom or corroborated."""
-    s = _sources()
+    """Detections that an inspector shows: ocr, ocr_only, dom or corroborated. Without sources, or with none in the array, the source counts."""
+    s = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("source"))
     keep = {"ocr": F.array_contains(s, "OCR"), "ocr_only": (F.size(s) == 1) & (s[0] == "OCR"), "dom": F.array_contains(s, "DOM"), "corroborated": F.size(s) > 1}
     return detections.where(keep[which])
 

@@ -109,8 +109,15 @@ def request_text(prompt: Column, snippet: Column, title: Column) -> Column:
     return F.concat(F.coalesce(prompt, F.lit("")), F.lit("\n\nContext:\n"), or_else(snippet, title))
 
 
-def active_tab(tabs: DataFrame, window: str = "window_id") -> DataFrame:
-    """Of each window, the focused active tab with a web address, else the first with one, else the first."""
-    rank = F.when(F.col("active") & is_web(F.col("url")), 0).when(is_web(F.col("url")), 1).otherwise(2)
-    row = F.struct(*[c for c in tabs.columns if c != window])
-    return tabs.groupBy(window).agg(F.min_by(row, F.struct(rank, "tab_no")).alias("_t")).select(window, "_t.*")
+def active_tab(tabs: DataFrame, session: str = "session_id") -> DataFrame:
+    """Of each session (all windows of a browser), the active tab of the focused window, whatever it shows; else the first active tab with a
+    web address, else the first active one. A session without active tabs gets a row that says so, null but for title and url.
+
+    ``tabs`` has tab_no, active, focused (whether its window is), title and url.
+    """
+    rank = F.when(F.col("focused"), 0).when(is_web(F.col("url")), 1).otherwise(2)
+    named = {"title": "No active tab", "url": "about:blank"}
+    row = F.struct(*[c for c in tabs.columns if c != session])
+    chosen = tabs.groupBy(session).agg(F.min_by(row, F.when(F.col("active"), F.struct(rank, "tab_no"))).alias("_t"))
+    none = F.col("_t").isNull()
+    return chosen.select(session, *(F.when(none, F.lit(named.get(c))).otherwise(F.col("_t")[c]).alias(c) for c in tabs.columns if c != session))

@@ -140,6 +140,28 @@ def merged_sources(spark, sf_dir):
     return m.select("page_id", "det_no", "id", "type", merge.masked(F.col("text")).alias("text"), "source", F.array_join("sources", ",").alias("sources"), "confidence")
 
 
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scanned as static text and as recognised words of the same page, a node filling it, and merged."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    whole = F.struct(*(F.lit(v).alias(k) for k, v in (("left", 0.0), ("top", 0.0), ("width", 1e9), ("height", 1e9))))
+    nodes = d.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("node_idx"), whole.alias("bbox"), F.lit("body").alias("selector"), "text")
+    words = _on_grid(d.select(F.col("doc_id").alias("frame_id"), "text"))
+    return detect.scan(static_nodes=nodes, words=words)
+
+
+@query()
+def corroborated_scan(spark, sf_dir):
+    return _both(spark, sf_dir).select("page_id", "det_no", "type", "source", F.array_join("sources", ",").alias("sources"), "confidence", merge.masked(F.col("text")).alias("text"))
+
+
+@query()
+def inspector_views(spark, sf_dir):
+    """Detections of each inspector view, counted by type."""
+    found = _both(spark, sf_dir)
+    counted = [merge.view(found, v).groupBy(F.lit(v).alias("view"), "type").agg(F.count(F.lit(1)).alias("n")) for v in ("ocr", "ocr_only", "dom", "corroborated")]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
 @query()
 def field_heuristics(spark, sf_dir):
     e = spark.createDataFrame(list(X.FIELDS), "el_idx int, id string, type string, label_text string, attributes map<string,string>")
@@ -229,16 +251,24 @@ def route_prompts(spark, sf_dir):
     return c.select("conv_id", "turn", sanitize.route(F.col("text")).alias("action"), sanitize.request_text(F.col("text"), F.lit(None), F.col("role")).alias("request"))
 
 
-_TABS = "SELECT *, page_id % 40 window_id, page_id tab_no, page_id % 3 = 0 active FROM pages"
+#: Tabs of 40 sessions; some windows show no web page, some sessions have no focused or no active tab.
+_TABS = (
+    "SELECT page_id % 40 session_id, page_id tab_no, CASE WHEN page_id % 4 = 0 THEN 'about:newtab' ELSE url END url, 'Tab ' || page_id title,"
+    " page_id % 3 = 0 AND page_id % 40 <> 7 active, page_id % 40 % 2 = 0 AND page_id % 5 = 0 focused FROM pages"
+)
 
 
 @query(
-    f"WITH t AS ({_TABS}), r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY CASE WHEN active AND (starts_with(coalesce(url, ''), 'http://') OR starts_with(coalesce(url, ''), 'https://')) THEN 0 "
-    "WHEN starts_with(coalesce(url, ''), 'http://') OR starts_with(coalesce(url, ''), 'https://') THEN 1 ELSE 2 END, tab_no) n FROM t) SELECT window_id, tab_no, url, active FROM r WHERE n = 1"
+    f"WITH t AS ({_TABS}), f AS (SELECT session_id, min(tab_no) FILTER (focused) a, min(tab_no) FILTER (starts_with(url, 'http://') OR starts_with(url, 'https://')) b, min(tab_no) c FROM t WHERE active GROUP BY 1),"
+    "s AS (SELECT DISTINCT session_id FROM t) SELECT s.session_id, t.tab_no, coalesce(t.title, 'No active tab') title, CASE WHEN f.session_id IS NULL THEN 'about:blank' ELSE t.url END url"
+    " FROM s LEFT JOIN f USING (session_id) LEFT JOIN t ON t.session_id = s.session_id AND t.tab_no = coalesce(f.a, f.b, f.c)"
 )
 def active_tabs(spark, sf_dir):
-    t = table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 40).alias("window_id"), F.col("page_id").alias("tab_no"), (F.col("page_id") % 3 == 0).alias("active"))
-    return sanitize.active_tab(t).select("window_id", "tab_no", "url", "active")
+    t = table(spark, sf_dir, "pages").selectExpr(
+        "page_id % 40 AS session_id", "page_id AS tab_no", "CASE WHEN page_id % 4 = 0 THEN 'about:newtab' ELSE url END AS url", "concat('Tab ', page_id) AS title",
+        "page_id % 3 = 0 AND page_id % 40 <> 7 AS active", "page_id % 40 % 2 = 0 AND page_id % 5 = 0 AS focused",
+    )
+    return sanitize.active_tab(t).select("session_id", "tab_no", "title", "url")
 
 
 # ---------------------------------------------------------------- pages
@@ -265,6 +295,13 @@ def page_audit(spark, sf_dir):
     return pages.audit(table(spark, sf_dir, "pages")).select("page_id", "total")
 
 
+@query(
+    "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<input[\\s/>]'))::BIGINT field_count, '🔒 Privacy audit complete: ' || len(regexp_extract_all(coalesce(html, ''), '(?i)<input[\\s/>]')) || ' input field(s) analyzed.' message FROM pages"
+)
+def page_inputs(spark, sf_dir):
+    return pages.count_inputs(table(spark, sf_dir, "pages"))
+
+
 @query()
 def page_static_nodes(spark, sf_dir):
     s = pages.static_nodes(table(spark, sf_dir, "pages"), prefilter)
@@ -291,8 +328,12 @@ _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversation turns on a grid of eight a line."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
+    return _on_grid(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("frame_id"), "text"))
+
+
+def _on_grid(texts: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    w = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("frame_id"), F.posexplode(words).alias("token_no", "text"))
+    w = texts.select("frame_id", F.posexplode(words).alias("token_no", "text"))
     n, k = (F.col("token_no") / 8).cast("int"), F.col("token_no") % 8
     return w.select("frame_id", F.col("token_no").cast("long"), "text", (k * 100.0).alias("left"), (n * 30.0 + k).alias("top"), F.lit(60.0).alias("width"), F.lit(12.0).alias("height"), F.lit(90.0).alias("confidence"))
 
@@ -320,7 +361,8 @@ def span_boxes(spark, sf_dir):
 
 @query()
 def ocr_lenient(spark, sf_dir):
-    return scan.scan_text(spark.sql(X.texts_sql(X.LOOSE_TEXTS)), lenient=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.sql(X.texts_sql(X.LOOSE_TEXTS)).select(F.col("doc_id").cast("long"), "text"))
+    return scan.scan_text(docs, lenient=True)
 
 
 @query(

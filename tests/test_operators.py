@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrublake.functions import boxes as G
 from scrublake.operators import lines, merge, sanitize, vision
 from scrublake.plans import detect
-from scrublake.queries import _fixture_detections, prefilter
+from scrublake.queries import _fixture_detections, _on_grid, prefilter
 from scrublake.sources import inventory, pages
 from scrublake.streaming import detect as stream
 
@@ -29,8 +29,26 @@ def test_sanitize(spark):
 def test_routes_and_tabs(spark):
     d = spark.createDataFrame([("Summarize this",), ("check my BRIEF",), ("is it secure?",), ("hello",), (None,)], "p string")
     assert [r[0] for r in d.select(sanitize.route(F.col("p"))).collect()] == ["SUMMARIZE_LOCAL", "SUMMARIZE_LOCAL", "ANALYZE_SECURITY", "SANITIZE_PII", "SANITIZE_PII"]
-    tabs = spark.createDataFrame([(1, 0, "about:x", True), (1, 1, "http://a", False), (1, 2, "https://b", True), (2, 0, "about:y", True), (2, 1, "http://c", False), (3, 0, None, True)], "window_id int, tab_no int, url string, active boolean")
-    assert {r.window_id: r.tab_no for r in sanitize.active_tab(tabs).collect()} == {1: 2, 2: 1, 3: 0}
+    tabs = [
+        (1, 0, "about:x", True, False), (1, 1, "http://a", False, False), (1, 2, "https://b", True, False), (2, 0, "about:y", True, True), (2, 1, "http://c", True, False),
+        (3, 0, None, True, None), (4, 0, "http://d", False, True), (4, 1, None, None, None),
+    ]
+    tabs = spark.createDataFrame([(*t[:3], f"t{t[1]}", *t[3:]) for t in tabs], "session_id int, tab_no int, url string, title string, active boolean, focused boolean")
+    got = {r.session_id: (r.tab_no, r.title, r.url) for r in sanitize.active_tab(tabs).collect()}
+    assert got == {1: (2, "t2", "https://b"), 2: (0, "t0", "about:y"), 3: (0, "t0", None), 4: (None, "No active tab", "about:blank")}
+
+
+def test_inputs_and_views(spark):
+    p = spark.createDataFrame([(1, "<input><INPUT type=hidden><p>input</p><select></select>"), (2, "<p>x"), (3, None)], "page_id long, html string")
+    assert sorted((r.page_id, r.field_count) for r in pages.count_inputs(p).collect()) == [(1, 2), (2, 0), (3, 0)]
+    found = spark.createDataFrame([("OCR", None), ("OCR", []), ("DOM", ["DOM", "OCR"]), ("DOM", ["DOM"])], "source string, sources array<string>")
+    assert [merge.view(found, v).count() for v in ("ocr", "ocr_only", "dom", "corroborated")] == [3, 2, 2, 1]
+    text = "write to a.b@x.org now or call 212-555-1234 please"
+    box = dict.fromkeys(("left", "top"), 0.0) | dict.fromkeys(("width", "height"), 1e6)
+    node = spark.createDataFrame([(1, 0, box, "body", text)], f"page_id long, node_idx int, bbox {merge.BOX}, selector string, text string")
+    words = _on_grid(spark.createDataFrame([(1, text)], "frame_id long, text string"))
+    both = detect.scan(static_nodes=node, words=words).collect()
+    assert sorted((r.type, r.text, tuple(r.sources)) for r in both) == [("EMAIL", "a.b@x.org", ("DOM", "OCR")), ("PHONE", "212-555-1234", ("DOM", "OCR"))]
 
 
 def test_merge(spark):
