@@ -232,22 +232,24 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): doc_id and component, the smallest id, for every linked id.
 
     Large-star: each node links its larger neighbours to the smallest of all. Small-star: each node links its smaller neighbours and
-    itself to the smallest of them. Steps alternate, through the shared folder, until nothing changes.
+    itself to the smallest of them. Steps alternate, through the shared folder, until only stars are left: each node has one smaller
+    neighbour, which has none.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    before, n = None, links.count()
+    n = links.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_smallest(both, "u", "v"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _smallest(large, "u", "v")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", _parts(n))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, loose = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()
+        if not loose:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()
             )
-        before, n = now, now[0]
 
 
 def _parts(rows: int) -> int:
@@ -321,6 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     inside = buckets.where("n > 2").select("key", "doc_id")
     for turn in range(TURNS + 1):
         found = components(links)
+        links = found.where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # all that later steps need of them
         inside = inside.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         inside = materialize(_open(inside), "open")
         if turn == 0:
