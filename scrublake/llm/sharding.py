@@ -61,10 +61,9 @@ def permuted(row_no: Column, n: int, seed: int = 0) -> Column:
     """
     if n <= 1:
         return F.lit(0).cast("long")
-    first = _once(row_no, n, seed)
-    walked = F.aggregate(
-        F.array_repeat(F.lit(0), WALK), first.cast("long"), lambda p, _: F.when(p >= n, _once(p, n, seed)).otherwise(p)
-    )
+    walk = lambda x: F.aggregate(F.array_repeat(F.lit(0), WALK), x, lambda p, _: F.when(p >= n, _once(p, n, seed)).otherwise(p))
+    first = F.array(_once(row_no, n, seed).cast("long"))
+    walked = F.transform(first, lambda p: F.when(p < n, p).otherwise(walk(p)))[0]  # few rows walk at all
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
 
 
@@ -94,9 +93,12 @@ def permuted_int(x: int, n: int, seed: int = 0) -> int:
 def shard_rows(rows: DataFrame, order: list[str], shards: int, seed: int = 0) -> DataFrame:
     """Add row_no, shard and slot: counts at most one apart, slots gapless from 0, the same for the same rows and seed.
 
-    Row numbers follow ``order``; rows equal in all of these columns must be interchangeable. Nulls come first.
+    Row numbers follow ``order``; rows equal in all of these columns must be interchangeable. Nulls come first. Columns named row_no,
+    shard or slot are replaced, unless they are in ``order``, which raises an error; names that start with _ are kept for own use.
     """
-    numbered, n = with_row_number(rows, *order)
+    if clash := {"row_no", "shard", "slot"}.intersection(order):
+        raise ValueError(f"{sorted(clash)} can't give the order, as they are replaced")
+    numbered, n = with_row_number(rows.drop("row_no", "shard", "slot"), *order)
     place = permuted(F.col("row_no"), n, seed)
     return numbered.withColumn("_p", place).withColumns(
         {"shard": F.pmod("_p", F.lit(shards)).cast("int"), "slot": F.floor(F.col("_p") / F.lit(shards)).cast("long")}
