@@ -8,10 +8,12 @@ only the rest is computed.
 Forward states: for a unigram model, the best sum of piece scores up to each place. For a BPE model, whose result isn't the best sum, the
 last piece of the encoding of each prefix. A piece may follow another if encoding the two together gives just these two;
 exactly one piece ending at a place may follow the encoding of what is before it, so the states need no scores.
+A BPE vocabulary can be read as a unigram model too: the piece of rank r then scores -log(r + 2), as its frequency goes by Zipf's law.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -62,9 +64,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Vocabulary:
-    """Pieces and rules of a model file."""
+    """Pieces and rules of a model file; ``kind`` UNIGRAM reads a BPE model as a unigram one, with scores by rank."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: int | None = None) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,6 +81,8 @@ class Vocabulary:
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        if kind == UNIGRAM and self.kind != UNIGRAM:
+            self.kind, self.scores = UNIGRAM, {p: -math.log(r + 2) for r, p in enumerate(self.ids)}
         self.longest = max(map(len, self.ids))
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
@@ -187,8 +191,8 @@ class SharedPrefixViterbi:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        self.v, self.remembered = Vocabulary(path), remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED, kind: int | None = None) -> None:
+        self.v, self.remembered = Vocabulary(path, kind), remembered
         self.viterbi = SharedPrefixViterbi(self.v, remembered)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -240,9 +244,9 @@ class Codec:
         return text.decode("utf-8", "replace")
 
 
-def codec_of(path: str, remembered: int = REMEMBERED) -> Codec:
+def codec_of(path: str, remembered: int = REMEMBERED, kind: int | None = None) -> Codec:
     """One codec for all tasks of a worker."""
-    return kept_by_worker(("pieces", path, remembered), lambda: Codec(path, remembered))
+    return kept_by_worker(("pieces", path, remembered, kind), lambda: Codec(path, remembered, kind))
 
 
 def _encoded(path: str):
@@ -288,9 +292,9 @@ def decode_pieces(df: DataFrame, path: str | None = None) -> DataFrame:
 _CHECKED = ("n_pieces", "ids_crc32", "decoded_crc32", "same")
 
 
-def _round_trips(path: str, with_ids: bool, remembered: int):
+def _round_trips(path: str, with_ids: bool, remembered: int, kind: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, remembered)
+        codec = codec_of(path, remembered, kind)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -309,15 +313,20 @@ def _round_trips(path: str, with_ids: bool, remembered: int):
     return run
 
 
-def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True, remembered: int = REMEMBERED, kind: int | None = None) -> DataFrame:
     """Encode and decode in one go: ``docs`` without text, with n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
-    (UTF-8), whether the decoded text is the text, and the ids. Columns of these names are replaced."""
+    (UTF-8), whether the decoded text is the text, and the ids. Columns of these names are replaced. ``kind``: as in Vocabulary."""
     docs = docs.drop(*_CHECKED, "ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     out = f"{fields}, n_pieces long, ids_crc32 long, decoded_crc32 long, same boolean" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(_round_trips(path or default_model(), with_ids, remembered), out)
+    return docs.mapInArrow(_round_trips(path or default_model(), with_ids, remembered, kind), out)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, encoded and decoded again."""
     return round_trip(load(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
+def unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by best sums of scores, with the same vocabulary read as a unigram model, and decoded again."""
+    return round_trip(load(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False, kind=UNIGRAM)

@@ -1,4 +1,4 @@
-"""Queries of this subpackage, one for each operator, with SQL where SQL can express them on whole tables."""
+"""Queries of this subpackage, one for each operator and one for the unigram way of op4, with SQL where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8,
     "op9_language_id": language_id.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "unigram_pieces": pieces.unigram_pieces,
 }
 
 ORACLE_SQL = {

@@ -278,6 +278,32 @@ def test_unigram_is_the_best_sum():
     assert pieces.SharedPrefixViterbi(v).encode_sorted(words) == [best(w)[1] for w in words]
 
 
+def test_unigram_reading_of_the_vocabulary(spark, sf, docs):
+    """Best sums over all cuts, and the round trip, of every word of the documents."""
+    codec = pieces.Codec(pieces.default_model(), kind=pieces.UNIGRAM)
+    v = codec.v
+    words = sorted({w for _, t in texts(docs) for w in v.word.findall(v.marked(t or ""))})
+
+    def best_sum(w):
+        sums = [0.0] + [-math.inf] * len(w)
+        for j in range(len(w)):
+            for i in range(j + 1, len(w) + 1):
+                s = v.scores.get(w[j:i], v.unknown_score if i == j + 1 else -math.inf)
+                sums[i] = max(sums[i], sums[j] + s)
+        return sums[-1]
+
+    spelt = {i: p for p, i in v.ids.items()}
+    some = [w for w in words if all(c in v.ids for c in w)]
+    for w, ids in zip(some, codec.viterbi.encode_sorted(some), strict=True):
+        assert "".join(spelt[i] for i in ids) == w and abs(sum(v.scores[spelt[i]] for i in ids) - best_sum(w)) < 1e-9
+    assert len(some) > 1000
+    expected = Counter()
+    for i, t in texts(docs):
+        ids = codec.encode([t or ""])[0]
+        expected[i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32((t or "").replace("▁", " ").encode()), "▁" not in (t or "")] += 1
+    assert Counter(rows(pieces.unigram_pieces(spark, sf))) == expected
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -356,6 +382,14 @@ def test_shards(spark, sf, empty):
     counts = [len(slots[s]) for s in range(40)]
     assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sorted(got, key=str) == sorted(sharding.op6(spark, sf).collect(), key=str)
+    # brute force: the sorted rows' places, one by one
+    order = sorted(expected.elements(), key=lambda r: (r[0] is not None, r))
+    places = Counter((*r, *divmod(sharding.permuted_int(i, len(order), 6), 40)) for i, r in enumerate(order))
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.slot, r.shard) for r in got) == places
+    clash = spark.createDataFrame([(i, "own", "own", "own") for i in range(9)], "id long, row_no string, shard string, slot string")
+    assert sorted(r.row_no for r in sharding.shard_rows(clash, ["id"], 4).collect()) == list(range(9))
+    with pytest.raises(ValueError):
+        sharding.shard_rows(clash, ["id", "slot"], 4)
     assert sharding.shard_rows(empty.select("doc_id"), ["doc_id"], 4).count() == 0
 
 
