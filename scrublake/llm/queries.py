@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, media, mixing, near_dedup, pieces, reputation, sharding, substring_dedup, token_files, topk
+from . import infill, language_id, media, mixing, near_dedup, pieces, prefix_trie, reputation, sharding, simhash, substring_dedup, token_files, topk
 
 QUERIES = {
     "op1_webp_media": media.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8,
     "op9_language_id": language_id.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_conversation_prefix_trie": prefix_trie.op11,
+    "op12_simhash_pigeonring": simhash.op12,
+    "op13_fill_in_middle": infill.op13,
     "unigram_pieces": pieces.unigram_pieces,
 }
 
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op5_sainte_lague_mix": mixing.OP5_SQL,
     "op8_minhash_near_dedup": near_dedup.OP8_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_conversation_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_fill_in_middle": infill.OP13_SQL,
 }
