@@ -79,9 +79,11 @@ def axis_positions(total: Column, tile: float, step: float) -> Column:
 
 
 def read_scale(asked: Column, width: Column, height: Column, edge: float = 2800.0) -> Column:
-    """The scale at which an image is read: the one asked for, or such that its longer side fits, between 0.5 and 4."""
-    fit = F.lit(edge) / F.greatest(width, height)
-    return clamped(F.coalesce(asked, fit), 0.5, F.lit(4.0))
+    """The scale at which an image is read: the one asked for, if finite and above 0, else such that its longer side, of 1 at least, fits;
+    between 0.5 and 4."""
+    fit = F.lit(edge) / F.greatest(width, height, F.lit(1.0))
+    good = (asked > 0) & ~F.isnan(asked) & (asked < float("inf"))
+    return clamped(F.when(good, asked).otherwise(fit), 0.5, F.lit(4.0))
 
 
 def percent_of(b: Column, width: Column, height: Column) -> Column:

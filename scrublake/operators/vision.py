@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrublake.functions.boxes import axis_positions, box, iou
+from scrublake.functions.boxes import at_least, axis_positions, box, iou, source_rect, unletterboxed, viewport_box
 from scrublake.functions.text import half_up
 
 # Thresholds and limits of the models, and the classes that have a label.
@@ -62,12 +62,12 @@ def decode_classes(anchors: DataFrame, labels: DataFrame, least: float = OBJECT[
 
 
 def valid_faces(raw: DataFrame, least: float = FACE["confidence"]) -> DataFrame:
-    """Model rows x0, y0, x1, y1, score that are finite, ordered and sure enough, cut to [0, 1]."""
+    """Model rows x0, y0, x1, y1, score that are finite, ordered and sure enough, cut to [0, 1]; scores to three places."""
     sides = ("x0", "y0", "x1", "y1")
     finite = F.lit(True)
     for c in (*sides, "score"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    cut = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in sides}
+    cut = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in sides} | {"score": half_up(F.col("score"), 3)}
     return raw.where(finite & (F.col("score") >= least) & (F.col("score") > 0) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).withColumns(cut)
 
 
@@ -92,17 +92,49 @@ def run_model(frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] |
     return frames.mapInPandas(run, schema)
 
 
+def _with_viewport(frames: DataFrame) -> DataFrame:
+    """frame_id, width and height in pixels, vp_width and vp_height; without a viewport, that of the pixels."""
+    side = lambda c: F.coalesce(f"vp_{c}", c) if f"vp_{c}" in frames.columns else F.col(c)
+    return frames.select("frame_id", *(F.col(c).cast("double").alias(c) for c in ("width", "height")), *(side(c).cast("double").alias(f"vp_{c}") for c in ("width", "height")))
+
+
 def face_regions(frames: DataFrame, elements: DataFrame, tile: float = 384.0, overlap: float = 0.25) -> DataFrame:
-    """Where faces are looked for, in this order: likely elements, tiles, the whole frame: frame_id, pass_no, region_no, bbox.
+    """Where faces are looked for, in this order: likely elements, tiles, the whole frame: frame_id, pass_no, region_no, bbox (in the image's
+    pixels).
 
-    ``elements`` have frame_id and what ``face_candidates`` looks at.
+    ``frames``: frame_id, width, height and perhaps vp_width, vp_height. ``elements`` have frame_id and what ``face_candidates`` looks at, with boxes in
+    the viewport's pixels; their crops are cut to the image and go below an eighth of the model's size.
     """
-    crops = face_candidates(elements, "frame_id").select("frame_id", F.lit(0).alias("pass_no"), F.col("el_idx").alias("region_no"), F.col("bbox").cast("struct<left:double,top:double,width:double,height:double>").alias("bbox"))
-    grid = tiles(frames, tile, overlap).select("frame_id", F.lit(1).alias("pass_no"), F.col("tile_no").alias("region_no"), "bbox")
-    whole = frames.select("frame_id", F.lit(2).alias("pass_no"), F.lit(0).alias("region_no"), box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")).alias("bbox"))
+    frames = _with_viewport(frames)
+    by = lambda c: F.col(c) / F.col(f"vp_{c}")
+    e = F.col("_e")
+    scaled = box(e["left"] * by("width"), e["top"] * by("height"), e["width"] * by("width"), e["height"] * by("height"))
+    crops = face_candidates(elements, "frame_id").select("frame_id", "el_idx", F.col("bbox").alias("_e")).join(frames, "frame_id")
+    crops = crops.select("frame_id", F.lit(0).alias("pass_no"), F.col("el_idx").cast("long").alias("region_no"), source_rect(scaled, F.col("width"), F.col("height")).alias("bbox"))
+    crops = crops.where(at_least(F.col("bbox"), FACE["size"] / 8))
+    grid = tiles(frames, tile, overlap).select("frame_id", F.lit(1).alias("pass_no"), F.col("tile_no").cast("long").alias("region_no"), "bbox")
+    whole = frames.select("frame_id", F.lit(2).alias("pass_no"), F.lit(0).cast("long").alias("region_no"), box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")).alias("bbox"))
     return crops.unionByName(grid).unionByName(whole).where((F.col("bbox.width") > 0) & (F.col("bbox.height") > 0))
 
 
+def merged_faces(frames: DataFrame, regions: DataFrame, raw: DataFrame) -> DataFrame:
+    """Faces of all passes in the viewport's pixels: frame_id, pass_no, region_no, face_no, label, score, bbox.
+
+    ``raw``: the model's rows (frame_id, pass_no, region_no, face_no, x0, y0, x1, y1, score) for ``regions``. Valid ones are mapped back through
+    their region's letterbox; those in its padding or under 10 pixels go. Of faces that overlap, in whatever pass, the surest stays, and of
+    equally sure ones that of the earlier pass, region and row. A region without rows, for one whose model failed, takes nothing from the others.
+    """
+    frames = _with_viewport(frames)
+    found = valid_faces(raw).join(regions, ["frame_id", "pass_no", "region_no"]).withColumn("_m", unletterboxed(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.col("bbox"), FACE["size"]))
+    found = found.where("_m is not null").join(frames, "frame_id")
+    by = lambda c: F.lit(1.0) / (F.col(c) / F.col(f"vp_{c}"))
+    m = F.col("_m")
+    found = found.withColumn("_v", box(m["left"] * by("width"), m["top"] * by("height"), m["width"] * by("width"), m["height"] * by("height"))).where(at_least(F.col("_v"), FACE["least_px"]))
+    at = F.struct("pass_no", "region_no", "face_no").alias("_at")
+    found = found.select("frame_id", "pass_no", "region_no", "face_no", F.lit("face").alias("label"), "score", viewport_box(F.col("_v"), F.col("vp_width"), F.col("vp_height")).alias("bbox"), at)
+    return suppress(found, "frame_id", "label", "score", FACE["merge_iou"], order="_at").drop("_at")
+
+
 def counts_by_label(detections: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Faces and other objects of each frame."""
     return detections.groupBy(frame).agg(F.count_if(F.col("label") == "face").alias("n_faces"), F.count_if(F.col("label") != "face").alias("n_objects"))
