@@ -25,9 +25,8 @@ FILLS = {
 MASK = "••••••••"
 
 
-def field_detections(element: DataFrame) -> DataFrame:
-    """Detections from element rows (el_idx, id, type, label_text, attributes, ...): their columns, then det_no, kind, value, confidence,
-    context.
+def fields_in() -> tuple[Column, Column]:
+    """Of an element row (id, type, label_text, attributes): an array of what its field holds (kind, value, confidence), and the context.
 
     A password field gives one detection only, with its value masked. Null attributes count as missing.
     """
@@ -59,6 +58,13 @@ def field_detections(element: DataFrame) -> DataFrame:
     named = auto.isin("name", "given-name", "family-name") | said.rlike(WORDS["NAME"])
     others.append(F.when(named & (F.length(value) > 2), made("NAME", value, 0.86)))
     found = F.when(password, F.array(made("PASSWORD", masked, 0.99))).otherwise(F.array_compact(F.array(*others)))
+    return found, context
+
+
+def field_detections(element: DataFrame) -> DataFrame:
+    """Detections from element rows (el_idx, id, type, label_text, attributes, ...): their columns, then det_no, kind, value, confidence,
+    context."""
+    found, context = fields_in()
     rows = element.select("*", context.alias("context"), F.posexplode(found).alias("det_no", "_d"))
     return rows.select(*element.columns, "det_no", "_d.kind", "_d.value", "_d.confidence", "context")
 

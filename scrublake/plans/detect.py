@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrublake.operators.fields import field_detections, text_pool
+from scrublake.functions.text import around, half_up
+from scrublake.operators.fields import field_detections, fields_in, text_pool
 from scrublake.operators.lines import group_lines, span_box
 from scrublake.operators.merge import BOX, merge_sources
-from scrublake.operators.scan import scan_text
+from scrublake.operators.scan import detections_in, may_match, scan_text
 
 COLUMNS = ("page_id", "_stage", "_row", "_no", "id", "type", "text", "bbox", "source", "sources", "selector", "confidence", "context")
 
@@ -51,6 +52,39 @@ def scan(elements: DataFrame | None = None, static_nodes: DataFrame | None = Non
     return merge_sources(every.withColumn("det_no", F.struct("_stage", "_row", "_no")).drop("_stage", "_row", "_no"))
 
 
+_FOUND = "array<struct<no:int,id:string,type:string,text:string,confidence:double,context:string>>"
+
+
+def scan_rows(rows: DataFrame) -> DataFrame:
+    """As ``scan``, of the rows that ``sources.pages.taken`` gives for elements and static nodes: pages are parsed and rules run once.
+
+    Boxes come with the rows (bbox); without any, nothing of different places merges.
+    """
+    rows = rows.repartition("page_id")
+    element = F.col("kind") == "element"
+    fields, hint = fields_in()
+    number = F.col("idx").cast("string")
+    of_fields = F.transform(fields, lambda d, i: F.struct(i.alias("no"), F.concat(F.lit("dom-heuristic-"), F.lower(d["kind"]), F.lit("-"), number).alias("id"), d["kind"].alias("type"), d["value"].alias("text"), d["confidence"].alias("confidence"), hint.alias("context")))
+    text = F.when(element, text_pool()).otherwise(F.col("text"))
+    base = F.concat(F.when(element, "dom-").otherwise("static-"), number)
+    rows = rows.withColumns({"_t": text, "_b": base, "_f": F.when(element, of_fields)})
+    t = F.col("_t")
+    found = F.when(may_match(t), detections_in(t))
+    of_text = F.transform(found, lambda d, i: F.struct(
+        (i + 100).alias("no"), F.concat_ws("-", F.col("_b"), F.lower(d["type"]), i.cast("string")).alias("id"), d["type"].alias("type"), d["value"].alias("text"),
+        half_up(d["confidence"], 2).alias("confidence"), around(t, d["start"], d["end"]).alias("context"),
+    ))
+    none = F.array().cast(_FOUND)
+    every = F.concat(F.coalesce(F.col("_f").cast(_FOUND), none), F.coalesce(of_text.cast(_FOUND), none))
+    # outer, as the filter that Spark infers for a plain explode would run the rules again
+    found = rows.select("page_id", element.alias("_el"), "idx", "selector", F.col("bbox").cast(BOX).alias("bbox"), F.explode_outer(every).alias("_d")).where("_d is not null")
+    found = found.select(
+        "page_id", F.struct((~F.col("_el")).alias("stage"), "idx", F.col("_d.no")).alias("det_no"), "_d.id", "_d.type", "_d.text", "bbox", F.lit("DOM").alias("source"),
+        F.array(F.lit("DOM")).alias("sources"), "selector", "_d.confidence", "_d.context",
+    )
+    return merge_sources(found)
+
+
 def totals(elements: DataFrame, static_nodes: DataFrame, words: DataFrame) -> DataFrame:
     """Of each page, how many elements, static nodes and words were scanned."""
     count = lambda d, key, name: d.groupBy(F.col(key).alias("page_id")).agg(F.count(F.lit(1)).alias(name))

@@ -171,9 +171,7 @@ def field_heuristics(spark, sf_dir):
 @query()
 def page_scan(spark, sf_dir):
     """Elements and static text of all pages, scanned and merged; boxes are unknown, so that nothing of different places merges."""
-    p = table(spark, sf_dir, "pages")
-    none = F.lit(None).cast(merge.BOX)
-    found = detect.scan(pages.elements(p).withColumn("bbox", none), pages.static_nodes(p, prefilter).withColumn("bbox", none))
+    found = detect.scan_rows(pages.taken(pages.judged(pages.rows(table(spark, sf_dir, "pages"))), prefilter))
     return found.select("page_id", "det_no", "type", "text", "source", "selector", "confidence")
 
 
