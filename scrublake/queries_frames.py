@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrublake import oracle as O
 from scrublake.functions import boxes as G
-from scrublake.operators import images, vision
-from scrublake.queries import _AXIS, _IOU, table
+from scrublake.operators import images, models, scan, vision
+from scrublake.plans import detect
+from scrublake.queries import _AXIS, _IOU, _on_grid, table
+from scrublake.sources import pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,3 +186,165 @@ def face_passes(spark, sf_dir):
     regions = vision.face_regions(frames, _frame_elements(spark, sf_dir))
     found = vision.merged_faces(frames, regions, _rows_of_a_model(regions))
     return found.select("frame_id", "pass_no", "region_no", "face_no", "score", "bbox.*")
+
+
+# ---------------------------------------------------------------- pages with a layout
+
+#: Pages with a part of our own overlay and a hidden link before what they hold.
+_WITH_PARTS = "replace(html, '<body>', '<body><div id=\"kw-detection-overlay-root\"><a href=\"/o\">o</a></div><a href=\"/h\" style=\"display: none\">h</a>')"
+#: Boxes by arithmetic; k counts the links of a page.
+_LAYOUT = {
+    "left": "(page_id * 37 + k * 211) % 1500 - 60.5", "top": "(page_id * 53 + k * 97) % 1000 - 40.25", "width": "((k + page_id) % 4) * 25.0", "height": "18.0",
+    "visibility": "CASE WHEN (page_id + k) % 5 = 0 THEN 'hidden' ELSE 'visible' END", "opacity": "CASE WHEN k % 6 = 5 THEN 0.0 ELSE 1.0 END", "display": "CASE WHEN k = 1 THEN 'none' ELSE 'inline' END",
+}
+_PATH = "CASE WHEN k = 0 THEN '/html[1]/body[1]/div[1]/a[1]' WHEN k = 1 THEN '/html[1]/body[1]/a[1]' ELSE concat('/html[1]/body[1]/nav[1]/ul[1]/li[', k - 1, ']/a[1]') END"
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, their layout rows and viewports; some viewports are unknown."""
+    p = table(spark, sf_dir, "pages")
+    p = p.withColumn("html", F.expr(_WITH_PARTS))
+    k = p.select("page_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.regexp_count("html", F.lit('<a href=')).cast("int") - 1))).alias("k"))
+    layout = k.select("page_id", F.expr(_PATH).alias("xpath"), *(F.expr(x).cast("string" if c in ("visibility", "display") else "double").alias(c) for c, x in _LAYOUT.items()))
+    views = p.select("page_id", F.when(F.col("page_id") % 3 != 0, F.lit(1000.0)).alias("width"), F.when(F.col("page_id") % 2 != 0, F.lit(600.0)).alias("height"), F.lit(2.0).alias("device_pixel_ratio"))
+    return p, layout, views
+
+
+_JUDGED = (
+    f"WITH p AS (SELECT page_id, {_WITH_PARTS} html FROM pages), n AS (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1) t FROM p), k AS (SELECT page_id, unnest(range(0, len(t))) k, unnest(t) \"text\" FROM n),"
+    "l AS (SELECT page_id, k, \"text\", " + ", ".join(f'({x}){"::DOUBLE" if c not in ("visibility", "display") else ""} "{c}"' for c, x in _LAYOUT.items()) + f", {_PATH} xpath, CASE WHEN page_id % 3 <> 0 THEN 1000 ELSE 1280 END vw, CASE WHEN page_id % 2 <> 0 THEN 600 ELSE 800 END vh FROM k),"
+    "j AS (SELECT *, CASE WHEN k = 0 THEN 'EXTENSION_OVERLAY' WHEN width = 0 OR height = 0 THEN 'ZERO_DIMENSIONS' WHEN top + height <= 0 OR \"left\" + width <= 0 OR top >= vh OR \"left\" >= vw THEN 'OUT_OF_VIEWPORT'"
+    " WHEN display = 'none' OR visibility = 'hidden' OR opacity = 0 THEN 'CSS_HIDDEN' END reason FROM l),"
+    "d AS (SELECT *, CASE reason WHEN 'EXTENSION_OVERLAY' THEN 'Belongs to extension overlay' WHEN 'ZERO_DIMENSIONS' THEN 'width=' || floor(width + 0.5)::BIGINT || ', height=' || floor(height + 0.5)::BIGINT"
+    " WHEN 'OUT_OF_VIEWPORT' THEN 'top=' || floor(top + 0.5)::BIGINT || ', bottom=' || floor(top + height + 0.5)::BIGINT || ', vh=' || vh WHEN 'CSS_HIDDEN' THEN 'display=' || display || ', visibility=' || visibility || ', opacity=' || opacity::BIGINT END details FROM j)"
+)
+_ROUNDED = 'floor("left" + 0.5) "left", floor(top + 0.5) top, floor(width + 0.5) width, floor(height + 0.5) height'
+
+
+@query(f"{_JUDGED} SELECT page_id, k::INTEGER el_idx, xpath, reason, details, {_ROUNDED} FROM d")
+def page_visibility(spark, sf_dir):
+    """Every element of every page with its box and the first reason why it isn't visible."""
+    p, layout, views = _laid_out(spark, sf_dir)
+    return pages.candidates(p, layout=layout, viewports=views).select("page_id", "el_idx", "xpath", "reason", "details", "bbox.*")
+
+
+@query(f"{_JUDGED} SELECT page_id, k::INTEGER el_idx, 'a' tag_name, \"text\", reason, details, {_ROUNDED} FROM d WHERE reason IS NOT NULL")
+def skipped_elements(spark, sf_dir):
+    p, layout, views = _laid_out(spark, sf_dir)
+    return pages.skipped(p, layout=layout, viewports=views).select("page_id", "el_idx", "tag_name", "text", "reason", "details", "bbox.*")
+
+
+@query(
+    f"{_JUDGED} SELECT page_id, count(*)::BIGINT total, count(*) FILTER (reason IS NULL)::BIGINT kept, " + ", ".join(f"count(*) FILTER (reason = '{r}')::BIGINT {r.lower()}" for r in ("EXTENSION_OVERLAY", "ZERO_DIMENSIONS", "OUT_OF_VIEWPORT", "CSS_HIDDEN")) + " FROM d GROUP BY page_id"
+)
+def layout_audit(spark, sf_dir):
+    p, layout, views = _laid_out(spark, sf_dir)
+    return pages.audit(p, layout=layout, viewports=views)
+
+
+# ---------------------------------------------------------------- models
+
+_MODEL_ROWS = "label string, score double, x0 double, y0 double, x1 double, y1 double"
+
+
+def _faces(provider: str):
+    """A stand-in that runs on one provider only: a face where the first number of a vector is above 0.05."""
+    if provider == "gpu":
+        raise RuntimeError("no such device")
+
+    def run(frames):
+        first = frames["v"].map(lambda v: float(v[0]))
+        hit = frames[first > 0.05]
+        return hit[["frame_id"]].assign(label="face", score=first[first > 0.05], x0=0.1, y0=0.2, x1=0.5, y1=0.75)
+
+    return run
+
+
+def _objects(provider: str):
+    """A stand-in that fails for every seventh frame; for others a row for each of the first two numbers above 0."""
+
+    def run(frames):
+        import pandas as pd
+
+        if (frames["frame_id"] % 7 == 0).any():
+            raise ValueError("frame can't be read")
+        rows = [(i, ("person", "card")[k], float(v[k]), 0.0, 0.0, 1.0, 0.5) for i, v in zip(frames["frame_id"], frames["v"], strict=True) for k in range(2) if v[k] > 0]
+        return pd.DataFrame(rows, columns=["frame_id", "label", "score", "x0", "y0", "x1", "y1"])
+
+    return run
+
+
+def _absent(provider: str):
+    raise FileNotFoundError("weights are missing")
+
+
+def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("v"))
+    return models.host(frames, [models.Model("faces", _faces), models.Model("objects", _objects), models.Model("absent", _absent)], _MODEL_ROWS)
+
+
+_E = "SELECT vec_id frame_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings"
+
+
+@query(
+    f"WITH e AS ({_E}) SELECT frame_id, 'faces' model, 'face' label, a score, 0.1::DOUBLE x0, 0.2::DOUBLE y0, 0.5::DOUBLE x1, 0.75::DOUBLE y1 FROM e WHERE a > 0.05::DOUBLE UNION ALL"
+    " SELECT frame_id, 'objects', 'person', a, 0.0, 0.0, 1.0, 0.5 FROM e WHERE a > 0 AND frame_id % 7 <> 0 UNION ALL SELECT frame_id, 'objects', 'card', b, 0.0, 0.0, 1.0, 0.5 FROM e WHERE b > 0 AND frame_id % 7 <> 0"
+)
+def model_rows(spark, sf_dir):
+    """Rows of three models over all vectors as frames; one of them fails for some frames, one can't be loaded."""
+    return _hosted(spark, sf_dir).where("kind = 'row'").select("frame_id", "model", "label", "score", "x0", "y0", "x1", "y1")
+
+
+@query(
+    f"WITH e AS ({_E}) SELECT frame_id, 'absent:false:null:cpu: weights are missing|faces:true:cpu:null|objects:true:gpu:' || CASE WHEN frame_id % 7 = 0 THEN 'frame can''t be read' ELSE 'null' END statuses, 'faces,objects' models_used,"
+    " CASE WHEN frame_id % 7 = 0 THEN 'objects' ELSE '' END models_failed, ((a > 0.05::DOUBLE)::INTEGER + CASE WHEN frame_id % 7 = 0 THEN 0 ELSE (a > 0)::INTEGER + (b > 0)::INTEGER END)::BIGINT n_rows FROM e"
+)
+def model_statuses(spark, sf_dir):
+    r = models.runs(_hosted(spark, sf_dir))
+    word = lambda c: F.coalesce(c, F.lit("null"))
+    told = F.transform("statuses", lambda s: F.concat_ws(":", s["model"], s["loaded"].cast("string"), word(s["provider"]), word(s["error"])))
+    return r.select("frame_id", F.array_join(told, "|").alias("statuses"), F.array_join("models_used", ",").alias("models_used"), F.array_join("models_failed", ",").alias("models_failed"), "n_rows")
+
+
+# ---------------------------------------------------------------- overlays
+
+
+def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as vision rows, detections and words of documents, by number; boxes by arithmetic, some of them too small to draw."""
+    e = table(spark, sf_dir, "embeddings")
+    vision_rows = e.select(
+        F.col("vec_id").alias("frame_id"), F.lit(0).alias("vision_no"), F.element_at(F.array(*(F.lit(x) for x in ("face", "person", "card"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("label"),
+        F.abs(F.col("embedding")[0].cast("double")).alias("score"), G.box((F.col("vec_id") % 50 - 20).cast("double"), F.lit(5.0), (F.col("vec_id") % 45 - 10).cast("double"), F.lit(9.0)).alias("bbox"),
+    )
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan.scan_text(d)
+    source = F.when(F.col("det_no") % 2 == 0, F.array(F.lit("DOM"), F.lit("OCR"))).otherwise(F.array(F.lit("DOM")))
+    pii = found.select(F.col("doc_id").alias("page_id"), "det_no", "type", F.col("value").alias("text"), F.lit("DOM").alias("source"), source.alias("sources"), G.box(F.col("start") - 40.0, F.col("start") % 100 + 0.0, F.col("end") - F.col("start") - 15.0, F.lit(12.0)).alias("bbox"))
+    words = _on_grid(d.where("text is not null").select(F.col("doc_id").alias("frame_id"), "text"))
+    words = words.select("frame_id", "token_no", "text", G.box(F.col("left") - 30.0, F.col("top"), F.when(F.col("token_no") % 11 == 0, 0.5).otherwise(60.0), F.col("height")).alias("bbox"))
+    return detect.overlay_layers(vision_rows, pii, words)
+
+
+_OVERLAID = (
+    "WITH v0 AS (SELECT vec_id frame_id, ['face', 'person', 'card'][vec_id % 3 + 1] label, abs(embedding[1]::DOUBLE) score, (vec_id % 50 - 20)::DOUBLE l, (vec_id % 45 - 10)::DOUBLE w FROM embeddings),"
+    "v AS (SELECT *, greatest(0.0, least(l, l + w)) a, greatest(greatest(0.0, least(l, l + w)), greatest(l, l + w)) b FROM v0),"
+    f"s AS ({O.scan('SELECT doc_id k, text FROM documents WHERE text IS NOT NULL')}),"
+    "w0 AS (SELECT doc_id, unnest(range(0, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))) n, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) t FROM documents WHERE text IS NOT NULL),"
+    "w AS (SELECT *, greatest(0.0, n % 8 * 100.0 - 30) a, greatest(greatest(0.0, n % 8 * 100.0 - 30), n % 8 * 100.0 - 30 + CASE WHEN n % 11 = 0 THEN 0.5 ELSE 60.0 END) b FROM w0 WHERE n < 300),"
+    "o AS (SELECT frame_id, 'vision' layer, 0 \"no\", CASE WHEN label = 'card' THEN 'default' ELSE label END style, true solid, upper(label) || ' ' || floor(score * 100 + 0.5)::BIGINT || '%' label, a \"left\", 5.0 top, b - a width, 9.0 height FROM v WHERE b - a >= 1"
+    " UNION ALL SELECT doc_id, 'pii', det_no, CASE WHEN det_no % 2 = 0 THEN 'person' ELSE 'pii' END, det_no % 2 = 0, \"type\" || ' · ' || CASE WHEN det_no % 2 = 0 THEN 'DOM+OCR' ELSE 'DOM' END || ' · ' || substr(\"value\", 1, 6) || '…',"
+    " greatest(0.0, \"start\" - 40), \"start\" % 100, greatest(1.0, \"end\" - \"start\" - 15), 12.0 FROM s"
+    " UNION ALL SELECT doc_id, 'ocr', n, 'ocr', true, substr(t, 1, 22), a, (n // 8) * 30.0 + n % 8, b - a, 12.0 FROM w WHERE b - a >= 1)"
+)
+
+
+@query(f"{_OVERLAID} SELECT frame_id, layer, \"no\"::BIGINT \"no\", style, solid, label, \"left\"::DOUBLE \"left\", top::DOUBLE top, width::DOUBLE width, height::DOUBLE height FROM o")
+def overlay_boxes(spark, sf_dir):
+    return _overlaid(spark, sf_dir)
+
+
+@query(
+    f"{_OVERLAID} SELECT frame_id, count(*) FILTER (layer = 'vision' AND style = 'face')::BIGINT faces, count(*) FILTER (layer = 'vision' AND style <> 'face')::BIGINT objects, count(*) FILTER (layer = 'pii')::BIGINT pii, count(*) FILTER (layer = 'ocr')::BIGINT ocr FROM o GROUP BY frame_id"
+)
+def overlay_totals(spark, sf_dir):
+    return detect.overlay_counts(_overlaid(spark, sf_dir))

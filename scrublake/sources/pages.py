@@ -252,14 +252,8 @@ class Page:
         return "" if n.tag in CONTROLS[:4] else gathered(self.bare, *n.bare, True, most)
 
     def seen_text(self, n: Node, most: int) -> str:
-        """Text as a reader sees it, squeezed; one of over ``most`` characters may be cut after these."""
-        gone = n.tag in ("script", "style", "template", "noscript") or self.own_hidden(n)
-        return "" if gone else squeezed(gathered(self.shown, *n.shown, True, most))
-
-    @staticmethod
-    def own_hidden(n: Node) -> bool:
-        style = styled(n)
-        return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+        """Text as a reader sees it, squeezed; one of over ``most`` characters may be cut after these. What is hidden itself has all its text."""
+        return squeezed(gathered(self.shown, *n.shown, True, most))
 
     def parent_text(self, n: Node) -> str:
         """Text of a node without its controls, up to where it is too long for a label; once for all fields in it."""
