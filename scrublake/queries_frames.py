@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from scrublake import oracle as O
 from scrublake.functions import boxes as G
+from scrublake.functions.tables import shared_path, written
 from scrublake.operators import images, models, scan, vision
 from scrublake.plans import detect
 from scrublake.queries import _AXIS, _IOU, _on_grid, table
-from scrublake.sources import pages
+from scrublake.sources import inventory, memory, pages
+from scrublake.streaming import detect as stream
+from scrublake.streaming import metrics, tabs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,3 +351,82 @@ def overlay_boxes(spark, sf_dir):
 )
 def overlay_totals(spark, sf_dir):
     return detect.overlay_counts(_overlaid(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- inventories in locale order, memories
+
+_RANKED_SQL = "coalesce(regexp_extract(text, '[A-Za-zÀ-ÿ]+'), '') || '/' || CASE WHEN doc_id % 3 = 0 THEN 'File-' WHEN doc_id % 3 = 1 THEN 'file_' ELSE 'fïle.' END || doc_id"
+
+
+@query(f"WITH f AS (SELECT doc_id, {_RANKED_SQL} rel FROM documents) SELECT doc_id, rel, row_number() OVER (ORDER BY icu_sort_key(rel, 'en'), rel) \"rank\" FROM f")
+def ranked_paths(spark, sf_dir):
+    """Paths made of the documents' first words, ranked as people sort them."""
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, "File-").when(F.col("doc_id") % 3 == 1, "file_").otherwise("fïle.")
+    rel = F.concat(F.coalesce(F.regexp_extract("text", "[A-Za-zÀ-ÿ]+", 0), F.lit("")), F.lit("/"), name, F.col("doc_id").cast("string"))
+    return inventory.ranked(d.select("doc_id", rel.alias("rel")))
+
+
+#: Contents that hold fences and the very marks of a memory.
+_TRICKY = "CASE WHEN doc_id % 5 = 0 THEN concat('```\\n<!-- MANIFEST:BEGIN -->\\n', coalesce(text, ''), '\\n````\\nx\\n<!-- MANIFEST:END -->') WHEN doc_id % 5 = 1 THEN concat('~ `a` ```', coalesce(text, '')) ELSE text END"
+_SUFFIX = "CASE doc_id % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.PNG' WHEN 2 THEN '.json' ELSE '.txt' END"
+
+
+def _project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_TRICKY).alias("content"), F.expr(_SUFFIX).alias("_s"))
+    text = F.coalesce("content", F.lit(""))
+    rel = F.concat(F.lit("src/File "), F.col("doc_id").cast("string"), "_s")
+    return d.select((F.col("doc_id") % 40).alias("project"), rel.alias("rel"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), "content").withColumn("binary", inventory.is_binary(F.col("rel")))
+
+
+@query(f"SELECT doc_id % 40 project, 'src/File ' || doc_id || {_SUFFIX} rel, sha256(coalesce({_TRICKY.replace(chr(92) + 'n', chr(10))}, '')) sha256 FROM documents")
+def memory_state(spark, sf_dir):
+    """Memories of all documents as files of projects, written as text and read again: what their manifests tell."""
+    return memory.previous_state(memory.write_memories(memory.memory_lines(_project_files(spark, sf_dir))).select("project", "text"))
+
+
+_HUMAN = "CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(size / 1048576.0 * 100 + 0.5) / 100) END"
+
+
+@query(
+    f"WITH f0 AS (SELECT doc_id % 40 project, doc_id % 4 k, 'src/File ' || doc_id || {_SUFFIX} rel, coalesce({_TRICKY.replace(chr(92) + 'n', chr(10))}, '') t FROM documents),"
+    "f AS (SELECT *, strlen(t) size, sha256(t) h, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0) + 1)::BIGINT) fence FROM f0),"
+    "m AS (SELECT project, string_agg(h || '  ' || rel, '\n' ORDER BY icu_sort_key(rel, 'en'), rel) m, string_agg(CASE WHEN k <> 1 AND size < 122880 THEN '### `' || rel || '`\n\n' ||"
+    f" {_HUMAN} || ' · sha256 `' || substr(h, 1, 16) || '` · 1 level(s) deep\n\n' || fence || CASE k WHEN 0 THEN 'ts' WHEN 2 THEN 'json' ELSE '' END || '\n' || t || '\n' || fence || '\n' END, '\n' ORDER BY icu_sort_key(rel, 'en'), rel) c FROM f GROUP BY project),"
+    "w AS (SELECT project, '<!-- MANIFEST:BEGIN -->\n' || m || '\n<!-- MANIFEST:END -->\n<!-- CONTENT:BEGIN -->\n' || coalesce(c || '\n', '') || '<!-- CONTENT:END -->\n' t FROM m)"
+    "SELECT project, (len(t) - len(replace(t, '\n', '')))::BIGINT n_lines, sha256(t) sha256, true verbatim FROM w"
+)
+def memory_written(spark, sf_dir):
+    return memory.write_memories(memory.memory_lines(_project_files(spark, sf_dir))).select("project", "n_lines", "sha256", "verbatim")
+
+
+# ---------------------------------------------------------------- streams and metrics
+
+
+@query("SELECT user_id::BIGINT tab_id, max_by(event_id, (ts, event_id)) event_id, max(ts) \"at\", max_by(event_type, (ts, event_id)) \"event\" FROM events GROUP BY user_id")
+def tab_contexts(spark, sf_dir):
+    """Events as of tabs, by user, arriving in eight files: one in three repeats the one before, and the third file comes before the second."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("tab_id"), "event_id", "ts", F.col("event_type").alias("event"))
+    base = shared_path(spark, "tabs")
+    bounds = e.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    step = max(1, -(-((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) // 8))
+    part = F.floor((F.col("event_id") - F.lit(bounds["lo"])) / step)
+    for no in (0, 2, 1, 3, 4, 5, 6, 7):
+        e.where((part == no) | ((part == no - 1) & (F.col("event_id") % 3 == 0))).write.mode("append").parquet(f"{base}/in")
+    tabs.write_contexts(stream.read(spark, f"{base}/in", e.schema, files_per_batch=1), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    written = spark.read.schema(f"{tabs.CONTEXT}, batch long").parquet(f"{base}/out")
+    return tabs.last_contexts(written).select("tab_id", "event_id", F.col("at").cast("timestamp_ntz").alias("at"), "event")
+
+
+_COUNTED = f"SELECT count(*) flagged_count, coalesce(round(avg(confidence), 4), 0) mean_confidence FROM ({O.scan('SELECT doc_id k, text FROM documents WHERE text IS NOT NULL')})"
+
+
+@query(
+    f"WITH c AS ({_COUNTED}) SELECT 'pii' stage, 'done' status, m.metric, m.v::DOUBLE \"value\" FROM c, LATERAL (VALUES ('flagged_count', flagged_count::DOUBLE), ('dom_flagged_count', flagged_count::DOUBLE), ('ocr_flagged_count', 0.0::DOUBLE), ('ocr_matched_count', 0.0::DOUBLE), ('corroborated_count', 0.0::DOUBLE), ('mean_confidence', mean_confidence)) m(metric, v)"
+)
+def scan_status(spark, sf_dir):
+    """Detections of all documents are written; their numbers are observed on the way."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, seen = metrics.metered(scan.scan_text(d).withColumns({"source": F.lit("DOM"), "sources": F.array(F.lit("DOM"))}), metrics.scan_metrics(), "pii")
+    written(found, "found")
+    return metrics.status(spark, "pii", seen).select("stage", "status", F.explode("metrics").alias("metric", "value"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrublake.functions.tables import numbered
+
 # Extensions that are never embedded, and the size from which files aren't.
 BINARY = (".onnx", ".wasm", ".traineddata", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".zip", ".gz", ".br", ".pdf", ".woff", ".woff2", ".ttf", ".eot")
 INLINE_BYTES = 120 * 1024
@@ -18,11 +22,23 @@ def is_binary(rel: Column) -> Column:
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
     """rel, size, sha256, binary of every file below ``root``, but for .git and node_modules."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), f"^{root.rstrip('/')}/", "")
+    inside = f"{re.sub('^[a-z]+:/+', '/', root).rstrip('/')}/"
+    path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    rel = F.when(F.startswith(path, F.lit(inside)), F.substring(path, len(inside) + 1, 1 << 30)).otherwise(path)
     rows = files.select(rel.alias("rel"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     return rows.where(~F.col("rel").rlike(r"(^|/)(\.git|node_modules)/")).withColumn("binary", is_binary(F.col("rel")))
 
 
+def in_locale_order(path: str) -> list[Column]:
+    """Sort keys of paths as people sort them: by the root collation, equal ones by their characters."""
+    return [F.collate(F.col(path), "UNICODE"), F.col(path)]
+
+
+def ranked(files: DataFrame, path: str = "rel") -> DataFrame:
+    """Files with their rank (from 1) in the order of a locale."""
+    return numbered(files, in_locale_order(path), "rank", start=1)
+
+
 def diff(before: DataFrame, after: DataFrame, key: str = "rel", digest: str = "sha256") -> DataFrame:
     """key and change: added, removed or modified."""
     b, a = before.select(key, F.col(digest).alias("_b")), after.select(key, F.col(digest).alias("_a"))
@@ -68,7 +84,7 @@ def human_size(n: Column) -> Column:
 def inventory(files: DataFrame) -> DataFrame:
     """rel, size as text, the digest's first 16 characters, kind; sorted by path."""
     kind = F.when(F.col("binary"), "binary").when(F.col("size") < INLINE_BYTES, "embedded").otherwise("generated")
-    return files.select("rel", human_size(F.col("size")).alias("size_text"), F.substring("sha256", 1, 16).alias("digest"), kind.alias("kind")).orderBy("rel")
+    return files.select("rel", human_size(F.col("size")).alias("size_text"), F.substring("sha256", 1, 16).alias("digest"), kind.alias("kind")).orderBy(*in_locale_order("rel"))
 
 
 def capped(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
@@ -79,4 +95,4 @@ def capped(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFram
 def markdown(rows: DataFrame) -> DataFrame:
     """A line of text for each inventory row, in the order of paths, as one column that ``write.text`` takes."""
     cells = F.concat_ws(" | ", F.concat(F.lit("`"), "rel", F.lit("`")), "size_text", "digest", "kind")
-    return rows.orderBy("rel").select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"))
+    return rows.orderBy(*in_locale_order("rel")).select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"))
