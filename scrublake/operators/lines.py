@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +23,11 @@ def _median(values: list[float]) -> float:
 
 
 def _lines_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """Words come by vertical centre; each joins the nearest line within reach, whose centre is then its words' median again."""
+    """Words come by vertical centre; each joins the nearest line within reach, whose centre is its words' median.
+
+    That can only be the line begun last: its first word was out of reach of all lines before, and as words come in order, its median never goes
+    down, while the others' stay. A line's centres are in order too, so its median is the middle one.
+    """
     words = frame.sort_values("token_no").to_dict("records")
     centre = lambda w: w["top"] + w["height"] / 2
     usual = _median([w["height"] for w in words if w["height"] > 0]) or 12.0
@@ -33,17 +35,13 @@ def _lines_of(frame: pd.DataFrame) -> pd.DataFrame:
     lines: list[list[dict]] = []
     centres: list[float] = []
     for w in sorted(words, key=centre):
-        best, least = -1, math.inf
-        for i, c in enumerate(centres):
-            d = abs(c - centre(w))
-            if d <= reach and d < least:
-                best, least = i, d
-        if best < 0:
-            lines.append([w])
-            centres.append(centre(w))
+        c = centre(w)
+        if centres and c - centres[len(centres) // 2] <= reach:
+            lines[-1].append(w)
+            centres.append(c)
         else:
-            lines[best].append(w)
-            centres[best] = _median([centre(x) for x in lines[best]])
+            lines.append([w])
+            centres = [c]
     rows = []
     for no, line in enumerate(lines):
         line = sorted(line, key=lambda w: w["left"])

@@ -67,6 +67,11 @@ def view(detections: DataFrame, which: str) -> DataFrame:
     return detections.where(keep[which])
 
 
+def vision_view(vision: DataFrame, which: str = "faces") -> DataFrame:
+    """Rows of models (label, ...) that an inspector shows: faces, or all."""
+    return vision.where("label = 'face'") if which == "faces" else vision
+
+
 def masked(value: Column) -> Column:
     """The first six characters, for display."""
     return F.when(F.length(value) > 6, F.concat(F.substring(value, 1, 6), F.lit("…"))).otherwise(value)

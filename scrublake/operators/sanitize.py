@@ -92,6 +92,22 @@ def audit(url: Column) -> Column:
     )
 
 
+#: Fixed value: how sure a response says that it is.
+CONFIDENCE = 0.99
+
+
+def respond(requests: DataFrame) -> DataFrame:
+    """The columns of ``requests`` (action, text, title, url and any others) but the text, then what a request gets: success, result, masked_count,
+    detected_entities (each once), confidence_score.
+
+    The result is a summary, a security audit, or else the sanitised text, by action. Null texts are empty.
+    """
+    own = [c for c in requests.columns if c != "text"]
+    s = sanitize(requests)
+    result = F.when(F.col("action") == "SUMMARIZE_LOCAL", summary(F.col("title"))).when(F.col("action") == "ANALYZE_SECURITY", audit(F.col("url"))).otherwise(F.col("sanitized"))
+    return s.select(*own, F.lit(True).alias("success"), result.alias("result"), "masked_count", F.col("entities").alias("detected_entities"), F.lit(CONFIDENCE).alias("confidence_score"))
+
+
 def route(prompt: Column) -> Column:
     """What a prompt asks for."""
     low = F.lower(F.coalesce(prompt, F.lit("")))

@@ -119,25 +119,66 @@ def _fixture_detections(spark: SparkSession) -> DataFrame:
     )
 
 
+#: Detections by arithmetic on order lines, in SQL that both engines read: look-alike values, boxes that overlap more or less, some without area.
+_MADE = {
+    "page_id": "l_orderkey", "det_no": "l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey % 10000", "id": "concat(CASE WHEN l_linestatus = 'F' THEN 'dom-' ELSE 'ocr-' END, l_partkey)",
+    "type": "CASE l_returnflag WHEN 'R' THEN 'PHONE' WHEN 'A' THEN 'EMAIL' ELSE 'NAME' END", "text": "CASE l_partkey % 4 WHEN 0 THEN 'Oil-ZS' WHEN 1 THEN '111 25 ' WHEN 2 THEN 'someone else' ELSE '••••••••' END",
+    "l": "CAST((l_suppkey % 3) * 15 AS DOUBLE)", "t": "CAST((l_partkey % 2) * 12 AS DOUBLE)", "w": "CASE WHEN l_quantity < 5 THEN CAST(0 AS DOUBLE) ELSE CAST(40 AS DOUBLE) END", "h": "CAST(20 AS DOUBLE)",
+    "source": "CASE WHEN l_linestatus = 'F' THEN 'DOM' ELSE 'OCR' END", "selector": "CASE WHEN l_linestatus = 'F' THEN concat('#s', l_suppkey) END", "confidence": "CAST(0.5 AS DOUBLE) + l_discount",
+    "context": "CASE WHEN l_linenumber % 2 = 0 THEN concat('c', l_linenumber) END",
+}
+
+
+def _made_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(*(F.expr(x).alias(c) for c, x in _MADE.items()))
+    box = F.struct(*(F.col(a).alias(b) for a, b in (("l", "left"), ("t", "top"), ("w", "width"), ("h", "height"))))
+    return d.select("page_id", "det_no", "id", "type", "text", box.alias("bbox"), "source", F.array("source").alias("sources"), "selector", "confidence", "context")
+
+
 _FP = "translate(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), 'oilzsbgau', '111258940')"
+_ITEM = "STRUCT(id VARCHAR, type VARCHAR, text VARCHAR, fp VARCHAR, l DOUBLE, t DOUBLE, w DOUBLE, h DOUBLE, source VARCHAR, dom BOOLEAN, ocr BOOLEAN, selector VARCHAR, confidence DOUBLE, context VARCHAR)"
+
+
+def _merge_sql() -> str:
+    """Common tables up to m: page_id, det_no and r, the merged detections, by the same fold as a reduction of lists."""
+    w, h = "(least(a.l + a.w, x[1].l + x[1].w) - greatest(a.l, x[1].l))", "(least(a.t + a.h, x[1].t + x[1].h) - greatest(a.t, x[1].t))"
+    least = "least(a.w * a.h, x[1].w * x[1].h)"
+    same = f"(a.type = x[1].type AND CASE WHEN {w} <= 0 OR {h} <= 0 OR {least} <= 0 THEN false ELSE {w} * {h} / {least} > 0.3::DOUBLE END AND (a.fp = x[1].fp OR a.text = x[1].text))"
+    pick = lambda c: f"CASE WHEN x[1].source = 'DOM' THEN x[1].{c} ELSE b.{c} END"
+    other = lambda c: f"CASE WHEN x[1].source = 'DOM' THEN b.{c} ELSE x[1].{c} END"
+    merged = ", ".join(
+        [f"'{c}': {pick(c)}" for c in ("id", "type", "text", "fp", "l", "t", "w", "h", "source")]
+        + ["'dom': b.dom OR x[1].dom", "'ocr': b.ocr OR x[1].ocr", f"'selector': coalesce({pick('selector')}, {other('selector')})", "'confidence': greatest(b.confidence, x[1].confidence)", f"'context': coalesce({pick('context')}, {other('context')})"]
+    )
+    made = ", ".join(f"{x} \"{c}\"" for c, x in _MADE.items())
+    item = ", ".join(f"'{c}': \"{c}\"" for c in ("id", "type", "text")) + f", 'fp': {_FP}, " + ", ".join(f"'{c}': \"{c}\"" for c in ("l", "t", "w", "h", "source")) + ", 'dom': source = 'DOM', 'ocr': source = 'OCR', 'selector': selector, 'confidence': confidence, 'context': context"
+    place = f"list_position(list_transform(acc, lambda a: {same}), true)"
+    return (
+        f"WITH d AS (SELECT {made} FROM lineitem), g AS (SELECT page_id, list([{{{item}}}::{_ITEM}] ORDER BY det_no) d FROM d GROUP BY page_id),"
+        f"f AS (SELECT page_id, list_reduce(list_prepend([]::{_ITEM}[], d), lambda acc, x: CASE WHEN {place} IS NULL THEN list_concat(acc, x)"
+        f" ELSE list_transform(acc, lambda b, i: CASE WHEN i = {place} THEN {{{merged}}}::{_ITEM} ELSE b END) END) k FROM g),"
+        "m AS (SELECT page_id, unnest(range(0, len(k)))::INTEGER det_no, unnest(k) r FROM f)"
+    )
+
+
+_MASKED = "CASE WHEN length(r.text) > 6 THEN substr(r.text, 1, 6) || '…' ELSE r.text END"
+_SOURCES = "CASE WHEN r.dom AND r.ocr THEN 'DOM{0}OCR' WHEN r.dom THEN 'DOM' ELSE 'OCR' END"
 
 
 @query(
-    f"WITH d AS ({X.DETECTIONS_SQL}), f AS (SELECT *, CASE WHEN {_FP} = '' THEN text ELSE {_FP} END fp FROM d),"
-    "g AS (SELECT a.page_id, a.det_no, min(b.det_no) root FROM f a JOIN f b ON a.page_id = b.page_id AND a.type = b.type AND a.fp = b.fp AND b.det_no <= a.det_no AND ("
-    "a.det_no = b.det_no OR greatest(least(a.l + a.w, b.l + b.w) - greatest(a.l, b.l), 0) * greatest(least(a.t + a.h, b.t + b.h) - greatest(a.t, b.t), 0) > 0.3 * least(a.w * a.h, b.w * b.h)) GROUP BY ALL),"
-    "m AS (SELECT page_id, root, bool_or(source = 'DOM') dom, bool_or(source = 'OCR') ocr FROM g JOIN f USING (page_id, det_no) GROUP BY ALL)"
-    "SELECT page_id::BIGINT page_id, count(*)::BIGINT total, count(*) FILTER (dom)::BIGINT dom_flagged, count(*) FILTER (NOT dom)::BIGINT ocr_flagged, count(*) FILTER (ocr)::BIGINT ocr_matched,"
-    "count(*) FILTER (dom AND ocr)::BIGINT corroborated FROM m GROUP BY page_id"
+    f"{_merge_sql()} SELECT page_id, count(*)::BIGINT total, count(*) FILTER (r.source = 'DOM')::BIGINT dom_flagged, count(*) FILTER (r.source <> 'DOM')::BIGINT ocr_flagged, count(*) FILTER (r.ocr)::BIGINT ocr_matched,"
+    "count(*) FILTER (r.dom AND r.ocr)::BIGINT corroborated FROM m GROUP BY page_id"
 )
 def pii_summary(spark, sf_dir):
-    return merge.summarize(merge.merge_sources(_fixture_detections(spark)), "page_id")
+    return merge.summarize(merge.merge_sources(_made_detections(spark, sf_dir)), "page_id")
 
 
-@query()
+@query(
+    f"{_merge_sql()} SELECT page_id, det_no, r.id id, r.\"type\" \"type\", {_MASKED} \"text\", r.source source, {_SOURCES.format(',')} sources, r.selector selector, r.confidence confidence, r.context context, r.l \"left\", r.t top FROM m"
+)
 def merged_sources(spark, sf_dir):
-    m = merge.merge_sources(_fixture_detections(spark))
-    return m.select("page_id", "det_no", "id", "type", merge.masked(F.col("text")).alias("text"), "source", F.array_join("sources", ",").alias("sources"), "confidence")
+    m = merge.merge_sources(_made_detections(spark, sf_dir))
+    return m.select("page_id", "det_no", "id", "type", merge.masked(F.col("text")).alias("text"), "source", F.array_join("sources", ",").alias("sources"), "selector", "confidence", "context", "bbox.left", "bbox.top")
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +203,40 @@ def inspector_views(spark, sf_dir):
     return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
 
 
-@query()
+#: Form fields by arithmetic on orders, in SQL that both engines read.
+_FIELD = {
+    "el_idx": "o_orderkey", "id": "CASE o_custkey % 5 WHEN 0 THEN 'user-pin' WHEN 1 THEN 'f1' WHEN 2 THEN 'Zip-Code' ELSE concat('x', o_orderkey % 10) END", "type": "CASE o_orderkey % 7 WHEN 0 THEN 'password' WHEN 1 THEN 'email' WHEN 2 THEN 'TEXT' END",
+    "label_text": "CASE o_custkey % 9 WHEN 0 THEN 'Card-number' WHEN 1 THEN 'Passport' WHEN 2 THEN 'Full-name' WHEN 3 THEN '' WHEN 4 THEN 'Street-Address' WHEN 5 THEN 'Search' WHEN 6 THEN 'IBAN code' END",
+    "name": "CASE o_orderkey % 11 WHEN 0 THEN 'iban' WHEN 1 THEN 'first_name' WHEN 2 THEN 'q' WHEN 3 THEN 'SSN' WHEN 4 THEN 'login' WHEN 5 THEN 'bank_acc' WHEN 6 THEN 'cc_num' END",
+    "autocomplete": "CASE o_orderkey % 13 WHEN 0 THEN 'cc-number' WHEN 1 THEN 'name' WHEN 2 THEN 'billing street-address' WHEN 3 THEN 'new-password' WHEN 4 THEN 'given-name' ELSE 'off' END",
+    "value": "CASE o_custkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN 'Al' WHEN 2 THEN '  ' END", "placeholder": "CASE WHEN o_orderkey % 3 = 0 THEN 'Your Text' END",
+}
+
+
+def _fields_sql() -> str:
+    made = ", ".join(f"{x} \"{c}\"" for c, x in _FIELD.items())
+    has = lambda words: " OR ".join(f"contains(a, '{w}')" for w in words) or "false"
+    said = lambda what: f"regexp_matches(said, '{fields.WORDS[what]}')"
+    items = [
+        f"CASE WHEN ({has(autos)} OR {said(what)}) AND (v <> '' OR p <> '') THEN {{'kind': '{what}', 'value': CASE WHEN v <> '' THEN v ELSE '[{title}: ' || CASE WHEN p <> '' THEN p ELSE n END || ']' END, 'confidence': {confidence}::DOUBLE}} END"
+        for what, (title, confidence, autos) in fields.FILLS.items()
+    ]
+    items.append(f"CASE WHEN (a IN ('name', 'given-name', 'family-name') OR {said('NAME')}) AND length(v) > 2 THEN {{'kind': 'NAME', 'value': v, 'confidence': 0.86::DOUBLE}} END")
+    return (
+        f"WITH e AS (SELECT {made} FROM orders), l AS (SELECT el_idx, lower(coalesce(\"type\", '')) k, lower(coalesce(autocomplete, '')) a, lower(coalesce(\"name\", '')) n, lower(coalesce(id, '')) i, lower(coalesce(placeholder, '')) p, trim(coalesce(\"value\", '')) v, coalesce(label_text, '') b FROM e),"
+        "s AS (SELECT *, n || ' ' || i || ' ' || p || '   ' || b said, substr(CASE WHEN b <> '' THEN b WHEN p <> '' THEN p ELSE n END, 1, 80) context FROM l),"
+        f"f AS (SELECT el_idx, context, CASE WHEN k = 'password' OR contains(a, 'password') OR {said('PASSWORD')} THEN [{{'kind': 'PASSWORD', 'value': CASE WHEN v <> '' THEN '{fields.MASK}' ELSE '[Password Input: ' || CASE WHEN p <> '' THEN p WHEN n <> '' THEN n WHEN i <> '' THEN i ELSE 'masked' END || ']' END, 'confidence': 0.99::DOUBLE}}]"
+        f" ELSE list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) END d FROM s),"
+        "r AS (SELECT el_idx, context, unnest(range(0, len(d)))::INTEGER det_no, unnest(d) d FROM f)"
+        "SELECT el_idx, det_no, d.kind kind, d.\"value\" \"value\", d.confidence confidence, context FROM r"
+    )
+
+
+@query(_fields_sql())
 def field_heuristics(spark, sf_dir):
-    e = spark.createDataFrame(list(X.FIELDS), "el_idx int, id string, type string, label_text string, attributes map<string,string>")
+    e = table(spark, sf_dir, "orders").select(*(F.expr(x).alias(c) for c, x in _FIELD.items()))
+    told = F.map_from_arrays(F.array(*(F.lit(k) for k in ("name", "autocomplete", "value", "placeholder"))), F.array("name", "autocomplete", "value", "placeholder"))
+    e = e.select("el_idx", "id", "type", "label_text", told.alias("attributes"))
     return fields.field_detections(e).select("el_idx", "det_no", "kind", "value", "confidence", "context")
 
 
@@ -184,9 +256,11 @@ def page_payload(spark, sf_dir):
     return both.select("page_id", "url", F.coalesce(F.size("elements"), F.lit(0)).alias("n_elements"), F.coalesce(F.size("detections"), F.lit(0)).alias("n_detections"))
 
 
-@query()
+@query(
+    f"{_merge_sql()} SELECT page_id, det_no, r.source layer, r.\"type\" \"type\", r.\"type\" || ' · ' || {_SOURCES.format('+')} || ' · ' || substr(r.text, 1, 6) || '…' label, greatest(0, r.l) \"left\", greatest(0, r.t) top, greatest(1, r.w) width, greatest(1, r.h) height FROM m"
+)
 def detection_overlay(spark, sf_dir):
-    return detect.overlay(merge.merge_sources(_fixture_detections(spark)))
+    return detect.overlay(merge.merge_sources(_made_detections(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- sanitiser
@@ -249,6 +323,25 @@ def route_prompts(spark, sf_dir):
     return c.select("conv_id", "turn", sanitize.route(F.col("text")).alias("action"), sanitize.request_text(F.col("text"), F.lit(None), F.col("role")).alias("request"))
 
 
+@query(
+    f"WITH {O.sanitized('SELECT conv_id * 1000 + turn k, conv_id, role, text FROM conversations')}, r AS (SELECT *, CASE WHEN {_HAS(sanitize.SUMMARY_WORDS)} OR conv_id % 5 = 0 THEN 'SUMMARIZE_LOCAL' WHEN {_HAS(sanitize.AUDIT_WORDS)} OR conv_id % 5 = 1 THEN 'ANALYZE_SECURITY' ELSE 'SANITIZE_PII' END action,"
+    " CASE WHEN conv_id % 2 = 0 THEN 'https' ELSE 'http' END || '://x.org/?trk=' || conv_id url FROM s)"
+    "SELECT k req_id, action, true success, CASE action WHEN 'SUMMARIZE_LOCAL' THEN 'Safe Local Summary for \"' || coalesce(nullif(role, ''), 'Current Webpage') || '\":\n• Privacy Shield Status: Verified (All PII filtered)\n• Core Content: '"
+    " || CASE WHEN t <> '' THEN substr(t, 1, 300) || '...' ELSE 'Clean context extracted.' END || '\n• Detected entities removed: ' || CASE WHEN len(every) > 0 THEN array_to_string(every, ', ') ELSE 'None' END"
+    " WHEN 'ANALYZE_SECURITY' THEN 'Security Audit for: ' || url || '\n• Protocol: ' || CASE WHEN conv_id % 2 = 0 THEN '🔒 Secure HTTPS' ELSE '⚠️ Unencrypted HTTP' END || '\n• URL Tracking Parameters: Detected & Stripped\n• PII Exposure Risk: ' ||"
+    " CASE WHEN len(every) > 0 THEN 'High (Masked ' || masked || ' tokens)' ELSE 'Low (Safe)' END ELSE t END result, masked::INTEGER masked_count, array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i), '|') detected_entities, 0.99::DOUBLE confidence_score FROM r"
+)
+def responses(spark, sf_dir):
+    """What every turn of a conversation gets as a request."""
+    c = table(spark, sf_dir, "conversations")
+    fifth = F.col("conv_id") % 5
+    routed = sanitize.route(F.col("text"))
+    action = F.when((routed == "SUMMARIZE_LOCAL") | (fifth == 0), "SUMMARIZE_LOCAL").when((routed == "ANALYZE_SECURITY") | (fifth == 1), "ANALYZE_SECURITY").otherwise("SANITIZE_PII")
+    url = F.concat(F.when(F.col("conv_id") % 2 == 0, "https").otherwise("http"), F.lit("://x.org/?trk="), F.col("conv_id").cast("string"))
+    r = sanitize.respond(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), action.alias("action"), "text", F.col("role").alias("title"), url.alias("url")))
+    return r.drop("title", "url").withColumn("detected_entities", F.array_join("detected_entities", "|"))
+
+
 #: Tabs of 40 sessions; some windows show no web page, some sessions have no focused or no active tab.
 _TABS = (
     "SELECT page_id % 40 session_id, page_id tab_no, CASE WHEN page_id % 4 = 0 THEN 'about:newtab' ELSE url END url, 'Tab ' || page_id title,"
@@ -272,7 +365,12 @@ def active_tabs(spark, sf_dir):
 # ---------------------------------------------------------------- pages
 
 
-@query()
+#: All links of these pages stand in list items of one navigation; ids and places follow.
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) t FROM pages), e AS (SELECT page_id, unnest(range(0, len(t)))::INTEGER el_idx, unnest(t) t FROM p)"
+    "SELECT page_id, el_idx, 'kw-el-' || el_idx id, 'a' tag_name, NULL::VARCHAR \"type\", NULL::VARCHAR \"role\", CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END \"text\", NULL::VARCHAR label_text,"
+    " 'body:nth-of-type(1) > nav:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(' || el_idx + 1 || ') > a:nth-of-type(1)' selector, '/html[1]/body[1]/nav[1]/ul[1]/li[' || el_idx + 1 || ']/a[1]' xpath FROM e"
+)
 def page_elements(spark, sf_dir):
     return pages.elements(table(spark, sf_dir, "pages")).drop("attributes")
 
