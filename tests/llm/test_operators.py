@@ -164,7 +164,7 @@ def test_top_k(spark, sf):
 
 
 def test_top_k_of_repeated_rows(spark, monkeypatch):
-    """Equal rows count once, and before the blocks are dealt: no block outgrows BLOCK."""
+    """Equal rows are counted before the blocks are dealt, so that no block outgrows BLOCK, and each is a candidate."""
     built, most = topk._built, topk.BLOCK
 
     def bounded(leaf, loose):
@@ -178,9 +178,45 @@ def test_top_k_of_repeated_rows(spark, monkeypatch):
 
     few = spark.range(60).select(F.col("id").alias("vec_id"), F.array("id", F.lit(40) - F.col("id")).alias("v"))
     many = few.union(spark.range(3 * most).select(F.lit(7).cast("long"), F.array(F.lit(7).cast("long"), F.lit(33).cast("long"))))
-    expected = sorted(rows(topk.top_k(few, few.where("vec_id % 7 = 0"), 5)))
     monkeypatch.setattr(topk, "_built", bounded)
-    assert sorted(rows(topk.top_k(many, many.where("vec_id % 7 = 0"), 5))) == expected and len(expected) == 45
+    v = [(i, (i, 40 - i)) for i in range(60)] + [(7, (7, 33))] * 6
+    expected = []
+    for q in range(0, 60, 7):
+        best = sorted((-(x * a + y * b), c) for i, (x, y) in v if i == q for c, (a, b) in v if c != q)[:5]
+        expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(rows(topk.top_k(many, many.where("vec_id % 7 = 0"), 5))) == sorted(expected)
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+def test_top_k_equals_sql_on_repeats(spark, monkeypatch, tmp_path, block):
+    """Repeated rows, ids with several vectors, repeated queries: as many rows as SQL gives."""
+    import duckdb
+
+    for name, value in (("BLOCK", block), ("QUERY_BLOCK", max(2, block // 8)), ("CHUNK", 4), ("GROUP", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    data = [(int(i), rng.normal(size=6).tolist()) for i in rng.integers(0, 130, size=240)]
+    data += data[:60] + [data[3]] * 9 + [(50, data[0][1]), (50, data[0][1]), (100, data[5][1]), (None, [1.0] * 6), (7, None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.execute(f'select query_id, "rank", vec_id, score from ({topk.OP3_SQL})').fetchall()
+    assert sorted(rows(topk.op3(spark, str(tmp_path)))) == sorted(expected) and len(expected) == 15
+
+
+def test_bounds_by_angle_hold(spark):
+    """Of long vectors with norms alike, angles rule out more than radii, and no pair is above its bound."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 8))
+    x = np.repeat(centres, 40, axis=0) + rng.normal(size=(1200, 8)) * 0.05
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 256).astype(np.int64)
+    block, queries = topk.Block(np.arange(1200), x), topk.Block(np.arange(0, 1200, 50), x[::50], topk.QUERY_LEAF, 2)
+    search = topk.DualSearch(queries, block, 5)
+    for a, (c, r, s, _, e, _) in enumerate(queries.nodes):
+        for b, (rc, rr, rs, _, re_, _) in enumerate(block.nodes):
+            bound = search._bound(queries.vectors[c], r, queries.norms[c], np.array([rc]), rr, queries.caps[a], np.array([block.caps[b]]))[0]
+            assert (queries.vectors[s:e] @ block.vectors[rs:re_].T).max() <= bound
+    assert search.computed < 1200 * 24 / 4
 
 
 def test_cover_tree_covers_and_prunes():
@@ -224,7 +260,7 @@ def test_few_queries_prune_most_scores():
 
 def test_top_k_over_many_blocks(spark, monkeypatch):
     """Many cells, split cells, a common vector; clashing columns and long vectors."""
-    for name, value in (("BLOCK", 60), ("QUERY_BLOCK", 5), ("CHUNK", 3), ("MOST_PIVOTS", 8)):
+    for name, value in (("BLOCK", 60), ("QUERY_BLOCK", 5), ("CHUNK", 3), ("GROUP", 2), ("MOST_PIVOTS", 8)):
         monkeypatch.setattr(topk, name, value)
     x = clustered(900, 12, 70, 4)
     x[::7] = x[3]
