@@ -370,7 +370,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if not len(pivots):
         pivots = np.zeros((1, 0))
     vectors, queries = (d.mapInArrow(_celled(pivots), "vec_id long, v array<long>, n long, cell int") for d in (vectors, queries))
-    groups = max(1, -(-n // (BLOCK * GROUP)))
+    groups = max(1, -(-n // (BLOCK * GROUP)), min(-(-n // BLOCK), vectors.sparkSession.sparkContext.defaultParallelism))
     blocks = _blocks(vectors, BLOCK, LEAF, LEAF // 4, "blocks").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = _blocks(queries, QUERY_BLOCK, QUERY_LEAF, 2, "asked").select(F.col("block").alias("asked"), "cell", "tree")
 
