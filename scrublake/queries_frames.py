@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrublake import oracle as O
 from scrublake.functions import boxes as G
 from scrublake.functions.tables import shared_path, written
-from scrublake.operators import images, models, scan, vision
+from scrublake.operators import images, lines, merge, models, scan, vision
 from scrublake.plans import detect
 from scrublake.queries import _AXIS, _IOU, _on_grid, table
 from scrublake.sources import inventory, memory, pages
@@ -312,20 +312,23 @@ def model_statuses(spark, sf_dir):
 # ---------------------------------------------------------------- overlays
 
 
-def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as vision rows, detections and words of documents, by number; boxes by arithmetic, some of them too small to draw."""
-    e = table(spark, sf_dir, "embeddings")
-    vision_rows = e.select(
+def _vision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rows of models."""
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("frame_id"), F.lit(0).alias("vision_no"), F.element_at(F.array(*(F.lit(x) for x in ("face", "person", "card"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("label"),
         F.abs(F.col("embedding")[0].cast("double")).alias("score"), G.box((F.col("vec_id") % 50 - 20).cast("double"), F.lit(5.0), (F.col("vec_id") % 45 - 10).cast("double"), F.lit(9.0)).alias("bbox"),
     )
+
+
+def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vision rows of vectors, detections and words of documents, by number; boxes by arithmetic, some of them too small to draw."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan.scan_text(d)
     source = F.when(F.col("det_no") % 2 == 0, F.array(F.lit("DOM"), F.lit("OCR"))).otherwise(F.array(F.lit("DOM")))
     pii = found.select(F.col("doc_id").alias("page_id"), "det_no", "type", F.col("value").alias("text"), F.lit("DOM").alias("source"), source.alias("sources"), G.box(F.col("start") - 40.0, F.col("start") % 100 + 0.0, F.col("end") - F.col("start") - 15.0, F.lit(12.0)).alias("bbox"))
     words = _on_grid(d.where("text is not null").select(F.col("doc_id").alias("frame_id"), "text"))
     words = words.select("frame_id", "token_no", "text", G.box(F.col("left") - 30.0, F.col("top"), F.when(F.col("token_no") % 11 == 0, 0.5).otherwise(60.0), F.col("height")).alias("bbox"))
-    return detect.overlay_layers(vision_rows, pii, words)
+    return detect.overlay_layers(_vision_rows(spark, sf_dir), pii, words)
 
 
 _OVERLAID = (
@@ -430,3 +433,77 @@ def scan_status(spark, sf_dir):
     found, seen = metrics.metered(scan.scan_text(d).withColumns({"source": F.lit("DOM"), "sources": F.array(F.lit("DOM"))}), metrics.scan_metrics(), "pii")
     written(found, "found")
     return metrics.status(spark, "pii", seen).select("stage", "status", F.explode("metrics").alias("metric", "value"))
+
+
+# ---------------------------------------------------------------- nested pages of a recogniser, files, whole payloads
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as a recogniser gives pages: a block of paragraphs (lines of text) of lines (sentences) of words; every third line
+    has no text of its own."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    word = lambda w, i: F.struct(F.when(w != "", w).alias("text"), (i % 50 + 50.0).alias("confidence"))
+    line = lambda x, i: F.struct(F.when(i % 3 != 2, F.concat(x, F.lit(" "))).alias("text"), F.when(i % 4 != 3, i % 30 + 60.0).alias("confidence"), F.transform(F.split(x, " ", -1), word).alias("words"))
+    paragraphs = F.transform(F.split("text", "\n", -1), lambda p: F.struct(F.transform(F.split(p, r"\. ", -1), line).alias("lines")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("frame_id"), F.array(F.struct(paragraphs.alias("paragraphs"))).alias("blocks"))
+
+
+@query(
+    "WITH p AS (SELECT conv_id * 1000 + turn frame_id, text, unnest(range(0, len(string_split(text, '\n')))) pn, unnest(string_split(text, '\n')) p FROM conversations WHERE text IS NOT NULL),"
+    "l AS (SELECT frame_id, pn, unnest(range(0, len(string_split(p, '. ')))) n, unnest(string_split(p, '. ')) x FROM p),"
+    "w AS (SELECT *, list_filter(string_split(x, ' '), lambda y: y <> '') w FROM l)"
+    "SELECT frame_id, (row_number() OVER (PARTITION BY frame_id ORDER BY pn, n) - 1)::INTEGER line_no, trim(CASE WHEN n % 3 <> 2 THEN x ELSE array_to_string(w, ' ') END) \"text\", CASE WHEN n % 4 <> 3 THEN n % 30 + 60.0 ELSE 0.0 END::DOUBLE confidence, len(w)::INTEGER n_words FROM w"
+)
+def nested_lines(spark, sf_dir):
+    found = lines.flatten_pages(_nested(spark, sf_dir))
+    return found.select("frame_id", "line_no", "text", "confidence", F.size("words").alias("n_words"))
+
+
+@query(
+    ORACLE_SQL["memory_written"].replace("SELECT project, (len(t) - len(replace(t, '\n', '')))::BIGINT n_lines, sha256(t) sha256, true verbatim FROM w", "SELECT project::INTEGER project, strlen(t)::BIGINT size, sha256(t) sha256, false \"binary\" FROM w")
+)
+def memory_files(spark, sf_dir):
+    """The folder of memories as an inventory sees it: files found, read and hashed."""
+    folder = shared_path(spark, "memories")
+    memory.write_memories(memory.memory_lines(_project_files(spark, sf_dir)), folder)
+    found = inventory.snapshot(spark, folder).where(F.col("rel").rlike(r"\.txt$"))
+    return found.select(F.regexp_extract("rel", r"project=(\d+)", 1).cast("int").alias("project"), "size", "sha256", "binary")
+
+
+@query("SELECT vec_id frame_id, 'face' label, abs(embedding[1]::DOUBLE) score FROM embeddings WHERE vec_id % 3 = 0")
+def inspector_faces(spark, sf_dir):
+    return merge.vision_view(_vision_rows(spark, sf_dir)).select("frame_id", "label", "score")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles of pages as recognised words."""
+    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("frame_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"))
+    w = _on_grid(t)
+    return w.withColumn("confidence", F.col("token_no") % 40 + 60.0)
+
+
+_TITLE_WORDS = "list_filter(regexp_split_to_array(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"WITH t AS (SELECT page_id, url, len(regexp_extract_all(html, '<a href=')) e, {_TITLE_WORDS} w FROM pages), n AS (SELECT *, len(w) n FROM t),"
+    f"e AS ({_E}), m AS (SELECT frame_id, ((a > 0.05::DOUBLE)::INTEGER + CASE WHEN frame_id % 7 = 0 THEN 0 ELSE (a > 0)::INTEGER + (b > 0)::INTEGER END) n_rows, (a > 0.05::DOUBLE)::INTEGER faces FROM e)"
+    "SELECT page_id, url, e::INTEGER n_elements, n::INTEGER token_count, ceil(n / 8.0)::INTEGER line_count, coalesce(list_reduce(list_prepend('', list_transform(range(0, ceil(n / 8.0)::BIGINT), lambda i: array_to_string(w[8 * i + 1:8 * i + 8], ' '))), lambda a, x: CASE WHEN a = '' THEN x ELSE a || '\n' || x END), '') full_text,"
+    " coalesce(round(list_sum(list_transform(range(0, n), lambda i: i % 40 + 60.0))::DOUBLE / nullif(n, 0)), 0.0)::DOUBLE mean_confidence, coalesce(faces, 0)::INTEGER face_count, coalesce(n_rows - faces, 0)::INTEGER object_count,"
+    " CASE WHEN m.frame_id IS NOT NULL THEN 'faces,objects' END models_used, (e + n)::INTEGER total_scanned, (page_id % 3 * 100 + 900)::DOUBLE width FROM n LEFT JOIN m ON m.frame_id = page_id"
+)
+def payload_metas(spark, sf_dir):
+    """Whole payloads of all pages: links, titles as recognised words and lines, rows and statuses of models, viewports."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    none = F.lit(None).cast(merge.BOX)
+    e = pages.elements(p).withColumn("bbox", none)
+    words = _titles(spark, sf_dir)
+    text = lines.group_lines(words).select("frame_id", "line_no", "text")
+    hosted = _hosted(spark, sf_dir)
+    seen = hosted.where("kind = 'row'").select("frame_id", F.struct("model", "label").alias("vision_no"), "label", "score")
+    views = p.select("page_id", (F.col("page_id") % 3 * 100 + 900.0).alias("width"), F.lit(700.0).alias("height"), F.lit(1.0).alias("device_pixel_ratio"))
+    both = detect.payload(p.drop("html"), e, detect.scan(e, words=words), words=words, lines=text, vision=seen, viewports=views, runs=models.runs(hosted))
+    return both.select(
+        "page_id", "url", F.size("elements").alias("n_elements"), *(F.col(f"ocr_meta.{c}") for c in ("token_count", "line_count", "full_text", "mean_confidence")), "vision_meta.face_count", "vision_meta.object_count",
+        F.array_join("vision_meta.models_used", ",").alias("models_used"), "pii_meta.total_scanned", "viewport.width",
+    )
