@@ -273,12 +273,21 @@ def _possible(percent: int, parts: bool = True) -> Column:
     return F.coalesce(reach(shared), F.lit(True))
 
 
+def _meets(percent: int) -> Column:
+    """Whether sets of n and _n shingles whose first common one stands at ``at`` and ``_at`` can reach the threshold: they share that one and no
+    more than either has after it. A pair's first common shingle fulfils this, if later ones don't."""
+    sizes = (F.col("n") * 100 >= F.col("_n") * percent) & (F.col("_n") * 100 >= F.col("n") * percent)
+    after = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    return sizes & ((after + 1) * (100 + percent) >= (F.col("n") + F.col("_n")) * percent)
+
+
 def _prefixes(left: DataFrame, several: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of documents ``left`` (doc_id, component), the rarest shingles: doc_id, component, n, shingle.
 
     Two sets of n and m shingles that reach the threshold share ``percent`` hundredths of n; of the shingles in one order for all, here by
     the number of documents that have them, the n - that + 1 first of each must then have one in common.
-    Shingles that no other prefix has are left out. Ids of ``several`` texts keep all their shingles, and no n.
+    Shingles that no other prefix has are left out. ``at`` is a shingle's place in that order, from 1: what comes before it isn't shared by two
+    sets that meet here first. Ids of ``several`` texts keep all their shingles, and no n or place.
     """
     if left.count() <= BROADCAST_ROWS:
         left = F.broadcast(left)
@@ -291,9 +300,10 @@ def _prefixes(left: DataFrame, several: DataFrame, docs: DataFrame, k: int, perc
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_df", "shingle"))
     some = shared.withColumns({"_i": order, "_s": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))}).join(sizes, "doc_id").join(several.withColumn("_all", F.lit(True)), "doc_id", "left")
     most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.col("_s"))
-    some = some.where((F.col("_i") <= most) | F.col("_all")).select("doc_id", F.when(F.col("_all"), None).otherwise(F.col("n")).alias("n"), "shingle")
+    of_one = lambda x: F.when(F.col("_all"), None).otherwise(x)
+    some = some.where((F.col("_i") <= most) | F.col("_all")).select("doc_id", of_one(F.col("n")).alias("n"), of_one(F.col("_i") + F.col("n") - F.col("_s")).alias("at"), "shingle")
     twice = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("shingle")
-    return some.join(twice, "shingle", "left_semi").join(left, "doc_id").select("doc_id", "component", "n", "shingle")
+    return some.join(twice, "shingle", "left_semi").join(left, "doc_id").select("doc_id", "component", "n", "at", "shingle")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -347,17 +357,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # what is left: documents that share one of their rarest shingles, without which two sets can't reach the threshold
     left = materialize(inside.select("doc_id", "component").distinct(), "left")
-    bounded = materialize(inside.select("doc_id", "n", "most", "parts").distinct(), "bounded")
-    rest = materialize(_prefixes(left, several, docs, shingle, percent), "prefixes")
-    one = rest.withColumnsRenamed({"doc_id": "a", "component": "_c", "n": "_n"})
-    two = rest.withColumnRenamed("doc_id", "b")
-    sizes = (F.col("n") * 100 >= F.col("_n") * percent) & (F.col("_n") * 100 >= F.col("n") * percent)
-    apart = (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component")) & F.coalesce(sizes, F.lit(True))
+    known = inside.select("doc_id", "most", "parts").distinct().join(longer.select("doc_id", "signature"), "doc_id")
+    rest = materialize(_prefixes(left, several, docs, shingle, percent).join(known, "doc_id"), "prefixes")
+    one = rest.withColumnsRenamed({"doc_id": "a", "component": "_c", "n": "_n", "at": "_at", "most": "_most", "parts": "_parts", "signature": "sig_a"})
+    two = rest.withColumnsRenamed({"doc_id": "b", "signature": "sig_b"})
+    apart = (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component")) & F.coalesce(_meets(percent), F.lit(True)) & ~unlike(percent, LONG) & _possible(percent)
     rest = one.join(two, "shingle").where(apart).select("a", "b").distinct()
-    rest = rest.join(longer.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a").join(longer.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
-    rest = rest.where(~unlike(percent, LONG)).select("a", "b").distinct()
-    theirs = bounded.select(F.col("doc_id").alias("a"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("parts").alias("_parts"))
-    rest = rest.join(bounded.withColumnRenamed("doc_id", "b"), "b").join(theirs, "a").where(_possible(percent)).select("a", "b").distinct()
     links = links.union(_confirmed(rest, docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together
