@@ -357,12 +357,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # what is left: documents that share one of their rarest shingles, without which two sets can't reach the threshold
     left = materialize(inside.select("doc_id", "component").distinct(), "left")
-    known = inside.select("doc_id", "most", "parts").distinct().join(longer.select("doc_id", "signature"), "doc_id")
-    rest = materialize(_prefixes(left, several, docs, shingle, percent).join(known, "doc_id"), "prefixes")
-    one = rest.withColumnsRenamed({"doc_id": "a", "component": "_c", "n": "_n", "at": "_at", "most": "_most", "parts": "_parts", "signature": "sig_a"})
-    two = rest.withColumnsRenamed({"doc_id": "b", "signature": "sig_b"})
-    apart = (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component")) & F.coalesce(_meets(percent), F.lit(True)) & ~unlike(percent, LONG) & _possible(percent)
-    rest = one.join(two, "shingle").where(apart).select("a", "b").distinct()
+    bounded = materialize(inside.select("doc_id", "n", "most", "parts").distinct(), "bounded")
+    rest = materialize(_prefixes(left, several, docs, shingle, percent), "prefixes")
+    one = rest.withColumnsRenamed({"doc_id": "a", "component": "_c", "n": "_n", "at": "_at"})
+    two = rest.withColumnRenamed("doc_id", "b")
+    apart = (F.col("a") < F.col("b")) & (F.col("_c") != F.col("component")) & F.coalesce(_meets(percent), F.lit(True))
+    rest = materialize(one.join(two, "shingle").where(apart).select("a", "b").distinct(), "met")
+    rest = rest.join(longer.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a")), "a").join(longer.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b")), "b")
+    rest = rest.where(~unlike(percent, LONG)).select("a", "b").distinct()
+    theirs = bounded.select(F.col("doc_id").alias("a"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("parts").alias("_parts"))
+    rest = rest.join(bounded.withColumnRenamed("doc_id", "b"), "b").join(theirs, "a").where(_possible(percent)).select("a", "b").distinct()
     links = links.union(_confirmed(rest, docs, shingle, percent))
 
     # ids that repeat with several texts belong to several classes, and tie these together
