@@ -202,7 +202,7 @@ def test_one_parse_for_a_scan(spark):
     none = lambda x: x.withColumn("bbox", F.lit(None).cast(merge.BOX))
     apart = detect.scan(none(pages.elements(d)), none(pages.static_nodes(d, prefilter)))
     assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect())) and found.count() == 5  # the second field's text and value are told apart, as boxes are unknown
-    assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
 
 
 def test_overlay_layers(spark):
