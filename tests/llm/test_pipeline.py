@@ -51,5 +51,5 @@ def test_registered():
     import __spark_entry__ as e
 
     names = {k.split("_")[0] for k in e.queries() if re.match(r"op\d+_", k)}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
