@@ -4,11 +4,13 @@ Streaming every document past the automata of all shards would be quadratic. Two
 the smallest hash of the M-word runs inside. So texts are cut into segments, maximal runs of windows of one anchor, and the
 reference is sharded by anchor; a segment is streamed past the automaton of its own anchor's shard only.
 
-1. Anchors that only one document has can't repeat; of the other anchors' segments, each distinct one (by 64-bit hashes of its words)
-   is looked at once, in the smallest document that holds it. Segments next to each other there make one span.
+1. Anchors that only one document has can't repeat; of the other anchors' segments, each distinct one (by a 64-bit hash of its words and
+   its anchor's smallest document) is looked at once, in the smallest document that holds it. Segments next to each other there make one
+   span.
 2. Anchors are dealt into shards by the smallest document that has them, so that what copies share stays together. A shard's spans make
    one suffix automaton, of which each state knows the smallest document that holds its words. A shard holds SHARD_WORDS
-   words or so; one with more is dealt over several automata, and its spans are streamed past all of these, in several tasks.
+   words or so; one with more is dealt over several automata by anchor, and in it the segments of a hot anchor window by window, by the
+   hash of the window's words. So a window meets one automaton, however many contexts an anchor has.
 3. Where the matching statistic of a span reaches W, the state of the last W words tells the smallest holder of this window; in
    documents with a greater doc_id the window's words go.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import compress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,6 @@ from .common import WORD, forget, join_skewed, load, materialize, mixed, runs_of
 M = 4
 #: Words of an automaton, about; one of words that are all different has twice as many states at most, of some 300 bytes.
 SHARD_WORDS = 1 << 16
-#: Words that one task streams past an automaton made from as many as SHARD_WORDS, so that making it doesn't outweigh its use.
-STREAM_WORDS = 1 << 18
 #: Shards over these bounds are told by broadcast up to so many (20 bytes each), by a shuffle beyond.
 BROADCAST_ROWS = 1 << 18
 NOBODY = (1 << 63) - 1
@@ -185,11 +186,11 @@ def _anchors(window: int):
     return run
 
 
-_PIECE = "head long, content long, windows int, doc_id long"
+_PIECE = "head long, content long, windows int, hot boolean, doc_id long"
 
 
 def _pieces(window: int):
-    """Segments with a shared anchor: the anchor's smallest document, what tells the segment's words, its windows, its document."""
+    """Segments with a shared anchor: the anchor's smallest document, what tells the segment's words, its windows, whether the anchor is hot, its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -199,112 +200,132 @@ def _pieces(window: int):
                 parts = []
                 for i in range(to - row):
                     a, b = cut[i], cut[i + 1]
-                    shared, heads = (batch.column(c)[row + i].values.to_numpy() for c in ("anchors", "heads"))
+                    shared, heads, hots = (batch.column(c)[row + i].values.to_numpy(zero_copy_only=False) for c in ("anchors", "heads", "hots"))
                     order = np.argsort(shared)
                     place = np.minimum(np.searchsorted(shared, anchor[a:b].view(np.int64), sorter=order), len(shared) - 1)
                     ok = np.flatnonzero(shared[order[place]] == anchor[a:b].view(np.int64))
                     _, first = np.unique(content[a:b][ok], return_index=True)
                     ok = ok[first]
-                    parts.append((heads[order[place[ok]]], content[a:b][ok].view(np.int64), n[a:b][ok].astype(np.int32), np.full(len(ok), ids[row + i], np.int64)))
+                    at = order[place[ok]]
+                    parts.append((heads[at], content[a:b][ok].view(np.int64), n[a:b][ok].astype(np.int32), hots[at], np.full(len(ok), ids[row + i], np.int64)))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["head", "content", "windows", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], ["head", "content", "windows", "hot", "doc_id"])
 
     return run
 
 
 _SPAN = pa.schema([
-    ("shard", pa.int64()), ("sub", pa.int32()), ("salt", pa.int32()), ("refers", pa.bool_()), ("asks", pa.bool_()), ("split", pa.bool_()), ("holder", pa.int64()), ("words", pa.binary()),
-    ("contents", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+    ("shard", pa.int64()), ("sub", pa.int32()), ("refers", pa.bool_()), ("asks", pa.bool_()), ("first", pa.int32()), ("holder", pa.int64()), ("words", pa.binary()),
+    ("heads", pa.list_(pa.int64())), ("contents", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
 ])
-SPAN = "shard long, sub int, salt int, refers boolean, asks boolean, split boolean, holder long, words binary, contents array<long>, windows array<long>, counts array<long>"
+SPAN = "shard long, sub int, refers boolean, asks boolean, first int, holder long, words binary, heads array<long>, contents array<long>, windows array<long>, counts array<long>"
+#: ``first`` of rows with whole segments.
+WHOLE = -1
 
 
 def _spans(window: int):
-    """The distinct segments of their smallest holders, as spans of one shard, with the automata and tasks that they go to."""
+    """The distinct segments of their smallest holders, as spans of one shard, with the automata that they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             ids, todo = (batch.column(c).to_pylist() for c in ("doc_id", "todo"))
-            for row, to, words, _, (start, n, _, content, text) in _each(batch, window):
+            for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
                 out: list[tuple] = []
                 cut = np.searchsorted(text, np.arange(to - row + 1))
                 for i in range(to - row):
                     want = {t["content"]: t for t in todo[row + i]}
                     a, b = cut[i], cut[i + 1]
                     span: list[tuple[int, int, dict]] = []
-                    for s, k, c in zip(start[a:b].tolist(), n[a:b].tolist(), content[a:b].view(np.int64).tolist(), strict=True):
+                    place = (0, 0)
+                    for s, k, c, m in zip(start[a:b].tolist(), n[a:b].tolist(), content[a:b].view(np.int64).tolist(), anchor[a:b].tolist(), strict=True):
                         t = want.pop(c, None)
-                        if span and (t is None or s != span[-1][0] + span[-1][1] or t["shard"] != span[0][2]["shard"]):
-                            _placed(span, words, window, ids[row + i], out)
+                        apart = t is not None and t["hot"] and t["subs"] > 1
+                        here = None if t is None or apart else (t["shard"], m % t["subs"])
+                        if span and (here != place or s != span[-1][0] + span[-1][1]):
+                            out.append(_placed(span, place, words, window, ids[row + i]))
                             span = []
-                        if t is not None:
+                        if apart:
+                            out += _by_window(s, k, t, words, window, ids[row + i])
+                        elif t is not None:
                             span.append((s, k, t))
+                            place = here
                     if span:
-                        _placed(span, words, window, ids[row + i], out)
+                        out.append(_placed(span, place, words, window, ids[row + i]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SPAN, strict=True)], schema=_SPAN)
 
     return run
 
 
-def _placed(span: list[tuple[int, int, dict]], words: np.ndarray, window: int, holder: int, out: list[tuple]) -> None:
-    """Rows of a span: in its own automaton, once for each of its tasks, and as a question to the shard's other automata."""
-    shard, subs, salts = (span[0][2][c] for c in ("shard", "subs", "salts"))
+def _placed(span: list[tuple[int, int, dict]], place: tuple[int, int], words: np.ndarray, window: int, holder: int) -> tuple:
+    """Row of a span, which is both reference and question."""
     raw = words[span[0][0] : span[-1][0] + span[-1][1] + window - 1].tobytes()
-    own, salt = span[0][2]["content"] % subs, (span[0][2]["content"] >> 20) % salts
-    rest = (subs > 1, holder, raw, [t["content"] for _, _, t in span], [k for _, k, _ in span], [t["n"] for _, _, t in span])
-    out += [(shard, own, s, True, s == salt, *rest) for s in range(salts)]
-    out += [(shard, j, salt, False, True, *rest) for j in range(subs) if j != own]
+    return (*place, True, True, WHOLE, holder, raw, [t["head"] for _, _, t in span], [t["content"] for _, _, t in span], [k for _, k, _ in span], [t["n"] for _, _, t in span])
 
 
-_HELD = pa.schema([("content", pa.int64()), ("n", pa.int64()), ("holders", pa.list_(pa.int64()))])
+def _by_window(s: int, k: int, t: dict, words: np.ndarray, window: int, holder: int) -> Iterator[tuple]:
+    """Rows of a segment of a hot anchor: each window's automaton is told by its words. Many segments may hold the same window, so it
+    comes as a reference and once more as a question, which needn't wait in memory for the last reference."""
+    subs = [crc32(words[i : i + window].tobytes()) % t["subs"] for i in range(s, s + k)]
+    first = 0
+    for i in range(1, k + 1):
+        if i == k or subs[i] != subs[first]:
+            raw = words[s + first : s + i + window - 1].tobytes()
+            segs = ([t["head"]], [t["content"]], [i - first], [t["n"]])
+            yield (t["shard"], subs[first], True, False, first, holder, raw, *segs)
+            yield (t["shard"], subs[first], False, True, first, holder, raw, *segs)
+            first = i
+
+
+_HELD = pa.schema([("head", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("holders", pa.list_(pa.int64()))])
+HELD = "head long, content long, n long, first int, holders array<long>"
 
 
 def _streamed(window: int):
-    """Of rows sorted by automaton and task, references first: the smallest holder of each window of the segments that are asked about;
-    one for all, where they are equal. Left out: segments of which one document only holds any window."""
+    """Of rows sorted by automaton, references first: the smallest holder of each window of the segments that are asked about; one for
+    all, where they are equal and the segment is whole. Left out: whole segments of which one document only holds any window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, automaton, waiting, out = None, SuffixAutomaton(), [], []
 
-        def answer(split: bool, holder: int, words: list[int], contents: list[int], windows: list[int], counts: list[int]) -> None:
+        def answer(first: int, holder: int, words: list[int], heads: list[int], contents: list[int], windows: list[int], counts: list[int]) -> None:
             found, at = automaton.holders_of(words, window), 0
-            for c, k, n in zip(contents, windows, counts, strict=True):
+            for h, c, k, n in zip(heads, contents, windows, counts, strict=True):
                 some = found[at : at + k]
                 at += k
-                if split or n > 1 or min(some) < holder:
-                    out.append((c, n, some if split or min(some) != max(some) else some[:1]))
+                if first != WHOLE or n > 1 or min(some) < holder:
+                    out.append((h, c, n, first, some if first != WHOLE or min(some) != max(some) else some[:1]))
 
         def found() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 3, _HELD, strict=True)], schema=_HELD)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * len(_HELD), _HELD, strict=True)], schema=_HELD)
             out.clear()
             return batch
 
         def settle() -> None:
-            """All references are there; those that are asked about themselves have waited (about SHARD_WORDS at most)."""
+            """All references are there; whole segments, asked about themselves, have waited (a few times SHARD_WORDS at most)."""
             automaton.finish()
             for w in waiting:
                 answer(*w)
             waiting.clear()
 
-        names = ("shard", "sub", "salt", "refers", "asks", "split", "holder", "words", "contents", "windows", "counts")
+        names = ("shard", "sub", "refers", "asks", "first", "holder", "words", "heads", "contents", "windows", "counts")
         open_ = False
         for batch in batches:
-            for shard, sub, salt, refers, asks, split, holder, raw, *segs in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (shard, sub, salt) != key:
+            for shard, sub, refers, asks, first, holder, raw, *segs in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (shard, sub) != key:
                     if open_:
                         settle()
-                    key, automaton, open_ = (shard, sub, salt), SuffixAutomaton(), True
+                    key, automaton, open_ = (shard, sub), SuffixAutomaton(), True
                 words = np.frombuffer(raw, np.uint64).tolist()
                 if refers:
                     automaton.add(words, holder)
                     if asks:
-                        waiting.append((split, holder, words, *segs))
+                        waiting.append((first, holder, words, *segs))
                 else:
                     if open_:
                         settle()
                         open_ = False
-                    answer(split, holder, words, *segs)
+                    answer(first, holder, words, *segs)
                 if len(out) >= 4096:
                     yield found()
         if open_:
@@ -315,15 +336,16 @@ def _streamed(window: int):
 
 
 def _dealt(distinct: DataFrame, window: int) -> DataFrame:
-    """Distinct segments by their holder, with shard and numbers of automata and of tasks of it: doc_id and todo."""
+    """Distinct segments by their holder, with shard and number of its automata: doc_id and todo."""
     words = F.col("windows") + window - 1
+    apart = F.when(F.col("hot"), F.col("windows") * window).otherwise(words)
     total = distinct.agg(F.sum(words)).first()[0] or 0  # overlaps count, so shards are less full than that
     shards = max(1, -(-int(total) // SHARD_WORDS))
     rows = distinct.withColumn("shard", F.pmod(F.xxhash64("head"), F.lit(shards)))
-    over = rows.groupBy("shard").agg(F.sum(words).alias("_w")).where(F.col("_w") > 2 * SHARD_WORDS)
-    over = materialize(over.select("shard", F.ceil(F.col("_w") / SHARD_WORDS).cast("int").alias("subs"), F.ceil(F.col("_w") / STREAM_WORDS).cast("int").alias("salts")), "over")
+    over = rows.groupBy("shard").agg(F.sum(words).alias("_w"), F.sum(apart).alias("_a")).where(F.col("_w") > 2 * SHARD_WORDS)
+    over = materialize(over.select("shard", F.ceil(F.col("_a") / SHARD_WORDS).cast("int").alias("subs")), "over")
     rows = rows.join(F.broadcast(over) if over.count() <= BROADCAST_ROWS else over, "shard", "left")
-    todo = F.struct("content", "shard", F.coalesce("subs", F.lit(1)).alias("subs"), F.coalesce("salts", F.lit(1)).alias("salts"), "n")
+    todo = F.struct("head", "content", "shard", F.coalesce("subs", F.lit(1)).alias("subs"), "hot", "n")
     return rows.groupBy(F.col("holder").alias("doc_id")).agg(F.collect_list(todo).alias("todo"))
 
 
@@ -416,22 +438,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = own.mapInArrow(_anchors(window), "anchor long, doc_id long")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("head < _hi")
-    shared = materialize(shared.select("anchor", "head", "_n"), "shared")
-    marks = join_skewed(rows, shared, ["anchor"], "_n").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "head")).alias("_s"))
-    marks = materialize(marks.select("doc_id", F.col("_s.anchor").alias("anchors"), F.col("_s.head").alias("heads")), "marks")
+    # a hot anchor may fill an automaton alone
+    shared = materialize(shared.select("anchor", "head", "_n", (F.col("_n") * window > SHARD_WORDS).alias("hot")), "shared")
+    marks = join_skewed(rows, shared, ["anchor"], "_n").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "head", "hot")).alias("_s"))
+    marks = materialize(marks.select("doc_id", F.col("_s.anchor").alias("anchors"), F.col("_s.head").alias("heads"), F.col("_s.hot").alias("hots")), "marks")
 
     pieces = materialize(own.join(marks, "doc_id").mapInArrow(_pieces(window), _PIECE), "pieces")
-    distinct = pieces.groupBy("content").agg(F.min("doc_id").alias("holder"), F.min("head").alias("head"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
+    distinct = pieces.groupBy("head", "content").agg(
+        F.min("doc_id").alias("holder"), F.max("windows").alias("windows"), F.max("hot").alias("hot"), F.count(F.lit(1)).alias("n")
+    )
     todo = _dealt(materialize(distinct, "distinct"), window)
     spans = own.join(materialize(todo, "todo"), "doc_id").mapInArrow(_spans(window), SPAN)
-    spans = spans.repartition("shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", F.col("refers").desc())
-    held = spans.mapInArrow(_streamed(window), "content long, n long, holders array<long>")
-    # several automata of a shard: the smallest holder of each window in all of them; rows that repeat an id say the same again
-    held = held.groupBy("content").agg(F.max("n").alias("n"), F.collect_set("holders").alias("_h"))
-    least = F.aggregate("_h", F.col("_h")[0], lambda a, x: F.zip_with(a, x, lambda y, z: F.least(y, z)))
-    held = materialize(held.select("content", "n", F.when(F.size("_h") > 1, least).otherwise(F.col("_h")[0]).alias("holders")), "held")
-
-    by = join_skewed(pieces.select("content", "doc_id"), held, ["content"], "n")
+    spans = spans.repartition("shard", "sub").sortWithinPartitions("shard", "sub", F.col("refers").desc())
+    held = spans.mapInArrow(_streamed(window), HELD)
+    # parts of a segment in their order; rows that repeat an id say the same again
+    held = held.groupBy("head", "content").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("first", "holders"))).alias("_h"))
+    held = materialize(held.select("head", "content", "n", F.flatten("_h.holders").alias("holders")), "held")
+
+    by = join_skewed(pieces.select("head", "content", "doc_id"), held, ["head", "content"], "n")
     some = F.filter(F.sequence(F.lit(0), F.size("holders") - 1), lambda i: F.get("holders", i) < F.col("doc_id"))
     whole = F.when(F.col("holders")[0] < F.col("doc_id"), F.array(F.lit(ALL[0])))
     by = by.withColumn("gone", F.when(F.size("holders") == 1, whole).otherwise(some)).where(F.size("gone") > 0)

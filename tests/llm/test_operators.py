@@ -684,7 +684,6 @@ def test_substring_dedup_of_overlapping_passages(spark, monkeypatch, words):
     import random
 
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words)  # with few words, all shards are split
-    monkeypatch.setattr(substring_dedup, "STREAM_WORDS", 2 * words)
     monkeypatch.setattr(common, "HOT_ROWS", words // 8)
     r = random.Random(7)
     source = [f"v{r.randrange(30)}" for _ in range(120)]
@@ -696,6 +695,54 @@ def test_substring_dedup_of_overlapping_passages(spark, monkeypatch, words):
     assert Counter(rows(got.select("doc_id", "n_words", "n_removed", "kept_sha256"))) == Counter(brute_removed(out, 13))
 
 
+def _contexts(n: int) -> list[tuple[int, str]]:
+    """Documents with one phrase of four words, whose hash is the least of all runs in them, between words of which few repeat."""
+    import random
+
+    r = random.Random(11)
+    some = [f"c{i}" for i in range(4000)]
+    tried = [" ".join(r.sample(some, 4)) for _ in range(60000)]
+    words, begins = common.words_of(*next((b, o) for _, _, b, o in common.text_buffers(pa.array([" ".join(tried)]))))
+    runs = common.runs_of(words, substring_dedup.M, seed=31)[::4]
+    phrase = tried[int(np.argmin(runs))]
+    out = []
+    for i in range(n):
+        around = [f"a{r.randrange(10**9)}" for _ in range(24)]
+        if i % 5 == 1:  # some share what comes before or after with the document before
+            around = (before[:12] + around[12:]) if i % 2 else (around[:12] + before[12:])
+        before = around
+        out.append((i, " ".join([*around[:12], phrase, *around[12:]])))
+    return out
+
+
+def test_substring_dedup_of_a_hot_phrase(spark, monkeypatch):
+    """A phrase in ever other contexts: right, and rows sent grow with the windows alone, not with the automata."""
+    seen = {}
+    spans = substring_dedup._spans
+    for n in (500, 1000):
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 1 << 9)
+        docs = _contexts(n)
+        sent = spark.sparkContext.accumulator(0)
+
+        def counted(window, sent=sent):
+            inner = spans(window)
+
+            def run(batches):
+                for b in inner(batches):
+                    sent.add(len(b))
+                    yield b
+
+            return run
+
+        monkeypatch.setattr(substring_dedup, "_spans", counted)
+        got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), texts=False)
+        assert Counter(rows(got.select("doc_id", "n_words", "n_removed", "kept_sha256"))) == Counter(brute_removed(docs, 13))
+        assert got.where("n_removed > 0").count() > n // 10
+        seen[n] = sent.value
+    # a reference and a question for each window (16 a document) at most
+    assert 0 < seen[1000] <= 2.2 * seen[500] and seen[1000] <= 2 * 16 * 1000, seen
+
+
 def test_suffix_automaton():
     import random
 
