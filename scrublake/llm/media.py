@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import webp
 from .common import load
@@ -23,11 +24,14 @@ def payload_of(raw: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """The payload as grey images of ROW samples a line, one file after another if it needs over 16,384 lines."""
+    """The payload as grey images of ROW samples a line, one file after another if it needs over 16,384 lines.
+
+    Each image has the transforms that suit it best and back-references to whatever stood before.
+    """
     out = []
     for at in range(0, len(payload), _IMAGE):
         grey = np.frombuffer(payload, np.uint8, min(_IMAGE, len(payload) - at), at).astype(np.uint32)
-        out.append(webp.encode(grey * np.uint32(0x10101) | np.uint32(webp.BLACK), ROW, [(webp.SUBTRACT_GREEN,)]))
+        out.append(webp.smallest(grey * np.uint32(0x10101) | np.uint32(webp.BLACK), ROW))
     return b"".join(out)
 
 
@@ -111,3 +115,21 @@ def read_texts(stored: DataFrame) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, stored and read back."""
     return read_texts(store_texts(load(spark, sf_dir, "documents")))
+
+
+def webp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel arrays of all documents' stored images: doc_id, image_no (from 0), width, height, and a digest of the ARGB numbers, comma-joined."""
+    shown = decode_media(store_texts(load(spark, sf_dir, "documents"))).select("doc_id", F.posexplode("images").alias("image_no", "i"))
+    digest = F.sha2(F.concat_ws(",", F.col("i.pixels").cast("array<string>")), 256)
+    return shown.select("doc_id", "image_no", "i.width", "i.height", digest.alias("pixels_sha256"))
+
+
+#: Pixels straight from the texts' bytes.
+WEBP_PIXELS_SQL = f"""
+WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') b FROM documents),
+p AS (SELECT doc_id, list_concat(b, list_transform(range(CASE WHEN len(b) = 0 THEN {ROW} ELSE (-len(b) % {ROW} + {ROW}) % {ROW} END), lambda i: 'FF')) b FROM b),
+i AS (SELECT doc_id, unnest(range((len(b) - 1) // {_IMAGE} + 1)) no, b FROM p),
+x AS (SELECT doc_id, no, b[no * {_IMAGE} + 1 : (no + 1) * {_IMAGE}] b FROM i)
+SELECT doc_id, no::INTEGER image_no, {ROW} width, (len(b) // {ROW})::INTEGER height,
+  sha256(array_to_string(list_transform(b, lambda v: ('0x' || v)::INTEGER * 65793 - 16777216), ',')) pixels_sha256 FROM x
+"""

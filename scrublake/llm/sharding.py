@@ -114,3 +114,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(docs, ["doc_id", "size", "text_crc32"], 40, seed=6).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+# CRC-32 by byte, from its reversed polynomial 0xEDB88320, as text for SQL.
+def _crc_table() -> list[int]:
+    out = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        out.append(v)
+    return out
+
+
+def _sql_f(half: str) -> str:
+    t = f"({half} * {MULT}::BIGINT + key) % {PRIME}"
+    return f"(((xor({t}, ({t}) >> 15)) % 2147483648) * {MULT}::BIGINT + key) >> 16"
+
+
+#: Six rounds, and again six as long as the number is outside; the walk goes on from the halves as they are.
+OP6_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] crc),
+d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda v: ('0x' || v)::BIGINT),
+    lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) text_crc32 FROM documents, crc),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 row_no FROM d),
+a AS (SELECT count(*) n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 a FROM d),
+ab AS (SELECT n, a, greatest((n + a - 1) // a, 1) b FROM a),
+key(j, key) AS (VALUES {", ".join(f"({j}, {k}::BIGINT)" for j, k in enumerate(round_keys(6)))}),
+walk(row_no, i, l, r) AS (
+  SELECT row_no, 0, row_no // b, row_no % b FROM o, ab
+  UNION ALL
+  SELECT row_no, i + 1, CASE WHEN j % 2 = 0 THEN (l + ({_sql_f("r")})) % a ELSE l END, CASE WHEN j % 2 = 1 THEN (r + ({_sql_f("l")})) % b ELSE r END
+  FROM walk JOIN key ON j = i % {ROUNDS}, ab WHERE i = 0 OR i % {ROUNDS} <> 0 OR l * b + r >= n),
+p AS (SELECT row_no, l * b + r p FROM walk, ab WHERE i > 0 AND i % {ROUNDS} = 0 AND l * b + r < n)
+SELECT doc_id, size, text_crc32, 'rows' law, (p % 40)::INTEGER shard, p // 40 slot, NULL::INTEGER grown_shard FROM o JOIN p USING (row_no)
+"""

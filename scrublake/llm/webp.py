@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Sequence
+from itertools import groupby, repeat
 
 import numpy as np
 
@@ -28,6 +29,8 @@ NEAR = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_MULT = 0x1E35A7BD
+FARTHEST = (1 << 20) - len(NEAR)
+SPREAD = 0x9E3779B97F4A7C15
 BLACK = 0xFF000000
 _REVERSED = {n: None for n in range(16)}
 _STEP = 1 << 18
@@ -297,12 +300,26 @@ def _predicted(mode: int, left, top, right, corner) -> np.ndarray:
     return ways[mode]() if mode in ways else np.array([255, 0, 0, 0])
 
 
+def _one_way(c: np.ndarray, axis: int, sign: int) -> np.ndarray:
+    """All pixels predicted by the one above (axis 0) or to the left (axis 1), as sums along that axis; borders as always."""
+    if sign < 0:
+        out = _differences(c, axis)
+        out[0, 0, 0] -= 255
+        return out
+    c[0, 0, 0] += 255
+    edge = c[0] if axis == 0 else c[:, 0]
+    np.cumsum(edge, axis=0, out=edge)
+    return np.cumsum(c, axis=axis)
+
+
 def _predictor(px: np.ndarray, width: int, modes: np.ndarray, size_bits: int, sign: int) -> np.ndarray:
     """sign 1 adds the predictions to residuals; -1 takes them from pixels."""
     c = _channels(px)
     out = c.copy()
     seen = out if sign > 0 else c  # pixels as they are, which predictions look at
     kinds = modes >> np.uint32(8) & np.uint32(15)
+    if kinds[0] in (1, 2) and (kinds == kinds[0]).all():
+        return _joined(_one_way(c.reshape(-1, width, 4), 1 if kinds[0] == 1 else 0, sign).reshape(-1, 4) & 255)
     across = -(-width >> size_bits)
     for i in range(len(px)):
         y, x = divmod(i, width)
@@ -339,6 +356,14 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
+def _packed(index: np.ndarray, width: int, colours: int) -> np.ndarray:
+    """Places in a palette, as many to a pixel as fit into eight bits."""
+    k = _pack_bits(colours)
+    full = -(-width >> k)
+    rows = np.pad(index.reshape(-1, width), ((0, 0), (0, (full << k) - width))).reshape(-1, full, 1 << k)
+    return (rows << (np.arange(1 << k, dtype=np.uint32) * (8 >> k))).sum(axis=2, dtype=np.uint32).ravel()
+
+
 def _coloured(px: np.ndarray, width: int, height: int, table: np.ndarray) -> np.ndarray:
     k = _pack_bits(len(table))
     index = (px >> np.uint32(8) & np.uint32(255)).reshape(height, -1)
@@ -468,12 +493,9 @@ def _write_code(w: Writer, counts: dict[int, int], size: int) -> tuple[np.ndarra
             w.put(used[1], 8)
         return _codewords(dict.fromkeys(used, 1), size)
     lengths = _code_lengths(counts, 12)
-    tokens, i, end = [], 0, used[-1] + 1
-    while i < end:
-        n, run = lengths.get(i, 0), 1
-        while i + run < end and lengths.get(i + run, 0) == n:
-            run += 1
-        i += run
+    tokens = []
+    for n, same in groupby(map(lengths.get, range(used[-1] + 1), repeat(0))):
+        run = len(list(same))
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -581,22 +603,103 @@ def _write_image(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits:
     w.put_many(np.concatenate(values), np.concatenate(sizes))
 
 
-def runs(px: np.ndarray, least: int = 16) -> list[tuple[int, int, int]]:
-    """Back-references (place, length, distance 1) for runs of one colour."""
-    edge = np.flatnonzero(px[1:] != px[:-1]) + 1
-    begin, end = np.append(0, edge), np.append(edge, len(px))
-    out = []
-    for i in np.flatnonzero(end - begin > least):
-        out += [(at, min(4096, int(end[i]) - at), 1) for at in range(int(begin[i]) + 1, int(end[i]), 4096)]
+def matches(px: np.ndarray, least: int = 24) -> list[tuple[int, int, int]]:
+    """Back-references (place, length, distance): stretches of ``least`` pixels or more that stood before.
+
+    Short runs of pixels are exact 64-bit keys; sorted with their places, equal keys stand side by side, so each place knows the nearest one
+    before it with the same run. Neighbouring places with one distance are one stretch. Stretches are taken from left to right, without overlaps.
+    """
+    if ((px ^ px[0]) & ~np.uint32(0xFF00)).any():
+        colours, symbols = np.unique(px, return_inverse=True)
+        symbols = symbols.astype(np.uint8 if len(colours) <= 1 << 8 else np.uint16 if len(colours) <= 1 << 16 else np.uint32)
+    else:  # only green differs
+        symbols = (px >> np.uint32(8)).astype(np.uint8)
+    each = 8 // symbols.itemsize
+    n = len(px) - each + 1
+    if n < 2:
+        return []
+    # windows of eight bytes at every place, read as numbers: one view for each phase
+    keys = np.empty(n, np.uint64)
+    for i in range(min(each, n)):
+        keys[i::each] = symbols[i : i + (n - i + each - 1) // each * each].view(np.uint64)
+    width = np.uint64(n.bit_length())
+    placed = keys * np.uint64(SPREAD) >> width << width | np.arange(n, dtype=np.uint64)
+    placed.sort()
+    order = (placed & np.uint64((1 << int(width)) - 1)).astype(np.int64)
+    step = np.diff(order)
+    back = np.zeros(n, np.int64)
+    back[order[1:]] = np.where((keys[order[1:]] == keys[order[:-1]]) & (step <= FARTHEST), step, 0)
+    edge = np.flatnonzero(np.diff(back)) + 1
+    begin, end = np.append(0, edge), np.append(edge, n) + each - 1
+    found = np.flatnonzero((back[begin] > 0) & (end - begin >= least))
+    out, done = [], 0
+    for at, stop, dist in zip(begin[found].tolist(), end[found].tolist(), back[begin[found]].tolist(), strict=True):
+        at = max(at, done)
+        if stop - at >= least:
+            out += [(i, min(4096, stop - i), dist) for i in range(at, stop, 4096)]
+            done = stop
+    return out
+
+
+def _entropy(channel: np.ndarray) -> float:
+    """Bits of an ideal prefix code of these bytes."""
+    counts = np.bincount(channel.ravel())
+    counts = counts[counts > 0]
+    return float(channel.size * np.log2(channel.size) - counts @ np.log2(counts))
+
+
+def _differences(c: np.ndarray, axis: int) -> np.ndarray:
+    """Each value less the one above (axis 0) or to the left (axis 1); the first row or column by the other axis, the first value as it is."""
+    out = c.copy()
+    if axis:
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+    else:
+        out[1:] -= c[:-1]
+        out[0, 1:] -= c[0, :-1]
     return out
 
 
+def chosen(px: np.ndarray, width: int) -> tuple[list[tuple], int]:
+    """Transforms and bits of the colour cache by which the image is likely to take the fewest bits.
+
+    Estimates are entropies of the channels as they are, less green, and less the pixel to the left or above; a palette adds its colours.
+    More than 256 colours, but no more than 1,024, that differ in several channels get a colour cache.
+    """
+    height = len(px) // width
+    blocks = np.full(-(-width >> 9) * -(-height >> 9), BLACK, np.uint32)
+    left, top = ([(PREDICTOR, 9, blocks | np.uint32(mode << 8)), (SUBTRACT_GREEN,)] for mode in (1, 2))
+    channel = lambda s: (px >> np.uint32(s)).astype(np.uint8).reshape(height, width)
+    bits = lambda planes: sum(_entropy(c) for c in planes)
+    green = channel(8)
+    grey = not (((px >> np.uint32(8) ^ px) & np.uint32(0xFFFF)).any() or (px >> np.uint32(24) != px[0] >> np.uint32(24)).any())
+    varied = [green] if grey else [green, channel(16) - green, channel(0) - green, channel(24)]
+    ways = [(bits(varied), [(SUBTRACT_GREEN,)])]
+    ways += [(128 + bits(_differences(c, axis) for c in varied), way) for axis, way in ((1, left), (0, top))]
+    if grey:
+        colours = np.flatnonzero(np.bincount(green.ravel())).astype(np.uint32) * np.uint32(0x10101) | px[0] & np.uint32(BLACK)
+    else:
+        ways.append((bits(channel(s) for s in (8, 16, 0, 24)), []))
+        colours = np.unique(px)
+    if len(colours) <= (16 if grey else 256):
+        index = np.searchsorted(colours, px).astype(np.uint32)
+        ways.append((16 * len(colours) + bits([_packed(index, width, len(colours)).astype(np.uint8)]), [(PALETTE, colours)]))
+    cache = (len(colours) - 1).bit_length() if 256 < len(colours) <= 1024 else 0
+    return ([], cache) if cache else (min(ways, key=lambda w: w[0])[1], 0)
+
+
+def smallest(px: np.ndarray, width: int) -> bytes:
+    """A lossless WebP file of ARGB pixels by the transforms that ``chosen`` takes, with the back-references that ``matches`` finds."""
+    transforms, cache = chosen(px, width)
+    return encode(px, width, transforms, cache)
+
+
 def encode(px: np.ndarray, width: int, transforms: Sequence[tuple] = (), cache_bits: int = 0, copies: Sequence[tuple[int, int, int]] | None = None) -> bytes:
     """A lossless WebP file of ARGB pixels.
 
     ``transforms``, in the order of the stream: (SUBTRACT_GREEN,), (PREDICTOR, size_bits, modes), (CROSS_COLOUR, size_bits,
     factors) or (PALETTE, colours); ``copies``: back-references (place, length, distance) over the transformed pixels; None
-    takes runs of one colour.
+    takes those that ``matches`` finds.
     """
     height = len(px) // width
     if not 1 <= width <= MAX_SIDE or not 1 <= height <= MAX_SIDE or width * height != len(px):
@@ -614,19 +717,16 @@ def encode(px: np.ndarray, width: int, transforms: Sequence[tuple] = (), cache_b
             c = _channels(table)
             _write_image(w, _joined(np.diff(c, axis=0, prepend=np.zeros((1, 4), np.int64))), len(table), False)
             place = {int(v): i for i, v in enumerate(table)}
-            index = np.array([place[p] for p in px.tolist()], np.uint32).reshape(height, across)
-            k = _pack_bits(len(table))
-            full = -(-across >> k)
-            index = np.pad(index, ((0, 0), (0, (full << k) - across))).reshape(height, full, 1 << k)
-            px = (index << (np.arange(1 << k, dtype=np.uint32) * (8 >> k))).sum(axis=2, dtype=np.uint32).ravel() << np.uint32(8) | np.uint32(BLACK)
-            across = full
+            index = _packed(np.array([place[p] for p in px.tolist()], np.uint32), across, len(table))
+            px = index << np.uint32(8) | np.uint32(BLACK)
+            across = -(-across >> _pack_bits(len(table)))
         else:
             k, block = args[0], np.asarray(args[1], np.uint32)
             w.put(k - 2, 3)
             _write_image(w, block, -(-across >> k), False)
             px = _predictor(px, across, block, k, -1) if kind == PREDICTOR else _cross(px, across, block, k, -1)
     w.put(0, 1)
-    _write_image(w, px, across, True, cache_bits, runs(px) if copies is None else copies)
+    _write_image(w, px, across, True, cache_bits, matches(px) if copies is None else copies)
     body = w.data()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
