@@ -81,12 +81,13 @@ def mixed_sources(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, see
     those in each shard. ``copies``: how often the mix
     begins the document, for mixes of whole documents. Documents without words take nothing and have as many copies as
     the place where they stand is passed. A source's documents are summed up in buckets of its ring first, then the
-    buckets are, so that no source meets in one task. Null sources are a source; repeated rows count one by one.
+    buckets are, so that no source meets in one task. Null sources are a source; repeated rows count one by one. Rows without a
+    doc_id stand in the ring by their sizes, so they don't share one bucket.
     """
     docs = docs.drop("source_size", "target", "taken", "taken_by_shard", "copies")
     if buckets is None:
         buckets = min(1 << 16, max(256, docs.count() // 64))
-    docs = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_key": seeded(F.col("doc_id"), seed)})
+    docs = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_key": seeded(F.coalesce(F.col("doc_id"), -1 - F.col("size")), seed)})
     docs = docs.withColumn("_bucket", F.floor(F.col("_key") * F.lit(buckets) / F.lit(float(_PRIME))).cast("int"))
     key = ["_src", "_none", "_bucket"]
     targets = source_targets(docs)
@@ -155,7 +156,7 @@ ranked AS (SELECT no, row_number() OVER (ORDER BY q DESC, no) r FROM q),
 ends AS (SELECT no, {_ENDS} FROM ranked GROUP BY no),
 p AS (SELECT s.source, t.no, s.z, t.t, ({_sql_seeded("t.no", 6)}) % greatest(s.z // {BLOCK}, 1) * {BLOCK} start, {_RUNS}
   FROM t JOIN s USING (no) LEFT JOIN ends USING (no)),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_sql_seeded("doc_id", 5)}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT lo FROM d),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY {_sql_seeded("coalesce(doc_id, -1 - size)", 5)}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT lo FROM d),
 u AS (SELECT doc_id, size, z, t, {_UPTO_SQL} FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, z source_size, t "target", u{SHARDS} - u0 taken, {", ".join(f"u{i + 1} - u{i} taken_{i}" for i in range(SHARDS))} FROM u
 """

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from scrublake.llm import media, sharding, webp
+from scrublake.llm import media, mixing, sharding, webp
 
 BLACK = np.uint32(webp.BLACK)
 
@@ -74,16 +74,27 @@ def test_repeats_take_little_room():
     assert thrice < once + 64 and len(media.store(b"ab" * 288 * 9)) < 100
 
 
-@pytest.mark.parametrize(("query", "sql"), [(sharding.op6, sharding.OP6_SQL), (media.webp_pixels, media.WEBP_PIXELS_SQL)])
+@pytest.mark.parametrize(("query", "sql"), [(mixing.op5, mixing.OP5_SQL), (sharding.op6, sharding.OP6_SQL), (media.webp_pixels, media.WEBP_PIXELS_SQL)])
 def test_same_as_sql(spark, sf, query, sql):
     """Nulls, empty texts, repeated rows and a text of 40,000 words are among the documents."""
     got = query(spark, sf)
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
     expected = con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    shown = lambda rows: sorted("|".join(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert shown(map(tuple, got.collect())) == shown(expected)
 
 
 def test_pixels_of_no_documents(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert media.webp_pixels(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """Ids that are null don't make one place of the ring, and the sizes of all rows are taken as often as the quotas say."""
+    rows = [(None, "a", i % 300) for i in range(3000)]
+    got = mixing.mixed_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), seed=5, buckets=64)
+    total = sum(s for _, _, s in rows)
+    assert abs(sum(r.taken for r in got.collect()) - total) <= mixing.BLOCK
+    keys = spark.createDataFrame(rows, "doc_id long, source string, size long").select(mixing.seeded(mixing.F.coalesce("doc_id", -1 - mixing.F.col("size")), 5).alias("k"))
+    assert keys.distinct().count() >= 299
