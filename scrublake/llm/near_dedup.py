@@ -235,14 +235,16 @@ def components(links: DataFrame) -> DataFrame:
     itself to the smallest of them. Steps alternate, through the shared folder, until only stars are left: each node has one smaller
     neighbour, which has none.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     n = links.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both, "u", "v"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _smallest(large, "u", "v")
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", _parts(n))
+        large = both.join(_smallest(both, "u", "v"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # written, as it is read twice: no more rows than edges, and repeated ones go below; each plan and its tasks weigh on the driver
+        large = materialize(large, "large", _parts(n))
+        # a node's least neighbour gives the node's own link, the others give theirs
+        small = large.join(_smallest(large, "u", "v"), "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.distinct(), "edges", _parts(n))
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
         ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         n, loose = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()

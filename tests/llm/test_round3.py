@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scrublake.llm import infill, prefix_trie, simhash
+from scrublake.llm import infill, near_dedup, prefix_trie, simhash
 
 from .conftest import prose
 
@@ -193,3 +193,19 @@ def test_place_of_a_bit(width):
     bits = random.Random(width).getrandbits(width) | 1
     places = [i for i in range(width) if bits >> i & 1]
     assert [infill.place_of(bits, width, k) for k in range(len(places) + 1)] == [*places, width]
+
+
+def test_star_steps_are_small_plans(spark, monkeypatch):
+    """Each table that a star step writes comes from a plan of few aggregates and joins, as every exchange costs the driver a stage of as many tasks as partitions."""
+    operators, kept = [], near_dedup.materialize
+
+    def counted(df, *args):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        operators.append(plan.count("HashAggregate") + plan.count("Join"))
+        return kept(df, *args)
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(100, 101), (7, 100)]
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["component"] for r in got} == {1} and sorted(r["doc_id"] for r in got) == [*range(1, 41), *range(100, 130)]
+    assert max(operators) <= 5
