@@ -63,36 +63,39 @@ class SuffixAutomaton:
             p = self.link[p]
         return c
 
-    def _extend(self, p: int, symbol) -> int:
-        q = self.next[p].get(symbol)
-        if q is not None:  # there already, from another sequence
-            return q if self.length[q] == self.length[p] + 1 else self._clone(p, q, symbol)
-        cur = len(self.next)
-        self.next.append({})
-        self.length.append(self.length[p] + 1)
-        self.link.append(0)
-        self.holder.append(NOBODY)
-        while p >= 0 and symbol not in self.next[p]:
-            self.next[p][symbol] = cur
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][symbol]
-            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, symbol)
-        return cur
-
     def add(self, symbols, holder: int = 0) -> None:
-        at, holders = 0, self.holder
+        at = 0
+        nexts, link, length, holders = self.next, self.link, self.length, self.holder
         for s in symbols:
-            at = self._extend(at, s)
-            if holder < holders[at]:
-                holders[at] = holder
+            q = nexts[at].get(s)
+            if q is not None:  # there already, from another sequence
+                at = q if length[q] == length[at] + 1 else self._clone(at, q, s)
+                if holder < holders[at]:
+                    holders[at] = holder
+                continue
+            cur, p = len(nexts), at
+            nexts.append({})
+            length.append(length[at] + 1)
+            holders.append(holder)
+            while p >= 0:
+                own = nexts[p]
+                q = own.get(s)
+                if q is not None:
+                    break
+                own[s] = cur
+                p = link[p]
+            link.append(0)  # before a clone, which takes the next number
+            if p >= 0:
+                link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, s)
+            at = cur
 
     def finish(self) -> None:
         """Each state's smallest holder, once all is added: of its own places and of those of the states that link to it."""
         holders, link = self.holder, self.link
-        for v in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
-            if holders[v] < holders[link[v]]:
-                holders[link[v]] = holders[v]
+        for v in np.argsort(self.length)[:0:-1].tolist():  # all but the root, which alone has length 0
+            h, p = holders[v], link[v]
+            if h < holders[p]:
+                holders[p] = h
 
     def matching(self, symbols) -> list[int]:
         """For each place, the length of the longest run of symbols ending there that occurs in what was added."""
@@ -112,11 +115,13 @@ class SuffixAutomaton:
         out, v, n = [], 0, 0
         nexts, link, length, holders = self.next, self.link, self.length, self.holder
         for s in symbols:
-            while v and s not in nexts[v]:
+            q = nexts[v].get(s)
+            while v and q is None:
                 v = link[v]
                 n = length[v]
-            if s in nexts[v]:
-                v = nexts[v][s]
+                q = nexts[v].get(s)
+            if q is not None:
+                v = q
                 n += 1
             if n >= window:
                 while length[link[v]] >= window:
@@ -171,6 +176,18 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 256)
 
 
+def _flat(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.Array) -> list[list[int]]:
+    """A list column without nulls, its values converted in one go."""
+    at = column.offsets.to_numpy()
+    flat = _flat(column.values[int(at[0]) : int(at[-1])])
+    at = (at - at[0]).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
@@ -228,26 +245,29 @@ def _spans(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            ids, todo = (batch.column(c).to_pylist() for c in ("doc_id", "todo"))
+            ids, todo = batch.column("doc_id").to_pylist(), batch.column("todo")
+            begin = todo.offsets.to_pylist()
+            heads, contents, shards, subs, hots, counts = (_flat(todo.values.field(c)) for c in ("head", "content", "shard", "subs", "hot", "n"))
             for row, to, words, _, (start, n, anchor, content, text) in _each(batch, window):
                 out: list[tuple] = []
                 cut = np.searchsorted(text, np.arange(to - row + 1))
                 for i in range(to - row):
-                    want = {t["content"]: t for t in todo[row + i]}
+                    x, y = begin[row + i], begin[row + i + 1]
+                    want = dict(zip(contents[x:y], range(x, y), strict=True))
                     a, b = cut[i], cut[i + 1]
-                    span: list[tuple[int, int, dict]] = []
+                    span: list[tuple[int, int, tuple]] = []
                     place = (0, 0)
                     for s, k, c, m in zip(start[a:b].tolist(), n[a:b].tolist(), content[a:b].view(np.int64).tolist(), anchor[a:b].tolist(), strict=True):
                         t = want.pop(c, None)
-                        apart = t is not None and t["hot"] and t["subs"] > 1
-                        here = None if t is None or apart else (t["shard"], m % t["subs"])
+                        apart = t is not None and hots[t] and subs[t] > 1
+                        here = None if t is None or apart else (shards[t], m % subs[t])
                         if span and (here != place or s != span[-1][0] + span[-1][1]):
                             out.append(_placed(span, place, words, window, ids[row + i]))
                             span = []
                         if apart:
-                            out += _by_window(s, k, t, words, window, ids[row + i])
+                            out += _by_window(s, k, (shards[t], subs[t]), (heads[t], c, counts[t]), words, window, ids[row + i])
                         elif t is not None:
-                            span.append((s, k, t))
+                            span.append((s, k, (heads[t], c, counts[t])))
                             place = here
                     if span:
                         out.append(_placed(span, place, words, window, ids[row + i]))
@@ -257,23 +277,24 @@ def _spans(window: int):
     return run
 
 
-def _placed(span: list[tuple[int, int, dict]], place: tuple[int, int], words: np.ndarray, window: int, holder: int) -> tuple:
+def _placed(span: list[tuple[int, int, tuple]], place: tuple[int, int], words: np.ndarray, window: int, holder: int) -> tuple:
     """Row of a span, which is both reference and question."""
     raw = words[span[0][0] : span[-1][0] + span[-1][1] + window - 1].tobytes()
-    return (*place, True, True, WHOLE, holder, raw, [t["head"] for _, _, t in span], [t["content"] for _, _, t in span], [k for _, k, _ in span], [t["n"] for _, _, t in span])
+    return (*place, True, True, WHOLE, holder, raw, [t[0] for _, _, t in span], [t[1] for _, _, t in span], [k for _, k, _ in span], [t[2] for _, _, t in span])
 
 
-def _by_window(s: int, k: int, t: dict, words: np.ndarray, window: int, holder: int) -> Iterator[tuple]:
+def _by_window(s: int, k: int, dealt: tuple[int, int], told: tuple[int, int, int], words: np.ndarray, window: int, holder: int) -> Iterator[tuple]:
     """Rows of a segment of a hot anchor: each window's automaton is told by its words. Many segments may hold the same window, so it
     comes as a reference and once more as a question, which needn't wait in memory for the last reference."""
-    subs = [crc32(words[i : i + window].tobytes()) % t["subs"] for i in range(s, s + k)]
+    (shard, over), (head, content, n) = dealt, told
+    subs = [crc32(words[i : i + window].tobytes()) % over for i in range(s, s + k)]
     first = 0
     for i in range(1, k + 1):
         if i == k or subs[i] != subs[first]:
             raw = words[s + first : s + i + window - 1].tobytes()
-            segs = ([t["head"]], [t["content"]], [i - first], [t["n"]])
-            yield (t["shard"], subs[first], True, False, first, holder, raw, *segs)
-            yield (t["shard"], subs[first], False, True, first, holder, raw, *segs)
+            segs = ([head], [content], [i - first], [n])
+            yield (shard, subs[first], True, False, first, holder, raw, *segs)
+            yield (shard, subs[first], False, True, first, holder, raw, *segs)
             first = i
 
 
@@ -308,10 +329,10 @@ def _streamed(window: int):
                 answer(*w)
             waiting.clear()
 
-        names = ("shard", "sub", "refers", "asks", "first", "holder", "words", "heads", "contents", "windows", "counts")
+        names, lists = ("shard", "sub", "refers", "asks", "first", "holder"), ("heads", "contents", "windows", "counts")
         open_ = False
         for batch in batches:
-            for shard, sub, refers, asks, first, holder, raw, *segs in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for shard, sub, refers, asks, first, holder, raw, *segs in zip(*(_flat(batch.column(c)) for c in names), batch.column("words").to_pylist(), *(_lists(batch.column(c)) for c in lists), strict=True):
                 if (shard, sub) != key:
                     if open_:
                         settle()
@@ -374,6 +395,18 @@ def _removed_words(begins, seg, rows, found, window) -> list[np.ndarray | None]:
     return out
 
 
+def _masks(batch: pa.RecordBatch, found: list, window: int) -> list[np.ndarray | None]:
+    """For each row a mask of the words to remove; None: none. Only texts of which something was found are cut into segments again."""
+    out: list[np.ndarray | None] = [None] * len(batch)
+    some = [i for i, f in enumerate(found) if f]
+    if some:
+        for row, to, _, begins, seg in _each(batch.select(["text"]).take(pa.array(some)), window):
+            masks = _removed_words(begins, seg, to - row, [found[i] for i in some[row:to]], window)
+            for i, mask in zip(some[row:to], masks, strict=True):
+                out[i] = mask
+    return out
+
+
 def spans_of(places: list[int], window: int) -> Iterator[tuple[int, int]]:
     """First and last word (exclusive) of maximal runs of consecutive windows."""
     first = None
@@ -391,19 +424,16 @@ def _cut(window: int, texts: bool, name: str):
         for batch in _small(batches):
             found = batch.column(name).to_pylist()
             n_words, n_removed, shas, kept_texts = [], [], [], []
-            column = batch.column("text")
-            for row, to, _, begins, seg in _each(batch, window):
-                masks = _removed_words(begins, seg, to - row, found[row:to], window)
-                for i, mask in enumerate(masks):
-                    text = (column[row + i].as_py() or "").encode()
-                    w = text.split()
-                    kept = w if mask is None else list(compress(w, (~mask).tolist()))
-                    n_words.append(len(w))
-                    n_removed.append(len(w) - len(kept))
-                    joined = b" ".join(kept)
-                    shas.append(hashlib.sha256(joined).hexdigest())
-                    if texts:
-                        kept_texts.append(column[row + i].as_py() if len(kept) == len(w) else _spliced(text, mask))
+            column = batch.column("text").to_pylist()
+            for text, mask in zip(column, _masks(batch, found, window), strict=True):
+                raw = (text or "").encode()
+                w = raw.split()
+                kept = w if mask is None else list(compress(w, (~mask).tolist()))
+                n_words.append(len(w))
+                n_removed.append(len(w) - len(kept))
+                shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                if texts:
+                    kept_texts.append(text if len(kept) == len(w) else _spliced(raw, mask))
             rest = [n for n in batch.schema.names if n != name and (not texts or n != "text")]
             if not texts:
                 rest.remove("text")

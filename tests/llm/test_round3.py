@@ -6,11 +6,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scrublake.llm import infill, near_dedup, prefix_trie, simhash
+from scrublake.llm import infill, near_dedup, prefix_trie, simhash, substring_dedup
 
 from .conftest import prose
 
@@ -209,3 +211,21 @@ def test_star_steps_are_small_plans(spark, monkeypatch):
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["component"] for r in got} == {1} and sorted(r["doc_id"] for r in got) == [*range(1, 41), *range(100, 130)]
     assert max(operators) <= 5
+
+
+def test_only_cut_texts_are_segmented_again(monkeypatch):
+    """Documents of which nothing was found aren't hashed a second time."""
+    seen, kept = [], substring_dedup.words_of
+    monkeypatch.setattr(substring_dedup, "words_of", lambda buf, offsets, **k: seen.append(len(offsets) - 1) or kept(buf, offsets, **k))
+    words = [f"w{i}" for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": [1, 2, 3, 4], "text": [" ".join(words), " ".join(reversed(words)), None, " ".join(words)],
+        "found": pa.array([None, None, None, None], pa.list_(pa.struct([("content", pa.int64()), ("gone", pa.list_(pa.int64()))]))),
+    })
+    _, _, _, _, (_, _, _, content, _) = next(substring_dedup._each(batch.slice(3), 13))
+    seen.clear()
+    found = [None, None, None, [{"content": int(c), "gone": substring_dedup.ALL} for c in content.view(np.int64)]]
+    batch = batch.set_column(2, "found", pa.array(found, batch.column("found").type))
+    (out,) = substring_dedup._cut(13, False, "found")(iter([batch]))
+    assert out.column("n_removed").to_pylist() == [0, 0, 0, 40] and out.column("n_words").to_pylist() == [40, 40, 0, 40]
+    assert sum(seen) == 1
