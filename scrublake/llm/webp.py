@@ -7,10 +7,9 @@ from tables: every bit position gets the length of a pixel that would start ther
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Sequence
-from itertools import groupby, repeat
+from functools import lru_cache
 
 import numpy as np
 
@@ -67,9 +66,8 @@ class Code:
     def __init__(self, lengths: Sequence[int]) -> None:
         lens = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lens)
-        if len(used) <= 1:  # no bits are spent on a single symbol
-            self.bits, self.only = 0, int(used[0]) if len(used) else 0
-            self.table = np.array([self.only << 4], np.int32)
+        if len(used) <= 1:
+            self._single(int(used[0]) if len(used) else 0)
             return
         self.only = None
         order = used[np.argsort(lens[used], kind="stable")]
@@ -80,6 +78,16 @@ class Code:
             raise ValueError("prefix code is not complete")
         self.table = spread[_reversed_bits(n)].astype(np.int32)
 
+    def _single(self, symbol: int) -> None:
+        """No bits are spent on a single symbol."""
+        self.bits, self.only, self.table = 0, symbol, np.array([symbol << 4], np.int32)
+
+    @classmethod
+    def single(cls, symbol: int) -> Code:
+        code = cls.__new__(cls)
+        code._single(symbol)
+        return code
+
     def read(self, bits: Bits) -> int:
         e = int(self.table[bits.peek(self.bits)])
         bits.pos += e & 15
@@ -87,13 +95,17 @@ class Code:
 
 
 def _read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if bits.read(1) else 1)
+        if not two:
+            if first >= size:
+                raise ValueError("symbol is out of range")
+            return Code.single(first)
+        lengths = [0] * size
+        lengths[first] = lengths[bits.read(8)] = 1
         return Code(lengths)
+    lengths = [0] * size
     own = [0] * 19
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
@@ -172,8 +184,9 @@ def _pixels_fast(bits: Bits, codes: list[Code], width: int, total: int) -> np.nd
         wide = piece[:-3] | piece[1:-2].astype(np.uint32) << 8 | piece[2:-1].astype(np.uint32) << 16 | piece[3:].astype(np.uint32) << 24
         window = (wide[:, None] >> shifts).ravel()
         size = len(window) - 128
-        g = green.table[window & np.uint32((1 << green.bits) - 1)]
-        after = np.arange(len(g), dtype=np.int32) + (g & 15)
+        g = green.table.take((window & np.uint32((1 << green.bits) - 1)).astype(np.intp), mode="clip")
+        own = np.arange(len(g), dtype=np.intp)
+        after = own + (g & 15)
         at = []
         if not flat:
             top = len(g) - 1
@@ -183,22 +196,25 @@ def _pixels_fast(bits: Bits, codes: list[Code], width: int, total: int) -> np.nd
                 e = c.table[window[after] & np.uint32((1 << c.bits) - 1)]
                 after = after + (e & 15)
         special = g >= 256 << 4
-        own = np.arange(len(g), dtype=np.int32)
-        nxt = np.where(special | (after >= len(g)), own, after).astype(np.int32)
-        two = nxt[nxt]
-        four = two[two]
-        jumps, is_special, p = memoryview(four), memoryview(special), bits.pos - base * 8
+        nxt = np.where(special | (after >= len(g)), own, after)
+        two = nxt.take(nxt, mode="clip")
+        four = two.take(two, mode="clip")
+        jumps, is_special, p = memoryview(four.take(four, mode="clip")), memoryview(special), bits.pos - base * 8
         while n < total and p < size:
             chain, room = [], total - n
             q = p
-            while q < size and len(chain) * 4 < room:
+            for _ in range(-(-room // 8)):
+                if q >= size:
+                    break
                 chain.append(q)
                 r = jumps[q]
                 if r == q:
                     break
                 q = r
-            c = np.array(chain, np.int64)
-            places = np.stack([c, nxt[c], two[c], nxt[two[c]]], axis=1).ravel()
+            c = np.array(chain, np.intp)
+            c = np.stack([c, four[c]], axis=1).ravel()
+            c = np.stack([c, two[c]], axis=1).ravel()
+            places = np.stack([c, nxt[c]], axis=1).ravel()
             places = places[~special[places] & (places < size)][:room]
             if len(places):
                 px = (g[places] >> 4).astype(np.uint32) << 8
@@ -348,6 +364,8 @@ def _cross(px: np.ndarray, width: int, factors: np.ndarray, size_bits: int, sign
 
 def _green(px: np.ndarray, sign: int) -> np.ndarray:
     g = px >> np.uint32(8) & np.uint32(255)
+    if sign > 0 and not (px & np.uint32(0xFF00FF)).any():  # grey
+        return px & np.uint32(BLACK) | g * np.uint32(0x10101)
     red, blue = (px >> np.uint32(16)) + (g if sign > 0 else np.uint32(256) - g), px + (g if sign > 0 else np.uint32(256) - g)
     return px & np.uint32(0xFF00FF00) | (red & np.uint32(255)) << np.uint32(16) | blue & np.uint32(255)
 
@@ -427,22 +445,26 @@ def _code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
         return dict.fromkeys(counts, 1)
     floor, total = 0, sum(counts.values())
     while True:
-        heap = [(max(c, floor), s, None) for s, c in counts.items()]
-        heapq.heapify(heap)
-        tick = 1 << 20
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], tick, (a, b)))
-            tick += 1
-        out, stack = {}, [(heap[0], 0)]
-        while stack:
-            (_, s, pair), d = stack.pop()
-            if pair is None:
-                out[s] = d
-            else:
-                stack += [(pair[0], d + 1), (pair[1], d + 1)]
-        if max(out.values()) <= most:
-            return out
+        # leaves by weight, then the nodes over them, which come by weight of themselves: the least two are always at the front of either
+        leaves = sorted((max(c, floor), s) for s, c in counts.items())
+        n = len(leaves)
+        weight, above = [c for c, _ in leaves], [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            both = 0
+            for _ in range(2):
+                if leaf < n and (node == new or weight[leaf] <= weight[node]):
+                    least, leaf = leaf, leaf + 1
+                else:
+                    least, node = node, node + 1
+                both += weight[least]
+                above[least] = new
+            weight.append(both)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth[:n]) <= most:
+            return {s: d for (_, s), d in zip(leaves, depth, strict=False)}
         floor = max(floor * 2, total >> most, 1)
 
 
@@ -450,13 +472,12 @@ def _codewords(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarr
     """Bit-reversed canonical codes and their lengths, for a table of ``size`` symbols."""
     codes, lens = np.zeros(size, np.int64), np.zeros(size, np.int64)
     if len(lengths) > 1:
-        code = before = 0
-        for n, s in sorted((n, s) for s, n in lengths.items()):
-            code <<= n - before
-            before = n
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            lens[s] = n
-            code += 1
+        used, own = np.array(list(lengths)), np.array(list(lengths.values()))
+        lens[used] = own
+        order = np.lexsort((used, own))
+        most = int(own[order[-1]])
+        room = 1 << (most - own[order])
+        codes[used[order]] = _reversed_bits(most)[np.cumsum(room) - room]
     return codes, lens
 
 
@@ -470,14 +491,21 @@ class Writer:
 
     def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Values of up to 63 bits, one after another."""
-        head = np.array([self.value >> i & 1 for i in range(self.size)], np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        k = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-        flat = np.concatenate([head, (np.repeat(values, sizes) >> k & 1).astype(np.uint8)])
-        whole = len(flat) // 8 * 8
-        self.parts.append(np.packbits(flat[:whole], bitorder="little").tobytes())
-        rest = flat[whole:].tolist()
-        self.value, self.size = sum(b << i for i, b in enumerate(rest)), len(rest)
+        whole, head = divmod(self.size, 8)
+        self.parts.append((self.value & ((1 << whole * 8) - 1)).to_bytes(whole, "little"))
+        end = np.cumsum(sizes) + head
+        begin, total = end - sizes, int(end[-1]) if len(end) else head
+        words = np.zeros((total >> 6) + 2, np.uint64)
+        if len(end):
+            word, shift, values = begin >> 6, (begin & 63).astype(np.uint64), values.astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            words[word[first]] = np.add.reduceat(values << shift, first)  # no two have a bit in common
+            over = np.flatnonzero((end - 1) >> 6 > word)  # one at most reaches into a word from the one before
+            words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        words[0] |= np.uint64(self.value >> whole * 8)
+        data = words.tobytes()
+        self.parts.append(data[: total >> 3])
+        self.value, self.size = data[total >> 3] & ((1 << (total & 7)) - 1), total & 7
 
     def data(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes(-(-self.size // 8), "little")
@@ -494,8 +522,11 @@ def _write_code(w: Writer, counts: dict[int, int], size: int) -> tuple[np.ndarra
         return _codewords(dict.fromkeys(used, 1), size)
     lengths = _code_lengths(counts, 12)
     tokens = []
-    for n, same in groupby(map(lengths.get, range(used[-1] + 1), repeat(0))):
-        run = len(list(same))
+    row = np.zeros(used[-1] + 1, np.int64)
+    row[list(lengths)] = list(lengths.values())
+    edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+    for i, n in enumerate(row[edges[:-1]].tolist()):
+        run = edges[i + 1] - edges[i]
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -540,9 +571,15 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * top + (v >> (top - 1) & 1), v & ((1 << (top - 1)) - 1), top - 1
 
 
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Short codes of distances."""
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def _tokens(px: np.ndarray, width: int, cache_bits: int, copies: Sequence[tuple[int, int, int]]):
-    """Green symbols, extra length bits, distance symbols with extra bits, and whether a pixel is spelt out."""
-    lit, parts, pos = np.ones(len(px), bool), [], 0
+    """Green symbols; places of copies with length and distance symbols and their extra bits; and whether a pixel is spelt out."""
+    lit = np.ones(len(px), bool)
     for at, length, _ in copies:
         lit[at : at + length] = False
     symbols = (px >> np.uint32(8) & np.uint32(255)).astype(np.int64)
@@ -553,35 +590,29 @@ def _tokens(px: np.ndarray, width: int, cache_bits: int, copies: Sequence[tuple[
             if lit[i] and cache.get(k) == p:
                 symbols[i] = 280 + k
             cache[k] = p
-    near = {}
-    for i, (x, y) in reversed(list(enumerate(NEAR))):
-        near[max(1, x + y * width)] = i + 1
-    out = []
-    for at, length, dist in copies:
-        parts.append(np.arange(pos, at))
-        out.append((at, *_prefix(length), *_prefix(near.get(dist, dist + len(NEAR)))))
-        pos = at + length
-    return symbols, out, [*parts, np.arange(pos, len(px))]
+    near = _near(width)
+    return symbols, [(at, *_prefix(length), *_prefix(near.get(dist, dist + len(NEAR)))) for at, length, dist in copies], lit
 
 
 def _write_image(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: Sequence[tuple[int, int, int]] = ()) -> None:
     w.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         w.put(0, 1)
-    symbols, backs, spans = _tokens(px, width, cache_bits, copies)
+    symbols, backs, lit = _tokens(px, width, cache_bits, copies)
     size = 280 + (1 << cache_bits if cache_bits else 0)
-    where = np.concatenate(spans) if len(spans) > 1 else spans[0]
+    where = np.flatnonzero(lit)
     counted = np.bincount(symbols[where], minlength=size)
     for b in backs:
         counted[256 + b[1]] += 1
     spelt = where[symbols[where] < 256]
-    others = [(px >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
-    of = lambda a: {int(i): int(a[i]) for i in np.flatnonzero(a)}
+    alike = not ((px ^ px[0]) & ~np.uint32(0xFF00)).any()  # only green differs
+    others = [np.array([px[0] >> np.uint32(s) & np.uint32(255)], np.int64) if alike else (px >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    of = lambda a: dict(zip((i := np.flatnonzero(a)).tolist(), a[i].tolist(), strict=True))
     far: dict[int, int] = {}
     for b in backs:
         far[b[4]] = far.get(b[4], 0) + 1
     codes = [_write_code(w, of(counted), size)]
-    codes += [_write_code(w, of(np.bincount(c[spelt], minlength=256)), 256) for c in others]
+    codes += [_write_code(w, {int(c[0]): len(spelt)} if alike and len(spelt) else of(np.bincount(c[spelt], minlength=256)), 256) for c in others]
     codes.append(_write_code(w, far, 40))
     value, n = codes[0][0][symbols], codes[0][1][symbols]
     for c, (code, lens) in zip(others, codes[1:4], strict=True):
@@ -589,18 +620,14 @@ def _write_image(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits:
             full = symbols < 256
             value = np.where(full, value | code[c] << n, value)
             n = np.where(full, n + lens[c], n)
-    values, sizes = [], []
-    for i, span in enumerate(spans):
-        values.append(value[span])
-        sizes.append(n[span])
-        if i < len(backs):
-            _, g, extra, bits, d, d_extra, d_bits = backs[i]
-            v, k = int(codes[0][0][256 + g]), int(codes[0][1][256 + g])
-            v, k = v | extra << k, k + bits
-            v, k = v | int(codes[4][0][d]) << k, k + int(codes[4][1][d])
-            values.append(np.array([v | d_extra << k]))
-            sizes.append(np.array([k + d_bits]))
-    w.put_many(np.concatenate(values), np.concatenate(sizes))
+    if backs:  # a copy stands at its first pixel
+        at, g, extra, bits, d, d_extra, d_bits = np.array(backs, np.int64).T
+        k = codes[0][1][256 + g]
+        v, k = codes[0][0][256 + g] | extra << k, k + bits
+        v, k = v | codes[4][0][d] << k, k + codes[4][1][d]
+        value[at], n[at], lit[at] = v | d_extra << k, k + d_bits, True
+        where = np.flatnonzero(lit)
+    w.put_many(value[where], n[where])
 
 
 def matches(px: np.ndarray, least: int = 24) -> list[tuple[int, int, int]]:
@@ -627,8 +654,8 @@ def matches(px: np.ndarray, least: int = 24) -> list[tuple[int, int, int]]:
     placed.sort()
     order = (placed & np.uint64((1 << int(width)) - 1)).astype(np.int64)
     step = np.diff(order)
-    back = np.zeros(n, np.int64)
-    back[order[1:]] = np.where((keys[order[1:]] == keys[order[:-1]]) & (step <= FARTHEST), step, 0)
+    back, keys = np.zeros(n, np.int64), keys[order]
+    back[order[1:]] = np.where((keys[1:] == keys[:-1]) & (step <= FARTHEST), step, 0)
     edge = np.flatnonzero(np.diff(back)) + 1
     begin, end = np.append(0, edge), np.append(edge, n) + each - 1
     found = np.flatnonzero((back[begin] > 0) & (end - begin >= least))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scrublake.llm import infill, near_dedup, prefix_trie, simhash, substring_dedup
+from scrublake.llm import infill, near_dedup, prefix_trie, simhash, substring_dedup, webp
 
 from .conftest import prose
 
@@ -213,6 +213,21 @@ def test_star_steps_are_small_plans(spark, monkeypatch):
     assert max(operators) <= 5
 
 
+def test_single_symbol_codes_and_copies():
+    """A code of one symbol is told without its lengths; values cross words of 64 bits at any place, and copies stand at their first pixels."""
+    assert webp.Code.single(7).read(webp.Bits(b"")) == 7
+    w, want = webp.Writer(), []
+    w.put(0x1FFFFFFFFFFFFFFFFFF, 73)
+    want += [1] * 73
+    for n in (63, 1, 0, 62, 5, 63, 0):
+        w.put_many(np.array([(1 << n) - 1, 0], np.int64), np.array([n, 3], np.int64))
+        want += [1] * n + [0] * 3
+    assert np.unpackbits(np.frombuffer(w.data(), np.uint8), bitorder="little")[: len(want)].tolist() == want
+    px = np.tile(np.arange(40, dtype=np.uint32) << np.uint32(8) | np.uint32(webp.BLACK), 6)
+    copies = [(40, 40, 40), (80, 100, 80), (190, 50, 40)]
+    assert (webp.decode(webp.encode(px, 24, copies=copies))[2] == px).all()
+
+
 def test_only_cut_texts_are_segmented_again(monkeypatch):
     """Documents of which nothing was found aren't hashed a second time."""
     seen, kept = [], substring_dedup.words_of
