@@ -178,7 +178,7 @@ def _pixels_fast(bits: Bits, codes: list[Code], width: int, total: int) -> np.nd
     fixed = np.uint32((rest[2].only << 24 | rest[0].only << 16 | rest[1].only) if flat else 0)
     shifts = np.arange(8, dtype=np.uint32)
     while n < total:
-        base = bits.pos >> 3
+        begun, base = bits.pos, bits.pos >> 3
         limit = min(_STEP, max(64, (len(data) - base) * 8), (total - n) * 64 + 64)
         piece = np.frombuffer(data[base : base + limit // 8 + 24].ljust(limit // 8 + 24, b"\0"), np.uint8)
         wide = piece[:-3] | piece[1:-2].astype(np.uint32) << 8 | piece[2:-1].astype(np.uint32) << 16 | piece[3:].astype(np.uint32) << 24
@@ -235,9 +235,9 @@ def _pixels_fast(bits: Bits, codes: list[Code], width: int, total: int) -> np.nd
                 p = bits.pos - base * 8
             elif not len(places):
                 break
-        if bits.pos == base * 8 + p and n < total:
-            raise ValueError("no progress")
         bits.pos = base * 8 + p
+        if bits.pos == begun and n < total:
+            raise ValueError("no progress")
         if bits.pos > len(data) * 8:
             raise ValueError("data ends early")
     return out
@@ -316,26 +316,29 @@ def _predicted(mode: int, left, top, right, corner) -> np.ndarray:
     return ways[mode]() if mode in ways else np.array([255, 0, 0, 0])
 
 
-def _one_way(c: np.ndarray, axis: int, sign: int) -> np.ndarray:
-    """All pixels predicted by the one above (axis 0) or to the left (axis 1), as sums along that axis; borders as always."""
+def _one_way(px: np.ndarray, width: int, axis: int, sign: int) -> np.ndarray:
+    """All pixels predicted by the one above (axis 0) or to the left (axis 1), as sums along that axis; borders as always. Bytes wrap."""
+    c = np.ascontiguousarray(px, "<u4").view(np.uint8).reshape(-1, width, 4)  # alpha comes last
     if sign < 0:
         out = _differences(c, axis)
-        out[0, 0, 0] -= 255
-        return out
-    c[0, 0, 0] += 255
-    edge = c[0] if axis == 0 else c[:, 0]
-    np.cumsum(edge, axis=0, out=edge)
-    return np.cumsum(c, axis=axis)
+        out[0, 0, 3:] -= np.uint8(255)
+    else:
+        c = c.copy()
+        c[0, 0, 3:] += np.uint8(255)
+        edge = c[0] if axis == 0 else c[:, 0]
+        edge[:] = np.cumsum(edge, axis=0, dtype=np.uint8)
+        out = np.cumsum(c, axis=axis, dtype=np.uint8)
+    return out.reshape(-1).view("<u4").astype(np.uint32, copy=False)
 
 
 def _predictor(px: np.ndarray, width: int, modes: np.ndarray, size_bits: int, sign: int) -> np.ndarray:
     """sign 1 adds the predictions to residuals; -1 takes them from pixels."""
+    kinds = modes >> np.uint32(8) & np.uint32(15)
+    if kinds[0] in (1, 2) and (kinds == kinds[0]).all():
+        return _one_way(px, width, 1 if kinds[0] == 1 else 0, sign)
     c = _channels(px)
     out = c.copy()
     seen = out if sign > 0 else c  # pixels as they are, which predictions look at
-    kinds = modes >> np.uint32(8) & np.uint32(15)
-    if kinds[0] in (1, 2) and (kinds == kinds[0]).all():
-        return _joined(_one_way(c.reshape(-1, width, 4), 1 if kinds[0] == 1 else 0, sign).reshape(-1, 4) & 255)
     across = -(-width >> size_bits)
     for i in range(len(px)):
         y, x = divmod(i, width)

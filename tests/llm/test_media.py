@@ -98,3 +98,15 @@ def test_rows_without_an_id_are_spread(spark):
     assert abs(sum(r.taken for r in got.collect()) - total) <= mixing.BLOCK
     keys = spark.createDataFrame(rows, "doc_id long, source string, size long").select(mixing.seeded(mixing.F.coalesce("doc_id", -1 - mixing.F.col("size")), 5).alias("k"))
     assert keys.distinct().count() >= 299
+
+
+def test_back_references_over_the_end_of_a_window(monkeypatch):
+    """The decoder looks at so many bits at once; a window may end with a back-reference that reaches past it."""
+    r = np.random.default_rng(5)
+    px = grey(np.concatenate([r.integers(0, 256, 300), *(r.permutation(np.tile(r.integers(0, 256, 40), 3)) for _ in range(40))]))
+    px = np.concatenate([px, *(px[at : at + 60] for at in r.integers(0, 4000, 40))])
+    px = px[: len(px) // 60 * 60]
+    data = webp.encode(px, 60)
+    for bits in range(40, 2000, 8):
+        monkeypatch.setattr(webp, "_STEP", bits)
+        assert (webp.decode(data)[2] == px).all()
