@@ -8,8 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import webp
 from .common import load
@@ -17,6 +17,8 @@ from .common import load
 #: Samples in a row; payloads are padded with bytes 255 to a positive multiple of it.
 ROW = 576
 _IMAGE = ROW * webp.MAX_SIDE
+#: Bytes of texts whose media are written in one go.
+SLICE_BYTES = 1 << 23
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -44,14 +46,28 @@ def images(media: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         at += size
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places at which a column is cut: 256 rows or SLICE_BYTES at most, one row at least."""
+    at = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and (i - at == 256 or held + n > SLICE_BYTES):
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
-        for at in range(0, len(batch), 256):
-            raw = [(v.as_py() or "").encode() for v in column[at : at + 256]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[at : at + 256], pa.array(map(len, raw), pa.int64()), pa.array([store(payload_of(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"]
-            )
+        for at, end in _slices(column):
+            sizes, media = [], []
+            for v in column[at:end]:
+                raw = (v.as_py() or "").encode()
+                sizes.append(len(raw))
+                media.append(store(payload_of(raw)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:end], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -117,11 +133,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_texts(store_texts(load(spark, sf_dir, "documents")))
 
 
+def pixels_sha256(px: np.ndarray) -> str:
+    """Of the pixels' numbers, as signed ones, comma-joined."""
+    told = hashlib.sha256()
+    for at in range(0, len(px), 1 << 16):
+        values, place = np.unique(px[at : at + (1 << 16)], return_inverse=True)
+        names = np.array([f",{v}" for v in values.view(np.int32).tolist()], "S12").view(np.uint8).reshape(-1, 12)[place]
+        told.update(names[names > 0].tobytes()[0 if at else 1 :])
+    return told.hexdigest()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (i, no, w, h, pixels_sha256(px)) for i, v in enumerate(batch.column("media")) for no, (w, h, px) in enumerate(images(v.as_py()) if v.is_valid else ())
+        ]
+        at, *cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "image_no", "width", "height", "pixels_sha256"]
+        )
+
+
 def webp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pixel arrays of all documents' stored images: doc_id, image_no (from 0), width, height, and a digest of the ARGB numbers, comma-joined."""
-    shown = decode_media(store_texts(load(spark, sf_dir, "documents"))).select("doc_id", F.posexplode("images").alias("image_no", "i"))
-    digest = F.sha2(F.concat_ws(",", F.col("i.pixels").cast("array<string>")), 256)
-    return shown.select("doc_id", "image_no", "i.width", "i.height", digest.alias("pixels_sha256"))
+    """The pixels of all documents' stored images: doc_id, image_no (from 0), width, height, and a digest of the ARGB numbers, comma-joined.
+
+    Digests are made beside the decoded pixels, so that no array of numbers becomes one of texts in the JVM; ``decode_media`` gives the arrays.
+    """
+    stored = store_texts(load(spark, sf_dir, "documents"))
+    return stored.mapInArrow(_digested, "doc_id long, image_no int, width int, height int, pixels_sha256 string")
 
 
 #: Pixels straight from the texts' bytes.

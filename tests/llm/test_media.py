@@ -110,3 +110,20 @@ def test_back_references_over_the_end_of_a_window(monkeypatch):
     for bits in range(40, 2000, 8):
         monkeypatch.setattr(webp, "_STEP", bits)
         assert (webp.decode(data)[2] == px).all()
+
+
+def test_media_are_written_in_slices():
+    """Many short texts, or few long ones, in one go; a long one alone."""
+    import pyarrow as pa
+
+    n = media.SLICE_BYTES
+    of = lambda sizes: list(media._slices(pa.array([None if k is None else "x" * k for k in sizes], pa.string())))
+    assert of([1] * 600) == [(0, 256), (256, 512), (512, 600)] and of([]) == [] and of([None]) == [(0, 1)]
+    assert of([5, n, 3, None, n - 3, 1]) == [(0, 1), (1, 2), (2, 5), (5, 6)]
+
+
+def test_pixels_are_digested_in_pieces():
+    import hashlib
+
+    px = np.random.default_rng(3).integers(0, 1 << 32, (1 << 16) + 7, dtype=np.uint32)
+    assert media.pixels_sha256(px) == hashlib.sha256(",".join(map(str, px.view(np.int32).tolist())).encode()).hexdigest()
