@@ -23,8 +23,9 @@ def _rows(found: DataFrame, stage: int, row: str, bbox: Column, source: str, sel
     ).withColumnRenamed("det_no", "_no")
 
 
-def scan(elements: DataFrame | None = None, static_nodes: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
-    """Merged detections of pages: elements' fields, then their text; static nodes; lines of recognised words (frame_id is the page).
+def scan(elements: DataFrame | None = None, static_nodes: DataFrame | None = None, words: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Merged detections of pages: elements' fields, then their text; static nodes; lines of recognised words (frame_id is the page), or the
+    ``lines`` that ``group_lines`` made of them.
 
     Order within a page decides what merges: elements first, then static text, then lines, each in its own order.
     """
@@ -40,8 +41,10 @@ def scan(elements: DataFrame | None = None, static_nodes: DataFrame | None = Non
         n = static_nodes.select("page_id", "node_idx", "bbox", "selector", "text")
         t = scan_text(n, base=F.concat(F.lit("static-"), F.col("node_idx").cast("string")))
         parts.append(_rows(t, 1, "node_idx", F.col("bbox"), "DOM", F.col("selector")))
-    if words is not None:
-        lines = group_lines(words).withColumnRenamed("frame_id", "page_id")
+    if words is not None and lines is None:
+        lines = group_lines(words)
+    if lines is not None:
+        lines = lines.withColumnRenamed("frame_id", "page_id")
         whole = F.struct("left", "top", "width", "height")
         lines = lines.select("page_id", "line_no", "text", "spans", whole.alias("whole"))
         t = scan_text(lines, base=F.concat(F.lit("ocr-line-"), F.col("line_no").cast("string")), lenient=True)
