@@ -60,11 +60,23 @@ def summarize(detections: DataFrame, *by: str) -> DataFrame:
     )
 
 
+VIEWS = ("ocr", "ocr_only", "dom", "corroborated")
+
+
+def _shown() -> dict[str, Column]:
+    s = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("source"))
+    return {"ocr": F.array_contains(s, "OCR"), "ocr_only": (F.size(s) == 1) & (s[0] == "OCR"), "dom": F.array_contains(s, "DOM"), "corroborated": F.size(s) > 1}
+
+
 def view(detections: DataFrame, which: str) -> DataFrame:
     """Detections that an inspector shows: ocr, ocr_only, dom or corroborated. Without sources, or with none in the array, the source counts."""
-    s = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("source"))
-    keep = {"ocr": F.array_contains(s, "OCR"), "ocr_only": (F.size(s) == 1) & (s[0] == "OCR"), "dom": F.array_contains(s, "DOM"), "corroborated": F.size(s) > 1}
-    return detections.where(keep[which])
+    return detections.where(_shown()[which])
+
+
+def views(detections: DataFrame) -> DataFrame:
+    """A row for each detection and view that shows it, the view's name as view, from one pass."""
+    keep = _shown()
+    return detections.select("*", F.explode(F.array_compact(F.array(*(F.when(keep[v], F.lit(v)) for v in VIEWS)))).alias("view"))
 
 
 def vision_view(vision: DataFrame, which: str = "faces") -> DataFrame:

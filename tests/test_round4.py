@@ -50,6 +50,26 @@ def test_lines_of_whole_batches(spark):
     assert sum(map(len, found)) == len(expected[1]) + len(plain(words[50:60])) and len(found) > 1
 
 
+def test_words_are_not_shuffled_and_views_share_a_scan(spark):
+    """Lines of texts come from a shuffle of texts; an inspector's views are counted in one pass."""
+    import io
+    from contextlib import redirect_stdout
+
+    from scrublake import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    found = queries.inspector_views(spark, sf)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        found.explain()
+    assert out.getvalue().count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in out.getvalue()
+    one = queries.corroborated_scan(spark, sf).withColumn("sources", F.split("sources", ","))
+    counted = {(v, x.type): x.n for v in merge.VIEWS for x in merge.view(one, v).groupBy("type").agg(F.count("*").alias("n")).collect()}
+    assert {(x.view, x.type): x.n for x in found.collect()} == counted
+
+
 def test_lenient_condition(spark):
     """Texts with a single detection each pass what is looked at before the rules, and words that look a little like digits don't."""
     from scrublake.operators import scan
