@@ -79,3 +79,19 @@ def test_lenient_condition(spark):
     every = {r.id for r in d.select("id", F.size(F.coalesce(scan.detections_in(F.col("text"), True), F.array())).alias("n")).where("n > 0").collect()}
     may = {r.id for r in d.where(scan.may_match(F.col("text"), True)).collect()}
     assert every <= may and 10 not in may and len(every) >= 7
+
+
+def test_payloads_parse_once(spark):
+    """What takes Python is read from written tables by the parts of a payload."""
+    import io
+    from contextlib import redirect_stdout
+
+    from scrublake import queries_frames
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        queries_frames.payload_metas(spark, sf).explain()
+    assert not any(x in out.getvalue() for x in ("InPandas", "InArrow", "PythonUDF"))
