@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +18,21 @@ _STATE = "micros long, event_id long, event string, n_read long, n_dropped long"
 def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """An event is read if it is later than the tab's last (of one time, the greater id); late and repeated ones are counted and dropped."""
     micros, event_id, event, n_read, n_dropped = state.get if state.exists else (None, None, None, 0, 0)
-    changed = False
-    rows = pd.concat(list(batches))
-    for m, i, e in sorted(zip(rows["micros"].tolist(), rows["event_id"].tolist(), rows["event"].tolist(), strict=True)):
-        if micros is None or (m, i) > (micros, event_id):
-            micros, event_id, event, changed = m, i, e, True
-            n_read += 1
-        else:
-            n_dropped += 1
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    m, i = rows["micros"].to_numpy(), rows["event_id"].to_numpy()
+    later = np.arange(len(m)) if micros is None else np.flatnonzero((m > micros) | (m == micros) & (i > event_id))
+    n_new = 0
+    if len(later):
+        order = later[np.lexsort((i[later], m[later]))]
+        m, i = m[order], i[order]
+        micros, event_id = int(m[-1]), int(i[-1])
+        event = min(rows["event"].to_numpy()[order[(m == micros) & (i == event_id)]])
+        n_new = 1 + int(np.count_nonzero((m[1:] != m[:-1]) | (i[1:] != i[:-1])))
+    n_read, n_dropped = n_read + n_new, n_dropped + len(rows) - n_new
     state.update((micros, event_id, event, n_read, n_dropped))
-    if changed:
-        yield pd.DataFrame({"tab_id": [key[0]], "event_id": [event_id], "at": pd.to_datetime([micros], unit="us"), "event": pd.Series([event], dtype=object), "n_read": [n_read], "n_dropped": [n_dropped]})
+    if n_new:
+        yield pd.DataFrame({"tab_id": [key[0]], "event_id": [event_id], "at": np.array([micros], "datetime64[us]"), "event": np.array([event], object), "n_read": [n_read], "n_dropped": [n_dropped]})
 
 
 def contexts(events: DataFrame) -> DataFrame:

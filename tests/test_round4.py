@@ -95,3 +95,22 @@ def test_payloads_parse_once(spark):
     with redirect_stdout(out):
         queries_frames.payload_metas(spark, sf).explain()
     assert not any(x in out.getvalue() for x in ("InPandas", "InArrow", "PythonUDF"))
+
+
+def test_arrivals_are_batches(spark):
+    """Tab contexts come in as many batches as arrivals, however many files these have."""
+    from scrublake import queries_frames
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    seen: list = []
+    read, spark_table = queries_frames.tabs.last_contexts, queries_frames.table
+    queries_frames.tabs.last_contexts = lambda w: (seen.append(w), read(w))[1]
+    queries_frames.table = lambda *a: spark_table(*a).repartition(3)
+    try:
+        queries_frames.tab_contexts(spark, sf).collect()
+    finally:
+        queries_frames.tabs.last_contexts, queries_frames.table = read, spark_table
+    batches = {x.batch for x in seen[0].select("batch").distinct().collect()}
+    assert max(batches) == 7 and batches >= {0, 1, 3, 4, 5, 6, 7}  # the third arrival may be late throughout
